@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import exact_dedup
+from corpusloom.llm import exact_dedup, kd_sharding, mixing, mpeg_audio
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op5_kd_sharding": kd_sharding.op5_kd_sharding,
+    "op7_mpeg_audio": mpeg_audio.op7_mpeg_audio,
+    "op8_mixing": mixing.op8_mixing,
 }
 ORACLE = {
     "op2_exact_dedup": exact_dedup.SQL,
