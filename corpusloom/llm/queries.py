@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import exact_dedup, kd_sharding, mixing, mpeg_audio
+from corpusloom.llm import exact_dedup, kd_sharding, mixing, mpeg_audio, sentencepieces
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op4_sentencepiece": sentencepieces.op4_sentencepiece,
     "op5_kd_sharding": kd_sharding.op5_kd_sharding,
     "op7_mpeg_audio": mpeg_audio.op7_mpeg_audio,
     "op8_mixing": mixing.op8_mixing,
