@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import exact_dedup, kd_sharding, mixing, mpeg_audio, sentencepieces
+from corpusloom.llm import exact_dedup, kd_sharding, language_id, mixing, mpeg_audio, personal_data, sentencepieces
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_personal_data": personal_data.op3_personal_data,
     "op4_sentencepiece": sentencepieces.op4_sentencepiece,
     "op5_kd_sharding": kd_sharding.op5_kd_sharding,
     "op7_mpeg_audio": mpeg_audio.op7_mpeg_audio,
     "op8_mixing": mixing.op8_mixing,
+    "op10_language_id": language_id.op10_language_id,
 }
 ORACLE = {
     "op2_exact_dedup": exact_dedup.SQL,
