@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import exact_dedup, kd_sharding, language_id, mixing, mpeg_audio, personal_data, sentencepieces
+from corpusloom.llm import exact_dedup, jaccard_join, kd_sharding, language_id, mixing, mpeg_audio, personal_data, repeated_spans, sentencepieces
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_personal_data": personal_data.op3_personal_data,
     "op4_sentencepiece": sentencepieces.op4_sentencepiece,
     "op5_kd_sharding": kd_sharding.op5_kd_sharding,
+    "op6_repeated_spans": repeated_spans.op6_repeated_spans,
     "op7_mpeg_audio": mpeg_audio.op7_mpeg_audio,
     "op8_mixing": mixing.op8_mixing,
+    "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_language_id": language_id.op10_language_id,
 }
 ORACLE = {
