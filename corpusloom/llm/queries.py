@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import exact_dedup, jaccard_join, kd_sharding, language_id, mixing, mpeg_audio, personal_data, repeated_spans, sentencepieces
+from corpusloom.llm import chat_format, exact_dedup, jaccard_join, kd_sharding, language_id, mixing, mpeg_audio, personal_data, repeated_spans, sentencepieces
 
 QUERIES = {
+    "op1_chat_format": chat_format.op1_chat_format,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_personal_data": personal_data.op3_personal_data,
     "op4_sentencepiece": sentencepieces.op4_sentencepiece,
@@ -16,5 +17,6 @@ QUERIES = {
     "op10_language_id": language_id.op10_language_id,
 }
 ORACLE = {
+    "op1_chat_format": chat_format.SQL,
     "op2_exact_dedup": exact_dedup.SQL,
 }

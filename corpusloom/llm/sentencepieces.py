@@ -45,7 +45,7 @@ class Encoder:
         self.bytes = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(pieces) if kind == BYTE}
         self.unknown = next((i for i, (_, _, kind) in enumerate(pieces) if kind == UNKNOWN), 0)
         self.fits: dict[int, bool] = {}
-        self.parts: dict[str, tuple[int, str, str]] = {}
+        self.parts: dict[str, tuple[list[int], str, str]] = {}
         self.older = self.parts
         self.automaton = ahocorasick.Automaton()
         for p, (_, i) in self.rank.items():
@@ -102,7 +102,10 @@ class Encoder:
         return out
 
     def encode(self, text: str) -> list[int]:
-        return [i for part in self.split.findall(MARK + text.replace(" ", MARK)) for i in self.ids(part)] if text else []
+        own, out = self.part, []
+        for p in self.split.findall(MARK + text.replace(" ", MARK)) if text else ():
+            out += (self.parts.get(p) or own(p))[0]
+        return out
 
     def surface(self, ids: list[int]) -> str:
         """The characters of ids, blank marks as blanks, byte pieces as UTF-8."""
@@ -122,12 +125,12 @@ class Encoder:
         text = self.surface(ids)
         return text[1:] if ids and self.pieces[ids[0]][0][:1] == MARK else text
 
-    def part(self, part: str) -> tuple[int, str, str]:
-        """Number of ids, the ids joined by commas, and their surface."""
+    def part(self, part: str) -> tuple[list[int], str, str]:
+        """The ids, the ids joined by commas, and their surface."""
         found = self.older.get(part)
         if found is None:
             ids = self.ids(part)
-            found = len(ids), ",".join(map(str, ids)), self.surface(ids)
+            found = ids, ",".join(map(str, ids)), self.surface(ids)
         if len(part) <= LONGEST:
             if len(self.parts) >= REMEMBERED:  # what was not asked for since the last time is forgotten
                 self.older, self.parts = self.parts, {}
@@ -141,7 +144,7 @@ class Encoder:
         own, parts = self.part, self.split.findall(MARK + text.replace(" ", MARK))
         found = [self.parts.get(p) or own(p) for p in parts]
         decoded = "".join([f[2] for f in found])[1:]  # the text's own first blank mark goes
-        return sum([f[0] for f in found]), hashlib.sha256(",".join([f[1] for f in found]).encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()
+        return sum([len(f[0]) for f in found]), hashlib.sha256(",".join([f[1] for f in found]).encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()
 
 
 def from_bytes(raw: bytes) -> str:
