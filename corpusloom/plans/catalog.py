@@ -1,6 +1,517 @@
-"""The registered queries of the core library and their SQL."""
+"""The registered queries of the core library and their SQL. Each runs one operator, or a flow, over whole tables."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+import re
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusloom.functions import chat as chats
+from corpusloom.functions import text as tx
+from corpusloom.functions.template import compiled
+from corpusloom.operators import columns, filters, models, reshape
+from corpusloom.operators.parse import Parser, parse_rows
+from corpusloom.plans import convert, mix
+from corpusloom.plans.flow import Context, generate, read_flow
+from corpusloom.sources import ingest
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+MD5 = "(('0x' || substr(md5({0}), 1, 8))::bigint % {1})"
+
+
+# Columns
+
+@query("SELECT doc_id, lang AS source, source AS lang FROM documents")
+def rename_swap(spark, d):
+    return columns.rename(table(spark, d, "documents").select("doc_id", "lang", "source"), {"lang": "source", "source": "lang"})
+
+
+@query("SELECT doc_id, source, lang, lang AS domain FROM documents")
+def duplicate_column(spark, d):
+    return columns.duplicate(table(spark, d, "documents").select("doc_id", "source", "lang"), {"lang": "domain"})
+
+
+@query("SELECT doc_id, lang FROM documents")
+def drop_columns(spark, d):
+    return columns.drop(table(spark, d, "documents"), ["text", "source", "n_chars", "not_there"])
+
+
+@query("SELECT doc_id, lang FROM documents")
+def keep_columns(spark, d):
+    return columns.keep(table(spark, d, "documents"), ["lang", "doc_id", "not_there"])
+
+
+@query("SELECT doc_id, lang || chr(10) || chr(10) || source AS lang_source FROM documents")
+def combine_columns(spark, d):
+    return columns.combine(table(spark, d, "documents"), ["lang", "source"], "lang_source").select("doc_id", "lang_source")
+
+
+@query("SELECT doc_id, CASE lang WHEN 'en' THEN source WHEN 'de' THEN lang WHEN 'fr' THEN source WHEN 'es' THEN lang END AS chosen FROM documents")
+def selector(spark, d):
+    out = columns.select_by(table(spark, d, "documents"), {"en": "source", "de": "lang", "fr": "source", "es": "lang"}, "lang", "chosen")
+    return out.select("doc_id", "chosen")
+
+
+@query("SELECT c_custkey, c_mktsegment, CASE c_mktsegment WHEN 'BUILDING' THEN 'b' WHEN 'AUTOMOBILE' THEN 'a' ELSE 'o' END AS code FROM customer")
+def populator(spark, d):
+    df = table(spark, d, "customer").select("c_custkey", "c_mktsegment")
+    codes = {"BUILDING": {"code": "b"}, "AUTOMOBILE": {"code": "a"}, "MACHINERY": {"code": "o"}, "HOUSEHOLD": {"code": "o"}, "FURNITURE": {"code": "o"}}
+    return columns.populate(df, codes, "c_mktsegment")
+
+
+@query("SELECT doc_id, lang, 'knowledge' AS kind FROM documents")
+def literal_column(spark, d):
+    return columns.literal(table(spark, d, "documents").select("doc_id", "lang"), "kind", "knowledge")
+
+
+# Filters
+
+@query("SELECT doc_id, lang FROM documents WHERE lang = 'en'")
+def filter_eq(spark, d):
+    return filters.filter_by_value(table(spark, d, "documents").select("doc_id", "lang"), "lang", "en", "operator.eq")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE lang IN ('en', 'de')")
+def filter_in(spark, d):
+    return filters.filter_by_value(table(spark, d, "documents").select("doc_id", "lang"), "lang", ["en", "de"])
+
+
+@query("SELECT conv_id, turn, role FROM conversations WHERE role IN ('user', 'system')")
+def filter_contains(spark, d):
+    return filters.filter_by_value(table(spark, d, "conversations").select("conv_id", "turn", "role"), "role", ["user", "system"], "contains")
+
+
+@query("SELECT event_id, try_cast(json_extract_string(props, '$.k') AS double) AS k FROM events WHERE try_cast(json_extract_string(props, '$.k') AS double) >= 50")
+def filter_ge_cast(spark, d):
+    df = table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+    return filters.filter_by_value(df, "k", 50.0, "ge", "float")
+
+
+@query("SELECT event_id, try_cast(json_extract_string(props, '$.k') AS bigint) AS k FROM events WHERE try_cast(json_extract_string(props, '$.k') AS bigint) IN (30, 35)")
+def filter_eq_int(spark, d):
+    df = table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+    return filters.filter_by_value(df, "k", [30, 35], "eq", "int")
+
+
+@query("SELECT doc_id, source FROM documents WHERE source > 'src5'")
+def filter_callable(spark, d):
+    return filters.filter_by_value(table(spark, d, "documents").select("doc_id", "source"), "source", "src5", lambda c, v: c > v)
+
+
+@query("SELECT doc_id, n_words FROM (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), x -> x <> '')) AS n_words FROM documents) WHERE floor(n_words * 13 / 10) > 100")
+def min_tokens(spark, d):
+    df = table(spark, d, "documents").withColumn("n_words", tx.word_count("text").cast("long"))
+    return filters.min_tokens(df, "text", 100).select("doc_id", "n_words")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE lang IS DISTINCT FROM 'en'")
+def not_equal(spark, d):
+    return filters.not_equal(table(spark, d, "documents").select("doc_id", "lang"), "lang", "en")
+
+
+# Rows
+
+@query("SELECT doc_id, variable, value FROM (SELECT doc_id, lang, source FROM documents) UNPIVOT INCLUDE NULLS (value FOR variable IN (lang, source))")
+def flatten(spark, d):
+    return reshape.flatten(table(spark, d, "documents").select("doc_id", "lang", "source"), ["lang", "source"], "value", "variable")
+
+
+@query("SELECT min(doc_id) AS doc_id, text FROM documents GROUP BY text")
+def drop_duplicates_first(spark, d):
+    return reshape.first_per_key(table(spark, d, "documents").select("doc_id", "text"), ["text"], ["doc_id"])
+
+
+@query("SELECT doc_id, (SELECT lang FROM documents WHERE lang IS NOT NULL GROUP BY lang ORDER BY count(*) DESC, lang LIMIT 1) AS lang FROM documents")
+def majority_global(spark, d):
+    return reshape.majority(table(spark, d, "documents").select("doc_id", "lang"), "lang")
+
+
+@query("""
+WITH m AS (
+  SELECT source, lang FROM documents WHERE lang IS NOT NULL GROUP BY source, lang
+  QUALIFY row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, lang) = 1
+) SELECT d.doc_id, d.source, m.lang FROM documents d LEFT JOIN m ON d.source IS NOT DISTINCT FROM m.source
+""")
+def majority_batch(spark, d):
+    return reshape.majority(table(spark, d, "documents").select("doc_id", "source", "lang"), "lang", ["source"])
+
+
+@query("SELECT doc_id, iteration, doc_id * 3 + iteration AS made FROM labels, range(3) r(iteration)")
+def iterate(spark, d):
+    step = lambda df: df.withColumn("made", F.col("doc_id") * 3 + F.col("iteration"))
+    return reshape.iterate(table(spark, d, "labels").select("doc_id"), 3, step).withColumn("iteration", F.col("iteration").cast("long"))
+
+
+@query("SELECT item_id, (row_number() OVER (ORDER BY item_id) - 1) AS ordinal, (row_number() OVER (ORDER BY item_id) - 1) // 8 AS batch_id FROM benchmark")
+def batches(spark, d):
+    return reshape.batches(reshape.numbered(table(spark, d, "benchmark").select("item_id"), ["item_id"]), 8)
+
+
+@query("SELECT item_id, ordinal FROM (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS ordinal FROM benchmark) WHERE ordinal >= 10 AND ordinal < 20")
+def row_range(spark, d):
+    return reshape.row_range(reshape.numbered(table(spark, d, "benchmark").select("item_id"), ["item_id"]), 10, 20)
+
+
+@query("SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id IS NOT DISTINCT FROM d.doc_id)")
+def missing_data(spark, d):
+    return reshape.missing(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"))
+
+
+@query("SELECT doc_id, lang, NULL::int AS quality FROM documents UNION ALL SELECT doc_id, NULL, quality FROM labels")
+def concat_safe(spark, d):
+    return reshape.concat([table(spark, d, "documents").select("doc_id", "lang"), None, table(spark, d, "labels").select("doc_id", "quality")])
+
+
+@query(f"""
+WITH n AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS o FROM benchmark)
+SELECT n.item_id FROM range(100) r(id) JOIN n ON n.o = {MD5.format("'42|' || id::varchar", '(SELECT count(*) FROM benchmark)')}
+""")
+def sample_replace(spark, d):
+    return reshape.sample_with_replacement(table(spark, d, "benchmark").select("item_id"), 100, ["item_id"])
+
+
+@query("SELECT doc_id, quality FROM labels ORDER BY md5('42|' || doc_id::varchar), doc_id LIMIT 25")
+def sample_exact(spark, d):
+    return reshape.sample_exact(table(spark, d, "labels").select("doc_id", "quality"), 25, ["doc_id"])
+
+
+@query("SELECT d.doc_id, e.k AS icl_query, e.v AS icl_response FROM documents d, (VALUES ('q1', 'r1'), ('q2', 'r2'), ('q3', 'r3')) e(k, v)")
+def icl_cross(spark, d):
+    examples = spark.createDataFrame([("q1", "r1"), ("q2", "r2"), ("q3", "r3")], "icl_query string, icl_response string")
+    return reshape.with_examples(table(spark, d, "documents").select("doc_id"), examples)
+
+
+@query("SELECT doc_id, i - 1 AS line_no, l[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), range(1, 100000) r(i) WHERE i <= len(l)")
+def explode_chunks(spark, d):
+    df = table(spark, d, "documents").select("doc_id", F.split("text", "\n").alias("line"))
+    return reshape.explode_list(df, "line", "line_no").withColumn("line_no", F.col("line_no").cast("long"))
+
+
+@query("SELECT doc_id, dense_rank() OVER (ORDER BY lang) - 1 AS lang_code FROM documents WHERE lang IS NOT NULL")
+def class_encode(spark, d):
+    df = table(spark, d, "documents").where("lang is not null").select("doc_id", F.col("lang").alias("lang_code"))
+    return reshape.class_codes(df, "lang_code").withColumn("lang_code", F.col("lang_code").cast("long"))
+
+
+@query("SELECT DISTINCT source FROM documents")
+def distinct_contexts(spark, d):
+    return table(spark, d, "documents").select("source").distinct()
+
+
+# Text
+
+@query(r"""
+SELECT page_id, i - 1 AS position, trim(p[i], chr(32) || chr(9) || chr(10) || chr(13)) AS paragraph
+FROM (SELECT page_id, regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1) AS p FROM pages), range(1, 10000) r(i) WHERE i <= len(p)
+""")
+def tag_parse(spark, d):
+    out = parse_rows(table(spark, d, "pages").select("page_id", "html"), "html", Parser(["paragraph"], ["<p>"], ["</p>"]), ["page_id"], "position")
+    return out.withColumn("position", F.col("position").cast("long"))
+
+
+@query(r"""
+SELECT page_id, i - 1 AS position, h[i] AS href, replace(t[i], 'th', '') AS label
+FROM (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) AS h, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) AS t FROM pages), range(1, 10000) r(i) WHERE i <= len(h)
+""")
+def regex_parse(spark, d):
+    parser = Parser(["href", "label"], pattern='<a href="([^"]*)">([^<]*)</a>', cleanup=["th"])
+    out = parse_rows(table(spark, d, "pages").select("page_id", "html"), "html", parser, ["page_id"], "position")
+    return out.withColumn("position", F.col("position").cast("long"))
+
+
+@query("SELECT d.doc_id, trim('Language: ' || lang || chr(10) || CASE WHEN quality IS NOT NULL THEN 'Quality ' || quality ELSE 'Quality ' END || chr(10) || source) AS prompt FROM documents d LEFT JOIN labels l USING (doc_id)")
+def prompt_render(spark, d):
+    df = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
+    text = "Language: {{ lang }}\n{% if quality is defined %}Quality {{ quality }}{% else %}none{% endif %}\n{{ source }}{% if nothing is defined %}{{ nothing }}{% endif %}"
+    return df.select("doc_id", compiled(text, df.schema).alias("prompt"))
+
+
+@query("SELECT conv_id, string_agg(CASE role WHEN 'assistant' THEN '<|assistant|>' || chr(10) || text || '<|endoftext|>' || CASE WHEN last THEN '' ELSE chr(10) END ELSE '<|' || role || '|>' || chr(10) || text || chr(10) END, '' ORDER BY turn) || '<|assistant|>' || chr(10) AS prompt FROM (SELECT *, turn = max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations) GROUP BY conv_id")
+def chat_roles(spark, d):
+    return conversations(spark, d).select("conv_id", chats.render("roles", "messages", is_text=False).alias("prompt"))
+
+
+@query("SELECT doc_id, '<s> [INST] ' || text || ' [/INST]' AS prompt FROM documents")
+def chat_inst(spark, d):
+    return table(spark, d, "documents").select("doc_id", chats.render("inst", "text").alias("prompt"))
+
+
+def conversations(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as arrays of (role, content); a conversation is one row of a training set."""
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
+    df = table(spark, d, "conversations").groupBy("conv_id").agg(turns.alias("t"))
+    return df.select("conv_id", F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN contains(text, '. ') THEN ltrim(list_last(string_split(text, '. ')), chr(32) || chr(9) || chr(10) || chr(13)) ELSE text END AS answer FROM conversations")
+def thinking_strip(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", tx.after_marker("text", ". ").alias("answer"))
+
+
+@query(r"""
+SELECT doc_id, CASE WHEN contains(t, '?') THEN trim(string_split(t, '?')[1], chr(32) || chr(9) || chr(10) || chr(13)) || '?' ELSE '' END AS question,
+  trim(CASE WHEN contains(t, '?') THEN substr(t, instr(t, '?') + 1) ELSE t END, chr(32) || chr(9) || chr(10) || chr(13)) AS response
+FROM (SELECT doc_id, replace(text, '. ', '? ') AS t FROM documents)
+""")
+def qa_split(spark, d):
+    df = table(spark, d, "documents").withColumn("t", F.replace("text", F.lit(". "), F.lit("? ")))
+    return df.select("doc_id", tx.question_of("t").alias("question"), tx.response_of("t").alias("response"))
+
+
+@query(r"SELECT doc_id, regexp_replace(regexp_replace(text, '-{2,}\|', '-|', 'g'), ' {2,}\|', ' |', 'g') AS text FROM documents")
+def table_cleanup(spark, d):
+    return table(spark, d, "documents").select("doc_id", tx.compact_table("text").alias("text"))
+
+
+@query(r"""
+SELECT doc_id, CASE WHEN len(p) > 1 AND len(string_split(p[1], ' ')) < 3 THEN '**' || p[1] || '**' || array_to_string(p[2:], '.') ELSE text END AS heading
+FROM (SELECT doc_id, text, string_split(text, '.') AS p FROM documents)
+""")
+def heading_format(spark, d):
+    return table(spark, d, "documents").select("doc_id", tx.heading("text").alias("heading"))
+
+
+@query(r"SELECT page_id, CASE WHEN contains(html, '<title>') AND contains(html, '</title>') THEN trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), chr(32) || chr(9) || chr(10) || chr(13)) END AS title FROM pages")
+def between_markers(spark, d):
+    return table(spark, d, "pages").select("page_id", tx.between("html", "<title>", "</title>").alias("title"))
+
+
+@query(f"SELECT doc_id, {MD5.format('doc_id::varchar', 10)} AS pick FROM documents")
+def keyed_choice(spark, d):
+    return table(spark, d, "documents").select("doc_id", tx.hash_number("doc_id", modulus=10).alias("pick"))
+
+
+# Training sets
+
+def qa_rows(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.col("text").alias("document"), F.concat(F.lit("What does "), "source", F.lit(" say?")).alias("question"), F.col("lang").alias("response"), F.col("source").alias("domain"), F.col("text").alias("raw_document"), F.when(F.col("doc_id") % 4 == 0, "base_document").when(F.col("doc_id") % 4 == 1, "summary_detailed").when(F.col("doc_id") % 4 == 2, "summary_extractive").otherwise("summary_atomic_facts").alias("dataset_type"), F.lit("outline").alias("document_outline"))
+
+
+ID = "(substr({0},1,8)||'-'||substr({0},9,4)||'-'||substr({0},13,4)||'-'||substr({0},17,4)||'-'||substr({0},21,12))"
+
+
+@query(f"SELECT {ID.format('md5(doc_id::varchar)')} AS id, 'user' AS role_1, text || chr(10) || chr(10) || 'What does ' || source || ' say?' AS content_1, 'assistant' AS role_2, lang AS content_2 FROM documents")
+def knowledge_qa(spark, d):
+    return flat_messages(convert.knowledge_qa(qa_rows(spark, d), ["doc_id"]))
+
+
+def flat_messages(df: DataFrame, turns: int = 2) -> DataFrame:
+    out = [F.get("messages", F.lit(k))[f].alias(f"{n}_{k + 1}") for k in range(turns) for n, f in (("role", "role"), ("content", "content"))]
+    return df.select("id", *out)
+
+
+@query(f"SELECT {ID.format('md5(doc_id::varchar)')} AS id, 'pretraining' AS role_1, text || chr(10) || chr(10) || 'What does ' || source || ' say?' || chr(10) || chr(10) || lang AS content_1 FROM documents")
+def pretraining(spark, d):
+    return flat_messages(convert.pretraining(convert.knowledge_qa(qa_rows(spark, d), ["doc_id"])), 1)
+
+
+def _instruction_sql() -> str:
+    lit = lambda t: "'" + t.replace("'", "''") + "'"
+    return "CASE kind " + " ".join(f"WHEN '{k}' THEN [{', '.join(map(lit, v))}][{MD5.format('text', len(v))} + 1]" for k, v in convert.INSTRUCTIONS.items()) + " END"
+
+
+@query(f"""
+WITH k AS (SELECT doc_id, text, source, ['base_document', 'summary_detailed', 'summary_extractive', 'summary_atomic_facts'][doc_id % 4 + 1] AS kind FROM documents),
+f AS (SELECT * FROM k WHERE kind <> 'base_document' QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1)
+SELECT {ID.format("md5(text || '|' || kind)")} AS id, 'user' AS role_1, text || chr(10) || chr(10) || {_instruction_sql()} AS content_1, 'assistant' AS role_2, text AS content_2 FROM f
+""")
+def auxiliary(spark, d):
+    return flat_messages(convert.auxiliary(qa_rows(spark, d), ["doc_id"]))
+
+
+def knowledge_rows(spark: SparkSession, d: str) -> DataFrame:
+    """One context for each benchmark item, and a question for each document about one of them."""
+    items = reshape.numbered(table(spark, d, "benchmark"), ["item_id"], "o").select("o", F.col("text").alias("context"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % items.count()).alias("o"))
+    rows = docs.join(items, "o")
+    return rows.select("id", "context", F.array(convert.turn("user", F.lit("Q")), convert.turn("assistant", F.lit("A"))).alias("messages"), F.lit('{"dataset":"x"}').alias("metadata"))
+
+
+@query(f"""
+WITH b AS (SELECT text, row_number() OVER (ORDER BY item_id) - 1 AS o FROM benchmark), n AS (SELECT count(*) AS n FROM b),
+rows AS (SELECT doc_id AS id, b.text AS context FROM documents, n JOIN b ON b.o = doc_id % n.n),
+ring AS (SELECT text AS other, row_number() OVER (ORDER BY md5(text), text) - 1 AS place FROM (SELECT DISTINCT text FROM b JOIN rows ON b.text = rows.context)),
+m AS (SELECT count(*) AS m FROM ring),
+w AS (SELECT id, context, {MD5.format("'raft|' || id", 1000000)} < 400000 AS own, {MD5.format("'raft-start|' || id", '(SELECT m FROM m)')} AS start FROM rows),
+spots AS (SELECT id, context, own, k, other FROM w, m, range(5) r(k) JOIN ring ON ring.place = (w.start + k) % m.m WHERE k <= m.m - 1 AND other IS DISTINCT FROM context),
+picks AS (SELECT id, other AS c FROM spots QUALIFY row_number() OVER (PARTITION BY id ORDER BY k) <= CASE WHEN own THEN 3 ELSE 4 END UNION ALL SELECT id, context FROM w WHERE own)
+SELECT id, string_agg('Document:' || chr(10) || c || chr(10) || chr(10), '' ORDER BY md5(id || c), c) || 'Q' AS content_1 FROM picks GROUP BY id
+""")
+def raft(spark, d):
+    out = convert.raft(knowledge_rows(spark, d), 0.4)
+    return out.select("id", F.col("messages")[0]["content"].alias("content_1"))
+
+
+@query("SELECT conv_id, CASE WHEN has THEN n ELSE n + 1 END AS n_turns, 'Be kind.' AS system FROM (SELECT conv_id, count(*) AS n, bool_or(role = 'system') AS has FROM conversations GROUP BY conv_id)")
+def add_system(spark, d):
+    df = conversations(spark, d).withColumn("messages", mix.with_system("messages", "Be kind."))
+    system = F.filter("messages", lambda m: m["role"] == "system")[0]["content"]
+    return df.select("conv_id", F.size("messages").cast("long").alias("n_turns"), system.alias("system"))
+
+
+@query("SELECT doc_id::varchar AS id, lang, source FROM documents")
+def metadata_json(spark, d):
+    df = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.array().cast("array<struct<role:string,content:string>>").alias("messages"), "lang", "source")
+    out = mix.with_metadata(df)
+    return out.select("id", F.get_json_object("metadata", "$.lang").alias("lang"), F.get_json_object("metadata", "$.source").alias("source"))
+
+
+def choice_rows(spark: SparkSession, d: str) -> DataFrame:
+    part = table(spark, d, "part")
+    letter = F.element_at(F.array(*[F.lit(x) for x in "ABCDE"]), (F.col("p_partkey") % 5 + 1).cast("int"))
+    asked = F.concat(F.lit("Which size has "), "p_name", F.lit("?\nA) "), "p_brand", F.lit("\nB) "), "p_type", F.lit("\nC) "), F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 3 > 0, F.lit("\nD) none")).otherwise(F.lit("")))
+    return part.select("p_partkey", asked.alias("mmlubench_question"), F.when(F.col("p_partkey") % 7 > 0, F.concat(letter, F.lit(") it is"))).otherwise(F.lit("none")).alias("mmlubench_answer"), F.col("p_type").alias("domain"))
+
+
+CHOICES = """
+SELECT p_partkey, p_name, p_type, p_brand, p_size, ['A', 'B', 'C', 'D', 'E'][p_partkey % 5 + 1] AS letter, p_partkey % 3 > 0 AS four FROM part WHERE p_partkey % 7 > 0
+"""
+
+
+@query(f"SELECT p_partkey, 'mmlu_bench' AS dataset_type FROM ({CHOICES})")
+def mcq_post(spark, d):
+    return convert.multiple_choice(choice_rows(spark, d)).select("p_partkey", "dataset_type")
+
+
+@query(f"SELECT p_partkey, 'Which size has ' || p_name || '?' AS question, p_brand AS choice_1, 'none' AS choice_4, p_type AS subject, (ascii(letter) - 65)::bigint AS answer FROM ({CHOICES}) WHERE four AND letter <> 'E'")
+def mmlu_format(spark, d):
+    out = convert.multiple_choice(choice_rows(spark, d), evaluation=True)
+    return out.select("p_partkey", "question", F.col("choices")[0].alias("choice_1"), F.col("choices")[3].alias("choice_4"), "subject", F.col("answer").cast("long").alias("answer"))
+
+
+@query(r"""
+WITH l AS (SELECT doc_id, i - 1 AS o, l[i] AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), range(1, 100000) r(i) WHERE i <= len(l)),
+s AS (SELECT *, len(list_filter(regexp_split_to_array(t, '\s+'), x -> x <> '')) > 20 OR coalesce(max(CASE WHEN t <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 AS start FROM l),
+r AS (SELECT *, sum(start::int) OVER (PARTITION BY doc_id ORDER BY o) AS run FROM s)
+SELECT doc_id, min(o) AS line_no, string_agg(t, chr(10) || chr(10) ORDER BY o) AS line FROM r GROUP BY doc_id, run
+""")
+def fuse_texts(spark, d):
+    lines = QUERIES["explode_chunks"](spark, d)
+    return convert.fused(lines, "doc_id", "line_no", "line", 20)
+
+
+@query()
+def chunk_document(spark, d):
+    return ingest.chunked(table(spark, d, "documents").select("doc_id", "text"), "text", 4096, 200, "chunk")
+
+
+@query()
+def doc_fold(spark, d):
+    """Each document as a parsed one, its lines the elements, folded by a token budget."""
+    element = lambda x: F.struct(F.lit("paragraph").alias("type"), x.alias("text"), F.lit(None).cast("string").alias("$ref"), F.array(F.struct(F.lit(1).alias("page"))).alias("prov"))
+    df = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("file"), F.transform(F.split("text", "\n"), element).alias("elements"), F.array().cast("array<struct<text:string,data:array<array<struct<text:string>>>>>").alias("tables"))
+    return ingest.folded(df, 200)
+
+
+# Models
+
+@query("SELECT conv_id, turn, len(string_split(text, '. ')) AS n_steps, array_to_string(string_split(text, '. '), '<s>') || '<s>' AS content FROM conversations WHERE role = 'assistant'")
+def prm_messages(spark, d):
+    df = table(spark, d, "conversations").where("role = 'assistant'")
+    m = models.reward_messages("role", "text", None, ". ", "<s>")
+    return df.select("conv_id", "turn", F.size(F.split("text", "\\. ")).cast("long").alias("n_steps"), F.element_at(m, -1)["content"].alias("content"))
+
+
+@query("SELECT conv_id, turn, len(list_filter(string_split(text || chr(10) || chr(10), chr(10) || chr(10)), x -> x <> '')) AS n_rewards FROM conversations WHERE role = 'assistant'")
+def prm_rewards(spark, d):
+    df = table(spark, d, "conversations").where("role = 'assistant'")
+    out = models.evaluate_once(models.rewards(df, "role", "text", models.StubBackend(), separator="\n\n", fill="\n\n"))
+    return out.select("conv_id", "turn", F.size("step_rewards").cast("long").alias("n_rewards"))
+
+
+@query("SELECT item_id, '{\"' || string_split(text, ' ')[1] || '\":-0.' AS first_token FROM benchmark")
+def logprob_json(spark, d):
+    out = models.evaluate_once(models.logprobs(table(spark, d, "benchmark"), "text", "lp", models.StubBackend(), models.Options(max_tokens=3)))
+    return out.select("item_id", F.regexp_replace(F.col("lp")[0], r"-0\..*", "-0.").alias("first_token"))
+
+
+@query("SELECT item_id, k AS sample, 'sample ' || k || ' of ' || text AS answer FROM benchmark, range(3) r(k)")
+def n_samples(spark, d):
+    out = models.evaluate_once(models.complete(table(spark, d, "benchmark"), "text", "answer", models.StubBackend("sample {sample} of {prompt}"), models.Options(n=3)))
+    return out.select("item_id", F.posexplode("answer").alias("sample", "answer")).withColumn("sample", F.col("sample").cast("long"))
+
+
+@query("SELECT conv_id, 'You said: ' || list_last(list(text ORDER BY turn)) AS answer FROM conversations GROUP BY conv_id")
+def chat_answers(spark, d):
+    out = models.chat(conversations(spark, d), "messages", "answer", models.StubBackend("You said: {prompt}"))
+    return models.evaluate_once(out).select("conv_id", "answer")
+
+
+@dataclass(frozen=True)
+class Rules(models.StubBackend):
+    """A model of rules: what it says follows from words in the prompt, so SQL can say it too."""
+
+    def complete(self, prompts, ids, model, options):
+        return [[self.one(p, k) for k in range(options.n)] for p in prompts]
+
+    @staticmethod
+    def one(prompt: str, sample: int) -> str:
+        pair = re.search(r"(?:Question|Task): (.*)(?:\nAnswer: (.*))?", prompt.rpartition("Document:\n")[2] if "[Start of" in prompt else "")
+        if "[Start of Explanation]" in prompt and "verdict" in prompt:
+            return f"[Start of Explanation] x [End of Explanation][Start of Answer] {'YES' if len(pair[1]) % 3 else 'NO'} [End of Answer]"
+        if "[Start of Feedback]" in prompt:
+            return f"[Start of Feedback] x [End of Feedback][Start of Score] {1 + len(pair[2] or '') % 2} [End of Score]"
+        if "[Start of Rating]" in prompt:
+            return "[Start of Explanation] x [End of Explanation][Start of Rating] 1.0 [End of Rating]"
+        words = prompt.rpartition("Document:\n")[2].split()
+        pairs = [(" ".join(words[k : k + 4]), " ".join(words[k + 4 : k + 10])) for k in (0, 10) if len(words) > k + 4]
+        return "\n".join(f"[QUESTION] What of {q}? [ANSWER] {a} [END]" for q, a in pairs)
+
+
+EXAMPLE = {f"icl_{n}": v for n, v in [("document", "A short text."), *[(f"query_{k}", f"Question {k}?") for k in (1, 2, 3)], *[(f"response_{k}", f"Answer {k}.") for k in (1, 2, 3)]]}
+
+
+@query(r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), x -> x <> '') AS w FROM documents),
+p AS (SELECT doc_id, k, 'What of ' || array_to_string(w[k + 1:k + 4], ' ') || '?' AS question, array_to_string(w[k + 5:k + 10], ' ') AS response FROM w, (VALUES (0), (10)) v(k) WHERE len(w) > k + 4),
+f AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY question ORDER BY doc_id, response) = 1)
+SELECT question, response FROM f WHERE length(question) % 3 <> 0 AND length(response) % 2 = 1
+""")
+def flow_knowledge(spark, d):
+    df = table(spark, d, "documents").select("doc_id", F.col("text").alias("document"), F.col("source").alias("document_outline"), F.col("lang").alias("domain"), *[F.lit(v).alias(k) for k, v in EXAMPLE.items()])
+    return generate(df, read_flow("knowledge.yaml"), Context(Rules(), order=("doc_id", "response"))).select("question", "response")
+
+
+@query("SELECT conv_id, turn, CASE WHEN length(text) % 2 = 0 THEN text ELSE 'Better: ' || text END AS chosen_response FROM conversations WHERE role = 'user'")
+def flow_improve(spark, d):
+    """The improvement flow with a model of rules that routes all to one kind and judges by length."""
+    df = table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"), F.col("text").alias("response"))
+    return generate(df, read_flow("skills_improved.yaml"), Context(Improver())).select("conv_id", "turn", "chosen_response")
+
+
+@dataclass(frozen=True)
+class Improver(models.StubBackend):
+    def complete(self, prompts, ids, model, options):
+        return [[self.one(p)] for p in prompts]
+
+    @staticmethod
+    def one(prompt: str) -> str:
+        if "_A_ to _H_" in prompt:
+            return "_A_"
+        answer = re.search(r"(?s)\nAnswer: (.*)\nPlan: ", prompt)
+        if answer:
+            return "Better: " + answer[1]
+        found = re.search(r"(?s)\nResponse A: (.*)\nResponse B: ", prompt)
+        if found:
+            return f"[Start of Verdict] Response {'A' if len(found[1]) % 2 == 0 else 'B'} [End of Verdict]"
+        return "noted"
