@@ -83,6 +83,23 @@ def with_running_sum(df: DataFrame, group: Sequence[str], order: Sequence[str],
     return out.withColumn(name, (F.col("_inside") + F.col("_start")).cast("long")).select(*df.columns, name)
 
 
+#: Bits of the map that tells which keys may be wanted: 4 MB, whatever the number of keys.
+MAP_BITS = 1 << 25
+
+
+def maybe_wanted(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> DataFrame:
+    """The rows of df whose key may be among the wanted ones: none that is is left out, few others stay.
+
+    A bitmap of hashes of fixed size is broadcast, so that rows no join needs are dropped where they are read.
+    """
+    place = lambda k: F.pmod(F.xxhash64(k), F.lit(MAP_BITS))
+    bits = wanted.select(place(wanted_key).alias("p")).groupBy(F.expr("int(p div 32768)").alias("_bucket")).agg(F.bitmap_construct_agg(F.expr("p % 32768")).alias("_map"))
+    rows = df.withColumn("_place", place(key)).withColumn("_bucket", F.expr("int(_place div 32768)"))
+    bit = F.expr("cast(conv(hex(substring(_map, cast((_place % 32768) div 8 + 1 as int), 1)), 16, 10) as int)")
+    found = rows.join(F.broadcast(bits), "_bucket").where(bit.bitwiseAND(F.expr("shiftleft(1, cast(_place % 8 as int))")) != 0)
+    return found.select(*df.columns)
+
+
 def components(links: DataFrame, where: str) -> DataFrame:
     """(node, component): the smallest node that each node of links (a, b) reaches.
 

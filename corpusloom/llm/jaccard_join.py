@@ -26,13 +26,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import components, documents, shuffle_partitions, workspace, written
+from corpusloom.llm.common import components, documents, maybe_wanted, shuffle_partitions, workspace, written
 
 GROUPS = 64
+#: Groups of the vector that a pair is bounded by once more before its sets are fetched.
+FINE = 512
 #: Rows of the sample that shows which hashes are common, and in how many of them a common one is.
-SAMPLE_DOCS, COMMON = 5_000, 10
+SAMPLE_DOCS, COMMON = 20_000, 8
 LEAF, FANOUT = 32, 8
-TOGETHER = 50_000
+#: Pairs of tree nodes, or of points, that are bounded at once.
+TOGETHER = 200_000
 
 _bytes = np.random.default_rng(5).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _base = np.uint64(0x9E3779B97F4A7C15)
@@ -72,7 +75,7 @@ def needed(n: np.ndarray | int, percent: int):
 
 
 def sets(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, common: np.ndarray) -> DataFrame:
-    """id, n, digest of the set, its first hashes, and its count vector (16 bits each, the largest for more)."""
+    """id, n, digest of the set, its first hashes, and its count vectors (8 bits a group, 255 for more)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -81,17 +84,17 @@ def sets(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int,
                 h = shingles(t, words)
                 n = len(h)
                 if not n:
-                    rows.append((0, None, None, None))
+                    rows.append((0, None, None, None, None))
                     continue
                 late = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h if len(common) else np.zeros(n, bool)
                 first = np.concatenate([h[~late], h[late]])[: n - needed(n, percent) + 1]
-                vector = np.minimum(np.bincount(h >> np.uint64(58), minlength=GROUPS), 65535).astype("<u2")
-                rows.append((n, hashlib.blake2b(h.tobytes(), digest_size=16).digest(), first.view(np.int64), vector.tobytes()))
-            out = pd.DataFrame(rows, columns=["n", "digest", "first", "vector"])
+                counted = [np.minimum(np.bincount(h % np.uint64(g), minlength=g), 255).astype(np.uint8).tobytes() for g in (GROUPS, FINE)]
+                rows.append((n, hashlib.blake2b(h.tobytes(), digest_size=16).digest(), first.view(np.int64), *counted))
+            out = pd.DataFrame(rows, columns=["n", "digest", "first", "vector", "fine"])
             out["id"] = frame["id"].astype("Int64")
-            yield out[["id", "n", "digest", "first", "vector"]]
+            yield out[["id", "n", "digest", "first", "vector", "fine"]]
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, n long, digest binary, first array<long>, vector binary")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, n long, digest binary, first array<long>, vector binary, fine binary")
 
 
 def common_hashes(docs: DataFrame, id_col: str, text_col: str, words: int) -> np.ndarray:
@@ -109,75 +112,100 @@ def common_hashes(docs: DataFrame, id_col: str, text_col: str, words: int) -> np
 
 
 def vectors(raw) -> np.ndarray:
-    v = np.frombuffer(b"".join(raw), "<u2").reshape(-1, GROUPS).astype(np.int64)
-    v[v == 65535] = 1 << 40  # a count that did not fit bounds nothing
+    raw = list(raw)
+    v = np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1).astype(np.int32)
+    v[v == 255] = 1 << 20  # a count that did not fit bounds nothing
     return v
 
 
+def can(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of these sizes can be similar enough."""
+    return np.minimum(n, m) * 100 >= np.maximum(n, m) * percent
+
+
 class RTree:
-    """Count vectors in an R-tree: packed in order of set size and counts, each node with its largest counts and sizes."""
+    """Count vectors in an R-tree: packed in order of set size, each node with its largest counts, sizes and parts."""
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray, parts: np.ndarray):
-        self.order = np.lexsort((*points[:, 3::-1].T, sizes)) if len(sizes) > LEAF else np.arange(len(sizes))
-        self.points, self.sizes, self.parts = points[self.order], sizes[self.order], parts[self.order]
-        self.levels: list[tuple[np.ndarray, ...]] = []
-        top, low, high, first, last = self.points, self.sizes, self.sizes, self.parts, self.parts
+        self.levels = [(points, sizes, sizes, parts, parts)]
         width = LEAF
-        while len(top) > 1 and len(self.sizes) > LEAF:
+        while len(self.levels[-1][0]) > width:
+            top, low, high, first, last = self.levels[-1]
             at = np.arange(0, len(top), width)
-            top, low, high = np.maximum.reduceat(top, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)
-            first, last = np.minimum.reduceat(first, at), np.maximum.reduceat(last, at)
-            self.levels.append((top, low, high, first, last))
+            self.levels.append((np.maximum.reduceat(top, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.minimum.reduceat(first, at), np.maximum.reduceat(last, at)))
             width = FANOUT
 
-    def search(self, point: np.ndarray, size: int, part: int, percent: int) -> np.ndarray:
-        """Members of other parts whose overlap with the point can suffice."""
-        nodes = np.arange(len(self.levels[-1][0])) if self.levels else None
-        for k in range(len(self.levels) - 1, -1, -1):
-            top, low, high, first, last = (x[nodes] for x in self.levels[k])
-            ok = (low * percent <= size * 100) & (size * percent <= high * 100) & ~((first == part) & (last == part))
-            ok &= np.minimum(top, point).sum(axis=1) >= needed(np.maximum(low, size), percent)
-            width, below = (LEAF, len(self.sizes)) if k == 0 else (FANOUT, len(self.levels[k - 1][0]))
-            nodes = (nodes[ok][:, None] * width + np.arange(width)).ravel()
-            nodes = nodes[nodes < below]
-        sizes = self.sizes if nodes is None else self.sizes[nodes]
-        points, parts = (self.points, self.parts) if nodes is None else (self.points[nodes], self.parts[nodes])
-        ok = (sizes * percent <= size * 100) & (size * percent <= sizes * 100) & (parts != part)
-        at = np.flatnonzero(ok)
-        at = at[np.minimum(points[at], point).sum(axis=1) >= needed(np.maximum(sizes[at], size), percent)]
-        return self.order[at if nodes is None else nodes[at]]
+    def pairs(self, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of points of different parts whose overlap can suffice: pairs of nodes from the root down."""
+        k = len(self.levels) - 1
+        i, j = np.triu_indices(len(self.levels[k][0]), 1 if k == 0 else 0)
+        while True:
+            kept = [self._kept(k, i[s : s + TOGETHER], j[s : s + TOGETHER], percent) for s in range(0, len(i), TOGETHER)]
+            i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in zip(*kept, strict=True)) if kept else (i[:0], j[:0])
+            if k == 0:
+                return i, j
+            width, below = (LEAF if k == 1 else FANOUT), len(self.levels[k - 1][0])
+            a, b = np.divmod(np.arange(width * width), width)
+            i, j = (i[:, None] * width + a).ravel(), (j[:, None] * width + b).ravel()
+            ok = (i < below) & (j < below) & ((i < j) if k == 1 else (i <= j))
+            i, j, k = i[ok], j[ok], k - 1
+
+    def _kept(self, k: int, i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        top, low, high, first, last = self.levels[k]
+        ok = (low[i] * percent <= high[j] * 100) & (low[j] * percent <= high[i] * 100)
+        ok &= ~((first[i] == last[i]) & (first[j] == last[j]) & (first[i] == first[j]))
+        i, j = i[ok], j[ok]
+        ok = np.minimum(top[i], top[j]).sum(axis=1) >= needed(np.maximum(low[i], low[j]), percent)
+        return i[ok], j[ok]
 
 
 def across(percent: int):
-    """Pairs of a hash's group, of different components, that the R-tree leaves."""
-
-    def group(f: pd.DataFrame) -> pd.DataFrame | None:
-        part = f["part"].to_numpy()
-        if (part == part[0]).all():
-            return None
-        ids, sizes, points = f["id"].to_numpy(), f["n"].to_numpy(), vectors(f["vector"])
-        tree, a, b = RTree(points, sizes, part), [], []
-        for i in range(len(ids)):
-            hits = tree.search(points[i], int(sizes[i]), int(part[i]), percent)
-            hits = hits[ids[hits] > ids[i]]
-            a.append(np.full(len(hits), ids[i]))
-            b.append(ids[hits])
-        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
+    """Pairs of a hash's group, of different components, that the R-tree leaves; equal pairs of a batch once.
+
+    Groups of a leaf or less are bounded together, each against those behind it in its group.
+    """
+
+    def batch(f: pd.DataFrame) -> pd.DataFrame:
+        h, ids, sizes, parts = (f[c].to_numpy() for c in ("h", "id", "n", "part"))
+        order = np.lexsort((sizes, h))
+        h, ids, sizes, parts = h[order], ids[order], sizes[order], parts[order]
+        points = vectors(f["vector"])[order]
+        edges = np.r_[0, np.flatnonzero(h[1:] != h[:-1]) + 1, len(h)]
+        large = np.flatnonzero(np.diff(edges) > LEAF)
+        a, b = [], []
+        for g in large:
+            s = slice(edges[g], edges[g + 1])
+            i, j = RTree(points[s], sizes[s], parts[s]).pairs(percent)
+            a.append(ids[s][i])
+            b.append(ids[s][j])
+        small = np.repeat(np.diff(edges) <= LEAF, np.diff(edges))
+        for k in range(1, LEAF):
+            i = np.flatnonzero(small[: len(h) - k] & (h[: len(h) - k] == h[k:]))
+            if not len(i):
+                break
+            i = i[can(sizes[i], sizes[i + k], percent) & (parts[i] != parts[i + k])]
+            for s in range(0, len(i), TOGETHER):
+                x = i[s : s + TOGETHER]
+                ok = np.minimum(points[x], points[x + k]).sum(axis=1) >= needed(np.maximum(sizes[x], sizes[x + k]), percent)
+                a.append(ids[x[ok]])
+                b.append(ids[x[ok] + k])
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
+        held: list[pd.DataFrame] = []
+        size = 0
         for frame in frames:
-            every = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
-            if not len(every):
-                continue
-            h = every["h"].to_numpy()
-            edges = np.r_[0, np.flatnonzero(h[1:] != h[:-1]) + 1, len(h)]
-            for low, high in zip(edges[:-2], edges[1:-1], strict=True):
-                if high - low > 1 and (out := group(every.iloc[low:high])) is not None:
-                    yield out
-            rest = every.iloc[edges[-2] :]
-        if rest is not None and len(rest) > 1 and (out := group(rest)) is not None:
-            yield out
+            held.append(frame)
+            size += len(frame)
+            if size >= 50_000:
+                every = pd.concat(held, ignore_index=True)
+                last = int(np.searchsorted(every["h"].to_numpy(), every["h"].iloc[-1]))
+                if last:
+                    yield batch(every.iloc[:last])
+                held, size = [every.iloc[last:]], len(every) - last
+        if size:
+            yield batch(pd.concat(held, ignore_index=True))
 
     return run
 
@@ -197,25 +225,27 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     sent = spark.sparkContext.broadcast(common_hashes(docs, id_col, text_col, words)).value
     index = written(sets(docs, id_col, text_col, words, percent, sent), f"{where}/index")
     # One member for each distinct set; copies shrink where they are read.
-    groups = written(index.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.first("vector").alias("vector")), f"{where}/groups")
+    groups = written(index.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.first("vector").alias("vector"), F.first("fine").alias("fine")), f"{where}/groups")
     own = groups.select("digest", F.col("id").alias("own"))
     once = index.where("n > 0").join(own, "digest").where("id <=> own").select(F.col("id"), F.explode("first").alias("h"))
 
     shared = written(once.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("centre"), F.max("id").alias("other")).where("centre <> other").select("h", "centre"), f"{where}/shared")
-    posts = written(once.join(shared, "h").distinct(), f"{where}/posts")
+    posts = written(maybe_wanted(once, F.col("h"), shared, F.col("h")).join(shared, "h").distinct(), f"{where}/posts")
     members = groups.select("id", "n", "vector")
 
     stars = posts.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
     stars = written(bounded(stars, members, percent), f"{where}/stars")
+    fine = groups.select("id", "n", F.col("fine").alias("vector"))
+    near = written(bounded(stars, fine, percent), f"{where}/near1")
     text = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text"))
 
     def sets_of(pairs: DataFrame, name: str) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
         full = F.pandas_udf(lambda t: t.map(lambda x: shingles(x, words).view(np.int64), na_action=None), "array<long>")
-        rows = text.join(wanted.hint("shuffle_hash"), F.col("_id") == F.col("id")).select("id", full("text").alias("set"))
+        rows = maybe_wanted(text, F.col("_id"), wanted, F.col("id")).join(wanted.hint("shuffle_hash"), F.col("_id") == F.col("id")).select("id", full("text").alias("set"))
         return written(rows, f"{where}/{name}")
 
-    links = written(verified(stars, sets_of(stars, "sets1"), percent), f"{where}/links1")
+    links = written(verified(near, sets_of(near, "sets1"), percent), f"{where}/links1")
     parts = components(links, f"{where}/parts1")
     parts = written(parts, f"{where}/parts")
     tagged = posts.select("id", "h").join(parts, F.col("id") == F.col("node"), "left").withColumn("part", F.coalesce("component", "id")).select("id", "h", "part")
@@ -223,6 +253,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     open_ = tagged.join(split, "h", "left_semi").join(members, "id").select("h", "id", "part", "n", "vector")
     found = open_.repartition(shuffle_partitions(spark), "h").sortWithinPartitions("h").mapInPandas(across(percent), "a long, b long").distinct()
     found = written(found.join(stars, ["a", "b"], "left_anti"), f"{where}/found")
+    found = written(bounded(found, fine, percent), f"{where}/near2")
     if not found.isEmpty():
         links = links.union(verified(found, sets_of(found, "sets2"), percent))
         parts = written(components(links, f"{where}/parts2"), f"{where}/all")
@@ -242,7 +273,7 @@ def bounded(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
             if len(f):
                 n, m = f["n_a"].to_numpy(), f["n_b"].to_numpy()
                 most = np.minimum(vectors(f["v_a"]), vectors(f["v_b"])).sum(axis=1)
-                ok = (most >= needed(np.maximum(n, m), percent)) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * percent)
+                ok = (most >= needed(np.maximum(n, m), percent)) & can(n, m, percent)
                 yield f.loc[ok, ["a", "b"]]
 
     return pairs.join(one, "a").join(two, "b").mapInPandas(run, "a long, b long")
