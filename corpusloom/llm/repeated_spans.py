@@ -32,11 +32,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import documents, shuffle_partitions, workspace, written
+from corpusloom.llm.common import documents, maybe_wanted, shuffle_partitions, workspace, written
 
 LENGTH, GRAM = 200, 32
 LEFT = LENGTH - GRAM
-HOT, STEP = 10_000, 24
+HOT, STEP = 50_000, 24
 #: Windows that are extended at once, and positions hashed at once.
 TOGETHER, CHUNK = 40_000, 1 << 20
 
@@ -216,7 +216,8 @@ def hot_runs(hot: DataFrame) -> DataFrame:
     route = F.explode(F.array(*[F.struct(F.lit(a).alias("first"), F.lit(b).alias("last"), F.xxhash64("hash", F.lit(a), F.substr("before", F.lit(1), F.lit(a)), F.substr("after", F.lit(1), F.lit(LENGTH - b))).alias("key")) for a, b in steps]))
     dealt = counts.withColumn("r", route).select("r.key", "r.first", "r.last", "hash", "window", "copies", "before", "after").where("octet_length(before) >= first")
     found = dealt.repartition(shuffle_partitions(hot.sparkSession), "key").sortWithinPartitions("key").mapInPandas(runs_of_windows, "hash long, window string, j int, k int")
-    places = marked.select("hash", "window", "digest", "at").join(found, ["hash", "window"])
+    found = found.groupBy("hash", "window").agg(F.collect_list(F.struct("j", "k")).alias("runs"))
+    places = marked.select("hash", "window", "digest", "at").join(found, ["hash", "window"]).withColumn("r", F.explode("runs")).select("digest", "at", "r.j", "r.k")
     return places.select("digest", (F.col("at") - F.col("k")).alias("low"), (F.col("at") - F.col("j") + LENGTH).alias("high"))
 
 
@@ -259,10 +260,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     flat = once.select("digest", F.explode(F.arrays_zip("hash", "at")).alias("x")).select("digest", "x.hash", "x.at")
     shared = flat.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash", (F.col("n") > HOT).alias("hot"))
     shared = written(shared, f"{where}/shared")
-    found = flat.join(shared, "hash").groupBy("digest").agg(F.collect_set(F.struct("at", "hash", "hot")).alias("found"))
-    found = found.join(groups.select("digest", "id"), "digest")
+    found = maybe_wanted(flat, F.col("hash"), shared, F.col("hash")).join(shared, "hash").groupBy("digest").agg(F.collect_set(F.struct("at", "hash", "hot")).alias("found"))
+    found = written(found.join(groups.select("digest", "id"), "digest"), f"{where}/found")
     text = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text"))
-    texts = text.join(found.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("id"))).where(F.unhex(F.sha2("text", 256)) == F.col("digest")).select("digest", "text", "found")
+    texts = maybe_wanted(text, F.coalesce("_id", F.lit(-1)), found, F.coalesce("id", F.lit(-1))).join(found.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("id"))).where(F.unhex(F.sha2("text", 256)) == F.col("digest")).select("digest", "text", "found")
     texts = written(texts.dropDuplicates(["digest"]) if not _unique(index) else texts, f"{where}/texts")
 
     every = windows(texts)
