@@ -3,7 +3,7 @@
 For each prefix of a text there is one token with which its encoding ends. The table stores it: an automaton gives all
 pieces that end at a place, and of these the one is right whose predecessor - the last token of the prefix before it -
 may stand next to it, that is, whose concatenation encodes to just these two. The ids are then read backwards from the
-table. Pair tests are remembered, so the work is linear in the text. Pieces never have a blank mark after another
+table. Pair tests are remembered (by pair, of which a vocabulary has few that occur), so the work is linear in the text. Pieces never have a blank mark after another
 character, so a text falls apart before blank marks; encoded parts are remembered in a table of bounded size.
 
 Characters that are no piece fall back to their UTF-8 bytes. Only the vocabulary (some 10^4 pieces) is sent to the
@@ -26,7 +26,7 @@ from corpusloom.llm.common import documents
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = range(4)
 #: Parts of a text that an encoder remembers, and the longest of them.
-REMEMBERED, LONGEST = 200_000, 48
+REMEMBERED, LONGEST = 300_000, 48
 
 
 def vocabulary(path: str) -> list[tuple[str, float, int]]:
@@ -44,7 +44,9 @@ class Encoder:
         self.rank = {p: (-s, i) for i, (p, s, kind) in enumerate(pieces) if kind == NORMAL}
         self.bytes = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(pieces) if kind == BYTE}
         self.unknown = next((i for i, (_, _, kind) in enumerate(pieces) if kind == UNKNOWN), 0)
-        self.fits: dict[int, bool] = {}
+        self.fits: list[dict[int, bool]] = [{} for _ in pieces]  # by token, of the token before
+        self.names = [str(i) for i in range(len(pieces))]
+        self.plain = [p.replace(MARK, " ") if kind == NORMAL else None for p, _, kind in pieces]
         self.parts: dict[str, tuple[list[int], str, str]] = {}
         self.older = self.parts
         self.automaton = ahocorasick.Automaton()
@@ -72,12 +74,8 @@ class Encoder:
 
     def together(self, a: int, b: int) -> bool:
         """Whether token b may follow token a."""
-        key = a << 32 | b
-        found = self.fits.get(key)
-        if found is None:
-            if len(self.fits) > 4 * REMEMBERED:
-                self.fits.clear()
-            found = self.fits[key] = self.merged(self.pieces[a][0] + self.pieces[b][0]) == [a, b]
+        row = self.fits[b]
+        found = row[a] = self.merged(self.pieces[a][0] + self.pieces[b][0]) == [a, b]
         return found
 
     def ids(self, part: str) -> list[int]:
@@ -88,8 +86,12 @@ class Encoder:
             end += 1
             if last[end] < 0:
                 before = last[end - length]
-                if before < 0 or (fits[key] if (key := before << 32 | token) in fits else self.together(before, token)):
-                    last[end], size[end] = token, length
+                if before >= 0:
+                    fit = fits[token].get(before)
+                    if not fit and (fit is not None or not self.together(before, token)):
+                        continue
+                last[end] = token
+                size[end] = length
         out: list[int] = []
         while n:
             if last[n] >= 0:
@@ -109,6 +111,9 @@ class Encoder:
 
     def surface(self, ids: list[int]) -> str:
         """The characters of ids, blank marks as blanks, byte pieces as UTF-8."""
+        texts = [self.plain[i] for i in ids]
+        if None not in texts:
+            return "".join(texts)
         out, raw = [], bytearray()
         for i in [*ids, None]:
             if i is not None and self.pieces[i][2] == BYTE:
@@ -130,7 +135,7 @@ class Encoder:
         found = self.older.get(part)
         if found is None:
             ids = self.ids(part)
-            found = ids, ",".join(map(str, ids)), self.surface(ids)
+            found = ids, ",".join([self.names[i] for i in ids]), self.surface(ids)
         if len(part) <= LONGEST:
             if len(self.parts) >= REMEMBERED:  # what was not asked for since the last time is forgotten
                 self.older, self.parts = self.parts, {}
