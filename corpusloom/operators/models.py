@@ -210,7 +210,7 @@ def logprobs(df: DataFrame, prompt: str, output: str, backend: Backend, options:
         raise ValueError("log probabilities are for one sample a prompt")
     call = lambda b: [[list(t.items()) for t in row] for row in backend.logprobs([p or "" for p in b.column(prompt).to_pylist()], request_ids(b, step, prompt), model, options)]
     maps = _stage(df, output, T.ArrayType(T.MapType(T.StringType(), T.DoubleType())), call)
-    return maps.withColumn(output, F.transform(output, F.to_json))
+    return maps.withColumn(output, F.transform(output, lambda x: F.to_json(x)))
 
 
 def reward_messages(prompt: str, response: str, system: str | None, separator: str = "\n\n", fill: str = "<extra_0>") -> Column:

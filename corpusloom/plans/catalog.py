@@ -118,7 +118,7 @@ def filter_callable(spark, d):
     return filters.filter_by_value(table(spark, d, "documents").select("doc_id", "source"), "source", "src5", lambda c, v: c > v)
 
 
-@query("SELECT doc_id, n_words FROM (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), x -> x <> '')) AS n_words FROM documents) WHERE floor(n_words * 13 / 10) > 100")
+@query("SELECT doc_id, n_words FROM (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS n_words FROM documents) WHERE floor(n_words * 13 / 10) > 100")
 def min_tokens(spark, d):
     df = table(spark, d, "documents").withColumn("n_words", tx.word_count("text").cast("long"))
     return filters.min_tokens(df, "text", 100).select("doc_id", "n_words")
@@ -177,9 +177,9 @@ def missing_data(spark, d):
     return reshape.missing(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"))
 
 
-@query("SELECT doc_id, lang, NULL::int AS quality FROM documents UNION ALL SELECT doc_id, NULL, quality FROM labels")
+@query("SELECT doc_id, lang, NULL::varchar AS quality FROM documents UNION ALL SELECT doc_id, NULL, quality::varchar FROM labels")
 def concat_safe(spark, d):
-    return reshape.concat([table(spark, d, "documents").select("doc_id", "lang"), None, table(spark, d, "labels").select("doc_id", "quality")])
+    return reshape.concat([table(spark, d, "documents").select("doc_id", "lang"), None, table(spark, d, "labels").select("doc_id", F.col("quality").cast("string").alias("quality"))])
 
 
 @query(f"""
@@ -230,7 +230,7 @@ def tag_parse(spark, d):
 
 
 @query(r"""
-SELECT page_id, i - 1 AS position, h[i] AS href, replace(t[i], 'th', '') AS label
+SELECT page_id, i - 1 AS position, replace(h[i], 'th', '') AS href, replace(t[i], 'th', '') AS label
 FROM (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) AS h, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) AS t FROM pages), range(1, 10000) r(i) WHERE i <= len(h)
 """)
 def regex_parse(spark, d):
@@ -401,7 +401,7 @@ def mmlu_format(spark, d):
 
 @query(r"""
 WITH l AS (SELECT doc_id, i - 1 AS o, l[i] AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), range(1, 100000) r(i) WHERE i <= len(l)),
-s AS (SELECT *, len(list_filter(regexp_split_to_array(t, '\s+'), x -> x <> '')) > 20 OR coalesce(max(CASE WHEN t <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 AS start FROM l),
+s AS (SELECT *, len(list_filter(regexp_split_to_array(t, '\s+'), lambda x: x <> '')) > 20 OR coalesce(max(CASE WHEN t <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 AS start FROM l),
 r AS (SELECT *, sum(start::int) OVER (PARTITION BY doc_id ORDER BY o) AS run FROM s)
 SELECT doc_id, min(o) AS line_no, string_agg(t, chr(10) || chr(10) ORDER BY o) AS line FROM r GROUP BY doc_id, run
 """)
@@ -432,14 +432,14 @@ def prm_messages(spark, d):
     return df.select("conv_id", "turn", F.size(F.split("text", "\\. ")).cast("long").alias("n_steps"), F.element_at(m, -1)["content"].alias("content"))
 
 
-@query("SELECT conv_id, turn, len(list_filter(string_split(text || chr(10) || chr(10), chr(10) || chr(10)), x -> x <> '')) AS n_rewards FROM conversations WHERE role = 'assistant'")
+@query("SELECT conv_id, turn, len(list_filter(string_split(text || chr(10) || chr(10), chr(10) || chr(10)), lambda x: x <> '')) AS n_rewards FROM conversations WHERE role = 'assistant'")
 def prm_rewards(spark, d):
     df = table(spark, d, "conversations").where("role = 'assistant'")
     out = models.evaluate_once(models.rewards(df, "role", "text", models.StubBackend(), separator="\n\n", fill="\n\n"))
     return out.select("conv_id", "turn", F.size("step_rewards").cast("long").alias("n_rewards"))
 
 
-@query("SELECT item_id, '{\"' || string_split(text, ' ')[1] || '\":-0.' AS first_token FROM benchmark")
+@query('''SELECT item_id, '{"' || regexp_split_to_array(text, '[[:space:]]+')[1] || '":-0.' AS first_token FROM benchmark''')
 def logprob_json(spark, d):
     out = models.evaluate_once(models.logprobs(table(spark, d, "benchmark"), "text", "lp", models.StubBackend(), models.Options(max_tokens=3)))
     return out.select("item_id", F.regexp_replace(F.col("lp")[0], r"-0\..*", "-0.").alias("first_token"))
@@ -473,7 +473,7 @@ class Rules(models.StubBackend):
             return f"[Start of Feedback] x [End of Feedback][Start of Score] {1 + len(pair[2] or '') % 2} [End of Score]"
         if "[Start of Rating]" in prompt:
             return "[Start of Explanation] x [End of Explanation][Start of Rating] 1.0 [End of Rating]"
-        words = prompt.rpartition("Document:\n")[2].split()
+        words = prompt.removesuffix("[/INST]").rpartition("Document:\n")[2].split()
         pairs = [(" ".join(words[k : k + 4]), " ".join(words[k + 4 : k + 10])) for k in (0, 10) if len(words) > k + 4]
         return "\n".join(f"[QUESTION] What of {q}? [ANSWER] {a} [END]" for q, a in pairs)
 
@@ -482,8 +482,8 @@ EXAMPLE = {f"icl_{n}": v for n, v in [("document", "A short text."), *[(f"query_
 
 
 @query(r"""
-WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), x -> x <> '') AS w FROM documents),
-p AS (SELECT doc_id, k, 'What of ' || array_to_string(w[k + 1:k + 4], ' ') || '?' AS question, array_to_string(w[k + 5:k + 10], ' ') AS response FROM w, (VALUES (0), (10)) v(k) WHERE len(w) > k + 4),
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents),
+p AS (SELECT doc_id, k, 'What of ' || array_to_string(w[k + 1:k + 4], ' ') || '?' AS question, array_to_string(w[k + 5:k + 10], ' ') || ' ' AS response FROM w, (VALUES (0), (10)) v(k) WHERE len(w) > k + 4),
 f AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY question ORDER BY doc_id, response) = 1)
 SELECT question, response FROM f WHERE length(question) % 3 <> 0 AND length(response) % 2 = 1
 """)

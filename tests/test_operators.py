@@ -1,0 +1,125 @@
+"""Operators against small tables worked out by hand."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from corpusloom.functions import chat, text
+from corpusloom.functions.template import TemplateError, compiled, prompt_text
+from corpusloom.operators import columns, filters, reshape
+from corpusloom.operators.parse import Parser, parse_rows
+
+
+def values(df, *cols):
+    return [tuple(r[c] for c in cols) if len(cols) > 1 else r[cols[0]] for r in df.collect()]
+
+
+@pytest.fixture(scope="module")
+def ages(spark):
+    return spark.createDataFrame([("25",), ("30",), ("35",), ("forty",), ("45",), (None,), (" 2 ",), ("nan",), ("2d",)], "age string")
+
+
+@pytest.mark.parametrize(("value", "op", "kind", "expected"), [(30, "eq", "int", [30]), ([30, 35], "eq", "int", [30, 35]), (30.0, "operator.ge", "float", [30.0, 35.0, 45.0]), ("forty", "contains", None, ["forty"]), (2, "eq", "int", [2]), (40, "lt", "int", [25, 30, 35, 2])])
+def test_filter_by_value(ages, value, op, kind, expected):
+    assert values(filters.filter_by_value(ages, "age", value, op, kind), "age") == expected
+
+
+def test_filter_rejects_unknown_names(ages):
+    with pytest.raises(ValueError, match="operation"):
+        filters.filter_by_value(ages, "age", 1, "xor")
+    with pytest.raises(ValueError, match="no column"):
+        filters.filter_by_value(ages, "size", 1)
+
+
+def test_rename_swaps_and_duplicates(spark):
+    df = spark.createDataFrame([(1, 2)], "a int, b int")
+    assert columns.rename(df, {"a": "b", "b": "a"}).columns == ["b", "a"]
+    assert columns.duplicate(df, {"a": "c"}).first()["c"] == 1
+    with pytest.raises(ValueError, match="exist"):
+        columns.duplicate(df, {"a": "b"})
+    with pytest.raises(ValueError, match="one name"):
+        columns.rename(df, {"a": "b"})
+
+
+def test_combine_select_populate(spark):
+    df = spark.createDataFrame([("x", "y", "one"), ("x", None, "two")], "a string, b string, k string")
+    assert values(columns.combine(df, ["b", "a"], "c", "-"), "c") == ["y-x", None]
+    assert values(columns.select_by(df, {"one": "a", "two": "b"}, "k", "c"), "c") == ["x", None]
+    with pytest.raises(Exception, match="no column for choice"):
+        columns.select_by(df, {"one": "a"}, "k", "c").collect()
+    out = columns.populate(df, {"one": {"a": "new"}, "two": {"z": "w"}}, "k").orderBy("k")
+    assert [r.asDict() for r in out.collect()] == [{"b": "y", "k": "one", "a": "new", "z": None}, {"b": None, "k": "two", "a": None, "z": "w"}]
+    with pytest.raises(Exception, match="no configuration"):
+        columns.populate(df, {"one": {"a": "new"}}, "k").collect()
+
+
+def test_majority_first_and_missing(spark):
+    df = spark.createDataFrame([(1, "b", "x"), (2, "a", "x"), (3, None, "y"), (4, "b", "y"), (5, "a", None)], "i int, v string, g string")
+    assert values(reshape.majority(df, "v"), "v") == ["a"] * 5
+    assert sorted(values(reshape.majority(df, "v", ["g"]), "i", "v")) == [(1, "a"), (2, "a"), (3, "b"), (4, "b"), (5, "a")]
+    assert sorted(values(reshape.first_per_key(df, ["v"], ["i"]), "i")) == [1, 2, 3]
+    done = spark.createDataFrame([(None, "zzz"), ("b", "zzz")], "v string, other string")
+    assert values(reshape.missing(df, done).orderBy("i"), "i") == [2, 5]
+    assert reshape.concat([None, None]) is None
+
+
+def test_numbering_sampling_and_batches(spark):
+    df = spark.range(57).withColumn("k", 100 - F.col("id"))
+    out = reshape.batches(reshape.numbered(df, ["k"]), 10)
+    assert sorted(values(out, "ordinal")) == list(range(57))
+    assert all(r["ordinal"] == 56 - r["id"] and r["batch_id"] == r["ordinal"] // 10 for r in out.collect())
+    assert reshape.sample_exact(df, 9, ["id"]).count() == 9
+    assert reshape.sample_with_replacement(df, 130, ["id"]).count() == 130
+    assert reshape.sample_size(df, 0.5, ["id"]).count() == 28
+    assert reshape.sample_size(df, 1, ["id"]).count() == 57
+
+
+def test_iterate_examples_codes(spark):
+    df = spark.createDataFrame([("q",)], "q string")
+    assert values(reshape.iterate(df, 3, lambda d: d), "iteration") == [0, 1, 2]
+    examples = spark.createDataFrame([("a",), ("b",)], "e string")
+    assert sorted(values(reshape.with_examples(df, examples), "q", "e")) == [("q", "a"), ("q", "b")]
+    codes = spark.createDataFrame([("B",), ("D",)], "answer string")
+    assert values(reshape.class_codes(codes, "answer", "ABCD"), "answer") == [1, 3]
+    assert values(reshape.class_codes(codes, "answer").orderBy("answer"), "answer") == [0, 1]
+
+
+def test_parser_takes_the_shortest_list(spark):
+    df = spark.createDataFrame([(1, "<q> a </q><q>b</q><r>c</r>"), (2, "nothing"), (3, None)], "i int, t string")
+    assert values(parse_rows(df, "t", Parser(["q", "r"], ["<q>", "<r>"], ["</q>", "</r>"])), "i", "q", "r") == [(1, "a", "c")]
+    assert values(parse_rows(df.where("i = 2"), "t", Parser(["all"], [""], [""])), "all") == ["nothing"]
+    pattern = r"\[Q\]\s*(.*?)\s*\[A\]\s*(.*?)\s*(?=\[Q\]|$)"
+    text_ = spark.createDataFrame([("[Q] one? [A] 1 [END]\n[Q] two?\nlines [A] 2",)], "t string")
+    out = values(parse_rows(text_, "t", Parser(["q", "a"], pattern=pattern, cleanup=["[END]"])), "q", "a")
+    assert out == [("one?", "1 "), ("two?\nlines", "2")]
+    with pytest.raises(ValueError, match="parse by"):
+        Parser(["q"])
+
+
+def test_text_functions(spark):
+    df = spark.createDataFrame([("a <t>x</t> b</think> c</think>  d", "Why? Because? yes", "A) one\nB) two")], "t string, q string, o string")
+    row = df.select(text.after_marker("t").alias("a"), text.question_of("q").alias("q"), text.response_of("q").alias("r"), text.options("o").alias("o"), text.heading(F.lit("1 Intro. Text. More")).alias("h"), text.compact_table(F.lit("a----|b   |")).alias("c"), text.word_count(F.lit(" a  b c ")).alias("n"), text.strip(F.lit(" \x1cx ")).alias("s")).first()
+    assert tuple(row) == ("d", "Why?", "Because? yes", ["one", "two"], "**1 Intro** Text. More", "a-|b |", 3, "x")
+    assert text.tokens_from_words(5) == 6
+    assert text.chars_from_tokens(6) == 24
+
+
+def test_templates(spark):
+    df = spark.createDataFrame([("d", [("q", "a"), ("r", "b")], None)], "doc string, pairs array<struct<question:string,answer:string>>, n int")
+    t = "{{ doc }}{% if n %}!{% else %}?{% endif %}{% if nope is defined %}{{ nope }}{% endif %}{% for p in pairs %} {{ p.question }}={{ p.answer }}{% endfor %}\n"
+    assert df.select(compiled(t, df.schema).alias("x")).first()["x"] == "d? q=a r=b"
+    with pytest.raises(TemplateError, match="no column"):
+        compiled("{{ nope }}", df.schema)
+    assert df.select(compiled("{{ nope }}.", df.schema, "empty").alias("x")).first()["x"] == "."
+    with pytest.raises(TemplateError, match="missing"):
+        prompt_text({"system": "s"})
+
+
+def test_chat_templates(spark):
+    df = spark.createDataFrame([([("system", "s"), ("user", "u"), ("assistant", "a")],)], "m array<struct<role:string,content:string>>")
+    row = df.select(chat.render("roles", "m", False, False).alias("r"), chat.render("inst", "m", False).alias("i"), chat.render("inst", F.lit("p")).alias("p"), chat.render("<{prompt}>", F.lit("p")).alias("f")).first()
+    assert tuple(row) == ("<|system|>\ns\n<|user|>\nu\n<|assistant|>\na<|endoftext|>", "<s> [INST] s\n\nu [/INST] a</s>", "<s> [INST] p [/INST]", "<p>")
+    wrong = spark.createDataFrame([([("assistant", "a")],)], "m array<struct<role:string,content:string>>")
+    with pytest.raises(Exception, match="alternate"):
+        wrong.select(chat.render("inst", "m", False)).collect()
+    with pytest.raises(KeyError):
+        chat.get("none")
