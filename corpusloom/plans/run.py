@@ -19,8 +19,8 @@ class Generator:
     """Chains flows over a table. With a checkpoint folder, finished batches are kept there and not made again.
 
     Rows are numbered in key order and cut into batches of batch_size; save_every batches are one Spark job, whose
-    result is a folder of its own; the folder exists only once it is whole, so it is the ledger too. A batch that
-    fails is noted and skipped, and made in the next run.
+    result is a folder of its own and an entry in a ledger once it is whole. A batch that fails is logged and skipped,
+    and made in the next run.
     """
 
     def __init__(self, flows: Sequence[Sequence[Step]], context: Context | None = None, batch_size: int | None = None, save_every: int = 1, key: Sequence[str] = ()):
@@ -47,6 +47,7 @@ class Generator:
                 continue
             try:
                 self._chain(rows.where(F.col("batch_id") == k).drop("ordinal", "batch_id")).write.mode("overwrite").parquet(f"{checkpoint}/batch={k}")
+                note(df.sparkSession, checkpoint, k)
             except Exception as e:  # noqa: BLE001  a batch that fails is made in the next run
                 log.error("batch %s failed: %s", k, e)
                 failed.append(k)
@@ -64,21 +65,26 @@ class Generator:
             rest = models.evaluate_once(self._chain(reshape.missing(df, saved)))
             rest.write.mode("append").parquet(f"{checkpoint}/batch=0")
         else:
-            self._chain(df).write.parquet(f"{checkpoint}/batch=0")
+            self._chain(df).write.mode("overwrite").parquet(f"{checkpoint}/batch=0")
+            note(spark, checkpoint, 0)
         return spark.read.parquet(f"{checkpoint}/batch=0")
 
 
 def finished(spark: SparkSession, folder: str) -> set[int]:
-    """Numbers of the batches that are whole in a checkpoint folder, in any store that Spark reads."""
+    """Numbers of the batches that a checkpoint folder's ledger has, in any store that Spark reads."""
     try:
-        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "_SUCCESS").load(folder).select("path")
-        return {int(r[0].rsplit("batch=", 1)[1].split("/")[0]) for r in found.collect() if "batch=" in r[0]}
+        return {r[0] for r in spark.read.schema("batch long").parquet(f"{folder}/ledger").distinct().collect()}
     except Exception as e:  # noqa: BLE001
         if "PATH_NOT_FOUND" in str(e):
             return set()
         raise
 
 
+def note(spark: SparkSession, folder: str, batch: int) -> None:
+    """Enters a batch that is written in the ledger."""
+    spark.range(batch, batch + 1, 1, 1).toDF("batch").write.mode("append").parquet(f"{folder}/ledger")
+
+
 def main(arguments: Sequence[str] | None = None) -> None:
     p = argparse.ArgumentParser(description="Runs a flow over a JSON Lines file.")
     p.add_argument("--ds_path", required=True)

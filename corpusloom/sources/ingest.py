@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -161,15 +162,20 @@ def fold_elements(elements: Sequence[dict], tables: Sequence[dict], max_tokens:
     return out
 
 
+def plain(value):
+    """Nested arrays as lists."""
+    if isinstance(value, dict):
+        return {k: plain(v) for k, v in value.items()}
+    return [plain(v) for v in value] if isinstance(value, (np.ndarray, list, tuple)) else value
+
+
 def folded(parsed: DataFrame, max_tokens: int = 500, by_page: bool = False) -> DataFrame:
     """(file, place, text): a row for each chunk of each parsed document, one document to a row."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for file, elements, tables in zip(frame["file"], frame["elements"], frame["tables"], strict=True):
-                elements = [dict(e) for e in (elements if elements is not None else [])]
-                tables = [dict(t) for t in (tables if tables is not None else [])]
-                texts = fold_elements(elements, tables, max_tokens, by_page=by_page)
+                texts = fold_elements(plain(elements) or [], plain(tables) or [], max_tokens, by_page=by_page)
                 yield pd.DataFrame({"file": file, "place": range(len(texts)), "text": texts})
 
     return parsed.mapInPandas(run, "file string, place long, text string")

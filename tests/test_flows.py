@@ -4,6 +4,7 @@ import json
 import threading
 from dataclasses import dataclass
 from http.server import BaseHTTPRequestHandler, HTTPServer
+from pathlib import Path
 
 import pytest
 import yaml
@@ -62,16 +63,35 @@ def test_a_model_is_called_once_a_row(spark, tmp_path):
     assert log.read_text().count("x") == 20
 
 
+@dataclass(frozen=True)
+class Failing(models.StubBackend):
+    """Fails on a prompt until a file is there."""
+
+    path: str = ""
+
+    def complete(self, prompts, ids, model, options):
+        if any("t7" in p for p in prompts) and not Path(self.path).exists():
+            raise RuntimeError("no answer")
+        return [[p] for p in prompts]
+
+
 def test_batches_resume(spark, tmp_path):
-    df = spark.range(10).selectExpr("id", "'t' as document")
-    steps = [Step("DuplicateColumns", {"columns_map": {"document": "copy"}})]
-    run = Generator([steps], batch_size=3, key=["id"])
+    df = spark.range(10).selectExpr("id", "concat('t', id) as document")
+    steps = [Step("LLMBlock", {"config_path": "prompts/knowledge_plain.yaml", "output_cols": ["output"]})]
+    run = Generator([steps], Context(Failing(path=str(tmp_path / "go"))), batch_size=3, key=["id"])
     where = f"file://{tmp_path}/out"
+    assert sorted(r["id"] for r in run.generate(df, where).collect()) == [0, 1, 2, 3, 4, 5, 9]
+    assert finished(spark, where) == {0, 1, 3}
+    (tmp_path / "go").touch()
     assert run.generate(df, where).count() == 10
     assert finished(spark, where) == {0, 1, 2, 3}
-    (tmp_path / "out" / "batch=2" / "_SUCCESS").unlink()
-    assert run.generate(df, where).count() == 10
-    assert finished(spark, where) == {0, 1, 2, 3}
+
+
+def test_resume_by_value(spark, tmp_path):
+    run = Generator([[Step("DuplicateColumns", {"columns_map": {"document": "copy"}})]])
+    where = f"file://{tmp_path}/out"
+    assert run.generate(spark.range(3).selectExpr("id", "'t' as document"), where).count() == 3
+    assert run.generate(spark.range(5).selectExpr("id", "'t' as document"), where).count() == 5
 
 
 def test_conditional_iteration_and_more_blocks(spark):
@@ -212,7 +232,7 @@ def test_stream(spark, tmp_path):
 
 def test_reasoning_is_bounded(spark):
     df = spark.createDataFrame([("p",)], "p string")
-    assert models.reason(df, "p", "r", models.StubBackend("go "), max_steps=3).first()["r"] == "gogogo"
+    assert models.reason(df, "p", "r", models.StubBackend("go "), max_steps=3).first()["r"] == "go go go "
 
 
 def test_files(tmp_path):
