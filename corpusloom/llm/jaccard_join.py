@@ -35,7 +35,7 @@ FINE = 512
 SAMPLE_DOCS, COMMON = 20_000, 8
 LEAF, FANOUT = 32, 8
 #: Pairs of tree nodes, or of points, that are bounded at once.
-TOGETHER = 200_000
+TOGETHER = 100_000
 
 _bytes = np.random.default_rng(5).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _base = np.uint64(0x9E3779B97F4A7C15)
@@ -74,6 +74,11 @@ def needed(n: np.ndarray | int, percent: int):
     return -(-n * percent // 100)
 
 
+def enough(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Overlap that sets of these sizes need: their union is both sizes less the overlap."""
+    return -(-(n + m) * percent // (100 + percent))
+
+
 def sets(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, common: np.ndarray) -> DataFrame:
     """id, n, digest of the set, its first hashes, and its count vectors (8 bits a group, 255 for more)."""
 
@@ -139,23 +144,30 @@ class RTree:
         """Pairs of points of different parts whose overlap can suffice: pairs of nodes from the root down."""
         k = len(self.levels) - 1
         i, j = np.triu_indices(len(self.levels[k][0]), 1 if k == 0 else 0)
-        while True:
-            kept = [self._kept(k, i[s : s + TOGETHER], j[s : s + TOGETHER], percent) for s in range(0, len(i), TOGETHER)]
-            i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in zip(*kept, strict=True)) if kept else (i[:0], j[:0])
+        found, todo = [(i[:0], j[:0])], [(k, i, j)]
+        while todo:  # depth first, a bounded number of pairs at once
+            k, i, j = todo.pop()
+            i, j = self._kept(k, i, j, percent)
             if k == 0:
-                return i, j
+                found.append((i, j))
+                continue
             width, below = (LEAF if k == 1 else FANOUT), len(self.levels[k - 1][0])
             a, b = np.divmod(np.arange(width * width), width)
+            step = max(1, TOGETHER // (width * width))
+            if len(i) > step:
+                todo += [(k, i[s : s + step], j[s : s + step]) for s in range(0, len(i), step)]
+                continue
             i, j = (i[:, None] * width + a).ravel(), (j[:, None] * width + b).ravel()
             ok = (i < below) & (j < below) & ((i < j) if k == 1 else (i <= j))
-            i, j, k = i[ok], j[ok], k - 1
+            todo.append((k - 1, i[ok], j[ok]))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
     def _kept(self, k: int, i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
         top, low, high, first, last = self.levels[k]
         ok = (low[i] * percent <= high[j] * 100) & (low[j] * percent <= high[i] * 100)
         ok &= ~((first[i] == last[i]) & (first[j] == last[j]) & (first[i] == first[j]))
         i, j = i[ok], j[ok]
-        ok = np.minimum(top[i], top[j]).sum(axis=1) >= needed(np.maximum(low[i], low[j]), percent)
+        ok = np.minimum(top[i], top[j]).sum(axis=1) >= enough(low[i], low[j], percent)
         return i[ok], j[ok]
 
 
@@ -165,7 +177,7 @@ def across(percent: int):
     Groups of a leaf or less are bounded together, each against those behind it in its group.
     """
 
-    def batch(f: pd.DataFrame) -> pd.DataFrame:
+    def batch(f: pd.DataFrame) -> Iterator[pd.DataFrame]:
         h, ids, sizes, parts = (f[c].to_numpy() for c in ("h", "id", "n", "part"))
         order = np.lexsort((sizes, h))
         h, ids, sizes, parts = h[order], ids[order], sizes[order], parts[order]
@@ -178,6 +190,9 @@ def across(percent: int):
             i, j = RTree(points[s], sizes[s], parts[s]).pairs(percent)
             a.append(ids[s][i])
             b.append(ids[s][j])
+            if sum(map(len, a)) > 4 * TOGETHER:
+                yield told(a, b)
+                a, b = [], []
         small = np.repeat(np.diff(edges) <= LEAF, np.diff(edges))
         for k in range(1, LEAF):
             i = np.flatnonzero(small[: len(h) - k] & (h[: len(h) - k] == h[k:]))
@@ -186,9 +201,12 @@ def across(percent: int):
             i = i[can(sizes[i], sizes[i + k], percent) & (parts[i] != parts[i + k])]
             for s in range(0, len(i), TOGETHER):
                 x = i[s : s + TOGETHER]
-                ok = np.minimum(points[x], points[x + k]).sum(axis=1) >= needed(np.maximum(sizes[x], sizes[x + k]), percent)
+                ok = np.minimum(points[x], points[x + k]).sum(axis=1) >= enough(sizes[x], sizes[x + k], percent)
                 a.append(ids[x[ok]])
                 b.append(ids[x[ok] + k])
+        yield told(a, b)
+
+    def told(a: list[np.ndarray], b: list[np.ndarray]) -> pd.DataFrame:
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
@@ -202,10 +220,10 @@ def across(percent: int):
                 every = pd.concat(held, ignore_index=True)
                 last = int(np.searchsorted(every["h"].to_numpy(), every["h"].iloc[-1]))
                 if last:
-                    yield batch(every.iloc[:last])
+                    yield from batch(every.iloc[:last])
                 held, size = [every.iloc[last:]], len(every) - last
         if size:
-            yield batch(pd.concat(held, ignore_index=True))
+            yield from batch(pd.concat(held, ignore_index=True))
 
     return run
 
@@ -273,7 +291,7 @@ def bounded(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
             if len(f):
                 n, m = f["n_a"].to_numpy(), f["n_b"].to_numpy()
                 most = np.minimum(vectors(f["v_a"]), vectors(f["v_b"])).sum(axis=1)
-                ok = (most >= needed(np.maximum(n, m), percent)) & can(n, m, percent)
+                ok = (most >= enough(n, m, percent)) & can(n, m, percent)
                 yield f.loc[ok, ["a", "b"]]
 
     return pairs.join(one, "a").join(two, "b").mapInPandas(run, "a long, b long")
