@@ -118,10 +118,10 @@ def parse(media: bytes) -> dict:
     """Tags, the bitrate table, frames (offset, size, header), checksum counts, bytes skipped to resynchronise, samples."""
     found, at, end = tags(media)
     out = {"tags": found, "vbr": None, "frames": [], "checked": 0, "bad": 0, "skipped": 0, "samples": 0, "rate": None}
-    kind = None
+    kind, lost = None, True
     while at + 4 <= end:
         h = header(media[at : at + 4])
-        if h and kind is None:  # the first frame needs a second one behind it, or the end
+        if h and lost:  # a frame to start or go on from needs another one behind it, or the end
             after = at + h["size"]
             if after != end and not ((g := header(media[after : after + 4])) and (g["version"], g["layer"], g["rate"]) == (h["version"], h["layer"], h["rate"])):
                 h = None
@@ -129,8 +129,9 @@ def parse(media: bytes) -> dict:
             nxt = media.find(b"\xff", at + 1, end)
             nxt = end if nxt < 0 else nxt
             out["skipped"] += nxt - at
-            at = nxt
+            at, lost = nxt, True
             continue
+        lost = False
         if kind is None:
             kind = (h["version"], h["layer"], h["rate"])
             out["rate"] = h["rate"]

@@ -31,6 +31,9 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 SAMPLE_DOCS = 20_000
 NOISE = 0.05
+#: By how much a token outside base spans speaks for `none` at least, as a logarithm: patterns decide what is data by
+#: itself, and other tokens only become so by what they are linked to.
+SUPPORT = 3.0
 ROUNDS, DAMPING, CLOSE = 12, 0.3, 1e-3
 #: Shortest key by which tokens count as repeats; digits by whose end numbers count as similar.
 KEY, TAIL = 4, 7
@@ -177,6 +180,7 @@ class Field:
         """Label of each node by loopy message passing: its most likely one if over one half, else none."""
         n, m = len(LABELS), len(graph.doc)
         unary = np.array([self.unary.get(s, self.unknown) for s in graph.shapes]).reshape(m, n)
+        unary[:, 1:] = np.minimum(unary[:, 1:], unary[:, :1] - SUPPORT)
         base = np.array(graph.base)
         fixed = np.flatnonzero(base >= 0)
         unary[fixed] = -30.0
