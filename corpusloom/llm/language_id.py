@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import documents
+from corpusloom.llm.common import documents, workspace, written
 
 ORDER = 5
 #: Rows of a language that its model is learned from, at most; a tenth as many calibrate.
@@ -138,6 +138,7 @@ def gram_counts(sample: DataFrame) -> DataFrame:
     occurrences, those of others of distinct characters before."""
     word = F.explode(F.split(F.lower(F.regexp_replace("text", r"[^\p{L}]+", " ")), " "))
     words = sample.select("lang", word.alias("w")).where("w <> ''").groupBy("lang", "w").agg(F.count(F.lit(1)).alias("c"))
+    words = written(words, f"{workspace(sample.sparkSession, 'language')}/words")
     marked = words.withColumn("w", F.concat(F.lit(START), "w", F.lit(END)))
     ends = marked.withColumn("e", F.explode(F.sequence(F.lit(2), F.length("w"))))
     gram = lambda n: F.substr("w", F.greatest(F.col("e") - (n - 1), F.lit(1)), F.least(F.lit(n), F.col("e")))
