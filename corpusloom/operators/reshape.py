@@ -136,8 +136,8 @@ def with_examples(df: DataFrame, examples: DataFrame, example_order: str | None
 def class_codes(df: DataFrame, column: str, values: Sequence[str] | None = None) -> DataFrame:
     """A column as the place of its value among the sorted values, given or present. Unknown values are null."""
     if values is None:
-        table = df.where(F.col(column).isNotNull()).select(F.col(column).alias("_value")).distinct()
-        table = table.withColumn("_code", (F.dense_rank().over(Window.orderBy("_value")) - 1).cast("int"))
+        present = df.where(F.col(column).isNotNull()).select(F.col(column).alias("_value")).distinct()
+        table = numbered(present, ["_value"], "_code").withColumn("_code", F.col("_code").cast("int"))
     else:
         table = df.sparkSession.createDataFrame([(v, k) for k, v in enumerate(sorted(values))], "_value string, _code int")
     return df.join(table, F.col(column) == F.col("_value"), "left").withColumn(column, F.col("_code")).select(*df.columns)
