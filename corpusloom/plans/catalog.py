@@ -320,7 +320,7 @@ def flat_messages(df: DataFrame, turns: int = 2) -> DataFrame:
     return df.select("id", *out)
 
 
-@query(f"SELECT {ID.format('md5(doc_id::varchar)')} AS id, 'pretraining' AS role_1, text || chr(10) || chr(10) || 'What does ' || source || ' say?' || chr(10) || chr(10) || lang AS content_1 FROM documents")
+@query(f"SELECT {ID.format('md5(doc_id::varchar)')} AS id, 'pretraining' AS role_1, '<|user|>' || chr(10) || text || chr(10) || chr(10) || 'What does ' || source || ' say?' || chr(10) || '<|assistant|>' || chr(10) || lang AS content_1 FROM documents")
 def pretraining(spark, d):
     return flat_messages(convert.pretraining(convert.knowledge_qa(qa_rows(spark, d), ["doc_id"])), 1)
 
@@ -355,7 +355,7 @@ m AS (SELECT count(*) AS m FROM ring),
 w AS (SELECT id, context, {MD5.format("'raft|' || id", 1000000)} < 400000 AS own, {MD5.format("'raft-start|' || id", '(SELECT m FROM m)')} AS start FROM rows),
 spots AS (SELECT id, context, own, k, other FROM w, m, range(5) r(k) JOIN ring ON ring.place = (w.start + k) % m.m WHERE k <= m.m - 1 AND other IS DISTINCT FROM context),
 picks AS (SELECT id, other AS c FROM spots QUALIFY row_number() OVER (PARTITION BY id ORDER BY k) <= CASE WHEN own THEN 3 ELSE 4 END UNION ALL SELECT id, context FROM w WHERE own)
-SELECT id, string_agg('Document:' || chr(10) || c || chr(10) || chr(10), '' ORDER BY md5(id || c), c) || 'Q' AS content_1 FROM picks GROUP BY id
+SELECT id, string_agg('Document:' || chr(10) || c || chr(10) || chr(10), chr(10) ORDER BY md5(id || c), c) || chr(10) || chr(10) || 'Q' AS content_1 FROM picks GROUP BY id
 """)
 def raft(spark, d):
     out = convert.raft(knowledge_rows(spark, d), 0.4)
@@ -388,7 +388,7 @@ SELECT p_partkey, p_name, p_type, p_brand, p_size, ['A', 'B', 'C', 'D', 'E'][p_p
 """
 
 
-@query(f"SELECT p_partkey, 'mmlu_bench' AS dataset_type FROM ({CHOICES})")
+@query(f"SELECT p_partkey, 'mcq_qa' AS dataset_type FROM ({CHOICES})")
 def mcq_post(spark, d):
     return convert.multiple_choice(choice_rows(spark, d)).select("p_partkey", "dataset_type")
 

@@ -86,7 +86,7 @@ def raft(df: DataFrame, p: float, documents: int = 4, key: str = "id", seed: str
     picks = F.coalesce(F.slice(F.col("_picks._other"), F.lit(1), F.col("_wanted")), F.array().cast("array<string>"))
     chosen = F.when(F.col("_own") | (F.size(picks) == 0), F.concat(picks, F.array("context"))).otherwise(picks)
     shuffled = F.array_sort(F.transform(chosen, lambda c: F.struct(F.md5(F.concat(F.col(key).cast("string"), c).cast("binary")).alias("o"), c.alias("c"))))
-    text = F.array_join(F.transform(shuffled, lambda s: F.concat(F.lit("Document:\n"), s["c"], F.lit("\n\n"))), "")
+    text = F.concat(F.array_join(F.transform(shuffled, lambda s: F.concat(F.lit("Document:\n"), s["c"], F.lit("\n\n"))), "\n"), F.lit("\n\n"))
     first = F.array_position(F.transform("messages", lambda m: m["role"]), "user")
     messages = F.transform("messages", lambda m, i: F.when(i + 1 == first, F.struct(m["role"].alias("role"), F.concat(text, m["content"]).alias("content"))).otherwise(m))
     meta = F.regexp_replace("metadata", '"dataset":"([^"]*)"', f'"dataset":"$1_raft_p{p}"')
@@ -96,7 +96,7 @@ def raft(df: DataFrame, p: float, documents: int = 4, key: str = "id", seed: str
 
 def pretraining(df: DataFrame) -> DataFrame:
     """The first two turns as one pretraining message."""
-    text = F.concat(F.col("messages")[0]["content"], F.lit("\n\n"), F.col("messages")[1]["content"])
+    text = F.concat(F.lit("<|user|>\n"), F.col("messages")[0]["content"], F.lit("\n<|assistant|>\n"), F.col("messages")[1]["content"])
     return df.withColumn("messages", F.array(turn("pretraining", text)))
 
 
@@ -111,7 +111,7 @@ def knowledge_pretraining(df: DataFrame, key: Sequence[str], order: Sequence[str
 
 def multiple_choice(df: DataFrame, question: str = "mmlubench_question", answer: str = "mmlubench_answer", evaluation: bool = False) -> DataFrame:
     """Sane generated multiple-choice rows; for an evaluation set with choices and coded answers."""
-    out = columns.literal(filters.sane_choices(df, question, answer), "dataset_type", "mmlu_eval" if evaluation else "mmlu_bench")
+    out = columns.literal(filters.sane_choices(df, question, answer), "dataset_type", "mcq_qa")
     return choices_format(out, question, answer) if evaluation else out
 
 

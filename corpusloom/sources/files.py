@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import logging
 import subprocess
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from pathlib import Path
 from typing import Any
 
@@ -81,7 +81,7 @@ def write_json(value, path: str | Path, mode: str = "w", indent: int = 4, defaul
 
 def evaluation_task(name: str, data: str, path: str | Path) -> None:
     """The descriptor of a multiple-choice evaluation task."""
-    write_yaml({"task": name, "dataset_path": "json", "dataset_kwargs": {"data_files": {"test": data}}, "include": "_default_template"}, path)
+    write_yaml({"task": name, "dataset_kwargs": {"data_files": {"test": data}}, "include": "_default_mmlu_pr_template_yaml", "group": "mmlu_pr"}, path)
 
 
 def side_by_side(left: DataFrame, right: DataFrame, text: str, titles: tuple[str, str] = ("left", "right"), ordinal: str = "ordinal", limit: int = 100) -> str:
@@ -91,17 +91,13 @@ def side_by_side(left: DataFrame, right: DataFrame, text: str, titles: tuple[str
     return "\n".join(parts)
 
 
-FAMILIES = {"granite": "granite", "mixtral": "mixtral", "mistral": "mixtral", "merlinite": "mixtral"}
-
-
-def model_family(forced: str | None, path: str, default: str = "merlinite") -> str:
-    """The family of a model from the first word of its file's name."""
+def model_family(forced: str | None, path: str, families: Mapping[str, str], default: str) -> str:
+    """The family of a model: what the first word of its file's name is mapped to."""
     import re
 
-    if forced and forced.lower() not in FAMILIES:
+    if forced and forced.lower() not in families:
         raise ValueError(f"unknown model family {forced}")
-    word = re.match(r"\w*", Path(path).name)[0].lower()
-    return FAMILIES.get(word, FAMILIES[default])
+    return families.get(re.match(r"\w*", Path(path).name)[0].lower(), families.get(default, default))
 
 
 # Parsed documents

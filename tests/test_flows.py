@@ -242,8 +242,11 @@ def test_files(tmp_path):
     with pytest.raises(ValueError, match="can't be written"):
         files.write_json(1, tmp_path / "c.json")
     files.evaluation_task("t", "d.jsonl", tmp_path / "t.yaml")
-    assert set(files.read_yaml(tmp_path / "t.yaml")) == {"task", "dataset_path", "dataset_kwargs", "include"}
-    assert files.model_family(None, "/m/Mixtral-8x7B") == "mixtral"
+    assert set(files.read_yaml(tmp_path / "t.yaml")) == {"task", "dataset_kwargs", "include", "group"}
+    assert files.model_family(None, "/m/Base-8b", {"base": "plain"}, "other") == "plain"
+    assert files.model_family(None, "/m/New", {"base": "plain"}, "base") == "plain"
+    with pytest.raises(ValueError, match="unknown"):
+        files.model_family("none", "/m/x", {}, "base")
 
 
 def test_catalog_has_sql_for_all_but_chunks():
