@@ -7,7 +7,8 @@ count the distinct characters before an n-gram. The models lie side by side in s
 with a column of log probabilities for each language, and in one of context hashes with log back-off weights.
 
 The language of lowest cross-entropy per character is chosen. Further sampled rows calibrate the temperature of the
-score and the cross-entropy above which a text is rejected as none of the languages (its mean and MARGIN deviations).
+score and the cross-entropy above which a text is rejected as none of the languages (its median and MARGIN deviations,
+and more for short texts).
 
 Defined results: a null text and a text without letters are `und` with score 0 and rejected, as is every text if no
 row has a language; null ids count as an empty one; rows may repeat.
@@ -30,6 +31,8 @@ ORDER = 5
 #: Rows of a language that its model is learned from, at most; a tenth as many calibrate.
 DOCS_PER_LANG = 400
 MARGIN = 10.0
+#: Over the root of a text's characters, this is added to the limit: a few words may look odd by chance.
+SHORT = 20.0
 #: Characters a language is taken to have, for those never seen.
 ALPHABET = 4096
 REMEMBERED = 250_000
@@ -95,19 +98,19 @@ class Models:
         out[open_] += back[open_]
         return np.add.reduceat(out, first, axis=0)
 
-    def entropies(self, texts: list[str | None]) -> np.ndarray:
-        """Cross-entropy per character of each text, by language; nan without letters."""
-        out = np.full((len(texts), len(self.langs)), np.nan)
+    def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Cross-entropy per character of each text, by language (nan without letters), and the characters scored."""
+        out, scored = np.full((len(texts), len(self.langs)), np.nan), np.zeros(len(texts))
         chunk, size = [], 0
         for k, t in enumerate(texts):
             chunk.append((k, LETTERS.findall(t.lower()) if t else []))
             size += len(t or "")
             if size >= CHARS_AT_ONCE or k + 1 == len(texts):
-                self._chunk(chunk, out)
+                self._chunk(chunk, out, scored)
                 chunk, size = [], 0
-        return out
+        return out, scored
 
-    def _chunk(self, chunk: list[tuple[int, list[str]]], out: np.ndarray) -> None:
+    def _chunk(self, chunk: list[tuple[int, list[str]]], out: np.ndarray, scored: np.ndarray) -> None:
         if self.table is None or len(self.known) > REMEMBERED:
             self.known, self.table = {}, np.zeros((0, len(self.langs)))
         known = self.known
@@ -119,17 +122,19 @@ class Models:
         for k, words in chunk:
             if words:
                 at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-                out[k] = -self.table[at].sum(axis=0) / (sum(map(len, words)) + len(words))
+                scored[k] = sum(map(len, words)) + len(words)
+                out[k] = -self.table[at].sum(axis=0) / scored[k]
 
     def predict(self, texts: list[str | None]) -> pd.DataFrame:
         lang, score, rejected = [], [], []
-        for h in self.entropies(texts) if self.langs else [[np.nan]] * len(texts):
+        for h, n in zip(*self.entropies(texts), strict=True) if self.langs else [([np.nan], 0)] * len(texts):
             if np.isnan(h[0]):
                 lang.append("und"), score.append(0.0), rejected.append(True)
                 continue
             k = int(np.argmin(h))
+            limit = self.limit + SHORT / np.sqrt(n)
             share = 1 / np.exp(-self.temperature * (h - h[k])).sum()
-            lang.append(self.langs[k]), score.append(float(share * np.exp(min(0.0, self.limit - h[k])))), rejected.append(bool(h[k] > self.limit))
+            lang.append(self.langs[k]), score.append(float(share * np.exp(min(0.0, limit - h[k])))), rejected.append(bool(h[k] > limit))
         return pd.DataFrame({"lang": lang, "score": score, "rejected": rejected})
 
 
@@ -264,7 +269,7 @@ def _shared(models: Models):
 
 def entropies(models: Models):
     get = _shared(models)
-    return F.pandas_udf(lambda text: pd.Series([None if np.isnan(h[0]) else h.tolist() for h in get().entropies(list(text))], dtype=object), "array<double>")
+    return F.pandas_udf(lambda text: pd.Series([None if np.isnan(h[0]) else h.tolist() for h in get().entropies(list(text))[0]], dtype=object), "array<double>")
 
 
 def predictor(models: Models):
