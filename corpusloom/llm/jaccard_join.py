@@ -4,8 +4,8 @@
    there are. GROUPS groups of hashes are counted: the set's count vector.
 2. Two sets at or over the threshold share one of the first n - ceil(t n) + 1 hashes of any order of all hashes. The
    order puts hashes that a bounded sample shows to be common last. Hashes that two sets have there make candidates.
-3. First, each set of a hash's group is compared with the group's smallest id only; what is linked so far is one
-   component. Then an R-tree over the count vectors of a group finds the pairs of different components whose overlap
+3. First, each set of a hash's group is compared with the group's smallest id, and where that leaves more components,
+   with CENTRES others; what is linked so far is one component. Then an R-tree over the count vectors of a group finds the pairs of different components whose overlap
    can suffice: the sum over groups of the smaller count - at a node, of the query's count and the node's largest -
    is no less than the overlap. Links inside a component need no search, so a group of near copies makes about as
    many pairs as it has members, and no link between components is missed.
@@ -18,6 +18,7 @@ their component is the smallest other id reached, or null.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -33,6 +34,8 @@ GROUPS = 64
 FINE = 512
 #: Rows of the sample that shows which hashes are common, and in how many of them a common one is.
 SAMPLE_DOCS, COMMON = 20_000, 8
+#: Further members of a hash's group that members of other components are compared with before the search.
+CENTRES = 4
 LEAF, FANOUT = 32, 8
 #: Pairs of tree nodes, or of points, that are bounded at once.
 TOGETHER = 100_000
@@ -264,17 +267,33 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
         return written(rows, f"{where}/{name}")
 
     links = written(verified(near, sets_of(near, "sets1"), percent), f"{where}/links1")
-    parts = components(links, f"{where}/parts1")
-    parts = written(parts, f"{where}/parts")
-    tagged = posts.select("id", "h").join(parts, F.col("id") == F.col("node"), "left").withColumn("part", F.coalesce("component", "id")).select("id", "h", "part")
-    split = tagged.groupBy("h").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("h")
-    open_ = tagged.join(split, "h", "left_semi").join(members, "id").select("h", "id", "part", "n", "vector")
+    parts = written(components(links, f"{where}/parts1"), f"{where}/parts")
+
+    def open_groups(parts: DataFrame, name: str) -> DataFrame:
+        """(id, h, part) of the groups that members of more than one component are in."""
+        tagged = posts.select("id", "h").join(parts, F.col("id") == F.col("node"), "left").withColumn("part", F.coalesce("component", "id")).select("id", "h", "part")
+        split = tagged.groupBy("h").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("h")
+        return written(tagged.join(split, "h", "left_semi"), f"{where}/{name}")
+
+    # Members that are far from the smallest id may be near to others: a few more, by a hash, as centres.
+    opened = open_groups(parts, "open1")
+    centres = opened.groupBy("h").agg(*[F.min_by(F.struct("id", "part"), F.xxhash64(F.lit(k), "id")).alias(f"c{k}") for k in range(CENTRES)])
+    beside = written(opened.join(centres, "h"), f"{where}/beside")
+    near = [beside.where(F.col("part") != F.col(f"c{k}.part")).select(F.least("id", f"c{k}.id").alias("a"), F.greatest("id", f"c{k}.id").alias("b")) for k in range(CENTRES)]
+    near = functools.reduce(DataFrame.union, near).distinct().join(stars, ["a", "b"], "left_anti")
+    more = written(bounded(bounded(near, members, percent), fine, percent), f"{where}/near2")
+    if not more.isEmpty():
+        links = written(links.union(verified(more, sets_of(more, "sets2"), percent)), f"{where}/links2")
+        parts = written(components(links, f"{where}/parts2"), f"{where}/parts-2")
+        opened = open_groups(parts, "open2")
+
+    open_ = opened.join(members, "id").select("h", "id", "part", "n", "vector")
     found = open_.repartition(shuffle_partitions(spark), "h").sortWithinPartitions("h").mapInPandas(across(percent), "a long, b long").distinct()
     found = written(found.join(stars, ["a", "b"], "left_anti"), f"{where}/found")
-    found = written(bounded(found, fine, percent), f"{where}/near2")
+    found = written(bounded(found, fine, percent), f"{where}/near3")
     if not found.isEmpty():
-        links = links.union(verified(found, sets_of(found, "sets2"), percent))
-        parts = written(components(links, f"{where}/parts2"), f"{where}/all")
+        links = links.union(verified(found, sets_of(found, "sets3"), percent))
+        parts = written(components(links, f"{where}/parts3"), f"{where}/all")
 
     least = own.join(parts, F.col("own") == F.col("node"), "left").select("digest", F.coalesce("component", "own").alias("component"))
     out = index.select("id", "n", "digest").join(least, "digest", "left")
