@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.functions.text import answer_letter, to_float, to_int, token_count
+from corpusloom.functions.text import to_float, to_int, token_count
 from corpusloom.operators.columns import need
 
 CONVERTERS = {"float": to_float, "int": to_int}
@@ -60,5 +60,3 @@ def sane_choices(df: DataFrame, question: str, answer: str) -> DataFrame:
 def four_choices(df: DataFrame, choices: str = "choices", answer: str = "answer") -> DataFrame:
     return df.where((F.size(choices) == 4) & F.col(answer).isin("A", "B", "C", "D"))
 
-
-__all__ = ["CONVERTERS", "OPERATIONS", "answer_letter", "filter_by_value", "four_choices", "min_tokens", "not_equal", "sane_choices"]
