@@ -15,7 +15,6 @@ Defined results: null text counts as empty and has no spans; rows may repeat; ot
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
