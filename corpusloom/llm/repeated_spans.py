@@ -89,6 +89,20 @@ def indexed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, n_bytes long, digest binary, at array<int>, hash array<long>")
 
 
+def reaches(at: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many bytes before and from each anchor belong to strings of LENGTH bytes that it is the anchor of.
+
+    Of such a string the anchor is the first smallest gram, so it holds no gram of a neighbour that is smaller.
+    """
+    h, low = hashes.view(np.uint64) & ~_low, np.full(len(at), LEFT)
+    high = np.full(len(at), LENGTH)
+    gap = np.diff(at)
+    first = h[:-1] <= h[1:]
+    low[1:] = np.where(first, np.minimum(LEFT, gap - 1), low[1:])
+    high[:-1] = np.where(~first, np.minimum(LENGTH, gap + GRAM - 1), high[:-1])
+    return low, high
+
+
 def windows(texts: DataFrame) -> DataFrame:
     """For each anchor (of `found`: at, hash, hot): the bytes before it, nearest first, and from it on."""
 
@@ -97,9 +111,13 @@ def windows(texts: DataFrame) -> DataFrame:
             rows: list[tuple] = []
             for digest, t, found in zip(frame["digest"], frame["text"], frame["found"], strict=True):
                 raw = t.encode("utf-8", "surrogatepass")
+                every, hashes = anchors(raw)
+                low, high = reaches(every, hashes)
+                place = dict(zip(every.tolist(), zip(low.tolist(), high.tolist(), strict=True), strict=True))
                 for x in found:
                     at = x["at"]
-                    rows.append((x["hash"], x["hot"], digest, at, raw[max(0, at - LEFT) : at][::-1], raw[at : at + LENGTH]))
+                    left, right = place[at]
+                    rows.append((x["hash"], x["hot"], digest, at, raw[max(0, at - left) : at][::-1], raw[at : at + right]))
                 if len(rows) > 20_000:
                     yield pd.DataFrame(rows, columns=["hash", "hot", "digest", "at", "before", "after"])
                     rows = []
