@@ -103,7 +103,10 @@ class Models:
         out, scored = np.full((len(texts), len(self.langs)), np.nan), np.zeros(len(texts))
         chunk, size = [], 0
         for k, t in enumerate(texts):
-            chunk.append((k, LETTERS.findall(t.lower()) if t else []))
+            words = LETTERS.findall(t.lower()) if t else []
+            if not any(map(str.isalpha, words)) and not any(c.isalpha() for w in words for c in w):
+                words = []  # other numerals are word characters too
+            chunk.append((k, words))
             size += len(t or "")
             if size >= CHARS_AT_ONCE or k + 1 == len(texts):
                 self._chunk(chunk, out, scored)

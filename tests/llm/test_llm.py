@@ -292,7 +292,7 @@ def test_maybe_wanted_keeps_what_is_wanted(spark):
 
 def test_languages_are_told_apart(spark):
     r = random.Random(5)
-    rows = [(i, prose(r, 40, lang), lang) for i in range(400) for lang in [("en", "de")[i % 2]]] + [(900, None, "en"), (901, "12 34 !!", "de"), (902, "日本語" * 20, None), (None, prose(r, 30), None)]
+    rows = [(i, prose(r, 40, lang), lang) for i in range(400) for lang in [("en", "de")[i % 2]]] + [(900, None, "en"), (901, "12 34 !! ² Ⅷ", "de"), (902, "日本語" * 20, None), (None, prose(r, 30), None)]
     docs = table(spark, rows)
     models = language_id.train(docs)
     out = docs.select("doc_id", "lang", (~language_id.trainable("doc_id")).alias("held_out"), language_id.predictor(models)("text").alias("f")).select("doc_id", "lang", "held_out", "f.*").collect()
