@@ -7,7 +7,8 @@
 3. First, each set of a hash's group is compared with the group's smallest id, and where that leaves more components,
    with CENTRES others; what is linked so far is one component. Then an R-tree over the count vectors of a group finds the pairs of different components whose overlap
    can suffice: the sum over groups of the smaller count - at a node, of the query's count and the node's largest -
-   is no less than the overlap. Links inside a component need no search, so a group of near copies makes about as
+   is no less than the overlap; a hash too far behind in a set to be the pair's first common one is passed over, as the
+   first one finds the pair. Links inside a component need no search, so a group of near copies makes about as
    many pairs as it has members, and no link between components is missed.
 4. Surviving pairs are verified on the whole sets.
 
@@ -181,9 +182,9 @@ def across(percent: int):
     """
 
     def batch(f: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        h, ids, sizes, parts = (f[c].to_numpy() for c in ("h", "id", "n", "part"))
+        h, ids, sizes, parts, places = (f[c].to_numpy() for c in ("h", "id", "n", "part", "pos"))
         order = np.lexsort((sizes, h))
-        h, ids, sizes, parts = h[order], ids[order], sizes[order], parts[order]
+        h, ids, sizes, parts, places = h[order], ids[order], sizes[order], parts[order], places[order]
         points = vectors(f["vector"])[order]
         edges = np.r_[0, np.flatnonzero(h[1:] != h[:-1]) + 1, len(h)]
         large = np.flatnonzero(np.diff(edges) > LEAF)
@@ -191,8 +192,9 @@ def across(percent: int):
         for g in large:
             s = slice(edges[g], edges[g + 1])
             i, j = RTree(points[s], sizes[s], parts[s]).pairs(percent)
-            a.append(ids[s][i])
-            b.append(ids[s][j])
+            ok = early(sizes[s], places[s], i, j)
+            a.append(ids[s][i[ok]])
+            b.append(ids[s][j[ok]])
             if sum(map(len, a)) > 4 * TOGETHER:
                 yield told(a, b)
                 a, b = [], []
@@ -201,7 +203,7 @@ def across(percent: int):
             i = np.flatnonzero(small[: len(h) - k] & (h[: len(h) - k] == h[k:]))
             if not len(i):
                 break
-            i = i[can(sizes[i], sizes[i + k], percent) & (parts[i] != parts[i + k])]
+            i = i[can(sizes[i], sizes[i + k], percent) & (parts[i] != parts[i + k]) & early(sizes, places, i, i + k)]
             for s in range(0, len(i), TOGETHER):
                 x = i[s : s + TOGETHER]
                 ok = np.minimum(points[x], points[x + k]).sum(axis=1) >= enough(sizes[x], sizes[x + k], percent)
@@ -209,6 +211,11 @@ def across(percent: int):
                 b.append(ids[x[ok] + k])
         yield told(a, b)
 
+    def early(n: np.ndarray, place: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether the hash can be the first that both sets have: what is before it in either is not in the other."""
+        least = enough(n[i], n[j], percent)
+        return (place[i] <= n[i] - least) & (place[j] <= n[j] - least)
+
     def told(a: list[np.ndarray], b: list[np.ndarray]) -> pd.DataFrame:
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
@@ -248,7 +255,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     # One member for each distinct set; copies shrink where they are read.
     groups = written(index.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.first("vector").alias("vector"), F.first("fine").alias("fine")), f"{where}/groups")
     own = groups.select("digest", F.col("id").alias("own"))
-    once = index.where("n > 0").join(own, "digest").where("id <=> own").select(F.col("id"), F.explode("first").alias("h"))
+    once = index.where("n > 0").join(own, "digest").where("id <=> own").select(F.col("id"), F.posexplode("first").alias("pos", "h"))
 
     shared = written(once.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("centre"), F.max("id").alias("other")).where("centre <> other").select("h", "centre"), f"{where}/shared")
     posts = written(maybe_wanted(once, F.col("h"), shared, F.col("h")).join(shared, "h").distinct(), f"{where}/posts")
@@ -270,8 +277,8 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     parts = written(components(links, f"{where}/parts1"), f"{where}/parts")
 
     def open_groups(parts: DataFrame, name: str) -> DataFrame:
-        """(id, h, part) of the groups that members of more than one component are in."""
-        tagged = posts.select("id", "h").join(parts, F.col("id") == F.col("node"), "left").withColumn("part", F.coalesce("component", "id")).select("id", "h", "part")
+        """(id, h, pos, part) of the groups that members of more than one component are in."""
+        tagged = posts.select("id", "h", "pos").join(parts, F.col("id") == F.col("node"), "left").withColumn("part", F.coalesce("component", "id")).select("id", "h", "pos", "part")
         split = tagged.groupBy("h").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("h")
         return written(tagged.join(split, "h", "left_semi"), f"{where}/{name}")
 
@@ -287,7 +294,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
         parts = written(components(links, f"{where}/parts2"), f"{where}/parts-2")
         opened = open_groups(parts, "open2")
 
-    open_ = opened.join(members, "id").select("h", "id", "part", "n", "vector")
+    open_ = opened.join(members, "id").select("h", "id", "pos", "part", "n", "vector")
     found = open_.repartition(shuffle_partitions(spark), "h").sortWithinPartitions("h").mapInPandas(across(percent), "a long, b long").distinct()
     found = written(found.join(stars, ["a", "b"], "left_anti"), f"{where}/found")
     found = written(bounded(found, fine, percent), f"{where}/near3")
