@@ -3,12 +3,15 @@
 Base patterns find e-mail addresses, IP addresses, card and phone numbers. A conditional random field then labels the
 tokens that could be such data (they hold a digit or an @, or repeat the name part of an address found): unary factors
 by a token's shape, chain factors between neighbours, and skip factors between tokens of a document that repeat or
-resemble each other however far apart. Tokens in base spans keep their label; loopy message passing over all of a
-document carries it along the skip edges to the others, and those that end up as data are added as spans. All other
-tokens have no chance of being data in this model, so they need not be nodes.
+resemble each other however far apart. A token is linked to the one before it with the same key; one outside base spans
+is linked to the nearest base span of each label that has its key instead of to others like it, so that each has the
+base label's whole weight, however many there are. Tokens in base spans keep their label; loopy message passing over
+all of a document carries it along the skip edges to the others, until the document's messages settle, and those that
+end up as data are added as spans. All other tokens have no chance of being data in this model, so they need not be
+nodes.
 
-The factors are learned piecewise from base labels: Spark counts shapes, neighbours and repeats over a bounded sample
-(SAMPLE_DOCS rows by a hash of the id); NOISE is the share of base labels taken to be wrong.
+The factors are learned piecewise from base labels: Spark counts shapes, neighbours and successive repeats over a
+bounded sample (SAMPLE_DOCS rows by a hash of the id); NOISE is the share of base labels taken to be wrong.
 
 Defined results: null text counts as empty and has no spans; rows may repeat; other columns are not looked at.
 """
@@ -33,7 +36,8 @@ NOISE = 0.05
 #: By how much a token outside base spans speaks for `none` at least, as a logarithm: patterns decide what is data by
 #: itself, and other tokens only become so by what they are linked to.
 SUPPORT = 3.0
-ROUNDS, DAMPING, CLOSE = 12, 0.3, 1e-3
+#: Messages of a document have settled when none moves by CLOSE; loops that swing without end are left after ROUNDS.
+ROUNDS, DAMPING, CLOSE = 1000, 0.3, 1e-3
 #: Shortest key by which tokens count as repeats; digits by whose end numbers count as similar.
 KEY, TAIL = 4, 7
 
@@ -117,15 +121,16 @@ def nodes(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, i
 
 
 class Graph:
-    """The nodes of many documents, their chain edges, and skip edges to the next token with the same key."""
+    """The nodes of many documents, their chain edges, skip edges to the next token with the same key, and to base spans."""
 
     def __init__(self):
         self.doc, self.spans, self.base, self.shapes = [], [], [], []
-        self.chain, self.skip = [], []
+        self.chain, self.skip, self.star = [], [], []
 
     def add(self, doc: int, text: str, base: list[tuple[int, int, int]]) -> None:
         seen: dict[str, int] = {}
-        before = None
+        places: dict[str, list[int]] = {}
+        before, old = None, len(self.skip)
         for a, b, label, form, found, i in nodes(text, base):
             me = len(self.doc)
             self.doc.append(doc), self.spans.append((a, b)), self.base.append(label), self.shapes.append(form)
@@ -136,6 +141,22 @@ class Graph:
                 if key in seen and (not self.skip or self.skip[-1] != (seen[key], me)):
                     self.skip.append((seen[key], me))
                 seen[key] = me
+                places.setdefault(key, []).append(me)
+        linked = set(self.skip[old:])
+        held: dict[int, set[int]] = {}
+        for mine in places.values():
+            near = {self.base[x]: x for x in reversed(mine) if self.base[x] > 0}  # the first of each label, then the last one passed
+            for me in mine if near else ():
+                if self.base[me] > 0:
+                    near[self.base[me]] = me
+                    continue
+                held.setdefault(me, set()).update(near)
+                for x in near.values():
+                    if (pair := (min(x, me), max(x, me))) not in linked:
+                        linked.add(pair)
+                        self.star.append(pair)
+        # Repeats that are linked to a base span of one label need no link among each other: they would hold each other at none.
+        self.skip[old:] = [(a, b) for a, b in self.skip[old:] if a not in held or held[a] != held.get(b)]
 
 
 def counted(texts: list[str | None]) -> Counter:
@@ -184,22 +205,27 @@ class Field:
         fixed = np.flatnonzero(base >= 0)
         unary[fixed] = -30.0
         unary[fixed, base[fixed]] = 0.0
-        edges = np.array(graph.chain + graph.skip, dtype=np.int64).reshape(-1, 2)
+        edges = np.array(graph.chain + graph.skip + graph.star, dtype=np.int64).reshape(-1, 2)
         e = len(edges)
         source, target = np.r_[edges[:, 0], edges[:, 1]], np.r_[edges[:, 1], edges[:, 0]]
+        back = np.r_[e : 2 * e, 0:e]
         skip = np.tile(np.arange(e) >= len(graph.chain), 2)
         pair = np.where(skip[:, None, None], self.skip, np.concatenate([np.broadcast_to(self.chain, (e, n, n)), np.broadcast_to(self.chain.T, (e, n, n))]) if e else np.zeros((0, n, n)))
         messages, belief = np.zeros((2 * e, n)), unary.copy()
-        for _ in range(ROUNDS if e else 0):
-            others = belief[source] - np.r_[messages[e:], messages[:e]]
-            new = np.logaddexp.reduce(others[:, :, None] + pair, axis=1)
-            new -= np.logaddexp.reduce(new, axis=1, keepdims=True)
-            new = DAMPING * messages + (1 - DAMPING) * new
-            moved, messages = np.abs(new - messages).max(initial=0), new
-            belief = unary.copy()
-            np.add.at(belief, target, messages)
-            if moved < CLOSE:
+        doc = np.array(graph.doc, dtype=np.int64)[source]
+        live = np.flatnonzero(base[target] < 0) if e else target  # what has its label takes no messages, or many would turn it
+        for _ in range(ROUNDS):
+            if not len(live):
                 break
+            others = belief[source[live]] - messages[back[live]]
+            new = np.logaddexp.reduce(others[:, :, None] + pair[live], axis=1)
+            new -= np.logaddexp.reduce(new, axis=1, keepdims=True)
+            step = (1 - DAMPING) * (new - messages[live])
+            messages[live] += step
+            np.add.at(belief, target[live], step)
+            moving = np.zeros(doc.max() + 1, bool)
+            moving[doc[live][np.abs(step).max(axis=1) >= CLOSE]] = True
+            live = live[moving[doc[live]]]
         share = np.exp(belief - np.logaddexp.reduce(belief, axis=1, keepdims=True))
         best = share.argmax(axis=1)
         return np.where(share.max(axis=1, initial=0) > 0.5, best, 0) if m else np.zeros(0, int)

@@ -356,6 +356,30 @@ def test_repeats_of_personal_data_are_found(spark):
     assert [out[k]["spans"] for k in (501, 502, 503)] == [[], [], []]
 
 
+def repeat_field():
+    """A field of 400 repeated addresses in 2,000 texts, and clean tokens of other shapes."""
+    address = lambda i: f"write to name.{i}@mail.example.com or name.{i}@mail.example.com by 12 and 3.0"
+    return personal_data.Field(personal_data.counted([address(i) for i in range(400)] + ["plain words, 7 of them"] * 1600))
+
+
+@pytest.mark.parametrize("mentions", [1, 2, 5, 50])
+@pytest.mark.parametrize("ahead", [False, True])
+def test_each_of_many_repeats_is_found(mentions, ahead):
+    start, said = "write to jane.doe.smith@mail.example.com soon. ", "".join(f"{'word ' * (k % 3 + 1)}as jane.doe.smith said. " for k in range(mentions))
+    text = said + start if ahead else start + said
+    ((base, every),) = repeat_field().find([text])
+    assert len(base) == 1
+    assert [text[a:b] for _, a, b in every if (0, a, b) not in base] == ["jane.doe.smith"] * mentions
+    assert {k for k, *_ in every} == {0}
+
+
+def test_labels_do_not_depend_on_the_other_texts():
+    r = random.Random(3)
+    texts = [" ".join(r.choice(["name.7", "name.7@mail.example.com", "+1 555 010 4477", "5550104477", "4111 1111 1111 1111", "1111", "word"]) for _ in range(60)) for _ in range(20)]
+    field = repeat_field()
+    assert field.find(texts) == [field.find([t])[0] for t in texts]
+
+
 # 1
 
 
