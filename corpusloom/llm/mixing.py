@@ -5,8 +5,11 @@ BLOCK words. Output shards of SLOTS slots each draw how many slots every source
 block pi(k mod N) of it, pi being a pseudorandom permutation (a Feistel network that walks its cycle) of its own for
 each round through the N blocks. Slots then join the blocks by index.
 
-The draw is multinomial with the whole parts held: a shard gives each source the whole part of its expected slots, and
-draws only what is left over, so the sum over shards stays near the target. No block is used in more than three rounds.
+The draw is multinomial with the whole parts held, over all shards first: each source gets the whole part of its expected
+slots, and only what is left over is drawn, at most one slot a source. So the sum over shards is within a block of the
+target at any number of shards, and a source of three rounds gets them whole. The slots are then dealt to shards by halves:
+each half of a range of shards gets the whole part of its share of each source's slots, and what is left is drawn alike.
+A shard's draw depends on its number only, so shards are drawn apart. No block is used in more than three rounds.
 
 Defined results: null text or a text without words has size 0 and takes part with nothing; a null source is a source,
 last in order; rows that agree in all of id, source and text share one place in the order; an empty table gives no
@@ -81,42 +84,65 @@ def stream(docs: DataFrame, id_col: str, text_col: str, source_col: str, where:
     return placed, found
 
 
+def drawn(whole: np.ndarray, rest: np.ndarray, left: int, seed: list[int]) -> np.ndarray:
+    """The whole parts, and what is left drawn by multinomial in proportion to the rests, one more a source at most."""
+    n, rest, rng = whole.astype(np.int64), rest.astype(float), np.random.default_rng([SEED, *seed])
+    while left > 0:
+        more = np.minimum(rng.multinomial(left, rest / rest.sum()), 1)  # what goes past one is drawn again
+        n, left = n + more, left - int(more.sum())
+        rest[more > 0] = 0
+    return n
+
+
+def given(expected: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """The slots of each source in the mix: its expected ones, rounded up or down."""
+    whole = np.minimum(np.floor(expected + 1e-6), most)
+    rest = np.where(whole < most, np.maximum(expected - whole, 0), 0)
+    rest[rest < 1e-6] = 0
+    return drawn(whole, rest, round(rest.sum()), [])
+
+
+def dealt(numbers: Sequence[int], every: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, first slot of each source, slots of each source) of some shards of the mix of `every` slots."""
+    total = int(every.sum())
+    path = [(0, max(1, -(-total // SLOTS)), np.zeros(len(every), np.int64), every)]
+    for s in map(int, numbers):
+        while not path[-1][0] <= s < path[-1][1]:
+            path.pop()
+        while path[-1][1] - path[-1][0] > 1:
+            low, high, start, n = path[-1]
+            middle = (low + high) // 2
+            part, of = (middle - low) * SLOTS, min(high * SLOTS, total) - low * SLOTS
+            share = [divmod(int(x) * part, of) for x in n]
+            half = drawn(np.array([w for w, _ in share]), np.array([r / of for _, r in share]), part - sum(w for w, _ in share), [low, high])
+            path.append((low, middle, start, half) if s < middle else (middle, high, start + half, n - half))
+        yield s, path[-1][2], path[-1][3]
+
+
 def slots(spark: SparkSession, found: list[dict]) -> DataFrame:
     """(shard, slot, source, block): which block of which source each slot of the mix takes."""
     live = [x for x in found if x["target"] > 0]
-    schema = "shard long, first long, src int, source string, n long"
+    schema = "shard long, slot long, source string, block long"
     if not live:
-        return spark.createDataFrame([], "shard long, slot long, source string, block long")
-    expected = np.array([x["target"] / (x["size"] / x["blocks"]) for x in live])
-    total = round(expected.sum())
-    p, shards = expected / expected.sum(), max(1, -(-total // SLOTS))
-    names = [x["source"] for x in live]
-
-    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for s in frame["id"]:
-                m = min(SLOTS, total - s * SLOTS)
-                whole = np.floor(p * m + 1e-9).astype(np.int64)
-                rest = np.maximum(p * m - whole, 0)
-                left = m - whole.sum()
-                n = whole + (np.random.default_rng([SEED, int(s)]).multinomial(left, rest / rest.sum()) if left > 0 else 0)
-                yield pd.DataFrame({"shard": s, "first": np.cumsum(n) - n, "src": np.arange(len(n)), "source": names, "n": n})
-
-    drawn = spark.range(shards).mapInPandas(draw, schema)
-    drawn = with_running_sum(drawn, ["src"], ["shard"], F.col("n"), "start", 1 + shards // ROWS_PER_BUCKET)
-    blocks = [x["blocks"] for x in live]
+        return spark.createDataFrame([], schema)
+    names, blocks = [x["source"] for x in live], [x["blocks"] for x in live]
+    every = given(np.array([x["target"] / (x["size"] / x["blocks"]) for x in live]), ROUNDS * np.array(blocks))
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for r in frame.itertuples():
-                k = np.arange(r.start, min(r.start + r.n, ROUNDS * blocks[r.src]))
-                rounds, out = k // blocks[r.src], np.empty(len(k), np.int64)
-                for e in np.unique(rounds):
-                    own = rounds == e
-                    out[own] = permuted(k[own] % blocks[r.src], blocks[r.src], hash((SEED, int(r.src), int(e))))
-                yield pd.DataFrame({"shard": r.shard, "slot": r.first + np.arange(len(k)), "source": r.source, "block": out})
-
-    return drawn.mapInPandas(place, "shard long, slot long, source string, block long")
+            for shard, start, n in dealt(frame["id"], every):
+                out = []
+                for src in np.flatnonzero(n):
+                    k = np.arange(start[src], start[src] + n[src])
+                    rounds, block = k // blocks[src], np.empty(len(k), np.int64)
+                    for e in np.unique(rounds):
+                        own = rounds == e
+                        block[own] = permuted(k[own] % blocks[src], blocks[src], hash((SEED, int(src), int(e))))
+                    out.append(block)
+                source = np.repeat(np.array(names, dtype=object), n)
+                yield pd.DataFrame({"shard": shard, "slot": np.arange(len(source)), "source": source, "block": np.concatenate(out)})
+
+    return spark.range(max(1, -(-int(every.sum()) // SLOTS))).mapInPandas(place, schema)
 
 
 def uses(placed: DataFrame, taken: DataFrame) -> DataFrame:

@@ -177,6 +177,33 @@ def test_mix_takes_near_the_target(spark, corpus):
     assert out.columns == docs.columns
 
 
+def test_many_shards_stay_near_the_target(spark):
+    sizes = {"a": 26_000_000, "b": 1, "c": 64, "d": 64 * 47, "e": 64 * 900 + 5, "f": 30_000_000, None: 64 * 12}
+    found = [{"src": i, "source": s, "size": n, "blocks": -(-n // mixing.BLOCK)} for i, (s, n) in enumerate(sizes.items())]
+    # Targets below, at and between whole blocks, and at the stop of three rounds.
+    for x, t in zip(found, (25_000_000, 3, 192, 64 * 46.5, 3 * (64 * 900 + 5), 31_000_000, 64 * 8), strict=True):
+        x["target"] = float(t)
+    rows = mixing.slots(spark, found).groupBy("source", "block").count().toPandas()
+    shards = mixing.slots(spark, found).groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("m"), F.max("slot").alias("last")).collect()
+    assert len(shards) > 200 and all(r["n"] == r["m"] == r["last"] + 1 for r in shards) and sum(r["n"] < mixing.SLOTS for r in shards) <= 1
+    for x in found:
+        own = rows[rows["source"].isna() if x["source"] is None else rows["source"] == x["source"]]
+        assert own["count"].max() <= 3 and own["block"].between(0, x["blocks"] - 1).all()
+        taken = (np.minimum(mixing.BLOCK, x["size"] - own["block"] * mixing.BLOCK) * own["count"]).sum()
+        assert abs(taken - x["target"]) <= 2 * mixing.BLOCK, (x, taken)
+        if x["target"] == 3 * x["size"]:
+            assert taken == x["target"]
+
+
+def test_a_shard_is_drawn_alike_alone():
+    every = np.array([5_000_000, 3, 0, 47, 1])
+    whole = list(mixing.dealt(range(1221), every))
+    assert (sum(n for *_, n in whole) == every).all()
+    for s in (0, 7, 700, 1220):
+        ((_, start, n),) = mixing.dealt([s], every)
+        assert (start == whole[s][1]).all() and (n == whole[s][2]).all()
+
+
 # 4
 
 
