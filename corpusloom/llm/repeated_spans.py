@@ -15,8 +15,10 @@ A byte is removed if a string of LENGTH bytes that covers it starts at two place
 4. The found runs of starts are laid over each text.
 
 An interval of more than HOT places is not sent to one task: equal surroundings are counted first, where they are
-found; the rest falls apart by the bytes around the anchor into ROUTES groups of offsets, each with LENGTH - STEP
-bytes in common. Bytes are compared as they are, so hashes never decide what goes.
+found; the rest falls apart by the bytes around the anchor into groups of STEP offsets, each with LENGTH - STEP bytes
+in common, where windows are cut to the bytes that these offsets reach and equal ones are counted again. What is left of
+more than HOT different windows - the rows differ within STEP bytes - is not gathered at all: its strings of LENGTH bytes
+are counted offset by offset. Bytes are compared as they are, so hashes never decide what goes.
 
 Defined results: null text counts as empty; texts shorter than LENGTH lose nothing; ids may be null or repeat (the
 result has a row for each row); an empty table gives no rows.
@@ -226,19 +228,40 @@ def runs_of_windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"hash": f["hash"].to_numpy()[w][ok], "window": f["window"].to_numpy()[w][ok], "j": j[ok], "k": k[ok]})
 
 
-def hot_runs(hot: DataFrame) -> DataFrame:
+def hot_runs(hot: DataFrame, where: str) -> DataFrame:
     """The runs of places whose interval is hot: equal windows are counted, then dealt by offsets and surroundings."""
-    marked = hot.withColumn("window", F.sha2(F.concat(F.lpad(F.octet_length("before").cast("string"), 4, "0").cast("binary"), "before", "after"), 256))
-    counts = marked.groupBy("hash", "window", "before", "after").agg(F.count(F.lit(1)).alias("copies"))
+    spark = hot.sparkSession
+    name = F.sha2(F.concat(F.lpad(F.octet_length("before").cast("string"), 4, "0").cast("binary"), "before", "after"), 256)
+    marked = hot.withColumn("window", name)
+    counts = written(marked.groupBy("hash", "window", "before", "after").agg(F.count(F.lit(1)).alias("copies")), f"{where}/hot-windows")
     steps = [(a, min(a + STEP - 1, LEFT)) for a in range(0, LEFT + 1, STEP)]
-    route = F.explode(F.array(*[F.struct(F.lit(a).alias("first"), F.lit(b).alias("last"), F.xxhash64("hash", F.lit(a), F.substr("before", F.lit(1), F.lit(a)), F.substr("after", F.lit(1), F.lit(LENGTH - b))).alias("key")) for a, b in steps]))
-    dealt = counts.withColumn("r", route).select("r.key", "r.first", "r.last", "hash", "window", "copies", "before", "after").where("octet_length(before) >= first")
-    found = dealt.repartition(shuffle_partitions(hot.sparkSession), "key").sortWithinPartitions("key").mapInPandas(runs_of_windows, "hash long, window string, j int, k int")
-    found = found.groupBy("hash", "window").agg(F.collect_list(F.struct("j", "k")).alias("runs"))
+    part = lambda c, n: F.substr(c, F.lit(1), F.lit(n))
+    route = F.explode(F.array(*[F.struct(F.lit(a).alias("first"), F.lit(b).alias("last"), F.xxhash64("hash", F.lit(a), part("before", a), part("after", LENGTH - b)).alias("key"), part("before", b).alias("before"), part("after", LENGTH - a).alias("after")) for a, b in steps]))
+    # Each window's cuts: what the offsets of a step can reach of it.
+    cuts = counts.withColumn("r", route).select("hash", F.col("window").alias("whole"), "copies", "r.*").where("octet_length(before) >= first").withColumn("window", name)
+    dealt = written(cuts.groupBy("key", "first", "last", "hash", "window", "before", "after").agg(F.sum("copies").alias("copies")), f"{where}/hot-cuts")
+    large = written(dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("key"), f"{where}/hot-keys")
+    sent = dealt.join(F.broadcast(large), "key", "left_anti").repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key")
+    found = sent.mapInPandas(runs_of_windows, "hash long, window string, j int, k int").withColumn("first", F.expr(f"int(j div {STEP}) * {STEP}"))
+    found = found.unionByName(counted_strings(dealt.join(F.broadcast(large), "key", "left_semi"), where))
+    found = cuts.select("hash", "whole", "first", "window").join(found, ["hash", "first", "window"])
+    found = found.groupBy("hash", F.col("whole").alias("window")).agg(F.collect_list(F.struct("j", "k")).alias("runs"))
     places = marked.select("hash", "window", "digest", "at").join(found, ["hash", "window"]).withColumn("r", F.explode("runs")).select("digest", "at", "r.j", "r.k")
     return places.select("digest", (F.col("at") - F.col("k")).alias("low"), (F.col("at") - F.col("j") + LENGTH).alias("high"))
 
 
+def counted_strings(cuts: DataFrame, where: str) -> DataFrame:
+    """The runs (hash, first, window, j, k = j) of cut windows, by counting each offset's string of LENGTH bytes."""
+    own = cuts.withColumn("j", F.explode(F.sequence("first", "last"))).where(f"octet_length(before) >= j and octet_length(after) >= {LENGTH} - j")
+    own = own.select("hash", "first", "window", "copies", "j", F.concat(F.substr("before", F.lit(1), F.col("j")), F.substr("after", F.lit(1), F.lit(LENGTH) - F.col("j"))).alias("string"))
+    on = ["hash", "j", "string"]
+    twice = written(own.groupBy(*on).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("n")).where("copies > 1"), f"{where}/hot-strings")
+    # Strings of very many windows are few, and sent to where the windows are.
+    many, few = (twice.where(c).select(*on) for c in (F.col("n") > HOT, F.col("n") <= HOT))
+    found = own.join(F.broadcast(many), on, "left_semi").unionByName(own.join(F.broadcast(many), on, "left_anti").join(few, on, "left_semi"))
+    return found.select("hash", "first", "window", F.col("j").cast("int").alias("j"), F.col("j").cast("int").alias("k"))
+
+
 def laid_over(texts: DataFrame) -> DataFrame:
     """(digest, n_removed, n_spans, kept_sha256, spans) of texts with their runs."""
 
@@ -290,7 +313,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     sent = cool.select(F.col("hash").alias("key"), "digest", "at", "before", "after").repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key")
     runs = sent.mapInPandas(runs_of_places, "digest binary, low int, high int")
     if hot:
-        runs = runs.unionByName(hot_runs(every.where("hot")))
+        runs = runs.unionByName(hot_runs(every.where("hot"), where))
     runs = written(runs, f"{where}/runs").groupBy("digest").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
     partly = written(laid_over(texts.select("digest", "text").join(runs, "digest")), f"{where}/partly")
 

@@ -254,6 +254,28 @@ def test_repeats_equal_brute_force(spark, corpus, hot, monkeypatch):
     assert Counter((r["id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out.collect()) == brute_spans(rows)
 
 
+def test_a_passage_of_all_rows_is_not_gathered(spark, monkeypatch, tmp_path):
+    """Every row has the passage, and other bytes around it: no task extends more than the bound of one group."""
+    monkeypatch.setattr(repeated_spans, "HOT", 20)
+    r = random.Random(4)
+    passage = prose(r, 60)
+    rows = [(i, f"{prose(r, 8)} {i} {passage} {i} {prose(r, 50)}") for i in range(80)]
+    seen = tmp_path / "sizes"
+
+    def noted(frames, run=repeated_spans.runs_of_windows):
+        def told():
+            for f in frames:
+                with open(seen, "a") as out:
+                    out.writelines(f"{n}\n" for n in f["key"].value_counts())
+                yield f
+        return run(told())
+
+    monkeypatch.setattr(repeated_spans, "runs_of_windows", noted)
+    out = repeated_spans.repeats(table(spark, rows))
+    assert Counter((x["id"], x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in out.collect()) == brute_spans(rows)
+    assert max(map(int, seen.read_text().split())) <= 20
+
+
 # 9
 
 
