@@ -3,21 +3,26 @@
 For each prefix of a text there is one token with which its encoding ends. The table stores it: an automaton gives all
 pieces that end at a place, and of these the one is right whose predecessor - the last token of the prefix before it -
 may stand next to it, that is, whose concatenation encodes to just these two. The ids are then read backwards from the
-table. Pair tests are remembered (by pair, of which a vocabulary has few that occur), so the work is linear in the text. Pieces never have a blank mark after another
-character, so a text falls apart before blank marks; encoded parts are remembered in a table of bounded size.
+table. Pair tests are remembered (by pair, of which a vocabulary has few that occur), so the work is linear in the text.
+Pieces never have a blank mark after another character, so a text falls apart before blank marks; the ids of the parts
+met first are remembered as bytes. Both memories are of bounded size and begin anew when what they hold no longer serves.
 
 Characters that are no piece fall back to their UTF-8 bytes. Only the vocabulary (some 10^4 pieces) is sent to the
-executors. Defined results: null text counts as empty and has no ids; any other column may be null or repeated.
+executors. Defined results: null text counts as empty and has no ids, and null ids decode to the empty text; texts of any
+length are taken whole, a text at a time; ids and all other columns may be null or repeat, and no name clashes, for rows
+are neither joined nor renamed; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,8 +30,13 @@ from corpusloom.llm.common import documents
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = range(4)
-#: Parts of a text that an encoder remembers, and the longest of them.
-REMEMBERED, LONGEST = 300_000, 48
+#: Parts of a text that an encoder remembers (some 200 bytes each), the longest of them, and how many others it meets
+#: before it begins anew.
+REMEMBERED, LONGEST, STALE = 150_000, 48, 2_000_000
+#: Pair tests that an encoder remembers.
+PAIRS = 1_000_000
+#: Texts of a frame that are handed on together.
+ROWS = 256
 
 
 def vocabulary(path: str) -> list[tuple[str, float, int]]:
@@ -46,12 +56,17 @@ class Encoder:
         self.unknown = next((i for i, (_, _, kind) in enumerate(pieces) if kind == UNKNOWN), 0)
         self.fits: list[dict[int, bool]] = [{} for _ in pieces]  # by token, of the token before
         self.names = [str(i) for i in range(len(pieces))]
+        # The characters of tokens; an ASCII byte is one by itself, whatever bytes stand beside it.
         self.plain = [p.replace(MARK, " ") if kind == NORMAL else None for p, _, kind in pieces]
-        self.parts: dict[str, tuple[list[int], str, str]] = {}
-        self.older = self.parts
+        for b, i in self.bytes.items():
+            self.plain[i] = chr(b) if b < 128 else None
+        singles = {p: i for p, (_, i) in self.rank.items() if len(p) == 1}
+        self.single = lambda c: singles.get(c, -1)
+        self.parts: dict[str, bytes] = {}
+        self.passed = self.tests = 0
         self.automaton = ahocorasick.Automaton()
         for p, (_, i) in self.rank.items():
-            if len(p) == 1 or self.merged(p) == [i]:  # a piece that merges don't reach is never a last token
+            if len(p) > 1 and self.merged(p) == [i]:  # a piece that merges don't reach is never a last token
                 self.automaton.add_word(p, (i, len(p)))
         self.automaton.make_automaton()
         inside = {c for p in self.rank for c in p[1:]}
@@ -74,17 +89,22 @@ class Encoder:
 
     def together(self, a: int, b: int) -> bool:
         """Whether token b may follow token a."""
-        row = self.fits[b]
-        found = row[a] = self.merged(self.pieces[a][0] + self.pieces[b][0]) == [a, b]
+        if self.tests >= PAIRS:
+            self.tests = 0
+            for row in self.fits:
+                row.clear()
+        self.tests += 1
+        found = self.fits[b][a] = self.merged(self.pieces[a][0] + self.pieces[b][0]) == [a, b]
         return found
 
     def ids(self, part: str) -> list[int]:
         """The ids of a part, from the table of each prefix's last token."""
         n, fits = len(part), self.fits
-        last, size = [-1] * (n + 1), [1] * (n + 1)  # -1: a character that no piece ends with, so nothing merges with it
+        # A place where no longer piece fits has its character; -1 is one that is no piece, so nothing merges with it.
+        last, size = [-1, *map(self.single, part)], [1] * (n + 1)
         for end, (token, length) in self.automaton.iter(part):
             end += 1
-            if last[end] < 0:
+            if size[end] == 1:
                 before = last[end - length]
                 if before >= 0:
                     fit = fits[token].get(before)
@@ -104,16 +124,18 @@ class Encoder:
         return out
 
     def encode(self, text: str) -> list[int]:
-        own, out = self.part, []
-        for p in self.split.findall(MARK + text.replace(" ", MARK)) if text else ():
-            out += (self.parts.get(p) or own(p))[0]
-        return out
+        return self.codes(text).tolist()
+
+    def codes(self, text: str) -> np.ndarray:
+        known, own = self.parts, self.part
+        return np.frombuffer(b"".join([known.get(p) or own(p) for p in self.split.findall(MARK + text.replace(" ", MARK))] if text else []), np.int32)
 
     def surface(self, ids: list[int]) -> str:
         """The characters of ids, blank marks as blanks, byte pieces as UTF-8."""
-        texts = [self.plain[i] for i in ids]
-        if None not in texts:
-            return "".join(texts)
+        try:
+            return "".join(map(self.plain.__getitem__, ids))
+        except TypeError:  # bytes that are characters only together
+            pass
         out, raw = [], bytearray()
         for i in [*ids, None]:
             if i is not None and self.pieces[i][2] == BYTE:
@@ -130,26 +152,23 @@ class Encoder:
         text = self.surface(ids)
         return text[1:] if ids and self.pieces[ids[0]][0][:1] == MARK else text
 
-    def part(self, part: str) -> tuple[list[int], str, str]:
-        """The ids, the ids joined by commas, and their surface."""
-        found = self.older.get(part)
-        if found is None:
-            ids = self.ids(part)
-            found = ids, ",".join([self.names[i] for i in ids]), self.surface(ids)
-        if len(part) <= LONGEST:
-            if len(self.parts) >= REMEMBERED:  # what was not asked for since the last time is forgotten
-                self.older, self.parts = self.parts, {}
+    def part(self, part: str) -> bytes:
+        """The ids of a part as 32-bit numbers."""
+        found = array("i", self.ids(part)).tobytes()
+        if len(self.parts) < REMEMBERED and len(part) <= LONGEST:
             self.parts[part] = found
+        elif (passed := self.passed + 1) < STALE:
+            self.passed = passed
+        else:
+            self.passed = 0
+            self.parts.clear()
         return found
 
     def digests(self, text: str | None) -> tuple[int, str, str]:
         """Number of ids, sha256 of the ids joined by commas, sha256 of the decoded text."""
-        if not text:
-            return 0, hashlib.sha256(b"").hexdigest(), hashlib.sha256(b"").hexdigest()
-        own, parts = self.part, self.split.findall(MARK + text.replace(" ", MARK))
-        found = [self.parts.get(p) or own(p) for p in parts]
-        decoded = "".join([f[2] for f in found])[1:]  # the text's own first blank mark goes
-        return sum([len(f[0]) for f in found]), hashlib.sha256(",".join([f[1] for f in found]).encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()
+        ids = self.encode(text or "")
+        joined = ",".join(map(self.names.__getitem__, ids))
+        return len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(self.decode(ids).encode("utf-8", "surrogatepass")).hexdigest()
 
 
 def from_bytes(raw: bytes) -> str:
@@ -185,26 +204,45 @@ def shared(spark: SparkSession, path: str):
 def encoded(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """docs with a column of ids."""
     get = shared(docs.sparkSession, path)
-    ids = F.pandas_udf(lambda text: text.map(lambda t: get().encode(t or "")), "array<int>")
-    return docs.withColumn(ids_col, ids(F.col(text_col)))
+
+    @F.arrow_udf("array<int>")
+    def ids(text: pa.Array) -> pa.Array:
+        own = get()
+        found = [own.codes(t.as_py() or "") for t in text]
+        ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*found, np.zeros(0, np.int32)])))
+
+    return docs.withColumn(ids_col, ids(F.col(text_col).cast("string")))
 
 
 def decoded(docs: DataFrame, path: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
     """docs with the text of a column of ids."""
     get = shared(docs.sparkSession, path)
-    text = F.pandas_udf(lambda ids: ids.map(lambda i: get().decode([int(x) for x in i] if i is not None else [])), "string")
+
+    @F.arrow_udf("string")
+    def text(ids: pa.Array) -> pa.Array:
+        own = get()
+        return pa.array([own.decode(i.as_py() or []) for i in ids], pa.string())
+
     return docs.withColumn(text_col, text(F.col(ids_col)))
 
 
+DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
 def token_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     get = shared(docs.sparkSession, path)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            made = pd.DataFrame([get().digests(t) for t in frame["text"]], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            yield made.assign(doc_id=frame["doc_id"].astype("Int64"))[["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = get()
+        for batch in batches:
+            for k in range(0, batch.num_rows, ROWS):
+                part = batch.slice(k, ROWS)
+                made = [own.digests(t.as_py()) for t in part["text"]]
+                columns = [pa.array([m[i] for m in made], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
+                yield pa.RecordBatch.from_arrays([part["doc_id"], *columns], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, DIGESTS)
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
