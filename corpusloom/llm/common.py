@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The six characters of [\x20\x09-\x0D].
 BLANKS = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
@@ -16,9 +23,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder all executors share, from spark.checkpoint.dir. A local session that has none gets a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -56,6 +65,91 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Bytes of text that a task turns into Python strings at once (a single longer text is taken whole), and rows.
+SLICE_BYTES, SLICE_ROWS = 4 << 20, 2000
+
+
+def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(start, length) of runs of rows of at most SLICE_BYTES of text, or of one row."""
+    ends, start = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)), 0
+    while start < len(ends):
+        upto = (ends[start - 1] if start else 0) + SLICE_BYTES
+        stop = max(start + 1, min(start + SLICE_ROWS, int(np.searchsorted(ends, upto, side="right"))))
+        yield start, stop - start
+        start = stop
+
+
+def given_back() -> None:
+    """Hands memory that Arrow and malloc hold, but don't use, back: Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def map_texts(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, by: str = "text") -> DataFrame:
+    """Like mapInPandas, in frames of bounded bytes of the text column: what a task holds does not follow its batches."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kind = to_arrow_schema(T.StructType.fromDDL(schema))
+
+    def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frames = (b.slice(k, n).to_pandas(integer_object_nulls=True) for b in batches for k, n in slices(b[by]))
+        try:
+            for out in run(frames):
+                yield pa.RecordBatch.from_pandas(out, schema=kind, preserve_index=False)
+        finally:
+            given_back()
+
+    return df.mapInArrow(call, schema)
+
+
+def map_frames(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """mapInPandas, after which a task gives its memory back."""
+
+    def call(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        try:
+            yield from run(frames)
+        finally:
+            given_back()
+
+    return df.mapInPandas(call, schema)
+
+
+def texts_udf(call: Callable[..., pa.Array], kind: str | T.DataType, others: int = 0):
+    """A column function of texts, which come in lists of bounded bytes, with so many other columns beside them."""
+
+    def run(batches: Iterator) -> Iterator[pa.Array]:
+        try:
+            for batch in batches:
+                text, *rest = batch if others else (batch,)
+                parts = [call(text.slice(k, n).to_pylist(), *[r.slice(k, n).to_pylist() for r in rest]) for k, n in slices(text)]
+                yield pa.concat_arrays(parts) if parts else call([], *[[] for _ in rest])
+        finally:
+            given_back()
+
+    run.__annotations__ = {"batches": Iterator[tuple[pa.Array, ...]] if others else Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, kind)
+
+
+_kept: dict[str, object] = {}
+
+
+def kept(key: str, make: Callable[[], object]):
+    """What make gives, remembered in a worker process for later tasks, in place of what was remembered before."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def lists(values: Sequence[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    """Arrays of numbers as one Arrow array of lists."""
+    ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
+    flat = np.concatenate([*values, np.zeros(0, kind.to_pandas_dtype())])
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, kind))
+
+
 def squeezed(text: Column) -> Column:
     """The text without the characters of [\\x20\\x09-\\x0D]; null counts as empty."""
     out = F.coalesce(text, F.lit(""))

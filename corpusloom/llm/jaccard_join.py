@@ -25,10 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import components, documents, maybe_wanted, shuffle_partitions, workspace, written
+from corpusloom.llm.common import components, documents, lists, map_frames, map_texts, maybe_wanted, shuffle_partitions, texts_udf, workspace, written
 
 GROUPS = 64
 #: Groups of the vector that a pair is bounded by once more before its sets are fetched.
@@ -103,7 +104,8 @@ def sets(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int,
             out["id"] = frame["id"].astype("Int64")
             yield out[["id", "n", "digest", "first", "vector", "fine"]]
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, n long, digest binary, first array<long>, vector binary, fine binary")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return map_texts(texts, run, "id long, n long, digest binary, first array<long>, vector binary, fine binary")
 
 
 def common_hashes(docs: DataFrame, id_col: str, text_col: str, words: int) -> np.ndarray:
@@ -116,7 +118,7 @@ def common_hashes(docs: DataFrame, id_col: str, text_col: str, words: int) -> np
             for t in frame["text"]:
                 yield pd.DataFrame({"h": shingles(t, words).view(np.int64)})
 
-    found = some.mapInPandas(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
+    found = map_texts(some, run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
     return np.sort(found.select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64))
 
 
@@ -269,7 +271,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
 
     def sets_of(pairs: DataFrame, name: str) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        full = F.pandas_udf(lambda t: t.map(lambda x: shingles(x, words).view(np.int64), na_action=None), "array<long>")
+        full = texts_udf(lambda texts: lists([shingles(t, words).view(np.int64) for t in texts], pa.int64()), "array<long>")
         rows = maybe_wanted(text, F.col("_id"), wanted, F.col("id")).join(wanted.hint("shuffle_hash"), F.col("_id") == F.col("id")).select("id", full("text").alias("set"))
         return written(rows, f"{where}/{name}")
 
@@ -288,14 +290,15 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     beside = written(opened.join(centres, "h"), f"{where}/beside")
     near = [beside.where(F.col("part") != F.col(f"c{k}.part")).select(F.least("id", f"c{k}.id").alias("a"), F.greatest("id", f"c{k}.id").alias("b")) for k in range(CENTRES)]
     near = functools.reduce(DataFrame.union, near).distinct().join(stars, ["a", "b"], "left_anti")
-    more = written(bounded(bounded(near, members, percent), fine, percent), f"{where}/near2")
+    near = written(bounded(near, members, percent), f"{where}/near2-coarse")
+    more = written(bounded(near, fine, percent), f"{where}/near2")
     if not more.isEmpty():
         links = written(links.union(verified(more, sets_of(more, "sets2"), percent)), f"{where}/links2")
         parts = written(components(links, f"{where}/parts2"), f"{where}/parts-2")
         opened = open_groups(parts, "open2")
 
     open_ = opened.join(members, "id").select("h", "id", "pos", "part", "n", "vector")
-    found = open_.repartition(shuffle_partitions(spark), "h").sortWithinPartitions("h").mapInPandas(across(percent), "a long, b long").distinct()
+    found = map_frames(open_.repartition(shuffle_partitions(spark), "h").sortWithinPartitions("h"), across(percent), "a long, b long").distinct()
     found = written(found.join(stars, ["a", "b"], "left_anti"), f"{where}/found")
     found = written(bounded(found, fine, percent), f"{where}/near3")
     if not found.isEmpty():
@@ -320,7 +323,7 @@ def bounded(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
                 ok = (most >= enough(n, m, percent)) & can(n, m, percent)
                 yield f.loc[ok, ["a", "b"]]
 
-    return pairs.join(one, "a").join(two, "b").mapInPandas(run, "a long, b long")
+    return map_frames(pairs.join(one, "a").join(two, "b"), run, "a long, b long")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:

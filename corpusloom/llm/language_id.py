@@ -18,14 +18,16 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import documents, workspace, written
+from corpusloom.llm.common import documents, kept, texts_udf, workspace, written
 
 ORDER = 5
 #: Rows of a language that its model is learned from, at most; a tenth as many calibrate.
@@ -35,7 +37,7 @@ MARGIN = 10.0
 SHORT = 20.0
 #: Characters a language is taken to have, for those never seen.
 ALPHABET = 4096
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 CHARS_AT_ONCE = 1_000_000
 START, END = "\x02", "\x03"
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -252,37 +254,30 @@ def calibrate(models: Models, seen: pd.DataFrame) -> None:
     right = seen["lang"].map({l: i for i, l in enumerate(models.langs)}).to_numpy()
     fit = lambda t: np.mean(-t * h[np.arange(len(h)), right] - np.log(np.exp(-t * (h - best[:, None])).sum(axis=1)) + t * best)
     models.temperature = max((1.0, 2.0, 5.0, 10.0, 20.0, 50.0), key=fit)
+    models.key = uuid.uuid4().hex  # workers remember models by key, and may hold these as they were before
 
 
-_models: dict[str, Models] = {}
-
-
-def _shared(models: Models):
+def _shared(models: Models) -> Callable[[], Models]:
     """The models by broadcast; one copy serves all tasks of a worker process, with the words it has scored."""
     sent, key = SparkSession.active().sparkContext.broadcast(models), models.key
-
-    def get() -> Models:
-        if key not in _models:
-            _models.clear()
-            _models[key] = sent.value
-        return _models[key]
-
-    return get
+    return lambda: kept(key, lambda: sent.value)
 
 
 def entropies(models: Models):
+    """A function of a text column: cross-entropy by language; null without letters."""
     get = _shared(models)
-    return F.pandas_udf(lambda text: pd.Series([None if np.isnan(h[0]) else h.tolist() for h in get().entropies(list(text))[0]], dtype=object), "array<double>")
+    return texts_udf(lambda texts: pa.array([None if np.isnan(h[0]) else h for h in get().entropies(texts)[0]], pa.list_(pa.float64())), "array<double>")
 
 
 def predictor(models: Models):
     """A function of a text column: struct of lang, score, rejected."""
     get = _shared(models)
 
-    def run(text: pd.Series) -> pd.DataFrame:
-        return get().predict(list(text))
+    def run(texts: list[str | None]) -> pa.Array:
+        found = get().predict(texts)
+        return pa.StructArray.from_arrays([pa.array(found[c], kind) for c, kind in (("lang", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_()))], ["lang", "score", "rejected"])
 
-    return F.pandas_udf(run, "lang string, score double, rejected boolean")
+    return texts_udf(run, "lang string, score double, rejected boolean")
 
 
 def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

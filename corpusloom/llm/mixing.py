@@ -23,10 +23,11 @@ from fractions import Fraction
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import WORD, documents, with_running_sum, workspace, written
+from corpusloom.llm.common import WORD, documents, map_frames, texts_udf, with_running_sum, workspace, written
 
 BLOCK = 64
 SLOTS = 4096
@@ -142,7 +143,7 @@ def slots(spark: SparkSession, found: list[dict]) -> DataFrame:
                 source = np.repeat(np.array(names, dtype=object), n)
                 yield pd.DataFrame({"shard": shard, "slot": np.arange(len(source)), "source": source, "block": np.concatenate(out)})
 
-    return spark.range(max(1, -(-int(every.sum()) // SLOTS))).mapInPandas(place, schema)
+    return map_frames(spark.range(max(1, -(-int(every.sum()) // SLOTS))), place, schema)
 
 
 def uses(placed: DataFrame, taken: DataFrame) -> DataFrame:
@@ -179,10 +180,9 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     same = F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).cast("string").eqNullSafe(F.col("_s")) & (F.crc32(text_of := F.coalesce(F.col(text_col), F.lit(""))) == F.col("_crc")) & (F.regexp_count(text_of, F.lit(WORD)) == F.col("_size"))
     rounds = F.filter(F.sequence(F.lit(1), F.lit(ROUNDS)), lambda e: F.exists("_cuts", lambda c: c["n"] >= e))
 
-    @F.pandas_udf("string")
-    def taken(text: pd.Series, size: pd.Series, cuts: pd.Series, e: pd.Series) -> pd.Series:
+    def taken(texts: list[str], sizes: list[int], cuts: list[list[dict]], round_: list[int]) -> pa.Array:
         out = []
-        for t, n, c, r in zip(text, size, cuts, e, strict=True):
+        for t, n, c, r in zip(texts, sizes, cuts, round_, strict=True):
             runs: list[list[int]] = []
             for x in c:
                 if x["n"] >= r:
@@ -195,10 +195,10 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
             else:
                 at = [m.span() for m in word.finditer(t)]
                 out.append(" ".join(t[at[a][0] : at[b - 1][1]] for a, b in runs))
-        return pd.Series(out, dtype=object)
+        return pa.array(out, pa.string())
 
     rows = docs.join(cuts, same).withColumn("_round", F.explode(rounds))
-    rows = rows.withColumn(text_col, taken(F.col(text_col), "_size", "_cuts", "_round"))
+    rows = rows.withColumn(text_col, texts_udf(taken, "string", 3)(F.col(text_col), "_size", "_cuts", "_round"))
     if "n_chars" in names:
         rows = rows.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
     return rows.select(*names)

@@ -19,11 +19,12 @@ from fractions import Fraction
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import documents, workspace, written
+from corpusloom.llm.common import documents, map_texts, texts_udf, workspace, written
 
 # Fixed values of the format: kbit/s by (MPEG-1?, layer) and index, samples a second by version bits and index,
 # side information bytes by (MPEG-1?, mono?), samples of a frame by (MPEG-1?, layer).
@@ -194,13 +195,12 @@ def feature(seen: dict) -> str:
     return f"frames={len(seen['frames'])};samples={seen['samples']};seconds={seconds.numerator}/{seconds.denominator};vbr={vbr.get('kind', 'none')}:{vbr.get('frames', 0)}:{vbr.get('bytes', 0)};crc={seen['checked'] - seen['bad']}/{seen['checked']};skipped={seen['skipped']};seek={offsets}"
 
 
-@F.pandas_udf(T.BinaryType())
-def to_media(text: pd.Series) -> pd.Series:
-    def one(t: str | None) -> bytes:
-        raw = (t or "").encode("utf-8", "surrogatepass")
-        return encode(raw + bytes(-len(raw) % 64 if raw else 64))
+def _media(text: str | None) -> bytes:
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    return encode(raw + bytes(-len(raw) % 64 if raw else 64))
 
-    return text.map(one, na_action=None)
+
+to_media = texts_udf(lambda texts: pa.array(map(_media, texts), pa.binary()), T.BinaryType())
 
 
 def with_media(docs: DataFrame, text: Column, name: str = "media") -> DataFrame:
@@ -211,14 +211,17 @@ def with_media(docs: DataFrame, text: Column, name: str = "media") -> DataFrame:
 READ = T.StructType([T.StructField(n, t) for n, t in (("n_frames", T.LongType()), ("samples", T.LongType()), ("seconds", T.DoubleType()), ("bad_checksums", T.LongType()), ("skipped_bytes", T.LongType()), ("offsets", T.ArrayType(T.LongType())), ("payload", T.BinaryType()), ("feature", T.StringType()))])
 
 
-@F.pandas_udf(READ)
-def read_media(media: pd.Series) -> pd.DataFrame:
-    """Parses any MPEG audio column."""
+def _read(media: list[bytes | None]) -> pa.Array:
     out = []
     for m in media:
         seen = parse(m or b"")
         out.append((len(seen["frames"]), seen["samples"], float(seen["seconds"]), seen["bad"], seen["skipped"], [f[0] for f in seen["frames"]], decode(m or b"", seen), feature(seen)))
-    return pd.DataFrame(out, columns=["n_frames", "samples", "seconds", "bad_checksums", "skipped_bytes", "offsets", "payload", "feature"])
+    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.string()]
+    return pa.StructArray.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], READ.names)
+
+
+#: Parses any MPEG audio column.
+read_media = texts_udf(_read, READ)
 
 
 def media_digests(media: DataFrame) -> DataFrame:
@@ -235,7 +238,7 @@ def media_digests(media: DataFrame) -> DataFrame:
             found["id"] = found["id"].astype("Int64")
             yield found
 
-    return media.mapInPandas(read, "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return map_texts(media, read, "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", "media")
 
 
 def op7_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:

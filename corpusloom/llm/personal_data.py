@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import documents
+from corpusloom.llm.common import documents, map_texts
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
@@ -252,7 +252,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
         for frame in frames:
             yield pd.DataFrame([(*k, n) for k, n in counted(list(frame["text"])).items()], columns=["what", "a", "b", "n"])
 
-    found = docs.where(share < F.lit(sample_docs / max(1, total))).select(F.col(text_col).alias("text")).mapInPandas(count, "what string, a string, b string, n long")
+    found = docs.where(share < F.lit(sample_docs / max(1, total))).select(F.col(text_col).cast("string").alias("text"))
+    found = map_texts(found, count, "what string, a string, b string, n long")
     return Field({(r[0], r[1], r[2]): r[3] for r in found.groupBy("what", "a", "b").agg(F.sum("n")).collect()})
 
 
@@ -272,7 +273,8 @@ def annotated(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: s
                 yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").array, "base": [r[0] for r in rows], "spans": [r[1] for r in rows]})
 
     span = "array<struct<kind: string, start: int, end: int>>"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, f"doc_id long, base {span}, spans {span}")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return map_texts(texts, run, f"doc_id long, base {span}, spans {span}")
 
 
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

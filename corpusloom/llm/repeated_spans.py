@@ -34,13 +34,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import documents, maybe_wanted, shuffle_partitions, workspace, written
+from corpusloom.llm.common import documents, map_frames, map_texts, maybe_wanted, shuffle_partitions, workspace, written
 
 LENGTH, GRAM = 200, 32
 LEFT = LENGTH - GRAM
 HOT, STEP = 50_000, 24
 #: Windows that are extended at once, and positions hashed at once.
-TOGETHER, CHUNK = 40_000, 1 << 20
+TOGETHER, CHUNK = 10_000, 1 << 20
 
 _table = np.random.default_rng(9).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _odd = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -88,7 +88,8 @@ def indexed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             out["id"] = frame["id"].astype("Int64")
             yield out[["id", "n_bytes", "digest", "at", "hash"]]
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, n_bytes long, digest binary, at array<int>, hash array<long>")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return map_texts(texts, run, "id long, n_bytes long, digest binary, at array<int>, hash array<long>")
 
 
 def reaches(at: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,12 +121,12 @@ def windows(texts: DataFrame) -> DataFrame:
                     at = x["at"]
                     left, right = place[at]
                     rows.append((x["hash"], x["hot"], digest, at, raw[max(0, at - left) : at][::-1], raw[at : at + right]))
-                if len(rows) > 20_000:
+                if len(rows) > 4000:
                     yield pd.DataFrame(rows, columns=["hash", "hot", "digest", "at", "before", "after"])
                     rows = []
             yield pd.DataFrame(rows, columns=["hash", "hot", "digest", "at", "before", "after"])
 
-    return texts.mapInPandas(run, "hash long, hot boolean, digest binary, at int, before binary, after binary")
+    return map_texts(texts, run, "hash long, hot boolean, digest binary, at int, before binary, after binary")
 
 
 def extended(group: np.ndarray, before: list[bytes], after: list[bytes], copies: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -242,7 +243,7 @@ def hot_runs(hot: DataFrame, where: str) -> DataFrame:
     dealt = written(cuts.groupBy("key", "first", "last", "hash", "window", "before", "after").agg(F.sum("copies").alias("copies")), f"{where}/hot-cuts")
     large = written(dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("key"), f"{where}/hot-keys")
     sent = dealt.join(F.broadcast(large), "key", "left_anti").repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key")
-    found = sent.mapInPandas(runs_of_windows, "hash long, window string, j int, k int").withColumn("first", F.expr(f"int(j div {STEP}) * {STEP}"))
+    found = map_frames(sent, runs_of_windows, "hash long, window string, j int, k int").withColumn("first", F.expr(f"int(j div {STEP}) * {STEP}"))
     found = found.unionByName(counted_strings(dealt.join(F.broadcast(large), "key", "left_semi"), where))
     found = cuts.select("hash", "whole", "first", "window").join(found, ["hash", "first", "window"])
     found = found.groupBy("hash", F.col("whole").alias("window")).agg(F.collect_list(F.struct("j", "k")).alias("runs"))
@@ -283,7 +284,7 @@ def laid_over(texts: DataFrame) -> DataFrame:
                 rows.append((digest, sum(b - a for a, b in merged), len(merged), kept.hexdigest(), merged))
             yield pd.DataFrame(rows, columns=["digest", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    return texts.mapInPandas(run, "digest binary, n_removed long, n_spans long, kept_sha256 string, spans array<array<int>>")
+    return map_texts(texts, run, "digest binary, n_removed long, n_spans long, kept_sha256 string, spans array<array<int>>")
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -311,7 +312,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     hot = shared.where("hot").limit(1).count() > 0
     cool = every.where("not hot") if hot else every
     sent = cool.select(F.col("hash").alias("key"), "digest", "at", "before", "after").repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key")
-    runs = sent.mapInPandas(runs_of_places, "digest binary, low int, high int")
+    runs = map_frames(sent, runs_of_places, "digest binary, low int, high int")
     if hot:
         runs = runs.unionByName(hot_runs(every.where("hot"), where))
     runs = written(runs, f"{where}/runs").groupBy("digest").agg(F.collect_list(F.struct("low", "high")).alias("runs"))

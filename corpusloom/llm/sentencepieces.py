@@ -18,15 +18,16 @@ from __future__ import annotations
 import hashlib
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import documents
+from corpusloom.llm.common import documents, kept, lists, map_texts, texts_udf
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = range(4)
@@ -35,8 +36,6 @@ NORMAL, UNKNOWN, CONTROL, BYTE = range(4)
 REMEMBERED, LONGEST, STALE = 150_000, 48, 2_000_000
 #: Pair tests that an encoder remembers.
 PAIRS = 1_000_000
-#: Texts of a frame that are handed on together.
-ROWS = 256
 
 
 def vocabulary(path: str) -> list[tuple[str, float, int]]:
@@ -184,34 +183,17 @@ def from_bytes(raw: bytes) -> str:
     return "".join(out)
 
 
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(key: str, pieces) -> Encoder:
+def shared(spark: SparkSession, path: str) -> Callable[[], Encoder]:
     """One encoder for each vocabulary in a worker process, so what it remembers serves later tasks."""
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(pieces())
-    return _encoders[key]
-
-
-def shared(spark: SparkSession, path: str):
     pieces = vocabulary(path)
     key, sent = hashlib.sha256(repr(pieces).encode()).hexdigest(), spark.sparkContext.broadcast(pieces)
-    return lambda: encoder(key, lambda: sent.value)
+    return lambda: kept(key, lambda: Encoder(sent.value))
 
 
 def encoded(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """docs with a column of ids."""
     get = shared(docs.sparkSession, path)
-
-    @F.arrow_udf("array<int>")
-    def ids(text: pa.Array) -> pa.Array:
-        own = get()
-        found = [own.codes(t.as_py() or "") for t in text]
-        ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*found, np.zeros(0, np.int32)])))
-
+    ids = texts_udf(lambda texts: lists([get().codes(t or "") for t in texts], pa.int32()), "array<int>")
     return docs.withColumn(ids_col, ids(F.col(text_col).cast("string")))
 
 
@@ -233,16 +215,12 @@ DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 def token_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     get = shared(docs.sparkSession, path)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = get()
-        for batch in batches:
-            for k in range(0, batch.num_rows, ROWS):
-                part = batch.slice(k, ROWS)
-                made = [own.digests(t.as_py()) for t in part["text"]]
-                columns = [pa.array([m[i] for m in made], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
-                yield pa.RecordBatch.from_arrays([part["doc_id"], *columns], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, DIGESTS)
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            made = pd.DataFrame([get().digests(t) for t in frame["text"]], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+            yield made.assign(doc_id=frame["doc_id"].astype("Int64").array)
+
+    return map_texts(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, DIGESTS)
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
