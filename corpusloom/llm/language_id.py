@@ -7,11 +7,13 @@ count the distinct characters before an n-gram. The models lie side by side in s
 with a column of log probabilities for each language, and in one of context hashes with log back-off weights.
 
 The language of lowest cross-entropy per character is chosen. Further sampled rows calibrate the temperature of the
-score and the cross-entropy above which a text is rejected as none of the languages (its median and MARGIN deviations,
-and more for short texts).
+score and the cross-entropy above which a text is rejected as none of the languages. A few words may look odd by chance, so
+there is a limit for each of LENGTHS characters, from pieces of that length of the calibrating rows: the highest
+cross-entropy of a QUANTILE of them and MARGIN deviations more; limits of other lengths lie between these.
 
 Defined results: a null text and a text without letters are `und` with score 0 and rejected, as is every text if no
-row has a language; null ids count as an empty one; rows may repeat.
+row has a language, or the table no rows; null ids count as an empty one; rows and ids may repeat, and are judged alike;
+texts of any length are scored whole. Columns of other names, whatever they are, come back as they were.
 """
 
 from __future__ import annotations
@@ -32,9 +34,9 @@ from corpusloom.llm.common import documents, kept, texts_udf, workspace, written
 ORDER = 5
 #: Rows of a language that its model is learned from, at most; a tenth as many calibrate.
 DOCS_PER_LANG = 400
-MARGIN = 10.0
-#: Over the root of a text's characters, this is added to the limit: a few words may look odd by chance.
-SHORT = 20.0
+#: Lengths with a limit of their own; pieces of each that are taken of a calibrating text.
+LENGTHS, PIECES = (8, 16, 32, 64, 128, 256, 512, 1024, 2048), 8
+QUANTILE, MARGIN = 0.999, 4.0
 #: Characters a language is taken to have, for those never seen.
 ALPHABET = 4096
 REMEMBERED = 150_000
@@ -69,7 +71,7 @@ class Models:
     unseen: float
     key: str
     temperature: float = 20.0
-    limit: float = float("inf")
+    limits: np.ndarray = field(default_factory=lambda: np.full(len(LENGTHS), np.inf))
     known: dict[str, int] = field(default_factory=dict)
     table: np.ndarray | None = None
 
@@ -137,7 +139,7 @@ class Models:
                 lang.append("und"), score.append(0.0), rejected.append(True)
                 continue
             k = int(np.argmin(h))
-            limit = self.limit + SHORT / np.sqrt(n)
+            limit = np.interp(np.log2(n), np.log2(LENGTHS), self.limits)
             share = 1 / np.exp(-self.temperature * (h - h[k])).sum()
             lang.append(self.langs[k]), score.append(float(share * np.exp(min(0.0, limit - h[k])))), rejected.append(bool(h[k] > limit))
         return pd.DataFrame({"lang": lang, "score": score, "rejected": rejected})
@@ -165,65 +167,89 @@ def gram_counts(sample: DataFrame) -> DataFrame:
     return result.withColumn("n", F.length("gram"))
 
 
+def matrix(grams: pd.Series, n: int) -> np.ndarray:
+    """The code points of n-grams, a row for each."""
+    return codes_of("".join(grams)).reshape(-1, n)
+
+
+def tails(grams: np.ndarray, k: int) -> np.ndarray:
+    """The hash of the last k code points of each row, as `mixed` has it."""
+    out = np.zeros(len(grams), np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(k):
+            out = (out ^ grams[:, grams.shape[1] - 1 - j]) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(31)
+        return out * np.uint64(2 * k + 1)
+
+
+def located(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each wanted hash is among sorted keys, and where."""
+    if not len(keys):
+        return np.zeros(len(wanted), bool), np.zeros(len(wanted), np.int64)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return keys[at] == wanted, at
+
+
+class Language:
+    """One language's probabilities, from the shortest n-grams up, in sorted arrays."""
+
+    def __init__(self, counts: pd.DataFrame):
+        none = (np.zeros(0, np.uint64), np.zeros(0))
+        self.grams, self.gammas, self.seen, self.least = [none] * (ORDER + 1), [none] * (ORDER + 1), {}, 1 / ALPHABET
+        for n in range(1, ORDER + 1):
+            own = counts[counts["n"] == n]
+            if len(own):
+                self.add(n, matrix(own["gram"], n), own["count"].to_numpy(float))
+
+    def add(self, n: int, grams: np.ndarray, c: np.ndarray) -> None:
+        ones, twos = (c == 1).sum(), (c == 2).sum()
+        d = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones + twos else 0.5
+        contexts, at = np.unique(tails(grams[:, :-1], n - 1), return_inverse=True)
+        total = np.bincount(at, c)
+        gamma = d * np.bincount(at) / total
+        p = np.maximum(c - d, 0) / total[at]
+        if n == 1:
+            self.least *= gamma[0]
+            p += self.least
+        else:
+            p += gamma[at] * self.probabilities(grams[:, 1:])
+            self.gammas[n - 1] = (contexts, gamma)
+        h = tails(grams, n)
+        order = np.argsort(h)
+        self.grams[n], self.seen[n] = (h[order], p[order]), grams
+
+    def probabilities(self, grams: np.ndarray) -> np.ndarray:
+        """Of each row's last character after the ones before it."""
+        weight, out = np.ones(len(grams)), np.full(len(grams), -1.0)
+        for k in range(grams.shape[1], 0, -1):
+            left = np.flatnonzero(out < 0)
+            hit, at = located(self.grams[k][0], tails(grams[left], k))
+            out[left[hit]] = weight[left[hit]] * self.grams[k][1][at[hit]]
+            if k > 1:
+                left = left[~hit]
+                hit, at = located(self.gammas[k - 1][0], tails(grams[left][:, :-1], k - 1))
+                weight[left[hit]] *= self.gammas[k - 1][1][at[hit]]
+        return np.where(out < 0, weight * self.least, out)
+
+
 def learned(counts: pd.DataFrame) -> Models:
-    """The models, from the n-gram counts: probabilities from the shortest n-grams up."""
+    """The models, from the n-gram counts."""
     langs = sorted(counts["lang"].unique())
-    grams, logs, backs = [], [], {}
-    lower: dict[str, dict[str, float]] = {l: {} for l in langs}
-    probs: dict[int, dict[str, dict[str, float]]] = {}
-    uniform = 1 / ALPHABET
-    gammas: dict[str, dict[str, float]] = {l: {} for l in langs}
-    base: dict[str, float] = {}
+    each = [Language(counts[counts["lang"] == l]) for l in langs]
+    grams, logs = [], []
     for n in range(1, ORDER + 1):
-        probs[n] = {}
-        for l in langs:
-            own = counts[(counts["n"] == n) & (counts["lang"] == l)]
-            c = own["count"].to_numpy(float)
-            ones, twos = (c == 1).sum(), (c == 2).sum()
-            d = min(0.95, max(0.1, ones / (ones + 2 * twos))) if len(c) and ones + twos else 0.5
-            context = own["gram"].str[:-1]
-            by = pd.DataFrame({"context": context, "c": c}).groupby("context")["c"]
-            total, kinds = by.sum(), by.count()
-            gamma = (d * kinds / total).to_dict()
-            if n == 1:
-                base[l] = gamma.get("", 1.0)
-                lower_p = {g: uniform for g in own["gram"]}
-            else:
-                gammas[l].update(gamma)
-                lower_p = None
-            p = (np.maximum(c - d, 0) / context.map(total).to_numpy(float)) if len(c) else c
-            table = {}
-            for g, h, x in zip(own["gram"], context, p, strict=True):
-                under = uniform if n == 1 else lower[l].get(g[1:])
-                if under is None:  # what follows a word's start has no shorter count of its own
-                    under = backed_off(g[1:], lower[l], gammas[l], base[l] * uniform)
-                table[g] = x + (base[l] if n == 1 else gamma[h]) * under
-            probs[n][l] = table
-            lower[l].update(table)
-    for n in range(1, ORDER + 1):
-        every = sorted({g for l in langs for g in probs[n][l]})
-        table = np.array([[np.log(lower[l][g] if g in probs[n][l] else backed_off(g, lower[l], gammas[l], base[l] * uniform)) for l in langs] for g in every]).reshape(len(every), len(langs))
-        h = np.array([mixed(codes_of(g), n)[-1] for g in every], np.uint64) if every else np.array([0], np.uint64)
-        order = np.argsort(h)
-        grams.append(h[order])
-        logs.append(table[order] if every else np.full((1, len(langs)), -50.0))
-    contexts = sorted({h for l in langs for h in gammas[l]})
-    h = np.array([mixed(codes_of(c), len(c))[-1] for c in contexts], np.uint64) if contexts else np.array([0], np.uint64)
-    backs = np.log(np.array([[gammas[l].get(c, 1.0) for l in langs] for c in contexts])).reshape(len(contexts), len(langs)) if contexts else np.zeros((1, len(langs)))
-    order = np.argsort(h)
-    unseen = float(np.mean([np.log(base[l] * uniform) for l in langs])) if langs else 0.0
-    return Models(langs, grams, logs, h[order], backs[order], unseen, uuid.uuid4().hex)
-
-
-def backed_off(gram: str, known: dict[str, float], gammas: dict[str, float], least: float) -> float:
-    """The probability of a gram's last character after the ones before it."""
-    weight = 1.0
-    while gram:
-        if gram in known:
-            return weight * known[gram]
-        weight *= gammas.get(gram[:-1], 1.0) if len(gram) > 1 else 1.0
-        gram = gram[1:]
-    return weight * least
+        every = [x.seen[n] for x in each if n in x.seen]
+        every = np.concatenate(every) if every else np.zeros((1, n), np.uint64)
+        h, first = np.unique(tails(every, n), return_index=True)
+        grams.append(h)
+        logs.append(np.column_stack([np.log(x.probabilities(every[first])) for x in each]) if each else np.zeros((len(h), 0)))
+    contexts = np.unique(np.concatenate([np.zeros(1, np.uint64), *[x.gammas[k][0] for x in each for k in range(1, ORDER)]]))
+    backs = np.zeros((len(contexts), len(langs)))
+    for j, x in enumerate(each):
+        for k in range(1, ORDER):
+            backs[located(contexts, x.gammas[k][0])[1], j] = np.log(x.gammas[k][1])
+    unseen = float(np.mean([np.log(x.least) for x in each])) if each else 0.0
+    return Models(langs, grams, logs, contexts, backs, unseen, uuid.uuid4().hex)
 
 
 def trainable(id_col: str) -> Column:
@@ -240,20 +266,46 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     tenth = F.col("share") >= F.col("most") / 1.1
     models = learned(gram_counts(picked.where(~tenth | (F.col("most") >= 1))).toPandas())
     if models.langs:
-        seen = picked.where(tenth | (F.col("most") >= 1)).select("lang", entropies(models)("text").alias("h")).where("h is not null").toPandas()
+        seen = picked.where(tenth | (F.col("most") >= 1)).select("lang", calibrating(models)("text").alias("h")).toPandas()
         calibrate(models, seen)
     return models
 
 
+def pieces(text: str | None) -> list[str]:
+    """The text, and at most PIECES pieces of it of each of LENGTHS characters, evenly spaced."""
+    words = LETTERS.findall((text or "").lower())
+    ends, out = np.cumsum([len(w) + 1 for w in words]), [text or ""]
+    for n in LENGTHS:
+        for start in np.unique(np.linspace(0, len(words), PIECES, endpoint=False).astype(int)):
+            stop = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + n)) + 1
+            if stop <= len(words):
+                out.append(" ".join(words[start:stop]))
+    return out
+
+
 def calibrate(models: Models, seen: pd.DataFrame) -> None:
-    if not len(seen):
+    """Sets limits and temperature by rows of a language and, of its text and pieces, characters and cross-entropies."""
+    rows = [(lang, k, *x) for lang, hs in zip(seen["lang"], seen["h"], strict=True) for k, x in enumerate(hs) if not np.isnan(x[1])]
+    if not rows:
         return
-    h = np.array(seen["h"].tolist())
-    best = h.min(axis=1)
-    models.limit = float(np.median(best) + MARGIN * max(0.1, 1.4826 * np.median(np.abs(best - np.median(best)))))
-    right = seen["lang"].map({l: i for i, l in enumerate(models.langs)}).to_numpy()
-    fit = lambda t: np.mean(-t * h[np.arange(len(h)), right] - np.log(np.exp(-t * (h - best[:, None])).sum(axis=1)) + t * best)
-    models.temperature = max((1.0, 2.0, 5.0, 10.0, 20.0, 50.0), key=fit)
+    n, best = np.array([r[2] for r in rows]), np.array([min(r[3:]) for r in rows])
+    near = np.abs(np.log2(n)[:, None] - np.log2(LENGTHS)).argmin(axis=1)
+    limits = []
+    for k in range(len(LENGTHS)):
+        own = best[near == k]
+        if len(own) < 4 * PIECES:  # too few to tell: as for the length before, or all there are
+            limits.append(limits[-1] if limits else float(best.max()) + MARGIN)
+            continue
+        middle = np.median(own)
+        limits.append(float(np.quantile(own, QUANTILE) + MARGIN * max(0.05, 1.4826 * np.median(np.abs(own - middle)))))
+    models.limits = np.minimum.accumulate(limits)  # a longer text is no freer than a shorter one
+    whole = [r for r in rows if r[1] == 0]
+    if whole:
+        h = np.array([r[3:] for r in whole])
+        right = np.array([models.langs.index(r[0]) for r in whole])
+        low = h.min(axis=1)
+        fit = lambda t: np.mean(-t * h[np.arange(len(h)), right] - np.log(np.exp(-t * (h - low[:, None])).sum(axis=1)) + t * low)
+        models.temperature = max((1.0, 2.0, 5.0, 10.0, 20.0, 50.0), key=fit)
     models.key = uuid.uuid4().hex  # workers remember models by key, and may hold these as they were before
 
 
@@ -263,10 +315,18 @@ def _shared(models: Models) -> Callable[[], Models]:
     return lambda: kept(key, lambda: sent.value)
 
 
-def entropies(models: Models):
-    """A function of a text column: cross-entropy by language; null without letters."""
+def calibrating(models: Models):
+    """A function of a text column: of the text and its pieces, the characters scored and the cross-entropies."""
     get = _shared(models)
-    return texts_udf(lambda texts: pa.array([None if np.isnan(h[0]) else h for h in get().entropies(texts)[0]], pa.list_(pa.float64())), "array<double>")
+
+    def run(texts: list[str | None]) -> pa.Array:
+        own, out = get(), []
+        for t in texts:
+            h, n = own.entropies(pieces(t))
+            out.append(np.column_stack([n, h]).tolist())
+        return pa.array(out, pa.list_(pa.list_(pa.float64())))
+
+    return texts_udf(run, "array<array<double>>")
 
 
 def predictor(models: Models):
@@ -283,7 +343,7 @@ def predictor(models: Models):
 def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of docs that are not rejected."""
     found = predictor(train(docs, id_col, text_col, lang_col))(F.col(text_col))
-    return docs.withColumn("_found", found).where("not _found.rejected").select(*docs.columns)
+    return docs.where(~found["rejected"])
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

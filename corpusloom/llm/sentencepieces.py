@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import documents, kept, lists, map_texts, texts_udf
+from corpusloom.llm.common import documents, kept, lists, map_texts, texts_udf, unused
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = range(4)
@@ -197,6 +197,22 @@ def encoded(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "
     return docs.withColumn(ids_col, ids(F.col(text_col).cast("string")))
 
 
+def checked(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", same_col: str = "round_trip") -> DataFrame:
+    """docs with a column of ids, and whether they decode to the text: both in one pass."""
+    get = shared(docs.sparkSession, path)
+
+    def run(texts: list[str | None]) -> pa.Array:
+        own = get()
+        ids = [own.codes(t or "") for t in texts]
+        same = [own.decode(i.tolist()) == (t or "") for i, t in zip(ids, texts, strict=True)]
+        return pa.StructArray.from_arrays([lists(ids, pa.int32()), pa.array(same, pa.bool_())], ["ids", "same"])
+
+    found = texts_udf(run, "ids array<int>, same boolean")(F.col(text_col).cast("string"))
+    made = unused("_found", docs.columns)
+    out = docs.withColumn(made, found)
+    return out.withColumns({ids_col: out[made]["ids"], same_col: out[made]["same"]}).drop(made)
+
+
 def decoded(docs: DataFrame, path: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
     """docs with the text of a column of ids."""
     get = shared(docs.sparkSession, path)

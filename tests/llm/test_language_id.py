@@ -1,0 +1,105 @@
+"""Kneser-Ney models against the textbook recursion over dicts, and calibrated rejection by length."""
+
+import random
+from collections import Counter
+
+import numpy as np
+import pandas as pd
+import pytest
+
+from corpusloom.llm import language_id as li
+from tests.llm.test_llm import prose, table
+
+
+def brute_counts(words: Counter) -> dict[int, Counter]:
+    """By length, counts of n-grams: occurrences of the longest and of those at a word's start, else distinct characters before."""
+    top = Counter()
+    for w, c in words.items():
+        w = f"{li.START}{w}{li.END}"
+        for e in range(2, len(w) + 1):
+            top[w[max(0, e - li.ORDER) : e]] += c
+    levels = {li.ORDER: Counter({g: c for g, c in top.items() if len(g) == li.ORDER})}
+    for n in range(li.ORDER - 1, 0, -1):
+        levels[n] = Counter(g[1:] for g in levels[n + 1]) + Counter({g: c for g, c in top.items() if len(g) == n})
+    return levels
+
+
+class Brute:
+    def __init__(self, words: Counter):
+        self.levels = brute_counts(words)
+        self.d, self.by = {}, {}
+        for n, c in self.levels.items():
+            ones, twos = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+            self.d[n] = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones + twos else 0.5
+            self.by[n] = {}
+            for g, v in c.items():
+                self.by[n].setdefault(g[:-1], []).append(v)
+
+    def p(self, g: str) -> float:
+        """Of the last character after the ones before it."""
+        n = len(g)
+        if n == 0:
+            return 1 / li.ALPHABET
+        own = self.by[n].get(g[:-1])
+        if own is None:
+            return self.p(g[1:])
+        c = self.levels[n].get(g, 0)
+        return max(c - self.d[n], 0) / sum(own) + self.d[n] * len(own) / sum(own) * self.p(g[1:])
+
+
+@pytest.fixture(scope="module")
+def words():
+    r = random.Random(6)
+    return {lang: Counter(prose(r, 400, lang).split()) for lang in ("en", "de")}
+
+
+def counts_of(words: dict[str, Counter]) -> pd.DataFrame:
+    return pd.DataFrame([(lang, n, g, c) for lang, w in words.items() for n, grams in brute_counts(w).items() for g, c in grams.items()], columns=["lang", "n", "gram", "count"])
+
+
+def test_spark_counts_equal_brute_force(spark, words):
+    sample = spark.createDataFrame([(lang, " ".join(w.elements())) for lang, w in words.items()], "lang string, text string")
+    ours = {(r["lang"], r["n"], r["gram"]): r["count"] for r in li.gram_counts(sample).collect()}
+    assert ours == {(r.lang, r.n, r.gram): r.count_ for r in counts_of(words).rename(columns={"count": "count_"}).itertuples()}
+
+
+def test_word_probabilities_equal_the_recursion(words):
+    models = li.learned(counts_of(words))
+    assert models.langs == ["de", "en"]
+    asked = ["the", "wasser", "waterish", "x", "überall", "qzj", "häuser"]
+    ours = models.words(asked)
+    for j, lang in enumerate(models.langs):
+        brute = Brute(words[lang])
+        for i, w in enumerate(asked):
+            w = f"{li.START}{w}{li.END}"
+            known = all(c in "".join(words["en"]) + "".join(words["de"]) + li.END for c in w[1:])
+            if known:  # a character that no language has is given one value for all of them
+                expected = sum(np.log(brute.p(w[max(0, e - li.ORDER) : e])) for e in range(2, len(w) + 1))
+                assert ours[i, j] == pytest.approx(expected, rel=1e-9), (lang, w)
+
+
+def test_probabilities_after_a_context_sum_to_one(words):
+    counts = counts_of(words)
+    for lang in ("en", "de"):
+        model = li.Language(counts[counts["lang"] == lang])
+        known = sorted({c for c in "".join(words[lang])} | {li.END})
+        for context in ("", "t", "th", "wass", li.START, li.START + "t", "zzzz"):
+            grams = li.matrix(pd.Series([context + c for c in known]), len(context) + 1)
+            never = model.probabilities(li.matrix(pd.Series([context + "\u4e00"]), len(context) + 1))[0]
+            assert model.probabilities(grams).sum() + (li.ALPHABET - len(known)) * never == pytest.approx(1, abs=1e-9)
+
+
+def noise(r, n, letters):
+    return " ".join("".join(r.choice(letters) for _ in range(r.randint(3, 9))) for _ in range(n))
+
+
+def test_rejection_follows_the_length(spark):
+    r = random.Random(9)
+    rows = [(i, prose(r, r.choice([2, 5, 40, 300]), ("en", "de")[i % 2]), ("en", "de")[i % 2]) for i in range(600)]
+    models = li.train(table(spark, rows))
+    assert (np.diff(models.limits) <= 0).all()
+    clean = models.predict([prose(r, n, lang) for n in (1, 2, 5, 20, 200) for lang in ("en", "de") for _ in range(20)])
+    assert clean["rejected"].mean() <= 0.01
+    for n, share in ((6, 0.5), (20, 0.95), (200, 1.0)):
+        assert models.predict([noise(r, n, "abcdefghijklmnopqrstuvwxyz") for _ in range(40)])["rejected"].mean() >= share, n
+        assert models.predict([noise(r, n, "абвгдежзийклмн") for _ in range(40)])["rejected"].all()

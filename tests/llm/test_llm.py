@@ -362,16 +362,6 @@ def test_no_language_to_learn(spark):
     assert [x[0] for x in docs.select(language_id.predictor(models)("text")["lang"]).collect()] == ["und", "und"]
 
 
-def test_probabilities_sum_to_one(spark):
-    r = random.Random(6)
-    docs = table(spark, [(i, prose(r, 40), "en") for i in range(60)])
-    models = language_id.train(docs)
-    words = ["the" + chr(c) for c in range(97, 123)]
-    logs = models.words(words)
-    assert np.isfinite(logs).all()
-    assert models.words(["the"])[0, 0] > models.words(["eht"])[0, 0]
-
-
 # 3
 
 
