@@ -31,11 +31,8 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each text, and whether they decode to it."""
-    path = sentencepieces.model_path()
-    ids = sentencepieces.encoded(docs, path)
-    again = sentencepieces.decoded(ids.withColumnRenamed("text", "_text"), path)
-    same = F.col("text") == F.coalesce("_text", F.lit(""))
-    return again.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
+    found = sentencepieces.checked(docs.select("doc_id", "lang", "source", "text"), sentencepieces.model_path())
+    return found.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
 
 
 STAGES = [
