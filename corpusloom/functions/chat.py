@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -28,9 +29,22 @@ def get(name: str) -> Callable[[Column, bool], Column]:
     return TEMPLATES[name]
 
 
+#: Patterns of model ids and the template of such models; the first that is found in an id counts.
+FAMILIES: list[tuple[re.Pattern[str], str]] = []
+
+
+def family(pattern: str, name: str) -> None:
+    """Registers a template for models whose id the pattern, found anywhere and in any case, describes."""
+    get(name)
+    FAMILIES.insert(0, (re.compile(pattern, re.I), name))
+
+
 def for_model(model_id: str) -> str:
-    """The first template whose name is part of a model id; blank for none."""
-    return next((n for n in TEMPLATES if n != "blank" and n in model_id.lower()), "blank")
+    """The template of a model's family. There is none for an unknown model: a wrong prompt would go unnoticed."""
+    found = next((name for pattern, name in FAMILIES if pattern.search(model_id)), None)
+    if found is None:
+        raise KeyError(f"no chat template for model {model_id}; name one of {', '.join(sorted(TEMPLATES))}, or a format with {{prompt}}, as model_prompt, or register its family")
+    return found
 
 
 def user_message(prompt: Column | str) -> Column:
@@ -83,3 +97,7 @@ def inst(messages: Column, generation: bool) -> Column:
         lambda m, i: F.when(m["role"] == "user", F.concat(F.lit(" [INST] "), F.when(i == 0, lead).otherwise(F.lit("")), m["content"], F.lit(" [/INST]"))).otherwise(F.concat(F.lit(" "), m["content"], F.lit("</s>"))),
     )
     return F.when(wrong, F.raise_error(F.lit("user and assistant turns must alternate"))).otherwise(F.concat(F.lit("<s>"), F.array_join(text, "")))
+
+
+family(r"mistral|mixtral", "inst")
+family(r"(^|[-_/])lab([-_/:]|$)", "roles")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,16 +33,19 @@ def lstrip(c: Column | str) -> Column:
     return F.regexp_replace(column(c), f"(?U)^{SPACE}+", "")
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """A function of a value that is worked out once a row, however often the function names it."""
+    return F.transform(F.array(value), then)[0]
+
+
 def to_float(c: Column | str) -> Column:
     """float() of a string; null where that would fail, and for null."""
-    text = strip(column(c).cast("string"))
-    return F.when(text.rlike(NUMBER) | F.lower(text).rlike(SPECIAL), text.try_cast("double"))
+    return once(strip(column(c).cast("string")), lambda t: F.when(t.rlike(NUMBER) | F.lower(t).rlike(SPECIAL), t.try_cast("double")))
 
 
 def to_int(c: Column | str) -> Column:
     """int() of a string; null where that would fail, and for null."""
-    text = strip(column(c).cast("string"))
-    return F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("bigint"))
+    return once(strip(column(c).cast("string")), lambda t: F.when(t.rlike(r"^[+-]?\d+$"), t.try_cast("bigint")))
 
 
 def after_marker(c: Column | str, marker: str = "</think>") -> Column:
@@ -133,9 +136,12 @@ def chars_from_tokens(tokens: Column | int):
     return int(tokens * 4.0) if isinstance(tokens, int) else (tokens * 4).cast("int")
 
 
-def token_count(c: Column | str) -> Column:
-    """Tokens of a text by the words-times-1.3 rule."""
-    return tokens_from_words(word_count(c))
+def token_count(c: Column | str, count: Callable[[str], int] | None = None) -> Column:
+    """Tokens of a text by the words-times-1.3 rule, or by a function of a text, such as a tokenizer's length."""
+    if count is None:
+        return tokens_from_words(word_count(c))
+    counted = F.pandas_udf(lambda texts: texts.map(count, na_action="ignore").astype("Int64"), "long")
+    return counted(column(c))
 
 
 def hash_number(*keys: Column | str, modulus: int | Column) -> Column:

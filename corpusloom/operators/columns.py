@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +14,14 @@ def need(df: DataFrame, columns: Sequence[str]) -> None:
         raise ValueError(f"no column {', '.join(absent)}; there are {', '.join(df.columns)}")
 
 
+def unused(name: str, columns: Iterable[str]) -> str:
+    """The name, with marks before it until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def rename(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
     """Renames all at once, so a name may move from one column to another."""
     need(df, list(names))

@@ -47,9 +47,9 @@ def not_equal(df: DataFrame, column: str, value) -> DataFrame:
     return df.where(~F.col(column).eqNullSafe(F.lit(value)))
 
 
-def min_tokens(df: DataFrame, column: str, tokens: int = 100) -> DataFrame:
-    """Rows whose text has more tokens than this, by the words rule."""
-    return df.where(token_count(column) > tokens)
+def min_tokens(df: DataFrame, column: str, tokens: int = 100, count: Callable[[str], int] | None = None) -> DataFrame:
+    """Rows whose text has more tokens than this, by the words rule or a function of a text."""
+    return df.where(token_count(column, count) > tokens)
 
 
 def sane_choices(df: DataFrame, question: str, answer: str) -> DataFrame:
@@ -59,4 +59,3 @@ def sane_choices(df: DataFrame, question: str, answer: str) -> DataFrame:
 
 def four_choices(df: DataFrame, choices: str = "choices", answer: str = "answer") -> DataFrame:
     return df.where((F.size(choices) == 4) & F.col(answer).isin("A", "B", "C", "D"))
-

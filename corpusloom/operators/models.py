@@ -1,24 +1,27 @@
 """Model calls: one stage that is evaluated once, behind a backend that can be exchanged.
 
-A call runs in mapInArrow, which Catalyst moves no filter through, over the prompt and a row key only where the caller
-wants it so; its result is written before anything else reads it (`evaluate_once`), because a second evaluation would
-give other completions. Each request has an id made from row, step and sample, so that a server can recognise a retry.
+A call is a non-deterministic Arrow function of the prompt, so Catalyst neither moves a filter through it nor runs it
+twice, and only prompts go to Python; its result is written before anything else reads it (`evaluate_once`), because a
+second evaluation would give other completions. Each request has an id made from step and prompt, so that a server can
+recognise a retry.
 """
 
 from __future__ import annotations
 
 import json
+import re
+import tempfile
 import time
 import urllib.error
 import urllib.request
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any, Protocol
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -83,12 +86,16 @@ class StubBackend:
 
 @dataclass(frozen=True)
 class HttpBackend:
-    """A server with the usual completions, chat and pooling routes; bounded retries with a growing pause."""
+    """A server with the usual completions, chat and pooling routes; bounded retries with a growing pause.
+
+    batched: whether a request may hold several prompts; None asks the server once (`ready`), and is no until then.
+    """
 
     url: str
     key: str = ""
     workers: int = 8
-    batched: bool = True
+    batched: bool | None = None
+    rows: int = 64
     retries: int = 3
     timeout: float = 600.0
 
@@ -122,10 +129,17 @@ class HttpBackend:
 
     def complete(self, prompts, ids, model, options):
         body = {"model": model, **options.body()}
-        if self.batched:
-            choices = [c["text"] for c in self._post("completions", body | {"prompt": prompts}, ids[0] if ids else "")["choices"]]
-            return [choices[k * options.n : (k + 1) * options.n] for k in range(len(prompts))]
-        return self._each(lambda p, i: [c["text"] for c in self._post("completions", body | {"prompt": p}, i)["choices"]], [prompts, ids])
+        if not self.batched:
+            return self._each(lambda p, i: [c["text"] for c in self._post("completions", body | {"prompt": p}, i)["choices"]], [prompts, ids])
+
+        def several(k: int) -> list[list[str]]:
+            asked = prompts[k : k + self.rows]
+            choices = [c["text"] for c in self._post("completions", body | {"prompt": asked}, ids[k])["choices"]]
+            if len(choices) != len(asked) * options.n:
+                raise ValueError(f"{len(choices)} choices for {len(asked)} prompts of {options.n}")
+            return [choices[j * options.n : (j + 1) * options.n] for j in range(len(asked))]
+
+        return [c for found in self._each(several, [range(0, len(prompts), self.rows)]) for c in found]
 
     def chat(self, messages, ids, model, options):
         if options.n > 1 and options.temperature <= 0:
@@ -151,21 +165,34 @@ class HttpBackend:
         return self._each(one, [messages])
 
 
-def _stage(df: DataFrame, output: str, kind: T.DataType, call) -> DataFrame:
-    """df with a column that a function of record batches makes."""
-    schema = T.StructType([f for f in df.schema.fields if f.name != output] + [T.StructField(output, kind)])
+_probed: dict[tuple, bool] = {}
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            if output in table.column_names:
-                table = table.drop_columns([output])
-            made = pa.array(call(batch), type=to_arrow(kind))
-            yield from table.append_column(output, made).combine_chunks().to_batches()
+def ready(backend: Backend, model: str | None) -> tuple[Backend, str | None]:
+    """The backend and model to call, settled on the driver: a server's first model for none, and, once a server and
+    model, whether it takes batches."""
+    if not isinstance(backend, HttpBackend):
+        return backend, model
+    if model is None:
+        model = backend.models()[0]
+    if backend.batched is None:
+        key = (backend.url, model)
+        if key not in _probed:
+            _probed[key] = backend.takes_batches(model)
+        backend = replace(backend, batched=_probed[key])
+    return backend, model
 
-    return df.mapInArrow(run, schema)
+
+def _stage(df: DataFrame, output: str, kind: T.DataType, source: Column | str, call: Callable[[list], list]) -> DataFrame:
+    """df with a column that a model makes of another one, which alone is sent to Python."""
+    arrow = to_arrow(kind)
+
+    def run(values: pa.Array) -> pa.Array:
+        return pa.array(call(values.to_pylist()) if len(values) else [], arrow)
+
+    run.__annotations__ = {"values": pa.Array, "return": pa.Array}
+    made = F.arrow_udf(run, kind).asNondeterministic()
+    return df.withColumn(output, made(tx.column(source)))
 
 
 def to_arrow(kind: T.DataType) -> pa.DataType:
@@ -174,42 +201,63 @@ def to_arrow(kind: T.DataType) -> pa.DataType:
     return to_arrow_type(kind)
 
 
-def request_ids(batch: pa.RecordBatch, step: str, prompt: str) -> list[str]:
-    return [str(uuid.uuid5(uuid.NAMESPACE_OID, f"{step}|{p}")) for p in batch.column(prompt).to_pylist()]
+def request_ids(step: str, asked: list) -> list[str]:
+    return [str(uuid.uuid5(uuid.NAMESPACE_OID, f"{step}|{p}")) for p in asked]
 
 
 def complete(df: DataFrame, prompt: str, output: str, backend: Backend, options: Options | None = None, model: str | None = None, step: str = "") -> DataFrame:
-    """Adds an array of completions, with the stop strings given back so that tags match. A batch is one request."""
-    options = options or Options()
+    """Adds an array of completions, with the stop strings given back so that tags match."""
+    options, (backend, model) = options or Options(), ready(backend, model)
     tail = "".join(options.stop)
 
-    def call(batch: pa.RecordBatch) -> list:
-        prompts = [p or "" for p in batch.column(prompt).to_pylist()]
-        return [[c.strip() + tail for c in found] for found in backend.complete(prompts, request_ids(batch, step, prompt), model, options)]
+    def call(prompts: list) -> list:
+        prompts = [p or "" for p in prompts]
+        return [[c.strip() + tail for c in found] for found in backend.complete(prompts, request_ids(step, prompts), model, options)]
 
-    return _stage(df, output, T.ArrayType(T.StringType()), call)
+    return _stage(df, output, T.ArrayType(T.StringType()), prompt, call)
 
 
 def chat(df: DataFrame, messages: str, output: str, backend: Backend, options: Options | None = None, model: str | None = None, step: str = "") -> DataFrame:
     """Adds a chat answer: a string, or an array for n > 1."""
-    options = options or Options()
+    options, (backend, model) = options or Options(), ready(backend, model)
 
-    def call(batch: pa.RecordBatch) -> list:
-        rows = [m or [] for m in batch.column(messages).to_pylist()]
-        ids = [str(uuid.uuid5(uuid.NAMESPACE_OID, f"{step}|{m}")) for m in rows]
-        found = backend.chat(rows, ids, model, options)
+    def call(rows: list) -> list:
+        rows = [m or [] for m in rows]
+        found = backend.chat(rows, request_ids(step, rows), model, options)
         return found if options.n > 1 else [f[0] for f in found]
 
-    return _stage(df, output, T.ArrayType(T.StringType()) if options.n > 1 else T.StringType(), call)
+    return _stage(df, output, T.ArrayType(T.StringType()) if options.n > 1 else T.StringType(), messages, call)
+
+
+def converse(df: DataFrame, messages: str, output: str, asks: Sequence[str], backend: Backend, options: Options | None = None, model: str | None = None, step: str = "") -> DataFrame:
+    """A chain of chat calls: each answer and the next of asks are appended to the messages before the next call.
+
+    Gives the last answer as output, and all messages, with the answers, in place of the messages. Each call is
+    evaluated once and written before the next.
+    """
+    options = options or Options()
+    if options.n != 1:
+        raise ValueError("a chain has one answer a call")
+    turn = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
+    for k, ask in enumerate([None, *asks]):
+        if ask is not None:
+            df = df.withColumn(messages, F.array_append(messages, turn("user", F.lit(ask))))
+        df = evaluate_once(chat(df, messages, output, backend, options, model, f"{step}|{k}"))
+        df = df.withColumn(messages, F.array_append(messages, turn("assistant", F.col(output))))
+    return df
 
 
 def logprobs(df: DataFrame, prompt: str, output: str, backend: Backend, options: Options | None = None, model: str | None = None, step: str = "") -> DataFrame:
     """Adds an array with a JSON object of token log probabilities for each generated token."""
-    options = options or Options()
+    options, (backend, model) = options or Options(), ready(backend, model)
     if options.n != 1:
         raise ValueError("log probabilities are for one sample a prompt")
-    call = lambda b: [[list(t.items()) for t in row] for row in backend.logprobs([p or "" for p in b.column(prompt).to_pylist()], request_ids(b, step, prompt), model, options)]
-    maps = _stage(df, output, T.ArrayType(T.MapType(T.StringType(), T.DoubleType())), call)
+
+    def call(prompts: list) -> list:
+        prompts = [p or "" for p in prompts]
+        return [[list(t.items()) for t in row] for row in backend.logprobs(prompts, request_ids(step, prompts), model, options)]
+
+    maps = _stage(df, output, T.ArrayType(T.MapType(T.StringType(), T.DoubleType())), prompt, call)
     return maps.withColumn(output, F.transform(output, lambda x: F.to_json(x)))
 
 
@@ -222,40 +270,94 @@ def reward_messages(prompt: str, response: str, system: str | None, separator: s
 
 def rewards(df: DataFrame, prompt: str, response: str, backend: Backend, output: str = "step_rewards", system: str | None = None, separator: str = "\n\n", fill: str = "<extra_0>", model: str | None = None) -> DataFrame:
     """Adds the reward of each step: zeros where the server failed, an empty array where its answer is malformed."""
-    ready = df.withColumn("_messages", reward_messages(prompt, response, system, separator, fill))
-    scored = _stage(ready, output, T.ArrayType(T.DoubleType()), lambda b: backend.rewards([m or [] for m in b.column("_messages").to_pylist()], model))
+    backend, model = ready(backend, model)
+    asked = reward_messages(prompt, response, system, separator, fill)
+    scored = _stage(df, output, T.ArrayType(T.DoubleType()), asked, lambda rows: backend.rewards([m or [] for m in rows], model))
     zeros = F.transform(F.split(F.col(response), tx.quoted(separator)), lambda _: F.lit(0.0))
-    return scored.withColumn(output, F.coalesce(output, zeros)).drop("_messages")
+    return scored.withColumn(output, F.coalesce(output, zeros))
+
+
+# What a model is told for its next step.
+STEPS = {
+    "think": "Continue thinking about the problem.",
+    "reflect": "Are you sure that the reasoning is correct? Please reflect on your reasoning.",
+    "generate": "Please provide your final answer to the question.",
+    "backtrack": "Please backtrack and think about the problem in a different chain of reasoning.",
+}
 
 
-def reason(df: DataFrame, prompt: str, output: str, backend: Backend, max_steps: int = 8, model: str | None = None) -> DataFrame:
-    """A bounded loop: each answer is appended to the prompt until one ends with <done>."""
+def reason(df: DataFrame, prompt: str, output: str, backend: Backend, system: str = "", max_steps: int = 32, model: str | None = None, retry_temperature: float = 0.7) -> DataFrame:
+    """Adds the answer of a reasoning loop, of at most max_steps calls a row; null if there is none by then.
 
-    def call(batch: pa.RecordBatch) -> list:
-        texts = [p or "" for p in batch.column(prompt).to_pylist()]
-        said = [""] * len(texts)
-        live = list(range(len(texts)))
+    Each call is answered by a JSON object: current_action, title, content, confidence, next_action. A step to backtrack,
+    or with a confidence below one half, begins the row's conversation anew at another temperature. The loop ends at
+    next_action `terminate` once the row has reflected, which is asked for otherwise; what was generated last is the answer.
+    """
+    backend, model = ready(backend, model)
+
+    def call(prompts: list) -> list:
+        states = [Reasoning(system, p or "") for p in prompts]
         for k in range(max_steps):
-            if not live:
-                break
-            ids = [str(uuid.uuid5(uuid.NAMESPACE_OID, f"reason|{k}|{texts[i]}{said[i]}")) for i in live]
-            for i, found in zip(live, backend.complete([texts[i] + said[i] for i in live], ids, model, Options()), strict=True):
-                said[i] += found[0]
-            live = [i for i in live if not said[i].endswith("<done>")]
-        return said
+            for again in (False, True):  # rows of one temperature are asked together
+                live = [s for s in states if not s.done and s.again == again and s.calls == k]
+                if live:
+                    asked = [s.messages for s in live]
+                    options = Options(temperature=retry_temperature if again else 0.0, max_tokens=1024)
+                    for s, found in zip(live, backend.chat(asked, request_ids(f"reason|{k}", asked), model, options), strict=True):
+                        s.take(found[0])
+        return [s.answer if s.done else None for s in states]
 
-    return _stage(df, output, T.StringType(), call)
+    return _stage(df, output, T.StringType(), prompt, call)
 
 
-def evaluate_once(df: DataFrame) -> DataFrame:
-    """Writes what a model stage made to the checkpoint folder, so that nothing calls the model again."""
-    spark = df.sparkSession
+class Reasoning:
+    """One row's conversation with a reasoning model."""
+
+    def __init__(self, system: str, prompt: str):
+        self.first = [{"role": "system", "content": system}, {"role": "user", "content": prompt}]
+        self.calls, self.again, self.done = 0, False, False
+        self.begin()
+
+    def begin(self) -> None:
+        self.messages, self.reflected, self.answer = list(self.first), False, None
+
+    def take(self, said: str) -> None:
+        self.calls += 1
+        try:
+            step = json.loads(said)
+            action, then = step["current_action"], step.get("next_action", "think")
+            sure = float(step.get("confidence", 0.5))
+        except (ValueError, TypeError, KeyError):
+            action, then, sure, step = "backtrack", "think", 0.0, {}
+        if action == "backtrack" or sure < 0.5:
+            self.begin()
+            self.again = True
+            return
+        self.reflected |= action == "reflect"
+        if action == "generate":
+            self.answer = step.get("content", "")
+        if then == "terminate" and self.reflected and self.answer is not None:
+            self.done = True
+            return
+        if then == "terminate":
+            then = "generate" if self.reflected else "reflect"
+        self.messages += [{"role": "assistant", "content": f"{step.get('title', '')}\n{step.get('content', '')}"}, {"role": "user", "content": STEPS.get(then, STEPS["think"])}]
+
+
+def work_folder(spark: SparkSession) -> str:
+    """The folder all executors share, from spark.checkpoint.dir. A local session that has none gets a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        import tempfile
-
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share: what models answer is written there")
         folder = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/model-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    return folder.rstrip("/")
+
+
+def evaluate_once(df: DataFrame, parts: Sequence[str] = ()) -> DataFrame:
+    """Writes what a model stage made to the shared folder, so that nothing calls the model again."""
+    spark = df.sparkSession
+    path = f"{work_folder(spark)}/model-{uuid.uuid4().hex}"
+    df.write.partitionBy(*parts).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import column as as_column
 from corpusloom.functions.text import matched, tagged, without
+from corpusloom.operators.columns import unused
 
 
 @dataclass(frozen=True)
@@ -52,9 +53,12 @@ def _groups(pattern: str) -> int:
 def parse_rows(df: DataFrame, text: str, parser: Parser, keep: Sequence[str] | None = None, position: str | None = None) -> DataFrame:
     """A row for each parsed entry; a completion without one has none. Output columns replace columns of the same name."""
     arrays = parser.arrays(F.col(f"`{text}`"))
-    shortest = F.least(*[F.size(a) for a in arrays.values()]) if len(arrays) > 1 else F.size(next(iter(arrays.values())))
-    entries = F.transform(F.sequence(F.lit(1), shortest), lambda i: F.struct(*[F.element_at(a, i.cast("int")).alias(c) for c, a in arrays.items()]))
-    entries = F.when(shortest > 0, entries).otherwise(F.slice(F.array(F.struct(*[F.lit(None).cast("string").alias(c) for c in arrays])), 1, 0))
     rest = [c for c in (df.columns if keep is None else keep) if c not in arrays]
-    out = df.select(*[F.col(f"`{c}`") for c in rest], F.posexplode(entries).alias("_position", "_entry"))
-    return out.select(*[F.col(f"`{c}`") for c in rest], *[F.col(f"_entry.{c}").alias(c) for c in arrays], *([F.col("_position").alias(position)] if position else []))
+    # The arrays are columns of their own first: a pattern runs once a row, however many entries it finds.
+    names = {c: unused(f"_array_{k}", df.columns) for k, c in enumerate(arrays)}
+    found = df.select(*[F.col(f"`{c}`") for c in rest], *[a.alias(names[c]) for c, a in arrays.items()])
+    shortest = F.least(*[F.size(n) for n in names.values()]) if len(names) > 1 else F.size(next(iter(names.values())))
+    entries = F.slice(F.arrays_zip(*names.values()), F.lit(1), F.greatest(shortest, F.lit(0)))
+    place, entry = unused("_position", rest), unused("_entry", rest)
+    out = found.select(*[F.col(f"`{c}`") for c in rest], F.posexplode(entries).alias(place, entry))
+    return out.select(*[F.col(f"`{c}`") for c in rest], *[F.col(entry)[n].alias(c) for c, n in names.items()], *([F.col(place).alias(position)] if position else []))

@@ -7,9 +7,10 @@ from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.functions.text import hash_number
-from corpusloom.operators.columns import need
+from corpusloom.operators.columns import need, unused
 
 
 def flatten(df: DataFrame, columns: Sequence[str], value: str, variable: str) -> DataFrame:
@@ -85,9 +86,25 @@ def batches(df: DataFrame, size: int, ordinal: str = "ordinal", name: str = "bat
     return df.withColumn(name, F.floor(F.col(ordinal) / size).cast("bigint"))
 
 
+#: Up to so many sampled rows are a top-k; more are cut off at a place in the order of their hashes.
+TOP = 100_000
+
+
 def sample_exact(df: DataFrame, k: int, key: Sequence[str], seed: int = 42) -> DataFrame:
-    """Exactly k rows without replacement (all, if there are fewer), the same in each run."""
-    return df.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in key]).cast("binary")), *key).limit(k)
+    """Exactly k rows without replacement (all, if there are fewer), the same in each run: the first by md5 of the key.
+
+    A large sample is not sorted: counts of the first 16 bits of the hashes show in which of 65,536 ranges the k-th row
+    is; rows of the ranges before are taken as they are, and only that range's are put in order.
+    """
+    hashed = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in key]).cast("binary"))
+    first = lambda d, n: d.orderBy(hashed, *key).limit(n)
+    if k <= TOP:
+        return first(df, k)
+    prefix = F.substring(hashed, 1, 4)
+    before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    counts = df.groupBy(prefix.alias("p")).agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    at = counts.where((F.col("before") < k) & (F.col("before") + F.col("n") >= k)).first()
+    return df if at is None else df.where(prefix < at["p"]).unionAll(first(df.where(prefix == at["p"]), k - at["before"]))
 
 
 def sample_with_replacement(df: DataFrame, n: int, key: Sequence[str], seed: int = 42) -> DataFrame:
@@ -124,13 +141,14 @@ def with_examples(df: DataFrame, examples: DataFrame, example_order: str | None
     """Each row with each example. The examples are a seed file's rows: their number is checked before they are sent."""
     if examples.limit(EXAMPLES + 1).count() > EXAMPLES:
         raise ValueError(f"more than {EXAMPLES} examples")
-    rows = [r.asDict() for r in examples.collect()]
-    fields = [F.struct(*[F.lit(r[c]).cast(examples.schema[c].dataType).alias(c) for c in examples.columns], F.lit(k).alias("_place")) for k, r in enumerate(rows)]
-    if not fields:
-        return df.limit(0).select("*", *[F.lit(None).cast(examples.schema[c].dataType).alias(c) for c in examples.columns])
-    out = df.withColumn("_example", F.explode(F.array(*fields)))
-    place = [F.col("_example._place").alias(example_order)] if example_order else []
-    return out.select(*df.columns, *[F.col(f"_example.{c}").alias(c) for c in examples.columns], *place)
+    # One literal of the plan, whatever the number of examples.
+    kind = T.StructType([*examples.schema.fields, T.StructField("_place", T.IntegerType())])
+    numbered_ = [r[0] for r in examples.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).collect()]
+    text = "[" + ",".join(f'{r[:-1]}{"," if len(r) > 2 else ""}"_place":{k}}}' for k, r in enumerate(numbered_)) + "]"
+    entry = unused("_example", df.columns)
+    out = df.withColumn(entry, F.explode(F.from_json(F.lit(text), T.ArrayType(kind))))
+    place = [F.col(entry)["_place"].alias(example_order)] if example_order else []
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(entry)[c].alias(c) for c in kind.names[:-1]], *place)
 
 
 def class_codes(df: DataFrame, column: str, values: Sequence[str] | None = None) -> DataFrame:

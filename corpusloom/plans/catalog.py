@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import re
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import chat as chats
@@ -15,8 +17,9 @@ from corpusloom.functions.template import compiled
 from corpusloom.operators import columns, filters, models, reshape
 from corpusloom.operators.parse import Parser, parse_rows
 from corpusloom.plans import convert, mix
-from corpusloom.plans.flow import Context, generate, read_flow
-from corpusloom.sources import ingest
+from corpusloom.plans.flow import Context, Step, generate, read_flow
+from corpusloom.plans.run import Generator
+from corpusloom.sources import files, ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -251,9 +254,11 @@ def chat_roles(spark, d):
     return conversations(spark, d).select("conv_id", chats.render("roles", "messages", is_text=False).alias("prompt"))
 
 
-@query("SELECT doc_id, '<s> [INST] ' || text || ' [/INST]' AS prompt FROM documents")
+@query("SELECT doc_id, '<s> [INST] Be kind.' || chr(10) || chr(10) || text || ' [/INST] ' || source || '</s> [INST] ' || lang || ' [/INST]' AS prompt, '<s> [INST] ' || text || ' [/INST]' AS alone, text AS blank FROM documents")
 def chat_inst(spark, d):
-    return table(spark, d, "documents").select("doc_id", chats.render("inst", "text").alias("prompt"))
+    turns = F.array(*[convert.turn(r, F.lit("Be kind.") if r == "system" else c) for r, c in (("system", ""), ("user", "text"), ("assistant", "source"), ("user", "lang"))])
+    df = table(spark, d, "documents").withColumn("turns", turns)
+    return df.select("doc_id", chats.render("inst", "turns", is_text=False).alias("prompt"), chats.render(chats.for_model("Mixtral-8x7B"), "text").alias("alone"), chats.render("blank", "text").alias("blank"))
 
 
 def conversations(spark: SparkSession, d: str) -> DataFrame:
@@ -347,33 +352,46 @@ def knowledge_rows(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", "context", F.array(convert.turn("user", F.lit("Q")), convert.turn("assistant", F.lit("A"))).alias("messages"), F.lit('{"dataset":"x"}').alias("metadata"))
 
 
-@query(f"""
-WITH b AS (SELECT text, row_number() OVER (ORDER BY item_id) - 1 AS o FROM benchmark), n AS (SELECT count(*) AS n FROM b),
-rows AS (SELECT doc_id AS id, b.text AS context FROM documents, n JOIN b ON b.o = doc_id % n.n),
-ring AS (SELECT text AS other, row_number() OVER (ORDER BY md5(text), text) - 1 AS place FROM (SELECT DISTINCT text FROM b JOIN rows ON b.text = rows.context)),
+def _raft_sql(rows: str, p: int) -> str:
+    """The documents put before a question, by (id, context) rows; p in millionths."""
+    return f"""
+rows AS ({rows}),
+ring AS (SELECT context AS other, row_number() OVER (ORDER BY md5(context), context) - 1 AS place FROM (SELECT DISTINCT context FROM rows)),
 m AS (SELECT count(*) AS m FROM ring),
-w AS (SELECT id, context, {MD5.format("'raft|' || id", 1000000)} < 400000 AS own, {MD5.format("'raft-start|' || id", '(SELECT m FROM m)')} AS start FROM rows),
+w AS (SELECT id, context, {MD5.format("'raft|' || id", 1000000)} < {p} AS own, {MD5.format("'raft-start|' || id", '(SELECT m FROM m)')} AS start FROM rows),
 spots AS (SELECT id, context, own, k, other FROM w, m, range(5) r(k) JOIN ring ON ring.place = (w.start + k) % m.m WHERE k <= m.m - 1 AND other IS DISTINCT FROM context),
-picks AS (SELECT id, other AS c FROM spots QUALIFY row_number() OVER (PARTITION BY id ORDER BY k) <= CASE WHEN own THEN 3 ELSE 4 END UNION ALL SELECT id, context FROM w WHERE own)
-SELECT id, string_agg('Document:' || chr(10) || c || chr(10) || chr(10), chr(10) ORDER BY md5(id || c), c) || chr(10) || chr(10) || 'Q' AS content_1 FROM picks GROUP BY id
+picks AS (SELECT id, other AS c FROM spots QUALIFY row_number() OVER (PARTITION BY id ORDER BY k) <= CASE WHEN own THEN 3 ELSE 4 END UNION ALL SELECT id, context FROM w WHERE own),
+told AS (SELECT id, string_agg('Document:' || chr(10) || c || chr(10) || chr(10), chr(10) ORDER BY md5(id || c), c) || chr(10) || chr(10) AS docs FROM picks GROUP BY id)"""
+
+
+@query(f"""
+WITH b AS (SELECT text, row_number() OVER (ORDER BY item_id) - 1 AS o FROM benchmark), n AS (SELECT count(*) AS n FROM b),
+{_raft_sql("SELECT doc_id AS id, b.text AS context FROM documents, n JOIN b ON b.o = doc_id % n.n", 400000)}
+SELECT id, docs || 'Q' AS content_1, 'A' AS content_2, '{{"dataset":"x_raft_p0.4"}}' AS metadata, 'id,messages,metadata' AS columns FROM told
 """)
 def raft(spark, d):
     out = convert.raft(knowledge_rows(spark, d), 0.4)
-    return out.select("id", F.col("messages")[0]["content"].alias("content_1"))
+    return out.select("id", F.col("messages")[0]["content"].alias("content_1"), F.col("messages")[1]["content"].alias("content_2"), "metadata", F.lit(",".join(out.columns)).alias("columns"))
 
 
-@query("SELECT conv_id, CASE WHEN has THEN n ELSE n + 1 END AS n_turns, 'Be kind.' AS system FROM (SELECT conv_id, count(*) AS n, bool_or(role = 'system') AS has FROM conversations GROUP BY conv_id)")
+@query("SELECT conv_id, CASE WHEN has THEN '' ELSE 'system:Be kind.|' END || turns AS turns FROM (SELECT conv_id, string_agg(role || ':' || CASE role WHEN 'system' THEN 'Be kind.' ELSE text END, '|' ORDER BY turn) AS turns, bool_or(role = 'system') AS has FROM conversations GROUP BY conv_id)")
 def add_system(spark, d):
     df = conversations(spark, d).withColumn("messages", mix.with_system("messages", "Be kind."))
-    system = F.filter("messages", lambda m: m["role"] == "system")[0]["content"]
-    return df.select("conv_id", F.size("messages").cast("long").alias("n_turns"), system.alias("system"))
+    return df.select("conv_id", joined_turns("messages").alias("turns"))
+
 
+def joined_turns(messages: str):
+    return F.array_join(F.transform(messages, lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "|")
 
-@query("SELECT doc_id::varchar AS id, lang, source FROM documents")
+
+@query("SELECT doc_id::varchar AS id, lang, source, '2' AS kept, 4::bigint AS n_keys FROM documents")
 def metadata_json(spark, d):
-    df = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.array().cast("array<struct<role:string,content:string>>").alias("messages"), "lang", "source")
+    """Metadata that is there, with a key that a column replaces and a nested one that stays."""
+    old = F.lit('{"lang": "old", "kept": {"a": [1, 2]}, "none": null}')
+    df = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.array().cast("array<struct<role:string,content:string>>").alias("messages"), "lang", "source", old.alias("metadata"))
     out = mix.with_metadata(df)
-    return out.select("id", F.get_json_object("metadata", "$.lang").alias("lang"), F.get_json_object("metadata", "$.source").alias("source"))
+    got = lambda p: F.get_json_object("metadata", p)
+    return out.select("id", got("$.lang").alias("lang"), got("$.source").alias("source"), got("$.kept.a[1]").alias("kept"), F.size(F.json_object_keys("metadata")).cast("long").alias("n_keys"))
 
 
 def choice_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -393,10 +411,10 @@ def mcq_post(spark, d):
     return convert.multiple_choice(choice_rows(spark, d)).select("p_partkey", "dataset_type")
 
 
-@query(f"SELECT p_partkey, 'Which size has ' || p_name || '?' AS question, p_brand AS choice_1, 'none' AS choice_4, p_type AS subject, (ascii(letter) - 65)::bigint AS answer FROM ({CHOICES}) WHERE four AND letter <> 'E'")
+@query(f"SELECT p_partkey, 'Which size has ' || p_name || '?' AS question, p_brand || '|' || p_type || '|' || p_size || '|none' AS choices, p_type AS subject, (ascii(letter) - 65)::bigint AS answer FROM ({CHOICES}) WHERE four AND letter <> 'E'")
 def mmlu_format(spark, d):
     out = convert.multiple_choice(choice_rows(spark, d), evaluation=True)
-    return out.select("p_partkey", "question", F.col("choices")[0].alias("choice_1"), F.col("choices")[3].alias("choice_4"), "subject", F.col("answer").cast("long").alias("answer"))
+    return out.select("p_partkey", "question", F.array_join("choices", "|").alias("choices"), "subject", F.col("answer").cast("long").alias("answer"))
 
 
 @query(r"""
@@ -415,9 +433,26 @@ def chunk_document(spark, d):
     return ingest.chunked(table(spark, d, "documents").select("doc_id", "text"), "text", 4096, 200, "chunk")
 
 
-@query()
+TOKENS = "floor(len(list_filter(regexp_split_to_array({0}, '\\s+'), lambda x: x <> '')) * 13 / 10)"
+JOINED = "array_to_string({0}, chr(10) || chr(10))"
+
+
+@query(f"""
+WITH RECURSIVE l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+f AS (SELECT doc_id, list_transform(l, lambda t: CASE WHEN len(string_split(t, '.')) > 1 AND len(string_split(string_split(t, '.')[1], ' ')) < 3 THEN '**' || string_split(t, '.')[1] || '**' || array_to_string(string_split(t, '.')[2:], '.') ELSE t END) AS l FROM l),
+s AS (
+  SELECT doc_id, 0::bigint AS i, []::varchar[] AS held, NULL::varchar AS one, NULL::varchar AS two, l FROM f
+  UNION ALL
+  SELECT doc_id, i + 1, list_append(CASE WHEN NOT fits THEN held WHEN big THEN [] ELSE held[len(held):] END, l[i + 1]), CASE WHEN fits THEN {JOINED.format("held[:len(held) - 1]")} END, CASE WHEN fits AND big THEN held[len(held)] END, l
+  FROM (SELECT *, len(held) > 1 AND {TOKENS.format(JOINED.format("held"))} >= 200 AS fits, len(held) > 0 AND {TOKENS.format("coalesce(held[len(held)], '')")} >= 200 AS big FROM s WHERE i < len(l))
+),
+c AS (SELECT doc_id, i, 1 AS k, one AS text FROM s UNION ALL SELECT doc_id, i, 2, two FROM s),
+e AS (SELECT doc_id, i, 3 AS k, {JOINED.format("held")} AS text FROM s WHERE i = len(l)),
+a AS (SELECT * FROM c WHERE text <> '' UNION ALL SELECT * FROM e WHERE text <> '' AND NOT EXISTS (SELECT 1 FROM c WHERE c.doc_id = e.doc_id AND c.text = e.text))
+SELECT doc_id::varchar AS file, row_number() OVER (PARTITION BY doc_id ORDER BY i, k) - 1 AS place, text FROM a
+""")
 def doc_fold(spark, d):
-    """Each document as a parsed one, its lines the elements, folded by a token budget."""
+    """Each document as a parsed one, its lines the paragraphs, folded by a token budget."""
     element = lambda x: F.struct(F.lit("paragraph").alias("type"), x.alias("text"), F.lit(None).cast("string").alias("$ref"), F.array(F.struct(F.lit(1).alias("page"))).alias("prov"))
     df = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("file"), F.transform(F.split("text", "\n"), element).alias("elements"), F.array().cast("array<struct<text:string,data:array<array<struct<text:string>>>>>").alias("tables"))
     return ingest.folded(df, 200)
@@ -432,17 +467,26 @@ def prm_messages(spark, d):
     return df.select("conv_id", "turn", F.size(F.split("text", "\\. ")).cast("long").alias("n_steps"), F.element_at(m, -1)["content"].alias("content"))
 
 
-@query("SELECT conv_id, turn, len(list_filter(string_split(text || chr(10) || chr(10), chr(10) || chr(10)), lambda x: x <> '')) AS n_rewards FROM conversations WHERE role = 'assistant'")
+@query("""
+WITH s AS (SELECT conv_id, turn, list_filter(string_split(text || chr(10) || chr(10), chr(10) || chr(10)), lambda x: x <> '') AS s FROM conversations WHERE role = 'assistant')
+SELECT conv_id, turn, len(s) AS n_rewards, round(s[1].length() / (1.0::double + s[1].length()), 6) AS first, round(list_sum(list_transform(s, lambda x: length(x) / (1.0::double + length(x)))), 3) AS total FROM s
+""")
 def prm_rewards(spark, d):
     df = table(spark, d, "conversations").where("role = 'assistant'")
     out = models.evaluate_once(models.rewards(df, "role", "text", models.StubBackend(), separator="\n\n", fill="\n\n"))
-    return out.select("conv_id", "turn", F.size("step_rewards").cast("long").alias("n_rewards"))
+    total = F.aggregate("step_rewards", F.lit(0.0), lambda a, x: a + x)
+    return out.select("conv_id", "turn", F.size("step_rewards").cast("long").alias("n_rewards"), F.get("step_rewards", F.lit(0)).alias("first"), F.round(total, 3).alias("total"))
 
 
-@query('''SELECT item_id, '{"' || regexp_split_to_array(text, '[[:space:]]+')[1] || '":-0.' AS first_token FROM benchmark''')
+@query("""
+WITH w AS (SELECT item_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')[1:3] AS w FROM benchmark)
+SELECT item_id, array_to_string(w, '|') AS tokens, round(list_sum(list_transform(w, lambda x: -1.0::double / (1 + length(x)))), 6) AS total FROM w
+""")
 def logprob_json(spark, d):
     out = models.evaluate_once(models.logprobs(table(spark, d, "benchmark"), "text", "lp", models.StubBackend(), models.Options(max_tokens=3)))
-    return out.select("item_id", F.regexp_replace(F.col("lp")[0], r"-0\..*", "-0.").alias("first_token"))
+    each = out.withColumn("m", F.transform("lp", lambda x: F.from_json(x, "map<string, double>")))
+    total = F.aggregate("m", F.lit(0.0), lambda a, x: a + F.map_values(x)[0])
+    return each.select("item_id", F.array_join(F.transform("m", lambda x: F.map_keys(x)[0]), "|").alias("tokens"), F.round(total, 6).alias("total"))
 
 
 @query("SELECT item_id, k AS sample, 'sample ' || k || ' of ' || text AS answer FROM benchmark, range(3) r(k)")
@@ -515,3 +559,288 @@ class Improver(models.StubBackend):
         if found:
             return f"[Start of Verdict] Response {'A' if len(found[1]) % 2 == 0 else 'B'} [End of Verdict]"
         return "noted"
+
+
+# Further rows, readers and writers
+
+def work(spark: SparkSession, name: str) -> str:
+    return f"{models.work_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT doc_id, lang, n_chars FROM documents WHERE lang = 'en' AND n_chars >= 300 AND n_chars < 2000")
+def filter_all(spark, d):
+    """Several filters, each of which must hold."""
+    df = table(spark, d, "documents").select("doc_id", "lang", "n_chars")
+    for column, value, operation in (("lang", "en", "eq"), ("n_chars", 300, "ge"), ("n_chars", 2000, "lt")):
+        df = filters.filter_by_value(df, column, value, operation)
+    return df
+
+
+@query("SELECT doc_id, length(text) AS n FROM documents WHERE length(text) > 500")
+def token_counter(spark, d):
+    """A filter by a counter of tokens that the user gives: here a token is a character."""
+    return filters.min_tokens(table(spark, d, "documents").select("doc_id", "text"), "text", 500, len).select("doc_id", F.length("text").cast("long").alias("n"))
+
+
+@query("SELECT source, string_agg(doc_id || ':' || lang, ',' ORDER BY doc_id) AS rows FROM documents GROUP BY source")
+def grouped_rows(spark, d):
+    out = reshape.grouped_rows(table(spark, d, "documents").select("doc_id", "source", "lang"), "source", "doc_id")
+    return out.select("source", F.array_join(F.transform("rows", lambda r: F.concat(r["doc_id"].cast("string"), F.lit(":"), r["lang"])), ",").alias("rows"))
+
+
+@query("SELECT doc_id, text, lang, source FROM documents")
+def jsonl_round_trip(spark, d):
+    path = work(spark, "jsonl")
+    files.write_jsonl(table(spark, d, "documents").select("doc_id", "text", "lang", "source"), path)
+    return files.read_folder(spark, path, "doc_id long, text string, lang string, source string")
+
+
+@query("SELECT doc_id, quality, toxic FROM labels")
+def named_scan(spark, d):
+    """A set that a resolver finds by its name."""
+    files.RESOLVERS["table"] = lambda s, name: table(s, d, name)
+    return files.read_named(spark, "table:labels")
+
+
+@query("SELECT * FROM (VALUES (1::bigint, 'x'), (2, NULL), (3, 'z')) v(k, word)")
+def literal_rows(spark, d):
+    return files.rows(spark, {"k": [1, 2, 3], "word": ["x", None, "z"]}, "k long, word string")
+
+
+@query("SELECT ordinal, '## ' || ordinal || chr(10) || chr(10) || '### plain' || chr(10) || chr(10) || text || chr(10) || chr(10) || '### loud' || chr(10) || chr(10) || text || '!' || chr(10) AS report FROM (SELECT text, row_number() OVER (ORDER BY item_id) - 1 AS ordinal FROM benchmark)")
+def paired_report(spark, d):
+    rows = reshape.numbered(table(spark, d, "benchmark").select("item_id", "text"), ["item_id"])
+    return files.paired(rows, rows.withColumn("text", F.concat("text", F.lit("!"))), "text", ("plain", "loud"))
+
+
+@query("SELECT conv_id, turn, role FROM conversations WHERE role = 'user' AND turn >= 2")
+def flow_relational(spark, d):
+    """A flow without models, through batches, a ledger and what was saved."""
+    steps = [
+        Step("FilterByValueBlock", {"filter_column": "who", "filter_value": "user", "operation": "operator.eq"}),
+        Step("RenameColumns", {"columns_map": {"who": "role"}}),
+        Step("DuplicateColumns", {"columns_map": {"turn": "again"}}),
+        Step("FilterByValueBlock", {"filter_column": "again", "filter_value": 2, "operation": "operator.ge"}, drop_columns=["again"]),
+    ]
+    seeds = table(spark, d, "conversations").select("conv_id", "turn", F.col("role").alias("who"))
+    return Generator([steps], batch_size=200, save_every=2, key=["conv_id", "turn"]).generate(seeds, work(spark, "batches"))
+
+
+@query("SELECT page_id, i - 1 AS o, t[i] AS href FROM (SELECT page_id, regexp_extract_all(html, 'href=\"([^\"]*)\"', 1) AS t FROM pages), range(1, 10000) r(i) WHERE i <= len(t)")
+def regex_block(spark, d):
+    out = generate(table(spark, d, "pages").select("page_id", "html"), [Step("RegexParserBlock", {"column_name": "html", "parsing_pattern": 'href="([^"]*)"', "output_cols": ["href"]}, drop_columns=["html"])])
+    w = Window.partitionBy("page_id").orderBy(F.monotonically_increasing_id())
+    return out.select("page_id", (F.row_number().over(w) - 1).cast("long").alias("o"), "href")
+
+
+# Training sets, continued
+
+@query(f"SELECT {ID.format('md5(doc_id::varchar)')} AS id, 'system:Be kind.|user:What does ' || source || ' say?|assistant:' || lang AS turns FROM documents")
+def messages(spark, d):
+    return convert.to_messages(qa_rows(spark, d), "Be kind.", ["doc_id"]).select("id", joined_turns("messages").alias("turns"))
+
+
+@query(f"SELECT {ID.format('md5(doc_id::varchar)')} AS id, 'Be kind.' AS system, text || chr(10) || chr(10) || trim(split_part(t, '?', 1), chr(32) || chr(9) || chr(10) || chr(13)) || '?' AS user, trim(substr(t, instr(t, '?') + 1), chr(32) || chr(9) || chr(10) || chr(13)) AS assistant FROM (SELECT doc_id, text, ' What of ' || source || ' ? ' || lang || '. ' AS t FROM documents)")
+def message_columns(spark, d):
+    df = table(spark, d, "documents").select("doc_id", F.col("text").alias("context"), F.concat(F.lit(" What of "), "source", F.lit(" ? "), "lang", F.lit(". ")).alias("output"))
+    return convert.to_columns(df, "Be kind.", ["doc_id"]).select("id", "system", "user", "assistant")
+
+
+_KIND = "['base_document', 'summary_detailed', 'summary_extractive', 'summary_atomic_facts'][doc_id % 4 + 1]"
+_AUXILIARY = f"""
+k AS (SELECT doc_id, text, source, {_KIND} AS kind FROM documents),
+f AS (SELECT * FROM k WHERE kind <> 'base_document' QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1),
+aux AS (SELECT {ID.format("md5(text || '|' || kind)")} AS id, text || chr(10) || chr(10) || {_instruction_sql()} AS asked, text AS answer FROM f)"""
+_QA_ID = ID.format("md5(doc_id::varchar)")
+
+
+@query(f"""
+WITH {_AUXILIARY},
+q AS (SELECT {_QA_ID} AS id, text || chr(10) || chr(10) || 'What does ' || source || ' say?' AS asked, lang AS answer FROM documents UNION ALL SELECT * FROM aux)
+SELECT id, 'pretraining:<|user|>' || chr(10) || asked || chr(10) || '<|assistant|>' || chr(10) || answer AS turns FROM q
+""")
+def knowledge_pretraining(spark, d):
+    return convert.knowledge_pretraining(qa_rows(spark, d), ["doc_id"], ["doc_id"]).select("id", joined_turns("messages").alias("turns"))
+
+
+@query(f"""
+WITH {_AUXILIARY},
+{_raft_sql(f"SELECT {_QA_ID} AS id, text AS context FROM documents", 400000)},
+q AS (SELECT {_QA_ID} AS id, 'What does ' || source || ' say?' AS asked, lang AS answer FROM documents)
+SELECT q.id, 'user:' || docs || asked || '|assistant:' || answer AS turns FROM q JOIN told ON q.id = told.id
+UNION ALL SELECT id, 'user:' || asked || '|assistant:' || answer FROM aux
+""")
+def knowledge_regular(spark, d):
+    return convert.knowledge_regular(qa_rows(spark, d), ["doc_id"], ["doc_id"]).select("id", joined_turns("messages").alias("turns"))
+
+
+@query(f"""
+WITH {_AUXILIARY},
+q AS (
+  SELECT {_QA_ID} AS id, 'system:detailed thinking off|user:' || text || chr(10) || chr(10) || 'What does ' || source || ' say?' || '|assistant:' || lang AS turns, true AS unmask FROM documents
+  UNION ALL SELECT id, 'user:' || asked || '|assistant:' || answer, true FROM aux
+), r AS (SELECT conv_id::varchar AS id, 'user:' || text AS turns, false AS unmask FROM conversations WHERE turn = 0 ORDER BY md5('894375|' || conv_id::varchar), conv_id::varchar LIMIT (SELECT count(*) FROM q))
+SELECT * FROM q UNION ALL SELECT * FROM r
+""")
+def training_mix(spark, d):
+    buffer = table(spark, d, "conversations").where("turn = 0").select(F.col("conv_id").cast("string").alias("id"), F.array(convert.turn("user", "text")).alias("messages"))
+    out = convert.training_mix(qa_rows(spark, d), ["doc_id"], "off", replay=buffer, order=["doc_id"])
+    return out.select("id", joined_turns("messages").alias("turns"), "unmask")
+
+
+@query("SELECT conv_id::varchar AS id, CASE WHEN bool_or(role = 'system') THEN '' ELSE 'system:Be kind.|' END || string_agg(role || ':' || CASE role WHEN 'system' THEN 'Be kind.' ELSE text END, '|' ORDER BY turn) AS turns, '1' AS part FROM conversations GROUP BY conv_id UNION ALL SELECT 'b' || item_id, 'system:Be kind.|user:' || text, '2' FROM benchmark")
+def recipe_mixed(spark, d):
+    """Two JSON Lines folders, put together by a recipe."""
+    recipe, extra = mix.Recipe(), {"metadata": F.lit("{}")}
+    recipe.system = "Be kind."
+    one = conversations(spark, d).select(F.col("conv_id").cast("string").alias("id"), "messages", F.lit(1).alias("part"))
+    two = table(spark, d, "benchmark").select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("id"), F.array(convert.turn("user", "text")).alias("messages"), F.lit(2).alias("part"))
+    for part in (one, two):
+        path = work(spark, "recipe")
+        files.write_jsonl(part.withColumns(extra), path)
+        recipe.add(path)
+    return recipe.mixed(spark).select("id", joined_turns("messages").alias("turns"), F.get_json_object("metadata", "$.part").alias("part"))
+
+
+# Taxonomies
+
+@query("""
+WITH b AS (SELECT item_id, text, row_number() OVER (ORDER BY item_id) - 1 AS o FROM benchmark)
+SELECT 'knowledge->' || item_id AS taxonomy_path, k AS part, trim(CASE k WHEN 0 THEN text ELSE 'About ' || text END, chr(32) || chr(10)) AS document, 'Q1 ' || item_id AS icl_query_1, 'A3' AS icl_response_3, NULL AS seed_question FROM b, (VALUES (0::bigint), (1)) v(k) WHERE o % 2 = 0
+UNION ALL SELECT 'skills->' || item_id, 0, NULL, NULL, NULL, text FROM b WHERE o % 2 = 1
+""")
+def taxonomy_samples(spark, d):
+    """Knowledge leaves of two documents and skill leaves, from the items of the benchmark."""
+    b = reshape.numbered(table(spark, d, "benchmark").select("item_id", "text"), ["item_id"])
+    know, item = F.col("ordinal") % 2 == 0, F.col("item_id").cast("string")
+    pairs = F.array(*[F.struct(F.concat(F.lit(f"Q{k} "), item).alias("question"), F.lit(f"A{k}").alias("answer")) for k in (1, 2, 3)])
+    leaves = b.select(
+        F.concat(F.when(know, F.lit("knowledge->")).otherwise(F.lit("skills->")), item).alias("taxonomy_path"), "ordinal", F.lit("t").alias("task_description"), F.lit("d").alias("domain"),
+        F.when(know, F.array("text", F.concat(F.lit("About "), "text"))).alias("document"), F.lit("o").alias("document_outline"), F.lit("c").alias("context"), F.when(~know, F.col("text")).alias("question"), F.when(~know, F.lit("a")).alias("answer"), F.when(know, pairs).alias("questions_and_answers"),
+    )
+    knowledge, skills = ingest.leaf_samples(leaves)
+    part = F.when(F.col("document").startswith("About "), 1).otherwise(0).cast("long")
+    none = F.lit(None).cast("string")
+    return knowledge.select("taxonomy_path", part.alias("part"), "document", "icl_query_1", "icl_response_3", none.alias("seed_question")).unionByName(skills.select("taxonomy_path", F.lit(0).cast("long").alias("part"), none.alias("document"), none.alias("icl_query_1"), none.alias("icl_response_3"), "seed_question"))
+
+
+# Models, continued
+
+_CONFIG = {"system": "", "introduction": "", "principles": "", "examples": "", "start_tags": [""], "end_tags": [""]}
+
+
+@query("SELECT doc_id, trim(CASE lang WHEN 'en' THEN 'Text: ' || source WHEN 'de' THEN 'Text auf Deutsch: ' || source ELSE lang || ': ' || source END) AS output FROM documents")
+def conditional_render(spark, d):
+    configs = {"en": _CONFIG | {"generation": "Text: {{ source }}"}, "de": _CONFIG | {"generation": "Text auf Deutsch: {{ source }}"}, "any": _CONFIG | {"generation": "{{ lang }}: {{ source }}"}}
+    step = Step("ConditionalLLMBlock", {"config_paths": {"en": "en", "de": "de", "All": "any"}, "selector_column_name": "lang", "output_cols": ["output"]})
+    return generate(table(spark, d, "documents").select("doc_id", "lang", "source"), [step], Context(models.StubBackend(), configs=configs)).select("doc_id", "output")
+
+
+@query("SELECT item_id, text || '[END]' AS answer FROM (SELECT item_id, trim(text, chr(32) || chr(9) || chr(10) || chr(13)) AS text FROM benchmark)")
+def stop_restored(spark, d):
+    out = models.evaluate_once(models.complete(table(spark, d, "benchmark"), "text", "answer", models.StubBackend(), models.Options.of({"stop": "[END]"})))
+    return out.select("item_id", F.col("answer")[0].alias("answer"))
+
+
+@dataclass(frozen=True)
+class Talk(models.StubBackend):
+    """A chat model whose answer tells the number of messages and the last one; asked to reason, it goes through the steps."""
+
+    def chat(self, messages, ids, model, options):
+        return [[self.one(m, options)] for m in messages]
+
+    @staticmethod
+    def one(m: list[dict], options: models.Options) -> str:
+        if m[0]["role"] != "system":
+            return f"{len(m)}: {m[-1]['content']}"
+        step = sum(x["role"] == "assistant" for x in m)
+        sure = 0.9 if options.temperature or len(m[1]["content"]) % 2 else 0.1  # unsure at first of every other prompt
+        actions = ["think", "generate", "reflect", "generate"]
+        return json.dumps({"current_action": actions[min(step, 3)], "title": f"step {step}", "content": f"{step} {options.temperature} {m[1]['content']}", "confidence": sure, "next_action": ["generate", "terminate", "generate", "terminate"][min(step, 3)]})
+
+
+@query("SELECT item_id, 'user:' || text || '|assistant:1: ' || text || '|user:Refine it.|assistant:3: Refine it.|user:As JSON.|assistant:5: As JSON.' AS turns, '5: As JSON.' AS answer FROM benchmark")
+def conversation_chain(spark, d):
+    df = table(spark, d, "benchmark").select("item_id", F.array(convert.turn("user", "text")).alias("messages"))
+    return models.converse(df, "messages", "answer", ["Refine it.", "As JSON."], Talk()).select("item_id", joined_turns("messages").alias("turns"), "answer")
+
+
+@query("SELECT item_id, '3 ' || CASE WHEN length(text) % 2 = 1 THEN '0.0' ELSE '0.7' END || ' ' || text AS answer FROM benchmark")
+def reasoning(spark, d):
+    return models.evaluate_once(models.reason(table(spark, d, "benchmark"), "text", "answer", Talk(), "Think.")).select("item_id", "answer")
+
+
+@dataclass(frozen=True)
+class Skilled(models.StubBackend):
+    """A model of rules for the skill flows."""
+
+    def complete(self, prompts, ids, model, options):
+        return [[self.one(p, k) for k in range(options.n)] for p in prompts]
+
+    @staticmethod
+    def one(prompt: str, sample: int) -> str:
+        task = re.search(r"(?s).*\nTask: (.*?)(?:\nAnswer: .*)?\n\nPut ", prompt)
+        if "[Start of Response]" in prompt:
+            return f"[Start of Response] Done: {task[1]} [End of Response]"
+        if "1 to 3." in prompt:
+            return f"[Start of Evaluation] x [End of Evaluation][Start of Score] {1 + len(task[1]) % 3} [End of Score]"
+        if "Give 1 or 0." in prompt:
+            return f"[Start of Evaluation] x [End of Evaluation][Start of Score] {1 - len(task[1]) % 2}.0 [End of Score]"
+        if "Write a new context" in prompt:
+            seed = re.search(r"(?s)\[Start of Context\](.*?)\[End of Context\]", prompt)[1]
+            return f"[Start of Context] {sample % 3} {seed} [End of Context]"
+        if "tasks about the context" in prompt:
+            given = re.search(r"(?s).*Context:\n(.*?)\n\nPut ", prompt)[1]
+            return "".join(f"[Start of Question] {'Ask' * k} {given}? [End of Question]" for k in (1, 2, 3))
+        seed = re.search(r"(?s)\[Start of Question\](.*?)\[End of Question\]", prompt)[1]
+        return "".join(f"[Start of Question] {w}: {seed} [End of Question]" for w in ("First", "Second"))
+
+
+def skill_rows(spark: SparkSession, d: str) -> DataFrame:
+    b = table(spark, d, "benchmark")
+    return b.select("item_id", F.lit("Do it.").alias("task_description"), tx.strip("text").alias("seed_question"), F.lit("Done.").alias("seed_response"), F.concat(F.lit("ctx "), F.col("item_id").cast("string")).alias("seed_context"))
+
+
+@query("""
+WITH q AS (SELECT DISTINCT w || ': ' || trim(text, chr(32) || chr(9) || chr(10) || chr(13)) AS question FROM benchmark, (VALUES ('First'), ('Second')) v(w))
+SELECT question, 'Done: ' || question AS response FROM q WHERE length(question) % 2 = 0 AND 1 + length(question) % 3 >= 2
+""")
+def flow_skills(spark, d):
+    return generate(skill_rows(spark, d), read_flow("skills.yaml"), Context(Skilled(), order=("item_id",))).select("question", "response")
+
+
+@query("""
+WITH q AS (SELECT s || ' ctx ' || item_id AS context, repeat('Ask', k::int) || ' ' || s || ' ctx ' || item_id || '?' AS question FROM benchmark, range(3) a(s), range(1, 4) b(k))
+SELECT context || chr(10) || chr(10) || question AS question, 'Done: ' || question AS response FROM q WHERE length(question) % 2 = 0 AND 1 + length(question) % 3 >= 2
+""")
+def flow_grounded(spark, d):
+    return generate(skill_rows(spark, d), read_flow("skills_grounded.yaml"), Context(Skilled(), order=("item_id",))).select("question", "response")
+
+
+@dataclass(frozen=True)
+class Summaries(Rules):
+    """The model of rules, which writes summaries and says what kind a document is."""
+
+    @staticmethod
+    def one(prompt: str, sample: int) -> str:
+        if "Say what kind of document" in prompt:
+            return "A" if len(prompt) % 3 else "B"
+        for told, word in (("Summarise the document", "Long"), ("List the facts", "Facts"), ("List the sentences", "Quotes")):
+            if told in prompt:
+                return " ".join([word, *re.search(r"(?s)Title: [^\n]*\n\n(.*?)(\[/INST\])?$", prompt)[1].split()[-14:]])
+        return Rules.one(prompt, sample)
+
+
+@query(r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w, text FROM documents),
+s AS (
+  SELECT doc_id, kind, CASE WHEN kind = 'base_document' THEN w ELSE list_concat([word], list_slice(w, greatest(1, len(w) - 13), len(w))) END AS w
+  FROM w, (VALUES ('summary_detailed', 'Long'), ('summary_extractive', 'Quotes'), ('summary_atomic_facts', 'Facts'), ('base_document', '')) v(kind, word)
+),
+p AS (SELECT doc_id, kind, 'What of ' || array_to_string(w[k + 1:k + 4], ' ') || '?' AS question, array_to_string(w[k + 5:k + 10], ' ') || ' ' AS response FROM s, (VALUES (0), (10)) v(k) WHERE len(w) > k + 4),
+f AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY question ORDER BY doc_id, kind, response) = 1)
+SELECT question, response, kind AS dataset_type FROM f WHERE length(question) % 3 <> 0 AND length(response) % 2 = 1
+""")
+def flow_summaries(spark, d):
+    df = table(spark, d, "documents").select("doc_id", F.col("text").alias("document"), F.col("source").alias("document_outline"), F.col("lang").alias("domain"), *[F.lit(v).alias(k) for k, v in EXAMPLE.items()])
+    return generate(df, read_flow("knowledge_summaries.yaml"), Context(Summaries(), order=("doc_id", "dataset_type", "response"))).select("question", "response", "dataset_type")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
-from corpusloom.operators import columns, filters, reshape
+from corpusloom.operators import columns, filters, models, reshape
 
 #: Instructions for auxiliary rows, by kind of document: our own words.
 INSTRUCTIONS: dict[str, Sequence[str]] = {
@@ -122,16 +122,25 @@ def choices_format(df: DataFrame, question: str = "mmlubench_question", answer:
     return reshape.class_codes(made, "answer", ("A", "B", "C", "D") if codes == "fixed" else None)
 
 
-def training_mix(df: DataFrame, key: Sequence[str], system: str, replay: DataFrame | None = None, unmask: bool = False, order: Sequence[str] | None = None) -> DataFrame:
-    """Question-answer and auxiliary rows with a system turn, shuffled; a replay buffer is cut to as many rows."""
-    qa = knowledge_qa(df, key)
+def training_mix(df: DataFrame, key: Sequence[str], thinking: str | None = "on", unmask: bool | None = True, replay: DataFrame | None = None, keep_context: bool = False, order: Sequence[str] | None = None, seed: int = 894375) -> DataFrame:
+    """Question-answer and auxiliary rows for training, in an order by hash; a replay buffer is cut to as many rows.
+
+    unmask: True flags these rows for pretraining, with their turns kept; False makes pretraining messages of them; None
+    leaves them as they are. thinking: the switch in a system turn before question-answer rows; None for no such turn.
+    Rows of the buffer are not flagged.
+    """
+    pretrained = lambda d: d.withColumn("unmask", F.lit(True)) if unmask else pretraining(d) if unmask is not None else d
+    qa = pretrained(knowledge_qa(df, key, keep_context))
+    if thinking is not None:
+        qa = qa.withColumn("messages", F.concat(F.array(turn("system", F.lit(f"detailed thinking {thinking}"))), "messages"))
     aux = auxiliary(df, order)
-    every = reshape.concat([columns.literal(qa, "unmask", unmask), None if aux is None else columns.literal(aux, "unmask", unmask)])
-    every = every.withColumn("messages", F.concat(F.array(turn("system", F.lit(system))), "messages"))
+    every = reshape.concat([qa, None if aux is None else pretrained(aux)])
     if replay is not None:
-        n = every.count()
-        every = reshape.concat([every, reshape.sample_exact(replay, n, replay.columns[:1])])
-    return every
+        every = models.evaluate_once(every)  # counted, and then read
+        kept = replay.withColumn("unmask", F.lit(False)) if unmask and "unmask" not in replay.columns else replay
+        every = reshape.concat([every, reshape.sample_exact(kept, every.count(), replay.columns[:1], seed)])
+    place = F.md5(F.concat_ws("|", F.lit(str(seed)), F.to_json("messages")).cast("binary"))
+    return every.orderBy(place)
 
 
 def fused(df: DataFrame, group: str, order: str, text: str, threshold: int = 100) -> DataFrame:

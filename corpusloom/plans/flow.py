@@ -7,7 +7,6 @@ are evaluated once each and written; all between them is one lazy plan.
 
 from __future__ import annotations
 
-import functools
 import logging
 import os
 from collections.abc import Callable, Mapping, Sequence
@@ -116,19 +115,34 @@ def bound_names(steps: Sequence[Step]) -> list[Step]:
     return list(steps)
 
 
-def apply_step(df: DataFrame, step: Step, context: Context) -> DataFrame:
+#: Blocks whose result is written: whether it has rows is known at the cost of a look.
+MODELS = {"LLMBlock", "ConditionalLLMBlock", "LLMLogProbBlock", "LLMMessagesBlock", "PRMBlock"}
+
+
+def apply_step(df: DataFrame, step: Step, context: Context, fail_on_empty: bool = False) -> DataFrame:
     config = {k: v for k, v in step.config.items() if k not in ("block_name", "batch_kwargs")}
     out = BLOCKS[step.block_type](df, config, step.gen_kwargs, context)
+    if fail_on_empty and step.block_type in MODELS and out.isEmpty():
+        raise EmptyResult(f"step {step.name} gave no rows")
     out = columns.drop(out, step.drop_columns)
     return reshape.first_per_key(out, step.drop_duplicates, [c for c in context.order if c in out.columns] or None) if step.drop_duplicates else out
 
 
-def generate(df: DataFrame, steps: Sequence[Step], context: Context | None = None, fail_on_empty: bool = False) -> DataFrame:
-    """The rows a flow makes of df."""
-    out = functools.reduce(lambda d, s: apply_step(d, s, context or Context()), bound_names(steps), df)
-    if fail_on_empty and out.isEmpty():
+def generate(df: DataFrame, steps: Sequence[Step], context: Context | None = None, fail_on_empty: bool = True) -> DataFrame:
+    """The rows a flow makes of df.
+
+    A step without rows is an error, found at the next step whose result is written: no model is called on nothing. With
+    fail_on_empty=False a flow without rows gives none.
+    """
+    context, written = context or Context(), False
+    for step in bound_names(steps):
+        if fail_on_empty and written and step.block_type in MODELS and df.isEmpty():
+            raise EmptyResult(f"there are no rows for step {step.name}")
+        df = apply_step(df, step, context, fail_on_empty)
+        written |= step.block_type in MODELS
+    if fail_on_empty and df.isEmpty():
         raise EmptyResult("the flow gave no rows")
-    return out
+    return df
 
 
 @block("RenameColumns")
@@ -212,32 +226,42 @@ def _template(config: dict) -> str:
     name = config.get("model_prompt")
     if name and ("{prompt}" in name or name in chats.TEMPLATES):
         return name
-    found = chats.for_model(config.get("model_id") or "")
-    if found == "blank":
-        log.warning("no chat template for model %s: the prompt is sent as it is", config.get("model_id"))
-    return found
+    if name:
+        raise FlowError(f"no chat template {name}; there are {', '.join(sorted(chats.TEMPLATES))}")
+    if not config.get("model_id"):  # the server's own model: the prompt as it is
+        return "blank"
+    try:
+        return chats.for_model(config["model_id"])
+    except KeyError as e:
+        raise FlowError(e.args[0]) from e
+
 
+def _sampled(df: DataFrame, prompt: dict | None) -> DataFrame:
+    """df with the prompt's number of samples, which its template may name."""
+    n = (prompt or {}).get("num_samples")
+    return df if n is None else df.withColumn("num_samples", F.lit(n))
 
-def _completions(df: DataFrame, config: dict, gen: dict, context: Context, prompt, samples, first: dict | None) -> DataFrame:
-    if samples is not None:
-        df = df.withColumn("num_samples", F.lit(samples))
-    asked = df.withColumn("_prompt", prompt)
-    made = models.complete(asked, "_prompt", "_completions", _backend(context), models.Options.of(gen), config.get("model_id"), config.get("block_name", ""))
-    made = models.evaluate_once(made)
-    each = made.withColumn("_completion", F.explode("_completions")).drop("_prompt", "_completions")
-    return parse_rows(each, "_completion", _parser(config, first), keep=df.columns)
+
+def _completions(df: DataFrame, config: dict, gen: dict, context: Context, prompt, first: dict | None) -> DataFrame:
+    asked, made = columns.unused("_prompt", df.columns), columns.unused("_completion", df.columns)
+    called = models.complete(df.withColumn(asked, prompt), asked, made, _backend(context), models.Options.of(gen), config.get("model_id"), config.get("block_name", ""))
+    each = models.evaluate_once(called.drop(asked)).withColumn(made, F.explode(made))
+    return parse_rows(each, made, _parser(config, first), keep=df.columns)
 
 
 @block("LLMBlock")
 def _model(df, config, gen, context):
     prompt = context.config(config["config_path"])
+    df = _sampled(df, prompt)
     text = compiled(prompt_text(prompt), df.schema, context.missing)
-    return _completions(df, config, gen, context, chats.render(_template(config), text), (prompt or {}).get("num_samples"), prompt)
+    return _completions(df, config, gen, context, chats.render(_template(config), text), prompt)
 
 
 @block("ConditionalLLMBlock")
 def _conditional(df, config, gen, context):
     prompts = {k: context.config(p) for k, p in config["config_paths"].items()}
+    first = next(iter(prompts.values()))
+    df = _sampled(df, first)
     selector, picked = F.col(config["selector_column_name"]), F
     for key, p in prompts.items():
         if key != "All":
@@ -246,16 +270,16 @@ def _conditional(df, config, gen, context):
     text = rest if picked is F else picked.otherwise(rest)
     if config.get("wrap"):
         text = chats.render(_template(config), text)
-    first = next(iter(prompts.values()))
-    return _completions(df, config, gen, context, text, (first or {}).get("num_samples"), first)
+    return _completions(df, config, gen, context, text, first)
 
 
 @block("LLMLogProbBlock")
 def _logprob(df, config, gen, context):
     text = compiled(prompt_text(context.config(config["config_path"])), df.schema, context.missing)
-    asked = df.withColumn("_prompt", chats.render(_template(config), text))
-    out = models.logprobs(asked, "_prompt", config["output_cols"][0], _backend(context), models.Options.of(gen), config.get("model_id"), config.get("block_name", ""))
-    return models.evaluate_once(out.drop("_prompt"))
+    name = columns.unused("_prompt", df.columns)
+    asked = df.withColumn(name, chats.render(_template(config), text))
+    out = models.logprobs(asked, name, config["output_cols"][0], _backend(context), models.Options.of(gen), config.get("model_id"), config.get("block_name", ""))
+    return models.evaluate_once(out.drop(name))
 
 
 @block("LLMMessagesBlock")

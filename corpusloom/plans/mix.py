@@ -18,16 +18,23 @@ COLUMNS = ("id", "messages", "metadata")
 
 
 def with_metadata(df: DataFrame) -> DataFrame:
-    """Folds all columns but id, messages and metadata into the JSON of metadata, over what is there."""
+    """Folds all columns but id, messages and metadata into the JSON of metadata, in place of fields of their names.
+
+    Null metadata has no fields; metadata that is not a JSON object fails the job.
+    """
     extra = [c for c in df.columns if c not in COLUMNS]
     if "metadata" in df.columns and dict(df.dtypes)["metadata"] != "string":
         df = df.withColumn("metadata", F.to_json("metadata", {"ignoreNullFields": "false"}))
-    old = F.coalesce("metadata", F.lit("{}")) if "metadata" in df.columns else F.lit("{}")
-    if extra:
-        new = F.to_json(F.struct(*extra), {"ignoreNullFields": "false"})
-        inside = lambda c: F.regexp_extract(c, r"(?s)^\s*\{(.*)\}\s*$", 1)
-        old = F.concat(F.lit("{"), F.concat_ws(",", F.nullif(inside(old), F.lit("")), F.nullif(inside(new), F.lit(""))), F.lit("}"))
-    return df.withColumn("metadata", old).select(*[c for c in COLUMNS if c in (*df.columns, "metadata")])
+    if not extra:
+        return df.withColumn("metadata", F.coalesce("metadata", F.lit("{}")) if "metadata" in df.columns else F.lit("{}")).select(*[c for c in COLUMNS if c in (*df.columns, "metadata")])
+    inside = lambda c: F.nullif(F.substring(c, F.lit(2), F.length(c) - 2), F.lit(""))
+    new = inside(F.to_json(F.struct(*[F.col(f"`{c}`") for c in extra]), {"ignoreNullFields": "false"}))
+    old = F.lit(None).cast("string")
+    if "metadata" in df.columns:
+        fields = F.from_json("metadata", "map<string, variant>", {"mode": "FAILFAST"})
+        old = F.when(F.col("metadata").isNotNull(), inside(F.to_json(F.map_filter(fields, lambda k, _: ~k.isin(extra)), {"ignoreNullFields": "false"})))
+    whole = F.concat(F.lit("{"), F.concat_ws(",", old, new), F.lit("}"))
+    return df.withColumn("metadata", whole).select(*[c for c in COLUMNS if c in (*df.columns, "metadata")])
 
 
 def with_system(messages: Column | str, prompt: str) -> Column:

@@ -3,29 +3,38 @@
 from __future__ import annotations
 
 import argparse
+import functools
 import logging
+import operator
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.operators import models, reshape
+from corpusloom.operators import columns, models, reshape
 from corpusloom.plans.flow import Context, EmptyResult, Step, generate, read_flow
 
 log = logging.getLogger("corpusloom")
 
 
+#: A table's batches are run in so many jobs at most, if none fails; and when so many jobs have failed, no job is halved.
+WAVES, FAILURES = 64, 100
+Spans = list[tuple[int, int]]
+
+
 class Generator:
     """Chains flows over a table. With a checkpoint folder, finished batches are kept there and not made again.
 
-    Rows are numbered in key order and cut into batches of batch_size; save_every batches are one Spark job, whose
-    result is a folder of its own and an entry in a ledger once it is whole. A batch that fails is logged and skipped,
-    and made in the next run.
+    Rows are numbered in key order and cut into batches of batch_size * save_every, written in the order of their waves, of
+    which there are at most WAVES however many batches there are. A wave is one job over its own folder of rows; `parallel`
+    waves run side by side. A job that fails is tried again in halves down to single batches, of which those that fail are
+    logged and left to the next run. What a job made is a folder of its own, entered in a ledger once it is whole.
     """
 
-    def __init__(self, flows: Sequence[Sequence[Step]], context: Context | None = None, batch_size: int | None = None, save_every: int = 1, key: Sequence[str] = ()):
+    def __init__(self, flows: Sequence[Sequence[Step]], context: Context | None = None, batch_size: int | None = None, save_every: int = 1, key: Sequence[str] = (), parallel: int = 4):
         self.flows, self.context = flows, context or Context()
-        self.batch_size, self.save_every, self.key = batch_size, save_every, key
+        self.batch_size, self.save_every, self.key, self.parallel = batch_size, save_every, key, parallel
 
     def _chain(self, df: DataFrame) -> DataFrame:
         for steps in self.flows:
@@ -33,56 +42,90 @@ class Generator:
         return df
 
     def generate(self, df: DataFrame, checkpoint: str | None = None) -> DataFrame:
-        if not self.batch_size:
-            return self._chain(df) if not checkpoint else self._resumed_by_value(df, checkpoint)
-        key = list(self.key or df.columns[:1])
-        rows = reshape.batches(reshape.numbered(df, key), self.batch_size * self.save_every)
-        if not checkpoint:
-            return self._chain(rows.drop("ordinal", "batch_id"))
-        rows = models.evaluate_once(rows)
-        total = rows.agg(F.max("batch_id")).first()[0]
-        done, failed = finished(df.sparkSession, checkpoint), []
-        for k in range(-1 if total is None else total + 1):
-            if k in done:
-                continue
+        if not self.batch_size or not checkpoint:
+            return self._resumed_by_value(df, checkpoint) if checkpoint else self._chain(df)
+        spark, names = df.sparkSession, df.columns
+        batch, wave = columns.unused("_batch", names), columns.unused("_wave", names)
+        rows = reshape.batches(reshape.numbered(df, list(self.key or names[:1]), wave), self.batch_size * self.save_every, wave, batch)
+        total = rows.agg(F.max(batch)).first()[0]
+        if total is None:
+            raise EmptyResult("there are no rows")
+        each = -(-(total + 1) // WAVES)
+        rows = models.evaluate_once(rows.withColumn(wave, F.expr(f"int({batch} div {each})")), [wave])
+        done, failed = ledger(spark, checkpoint), []
+
+        def run(k: int, spans: Spans) -> None:
+            if not spans:
+                return
+            mine = functools.reduce(operator.or_, [F.col(batch).between(*s) for s in spans])
+            low, high = spans[0][0], spans[-1][1]
             try:
-                self._chain(rows.where(F.col("batch_id") == k).drop("ordinal", "batch_id")).write.mode("overwrite").parquet(f"{checkpoint}/batch={k}")
-                note(df.sparkSession, checkpoint, k)
+                self._chain(rows.where((F.col(wave) == k) & mine).select(*names)).write.mode("overwrite").parquet(f"{checkpoint}/rows={low}-{high}")
+                note(spark, checkpoint, spans)
             except Exception as e:  # noqa: BLE001  a batch that fails is made in the next run
-                log.error("batch %s failed: %s", k, e)
-                failed.append(k)
+                log.error("batches %s to %s failed: %s", low, high, e)
+                failed.append(spans)
+                if low < high and len(failed) < FAILURES:
+                    middle = (low + high) // 2
+                    run(k, cut(spans, low, middle))
+                    run(k, cut(spans, middle + 1, high))
+
+        with ThreadPoolExecutor(self.parallel) as pool:
+            list(pool.map(lambda k: run(k, without(k * each, min(total, (k + 1) * each - 1), done)), range(-(-(total + 1) // each))))
         if failed:
-            log.warning("%s batches failed: %s", len(failed), failed)
-        if not finished(df.sparkSession, checkpoint):
+            log.warning("%s jobs failed", len(failed))
+        if not (done := ledger(spark, checkpoint)):
             raise EmptyResult("no batch was finished")
-        return df.sparkSession.read.parquet(*[f"{checkpoint}/batch={k}" for k in sorted(finished(df.sparkSession, checkpoint))])
+        return spark.read.parquet(*sorted({f"{checkpoint}/rows={folder}" for _, _, folder in done}))
 
     def _resumed_by_value(self, df: DataFrame, checkpoint: str) -> DataFrame:
         """Seed rows whose values appear in what was saved are not made again; all of it is returned."""
         spark = df.sparkSession
-        if 0 in finished(spark, checkpoint):
-            saved = spark.read.parquet(f"{checkpoint}/batch=0")
-            rest = models.evaluate_once(self._chain(reshape.missing(df, saved)))
-            rest.write.mode("append").parquet(f"{checkpoint}/batch=0")
+        where = f"{checkpoint}/rows=0-0"
+        if ledger(spark, checkpoint):
+            rest = reshape.missing(df, spark.read.parquet(where))
+            if not rest.isEmpty():
+                models.evaluate_once(self._chain(rest)).write.mode("append").parquet(where)
         else:
-            self._chain(df).write.mode("overwrite").parquet(f"{checkpoint}/batch=0")
-            note(spark, checkpoint, 0)
-        return spark.read.parquet(f"{checkpoint}/batch=0")
+            self._chain(df).write.mode("overwrite").parquet(where)
+            note(spark, checkpoint, [(0, 0)])
+        return spark.read.parquet(where)
 
 
-def finished(spark: SparkSession, folder: str) -> set[int]:
-    """Numbers of the batches that a checkpoint folder's ledger has, in any store that Spark reads."""
+def cut(spans: Spans, low: int, high: int) -> Spans:
+    """The parts of spans from low to high."""
+    return [(max(a, low), min(b, high)) for a, b in spans if a <= high and b >= low]
+
+
+def without(low: int, high: int, done: Sequence[tuple]) -> Spans:
+    """What of low to high is not done."""
+    out, at = [], low
+    for a, b in sorted((x[0], x[1]) for x in done if x[0] <= high and x[1] >= low):
+        if a > at:
+            out.append((at, a - 1))
+        at = max(at, b + 1)
+    return out + ([(at, high)] if at <= high else [])
+
+
+def ledger(spark: SparkSession, folder: str) -> list[tuple[int, int, str]]:
+    """(first, last, folder) of the finished runs of batches, in any store that Spark reads: a row or more a job."""
     try:
-        return {r[0] for r in spark.read.schema("batch long").parquet(f"{folder}/ledger").distinct().collect()}
+        return sorted((r[0], r[1], r[2]) for r in spark.read.schema("first long, last long, folder string").parquet(f"{folder}/ledger/*").distinct().collect())
     except Exception as e:  # noqa: BLE001
         if "PATH_NOT_FOUND" in str(e):
-            return set()
+            return []
         raise
 
 
-def note(spark: SparkSession, folder: str, batch: int) -> None:
-    """Enters a batch that is written in the ledger."""
-    spark.range(batch, batch + 1, 1, 1).toDF("batch").write.mode("append").parquet(f"{folder}/ledger")
+def finished(spark: SparkSession, folder: str) -> set[int]:
+    """Numbers of the finished batches."""
+    return {k for a, b, _ in ledger(spark, folder) for k in range(a, b + 1)}
+
+
+def note(spark: SparkSession, folder: str, spans: Spans) -> None:
+    """Enters batches that are written in the ledger, in a folder of the job's own: jobs end side by side."""
+    name = f"{spans[0][0]}-{spans[-1][1]}"
+    spark.createDataFrame([(*s, name) for s in spans], "first long, last long, folder string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/ledger/{name}")
 
 
 def main(arguments: Sequence[str] | None = None) -> None:
@@ -97,11 +140,15 @@ def main(arguments: Sequence[str] | None = None) -> None:
     p.add_argument("--save_freq", type=int, default=2)
     p.add_argument("--dataset_start_index", type=int, default=0)
     p.add_argument("--dataset_end_index", type=int, default=None)
+    p.add_argument("--work_dir", default=None, help="a folder that all executors share, for what models answer; else spark.checkpoint.dir")
     p.add_argument("--debug", action="store_true")
     a = p.parse_args(arguments)
     from corpusloom.sources.files import read_jsonl, write_jsonl
 
     spark = SparkSession.builder.appName("corpusloom").config("spark.speculation", "false").getOrCreate()
+    if a.work_dir:
+        spark.conf.set("spark.checkpoint.dir", a.work_dir)
+    models.work_folder(spark)  # on a cluster, fails before any work if there is none
     seed = read_jsonl(spark, a.ds_path)
     if a.debug:
         seed = reshape.sample_exact(seed, 30, seed.columns)

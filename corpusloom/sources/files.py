@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import logging
 import subprocess
@@ -84,11 +85,16 @@ def evaluation_task(name: str, data: str, path: str | Path) -> None:
     write_yaml({"task": name, "dataset_kwargs": {"data_files": {"test": data}}, "include": "_default_mmlu_pr_template_yaml", "group": "mmlu_pr"}, path)
 
 
-def side_by_side(left: DataFrame, right: DataFrame, text: str, titles: tuple[str, str] = ("left", "right"), ordinal: str = "ordinal", limit: int = 100) -> str:
-    """A Markdown report of the first rows of two results, joined on their ordinal."""
-    both = left.select(ordinal, F.col(text).alias("_l")).join(right.select(ordinal, F.col(text).alias("_r")), ordinal).orderBy(ordinal).limit(limit)
-    parts = [f"## {r[ordinal]}\n\n### {titles[0]}\n\n{r['_l']}\n\n### {titles[1]}\n\n{r['_r']}\n" for r in both.collect()]
-    return "\n".join(parts)
+def paired(left: DataFrame, right: DataFrame, text: str, titles: tuple[str, str] = ("left", "right"), ordinal: str = "ordinal") -> DataFrame:
+    """(ordinal, report): a piece of Markdown for each pair of rows of two results with one ordinal."""
+    both = left.select(ordinal, F.col(text).alias("_l")).join(right.select(ordinal, F.col(text).alias("_r")), ordinal)
+    part = lambda title, c: F.concat(F.lit(f"### {title}\n\n"), F.coalesce(c, F.lit("")), F.lit("\n"))
+    return both.select(ordinal, F.concat(F.lit("## "), F.col(ordinal).cast("string"), F.lit("\n\n"), part(titles[0], "_l"), F.lit("\n"), part(titles[1], "_r")).alias("report"))
+
+
+def side_by_side(left: DataFrame, right: DataFrame, text: str, titles: tuple[str, str] = ("left", "right"), ordinal: str = "ordinal") -> str:
+    """All pairs of two small results in one Markdown text; for large ones, write the rows of `paired`."""
+    return "\n".join(r["report"] for r in paired(left, right, text, titles, ordinal).orderBy(ordinal).toLocalIterator())
 
 
 def model_family(forced: str | None, path: str, families: Mapping[str, str], default: str) -> str:
@@ -126,15 +132,44 @@ def changed_files(repo: str, base: str) -> list[str]:
 
 
 def fetch_documents(source: dict[str, Any], folder: str) -> list[str]:
-    """The Markdown files of a document source: a repository, a commit and patterns."""
-    subprocess.run(["git", "clone", "--quiet", source["repo"], folder], check=True)
-    subprocess.run(["git", "-C", folder, "checkout", "--quiet", source["commit"]], check=True)
-    found = sorted({p for pattern in source["patterns"] for p in Path(folder).glob(pattern) if p.is_file() and p.suffix.lower() == ".md"})
+    """The Markdown files of a document source: a repository, a commit and patterns. A commit is fetched once."""
+    place = Path(folder) / hashlib.sha256(f"{source['repo']} {source['commit']}".encode()).hexdigest()[:16]
+    if not (place / ".git").exists():
+        subprocess.run(["git", "clone", "--quiet", "--no-checkout", source["repo"], str(place)], check=True)
+    subprocess.run(["git", "-C", str(place), "checkout", "--quiet", source["commit"]], check=True)
+    found = sorted({p for pattern in source["patterns"] for p in place.glob(pattern) if p.is_file() and p.suffix.lower() == ".md"})
     if not found:
         raise ValueError(f"no documents in {source['repo']} match {source['patterns']}")
     return [p.read_text(encoding="utf-8") for p in found]
 
 
+# Fixed values of the file format: what a knowledge or a skill file must have, and how many examples and questions.
+REQUIRED = {"knowledge": ("version", "created_by", "domain", "document_outline", "document", "seed_examples"), "compositional_skills": ("version", "created_by", "task_description", "seed_examples")}
+EXAMPLES, QUESTIONS = 5, 3
+
+
+def check_schema(value: Any, path: str) -> list[str]:
+    """What in a taxonomy file departs from the format of its kind, which the first folder of its path tells."""
+    if not isinstance(value, dict):
+        return ["not a mapping"]
+    kind = Path(path).parts[0] if Path(path).parts[0] in REQUIRED else "knowledge" if "document" in value else "compositional_skills"
+    out = [f"{f} is missing" for f in REQUIRED[kind] if value.get(f) in (None, "")]
+    if "version" in value and not (isinstance(value["version"], int) and value["version"] >= 1):
+        out.append("version is no number of a format")
+    seeds = value.get("seed_examples") if isinstance(value.get("seed_examples"), list) else []
+    if len(seeds) < EXAMPLES:
+        out.append(f"seed_examples: {len(seeds)} of at least {EXAMPLES}")
+    if kind == "knowledge":
+        source = value.get("document") if isinstance(value.get("document"), dict) else {}
+        out += [f"document.{f} is missing" for f in ("repo", "commit", "patterns") if not source.get(f)]
+        for k, s in enumerate(seeds):
+            if not s.get("context"):
+                out.append(f"seed example {k}: context is missing")
+            if len(s.get("questions_and_answers") or ()) < QUESTIONS:
+                out.append(f"seed example {k}: fewer than {QUESTIONS} questions")
+    return out
+
+
 def check_leaf(value: Any) -> list[str]:
     """What is wrong with a taxonomy file."""
     if not isinstance(value, dict):
@@ -151,10 +186,11 @@ def check_leaf(value: Any) -> list[str]:
     return out
 
 
-def leaf_rows(path: str | Path, root: str | Path, documents: Callable[[dict], list[str]] | None = None) -> list[tuple]:
-    """The seed rows of one taxonomy file, in the order of LEAF's columns."""
+def leaf_rows(path: str | Path, root: str | Path, documents: Callable[[dict], list[str]] | None = None, strict: bool = False) -> list[tuple]:
+    """The seed rows of one taxonomy file, in the order of LEAF's columns. strict: the format's rules hold too."""
     value = read_yaml(path)
-    if wrong := check_leaf(value):
+    relative = str(Path(path).resolve().relative_to(Path(root).resolve()))
+    if wrong := check_leaf(value) + (check_schema(value, relative) if strict else []):
         raise ValueError(f"{path}: {'; '.join(wrong)}")
     place = "->".join(Path(path).resolve().relative_to(Path(root).resolve()).parent.parts)
     source = value.get("document")
@@ -166,11 +202,11 @@ def leaf_rows(path: str | Path, root: str | Path, documents: Callable[[dict], li
     return out
 
 
-def read_taxonomy(spark: SparkSession, path: str, base: str | None = None, documents: Callable[[dict], list[str]] | None = None) -> DataFrame:
+def read_taxonomy(spark: SparkSession, path: str, base: str | None = None, documents: Callable[[dict], list[str]] | None = None, strict: bool = False) -> DataFrame:
     """The rows of one file, of all files of a folder, or of those changed against a base."""
     root = Path(path)
     if root.is_file():
         files, root = [root], root.parent
     else:
         files = [root / f for f in changed_files(path, base)] if base else sorted(p for r in ROOTS for p in (root / r).rglob("*.y*ml"))
-    return spark.createDataFrame([r for f in files for r in leaf_rows(f, root, documents)], LEAF)
+    return spark.createDataFrame([r for f in files for r in leaf_rows(f, root, documents, strict)], LEAF)

@@ -15,6 +15,8 @@ from corpusloom.operators import filters, reshape
 from corpusloom.plans.convert import fused
 
 OVERLAP, RESERVE = 100, 1024
+#: Chunks that are handed on together.
+ROWS = 1000
 SEPARATORS = ("\n#{1,6} ", "```\n", "\n\\*\\*\\*+\n", "\n---+\n", "\n___+\n", "\n\n", "\n", " ", "")
 
 
@@ -83,22 +85,40 @@ def chunked(df: DataFrame, column: str, context: int, words: int, position: str
     return reshape.explode_list(df.withColumn(column, pieces(tx.compact_table(column))), column, position)
 
 
-SKIPPED = {"page-footer", "page-header", "footnote", "picture", "figure", "caption"}
-STOP = re.compile(r"^\W*(references|acknowledg(e)?ments?|bibliography)\b", re.I)
+# Element types that are passed over, types that are taken, and what ends a document.
+SKIPPED = {"page-footer", "page-header", "picture", "figure", "reference", "meta-data"}
+TAKEN = {"subtitle-level-1", "title", "paragraph", "table", "equation"}
+ENDS = ("## References", "## Acknowledgements")
+
+WHOLE = re.compile(r"\s*[+-]?\d+\s*\Z")
+DECIMAL = re.compile(r"\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*\Z")
+
+
+def table_column(cells: Sequence[str]) -> list[str]:
+    """The cells of a column at one width: numbers to the right, points below each other; all else to the left."""
+    if not all(map(DECIMAL.match, cells)):
+        cells = [c.strip() for c in cells]
+        width = max(map(len, cells))
+        return [c.ljust(width) for c in cells]
+    if not all(map(WHOLE.match, cells)):
+        cells = [format(float(c), "g") for c in cells]
+    after = [len(c) - 1 - c.rfind(".") if "." in c else -1 for c in map(str.strip, cells)]
+    cells = [c.strip() + " " * (max(after) - n) for c, n in zip(cells, after, strict=True)]
+    width = max(map(len, cells))
+    return [c.rjust(width) for c in cells]
 
 
 def table_text(table: dict | None) -> str:
-    """A parsed table with columns padded to their width, its caption below; nothing for one row or column."""
+    """A parsed table with a rule above its rows and its caption below; nothing for one row or column."""
     data = [[(cell or {}).get("text") or "" for cell in row] for row in (table or {}).get("data") or []]
     if len(data) <= 1 or len(data[0]) <= 1:
         return ""
     n = max(map(len, data))
-    data = [row + [""] * (n - len(row)) for row in data]
-    width = [max(len(row[k]) for row in data) for k in range(n)]
-    rule = "|" + "|".join("-" * (w + 2) for w in width) + "|"
-    body = ["| " + " | ".join(c.ljust(w) for c, w in zip(row, width, strict=True)) + " |" for row in data]
+    columns = [table_column([row[k] if k < len(row) else "" for row in data]) for k in range(n)]
+    rule = "|" + "|".join("-" * (len(c[0]) + 2) for c in columns) + "|"
+    body = ["| " + " | ".join(row) + " |" for row in zip(*columns, strict=True)]
     caption = f"\nCaption: {table['text']}\n" if table.get("text") else ""
-    return "\n".join([rule, *body, rule]) + caption
+    return "\n".join([rule, *body]) + caption
 
 
 def bold_heading(text: str) -> str:
@@ -107,59 +127,62 @@ def bold_heading(text: str) -> str:
 
 
 def page_of(elements: Sequence[dict], at: int) -> int | None:
-    """A table's page: that of the nearest element with one, before or after it; the latter where they differ."""
+    """A table's page: that of the nearest element before it, or from it on, with one; the latter where they differ."""
     page = lambda e: e["prov"][0]["page"] if e.get("prov") else None
     before = next((page(e) for e in reversed(elements[:at]) if page(e) is not None), None)
-    after = next((page(e) for e in elements[at + 1 :] if page(e) is not None), None)
+    after = next((page(e) for e in elements[at:] if page(e) is not None), None)
     return before if after is None else after
 
 
-def fold_elements(elements: Sequence[dict], tables: Sequence[dict], max_tokens: int, count: Callable[[str], int] | None = None, by_page: bool = False, criteria: Callable[[str, str], bool] | None = None) -> list[str]:
-    """The texts of a parsed document's elements in chunks: by a predicate, by page, or by a token budget.
+def fold_elements(elements: Sequence[dict], tables: Sequence[dict], max_tokens: int, count: Callable[[str], int] | None = None, by_page: bool = False, criteria: Callable[[str], bool] | None = None) -> list[str]:
+    """The texts of a parsed document's elements in chunks: by a predicate of the next text, by page, or by a budget.
 
-    With a budget the last element before a full chunk begins the next one, unless it is too large itself. Nothing
-    after a heading for references or acknowledgements is taken.
+    The first subtitle is the document's title. With a budget, what is held is looked at before an element is added: if
+    two elements or more have reached it, all but the last are a chunk, and the last begins the next one, or is a
+    chunk of its own if it alone reaches the budget. Nothing from an element on whose text has one of ENDS is taken. A
+    last chunk that was there before, and chunks without text, are left out; elements without a page keep the one before.
     """
     count = count or (lambda t: tx.tokens_from_words(len(t.split())))
-    out: list[str] = []
-    held: list[str] = []
-    page, titled, last = None, False, ""
-
-    def emit(texts: list[str]) -> None:
-        if whole := "\n\n".join(t for t in texts if t):
-            out.append(whole)
-
+    join, out, held = "\n\n".join, [], []
+    page, titled = None, False
     for k, e in enumerate(elements):
-        kind = e.get("type") or ""
+        kind, text = e.get("type") or "", e.get("text") or ""
         if kind in SKIPPED:
             continue
-        if kind == "table" or e.get("$ref"):
-            parts = (e.get("$ref") or "").split("/")
-            at = int(parts[2]) if len(parts) > 2 and parts[2].isdigit() else -1
-            text, here = table_text(tables[at] if 0 <= at < len(tables) else None), page_of(elements, k)
-        else:
-            text, here = e.get("text") or "", e["prov"][0]["page"] if e.get("prov") else page
-            if "heading" in kind or "subtitle" in kind or kind == "title":
-                if STOP.match(text):
-                    break
-                text = f"**{text}**\n" if not titled else bold_heading(text)
-                titled = True
-        if not text:
-            continue
-        if criteria is not None:
-            full = bool(held) and criteria(last, text)
-        elif by_page:
-            full = bool(held) and here != page
-        else:
-            full = bool(held) and count("\n\n".join([*held, text])) > max_tokens
-        if full:
-            emit(held)
-            carry = held[-1:] if criteria is None and not by_page and count(held[-1]) <= max_tokens // 2 and len(held) > 1 else []
-            held = list(carry)
-        held.append(text)
-        page, last = here, text
-    emit(held)
-    return out
+        own = page_of(elements, k) if kind == "table" else e["prov"][0]["page"] if e.get("prov") else page
+        if kind in TAKEN:
+            if kind == "subtitle-level-1":
+                text, titled = f"## **{text}**" if titled else f"# Title: **{text}**", True
+            elif kind == "title":
+                text = f"# **{text}**"
+            if criteria is not None:
+                if criteria(text):
+                    out.append(join(held))
+                    held = []
+            elif by_page and page is not None and own != page:
+                out.append(join(held))
+                held = []
+            elif len(held) > 1 and count(join(held)) >= max_tokens:
+                out.append(join(held[:-1]))
+                held = held[-1:]
+                if count(held[0]) >= max_tokens:
+                    out.append(held.pop())
+            if kind == "paragraph":
+                text = bold_heading(text)
+            elif kind == "table":
+                text = table_text(referred(e.get("$ref"), tables))
+            if any(end in text for end in ENDS):
+                break
+            held.append(text)
+        page = own
+    last = join(held)
+    return [c for c in out if c] + ([last] if last and last not in out else [])
+
+
+def referred(reference: str | None, tables: Sequence[dict]) -> dict | None:
+    parts = (reference or "").split("/")
+    at = int(parts[2]) if len(parts) > 2 and parts[2].isdigit() else -1
+    return tables[at] if 0 <= at < len(tables) else None
 
 
 def plain(value):
@@ -169,14 +192,18 @@ def plain(value):
     return [plain(v) for v in value] if isinstance(value, (np.ndarray, list, tuple)) else value
 
 
-def folded(parsed: DataFrame, max_tokens: int = 500, by_page: bool = False) -> DataFrame:
+def folded(parsed: DataFrame, max_tokens: int = 500, by_page: bool = False, count: Callable[[str], int] | None = None, criteria: Callable[[str], bool] | None = None) -> DataFrame:
     """(file, place, text): a row for each chunk of each parsed document, one document to a row."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
+            out: list[tuple[str, int, str]] = []
             for file, elements, tables in zip(frame["file"], frame["elements"], frame["tables"], strict=True):
-                texts = fold_elements(plain(elements) or [], plain(tables) or [], max_tokens, by_page=by_page)
-                yield pd.DataFrame({"file": file, "place": range(len(texts)), "text": texts})
+                out += [(file, k, t) for k, t in enumerate(fold_elements(plain(elements) or [], plain(tables) or [], max_tokens, count, by_page, criteria))]
+                if len(out) >= ROWS:
+                    yield pd.DataFrame(out, columns=["file", "place", "text"])
+                    out = []
+            yield pd.DataFrame(out, columns=["file", "place", "text"])
 
     return parsed.mapInPandas(run, "file string, place long, text string")
 
@@ -195,14 +222,18 @@ def seed_examples(config: dict) -> list[dict[str, str]]:
     return out
 
 
-def seeds_from_parsed(parsed: DataFrame, config: dict, max_tokens: int = 500, context: int = 4096, words: int = 1024, min_tokens: int = 100) -> DataFrame:
-    """Seed rows of parsed documents: folded, short texts appended, with each example, chunked, short ones dropped."""
+def seeds_from_parsed(parsed: DataFrame, config: dict, max_tokens: int = 500, context: int = 4096, words: int = 1024, min_tokens: int = 100, split_over: int = 1024, count: Callable[[str], int] | None = None) -> DataFrame:
+    """Seed rows of parsed documents: folded, short texts appended, with each example; texts of more than split_over
+    tokens are chunked, and short ones dropped. count: a tokenizer's length, in place of the words rule."""
     spark = parsed.sparkSession
-    texts = fused(folded(parsed, max_tokens), "file", "place", "text", 200).withColumnRenamed("text", "document")
-    texts = texts.withColumns({"document_outline": F.lit(config["document_outline"]), "domain": F.lit(config["domain"])})
-    examples = spark.createDataFrame(seed_examples(config))
-    crossed = reshape.with_examples(texts, examples, "example")
-    return filters.min_tokens(chunked(crossed, "document", context, words, "chunk"), "document", min_tokens)
+    texts = fused(folded(parsed, max_tokens, count=count), "file", "place", "text", 200).withColumnRenamed("text", "document")
+    title = F.regexp_extract("file", r"^([^.]*)", 1)
+    texts = texts.withColumns({"document_outline": F.lit(config["document_outline"]), "document_title": title, "domain": F.lit(config["domain"])})
+    long = tx.token_count("document", count) > split_over
+    whole = texts.where(~F.coalesce(long, F.lit(False))).withColumn("chunk", F.lit(0))
+    texts = chunked(texts.where(long), "document", context, words, "chunk").unionByName(whole)
+    kept = filters.min_tokens(texts, "document", min_tokens, count)
+    return reshape.with_examples(kept, spark.createDataFrame(seed_examples(config)), "example")
 
 
 def leaf_samples(leaves: DataFrame, context: int = 4096, words: int = 1024, pairs: int = 3) -> tuple[DataFrame, DataFrame]:

@@ -17,7 +17,7 @@ def generate_stream(spark: SparkSession, seeds: str, schema: str, steps: Sequenc
     """
 
     def one(batch: DataFrame, number: int) -> None:
-        generate(batch, steps, context).write.mode("overwrite").parquet(f"{output}/batch={number}")
+        generate(batch, steps, context, fail_on_empty=False).write.mode("overwrite").parquet(f"{output}/batch={number}")
 
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(seeds)
     return rows.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

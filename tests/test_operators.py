@@ -123,3 +123,33 @@ def test_chat_templates(spark):
         wrong.select(chat.render("inst", "m", False)).collect()
     with pytest.raises(KeyError):
         chat.get("none")
+
+
+@pytest.mark.parametrize(("model", "name"), [("mistralai/Mixtral-8x7B-Instruct-v0.1", "inst"), ("Mistral-7B", "inst"), ("/models/base-7b-lab", "roles"), ("meta-llama/Llama-3.3-70B-Instruct", None), ("collab-7b", None)])
+def test_chat_templates_by_model(model, name):
+    if name:
+        assert chat.for_model(model) == name
+    else:
+        with pytest.raises(KeyError, match="no chat template"):
+            chat.for_model(model)
+
+
+def test_a_family_can_be_registered(monkeypatch):
+    monkeypatch.setattr(chat, "FAMILIES", list(chat.FAMILIES))
+    chat.family("llama", "blank")
+    assert chat.for_model("Llama-3") == "blank"
+
+
+def test_large_samples_are_the_same_rows(spark, monkeypatch):
+    df = spark.range(3000)
+    small = {k: set(values(reshape.sample_exact(df, k, ["id"]), "id")) for k in (1, 500, 2999, 3000, 4000)}
+    monkeypatch.setattr(reshape, "TOP", 0)
+    assert {k: set(values(reshape.sample_exact(df, k, ["id"]), "id")) for k in small} == small
+
+
+def test_a_pattern_runs_once_a_row(spark):
+    df = spark.createDataFrame([("<q>a</q>",)], "t string")
+    plan = parse_rows(df, "t", Parser(["q", "r"], ["<q>", "<r>"], ["</q>", "</r>"]))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 2
+    clash = spark.createDataFrame([("<q>a</q>", 1, 2, 3)], "t string, _array_0 int, _position int, _entry int")
+    assert parse_rows(clash, "t", Parser(["q"], ["<q>"], ["</q>"])).first().asDict() == {"t": "<q>a</q>", "_array_0": 1, "_position": 2, "_entry": 3, "q": "a"}
