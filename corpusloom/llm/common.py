@@ -166,20 +166,27 @@ def squeezed(text: Column) -> Column:
     return out
 
 
-def with_running_sum(df: DataFrame, group: Sequence[str], order: Sequence[str], value: Column, name: str, buckets: int) -> DataFrame:
+#: Rows that one task numbers, and buckets whose sums one task adds up.
+ROWS_PER_BUCKET = 2000
+
+
+def with_running_sum(df: DataFrame, group: Sequence[str], order: Sequence[str], value: Column, name: str, most: int) -> DataFrame:
     """Adds the sum of value over the rows before each row of its group, in the order given by a hash of `order`, then `order`.
 
-    A group may hold any share of the rows: it is cut into buckets by hash, each bucket is summed in a task of
-    its own, and only one row per group and bucket meets in the window over the bucket sums. The columns of
-    `order` must tell the rows of a group apart for the result to be the same in each run.
+    A group may hold any share of the rows, at most `most`: it is cut into buckets by hash, each bucket is summed in a task
+    of its own, and the bucket sums are added up alike. The columns of `order` must tell the rows of a group apart for
+    the result to be the same in each run. df has no columns whose names begin with an underscore.
     """
-    spread = F.xxhash64(*[F.col(c) for c in order])
-    marked = df.withColumn("_spread", spread).withColumn("_value", value).withColumn("_bucket", F.shiftrightunsigned("_spread", 44) % F.lit(buckets))
-    sums = marked.groupBy(*group, "_bucket").agg(F.sum("_value").alias("_sum"))
-    before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_bucket").alias("_b"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy(*group, "_bucket").orderBy("_spread", *order).rowsBetween(Window.unboundedPreceding, -1)
-    summed = marked.withColumn("_inside", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
+    inside = lambda *by: Window.partitionBy(*group, *by).orderBy("_spread", *order).rowsBetween(Window.unboundedPreceding, -1)
+    marked = df.withColumn("_spread", F.xxhash64(*[F.col(c) for c in order])).withColumn("_value", value)
+    if most <= ROWS_PER_BUCKET:
+        return marked.withColumn(name, F.coalesce(F.sum("_value").over(inside()), F.lit(0)).cast("long")).select(*df.columns, name)
+    buckets = -(-most // ROWS_PER_BUCKET)
+    marked = marked.withColumn("_bucket", F.pmod(F.xxhash64("_spread", F.lit(len(order))), F.lit(buckets)))
+    sums = marked.groupBy(*group, F.col("_bucket").alias("bucket")).agg(F.sum("_value").alias("total"))
+    starts = with_running_sum(sums, group, ["bucket"], F.col("total"), "start", buckets)
+    starts = starts.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("bucket").alias("_b"), F.col("start").alias("_start"))
+    summed = marked.withColumn("_inside", F.coalesce(F.sum("_value").over(inside("_bucket")), F.lit(0)))
     on = [summed[g].eqNullSafe(starts[f"_g{i}"]) for i, g in enumerate(group)] + [summed["_bucket"] == starts["_b"]]
     out = summed.join(starts, on, "left")
     return out.withColumn(name, (F.col("_inside") + F.col("_start")).cast("long")).select(*df.columns, name)

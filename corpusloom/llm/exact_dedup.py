@@ -1,17 +1,24 @@
 """Exact deduplication by a stateful stream.
 
-A batch pass reads each text once and appends (digest, id, length, locator) to an inbox in the shared folder. A
+A batch pass reads each text once and appends (digest, variant, id, length, locator) to an inbox in the shared folder. A
 Structured Streaming query then folds the inbox, file group by file group, into keyed state that lives on disk
 (RocksDB) and never expires: for each digest the number of rows, the stable identifier of the row to keep, and
-where its content lies. A later run over the same folder goes on from that state. Digests that were hit more than
-once are checked on the full bytes; texts that only share a digest are told apart by their bytes.
+the locator of its content. A later run over the same folder goes on from that state.
 
-Defined results: null text counts as empty; a null id loses to every other; rows with the same id and equal text are
-copies of which one stays; an empty table gives an empty result; other columns are not looked at.
+Full bytes are checked on hits, before they are folded: digests that come twice in a run by the smallest and largest body of
+each, and those that earlier runs have by the content that is read from where their locator says. Runs that others will
+follow write the content of each new digest once, to a folder of the run, which is the locator. Texts that only share a
+digest are told apart by a variant number beside it.
+
+Defined results: null text counts as empty; texts of any length are compared whole; a null id loses to every other; rows with
+the same id and equal text are copies of which one stays; an empty table gives an empty result; other columns, whatever
+their names, are not looked at, and come back as they were from keep_first.
 """
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -39,69 +46,113 @@ def prepared(docs: DataFrame, id_col: str, text_col: str, digest: Callable[[Colu
     return docs.select(F.col(id_col).cast("long").alias("id"), F.length(text).cast("long").alias("points"), F.input_file_name().alias("locator"), squeezed(text).alias("body")).withColumn("digest", digest(F.col("body")))
 
 
-def fold(spark: SparkSession, inbox: str, schema, state: str) -> DataFrame:
-    """Runs the stream over what is new in the inbox; returns the state: digest, n, keep (points, turned id, locator)."""
-    better = F.struct("points", (-F.col("id")).alias("turned"), "locator")
+KEY = ["digest", "variant"]
+
+
+def state(spark: SparkSession, folder: str) -> DataFrame:
+    """digest, variant, n, keep (points, turned id), locator of what has been folded."""
+    value = spark.read.format("statestore").load(folder)
+    fields = value.schema["value"].dataType.fieldNames()
+    return value.select("key.digest", "key.variant", *[F.col(f"value.{f}").alias(c) for f, c in zip(fields, ("n", "keep", "locator"), strict=False)])
+
+
+def fold(spark: SparkSession, inbox: str, schema, folder: str) -> DataFrame:
+    """Runs the stream over what is new in the inbox; returns the state."""
     with settings(spark, STATE_STORE):
         rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(inbox)
-        keyed = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max(better).alias("keep"))
-        keyed.writeStream.format("noop").outputMode("update").option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-        value = spark.read.format("statestore").load(state)
-    fields = value.schema["value"].dataType.fieldNames()
-    return value.select(F.col("key.digest").alias("digest"), F.col(f"value.{fields[0]}").alias("n"), F.col(f"value.{fields[1]}").alias("keep"))
+        keyed = rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("points", (-F.col("id")).alias("turned"))).alias("keep"), F.min("locator").alias("locator"))
+        keyed.writeStream.format("noop").outputMode("update").option("checkpointLocation", folder).trigger(availableNow=True).start().awaitTermination()
+        return state(spark, folder)
+
+
+def contents(spark: SparkSession, folder: str, index: DataFrame, where: str) -> DataFrame | None:
+    """digest, variant, body of what earlier runs have of the index's digests, from where their locators say."""
+    try:
+        spark.read.parquet(f"{folder}/contents/*")
+    except Exception as e:  # noqa: BLE001
+        if "PATH_NOT_FOUND" in str(e):
+            return None
+        raise
+    known = state(spark, f"{folder}/state").join(index.select("digest").distinct(), "digest", "left_semi").select(*KEY, "locator")
+    known = written(known, f"{where}/known")
+    places = [r[0] for r in known.select("locator").distinct().collect()]  # one for each run
+    return spark.read.parquet(*places).join(known.select(*KEY), KEY, "left_semi") if places else None
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, folder: str | None = None) -> DataFrame:
-    """One row per row of docs: id, keep_id, group_size, kept, digest, body_sha256.
+    """One row per row of docs: id, keep_id, group_size, kept, digest, variant.
 
-    folder: where inbox and state are kept, for runs that add to earlier ones; the result then tells about the
+    folder: where inbox, state and contents are kept, for runs that add to earlier ones; the result then tells about the
     rows of docs, with the groups of all runs.
     """
     spark = docs.sparkSession
-    own, folder = workspace(spark, "dedup"), folder or workspace(spark, "dedup-state")
-    index = prepared(docs, id_col, text_col, digest).drop("body")
-    index = written(index, f"{own}/index")
-    index.write.mode("append").parquet(f"{folder}/inbox")
-    states = written(fold(spark, f"{folder}/inbox", index.schema, f"{folder}/state"), f"{own}/states")
-    hits = states.where("n > 1").select("digest")
+    own, home = workspace(spark, "dedup"), folder or workspace(spark, "dedup-state")
+    run = f"{home}/contents/{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    rows = prepared(docs, id_col, text_col, digest)
+    index = rows.drop("body").withColumn("variant", F.lit(0))
+    index = written(index.withColumn("locator", F.lit(run)) if folder else index, f"{own}/index")
+    seen = contents(spark, folder, index, own) if folder else None
 
     # Full bytes of the hits: equal smallest and largest body means that all are equal. Groups shrink before the shuffle.
-    bodies = prepared(docs, id_col, text_col, digest).join(hits, "digest", "left_semi")
-    checked = bodies.groupBy("digest").agg(F.min("body").alias("low"), F.max("body").alias("high")).where("low <> high").select("digest")
-    clashing = written(checked, f"{own}/clashing")
-    keys = index.withColumn("body", F.lit(None).cast("binary"))
+    hits = index.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
+    hits = written(hits if seen is None else hits.union(seen.select("digest")).distinct(), f"{own}/hits")
+    bodies = rows.join(hits, "digest", "left_semi").select("digest", "body")
+    bodies = bodies if seen is None else bodies.union(seen.select("digest", "body"))
+    clashing = written(bodies.groupBy("digest").agg(F.min("body").alias("low"), F.max("body").alias("high")).where("low <> high").select("digest"), f"{own}/clashing")
+    variants = None
     if not clashing.isEmpty():
-        apart = prepared(docs, id_col, text_col, digest).join(clashing, "digest", "left_semi").withColumn("body", F.col("body").cast("binary"))
-        better = F.struct("points", (-F.col("id")).alias("turned"), "locator")
-        own_states = apart.groupBy("digest", "body").agg(F.count(F.lit(1)).alias("n"), F.max(better).alias("keep"))
-        states = states.join(clashing, "digest", "left_anti").withColumn("body", F.lit(None).cast("binary")).unionByName(own_states)
-        keys = keys.join(clashing, "digest", "left_anti").unionByName(apart.select(*keys.columns))
-    else:
-        states = states.withColumn("body", F.lit(None).cast("binary"))
-
-    groups = states.select(F.col("digest").alias("d"), F.col("body").alias("b"), F.col("n").alias("group_size"), (-F.col("keep.turned")).alias("keep_id"), F.col("keep.points").alias("keep_points"))
-    found = keys.join(groups, (F.col("digest") == F.col("d")) & F.col("body").eqNullSafe(F.col("b")))
+        apart = rows.join(clashing, "digest", "left_semi")
+        variants = written(numbered_variants(apart, None if seen is None else seen.join(clashing, "digest", "left_semi")), f"{own}/variants")
+        index = written(index.join(clashing, "digest", "left_anti").unionByName(apart.join(variants, ["digest", "body"]).select(*[F.lit(run).alias(c) if folder and c == "locator" else c for c in index.columns])), f"{own}/index-variants")
+    if folder:
+        fresh = rows.withColumn("variant", F.lit(0)) if variants is None else rows.join(clashing, "digest", "left_anti").withColumn("variant", F.lit(0)).select(*KEY, "body").union(variants.select(*KEY, "body"))
+        fresh = fresh if seen is None else fresh.join(seen.select(*KEY), KEY, "left_anti")
+        fresh.groupBy(*KEY).agg(F.min("body").alias("body")).write.parquet(run)
+
+    index.write.mode("append").parquet(f"{home}/inbox")
+    states = written(fold(spark, f"{home}/inbox", index.schema, f"{home}/state"), f"{own}/states")
+    groups = states.select(*KEY, F.col("n").alias("group_size"), (-F.col("keep.turned")).alias("keep_id"), F.col("keep.points").alias("keep_points"))
+    # No window over this join, so that a digest with a great share of the rows may be split among tasks.
     best = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("points") == F.col("keep_points"))
-    again = F.row_number().over(Window.partitionBy("id", "d", "b").orderBy(F.col("points").desc()))
-    return found.withColumn("kept", best & (again == 1)).select("id", "keep_id", "group_size", "kept", "digest", F.col("body").alias("clash"))
+    found = written(index.join(groups, KEY).select("id", "keep_id", "group_size", best.alias("kept"), *KEY), f"{own}/found")
+    again = written(found.where("kept").groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*KEY), f"{own}/again")
+    if again.isEmpty():
+        return found
+    # Rows that agree in id, text and length: one of them stays.
+    same = found.where("kept").join(again, KEY, "left_semi")
+    one = same.dropDuplicates(KEY)
+    rest = same.groupBy(*same.columns).agg((F.count(F.lit(1)) - 1).cast("int").alias("times")).withColumn("kept", F.explode(F.array_repeat(F.lit(False), F.col("times")))).select(*found.columns)
+    return found.where("not kept").unionByName(found.where("kept").join(again, KEY, "left_anti")).unionByName(one).unionByName(rest)
+
+
+def numbered_variants(apart: DataFrame, known: DataFrame | None) -> DataFrame:
+    """digest, body, variant: the numbers that bodies have, and the next ones for new bodies."""
+    bodies = apart.select("digest", "body").distinct()
+    if known is None:
+        new = bodies.withColumn("base", F.lit(0))
+    else:
+        base = known.groupBy("digest").agg((F.max("variant") + 1).alias("base"))
+        new = bodies.join(known.select("digest", "body"), ["digest", "body"], "left_anti").join(base, "digest", "left").withColumn("base", F.coalesce("base", F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("digest").orderBy("body")) - 1
+    new = new.withColumn("variant", (F.col("base") + place).cast("int")).select("digest", "body", "variant")
+    return new if known is None else new.unionByName(known.select("digest", "body", "variant"))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns."""
     own = workspace(docs.sparkSession, "dedup-keep")
     found = written(deduplicate(docs, id_col, text_col), f"{own}/found")
-    marked = docs.withColumn("_digest", sha256(squeezed(F.col(text_col))))
-    drop = found.where("not kept").select(F.col("id").alias("_id"), F.col("digest").alias("_d")).distinct()
-    twice = found.where("kept").select(F.col("id").alias("_id"), F.col("digest").alias("_d")).join(drop, ["_id", "_d"], "left_semi")
-    twice = written(twice, f"{own}/twice")
+    row = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.length(text_col).alias("points"), F.col(text_col).alias("text"), sha256(squeezed(F.col(text_col))).alias("digest"))
+    drop = found.where("not kept").select(F.col("id").alias("i"), F.col("digest").alias("d")).distinct()
     drop = written(drop, f"{own}/drop")
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_d"))
-    out = marked.join(drop, same, "left_anti")
-    if not twice.isEmpty():
-        repeated = marked.join(twice, same, "left_semi")
-        first = F.row_number().over(Window.partitionBy(id_col, "_digest").orderBy(F.length(text_col).desc(), F.col(text_col)))
-        out = out.unionByName(repeated.withColumn("_first", first).where("_first = 1").drop("_first"))
-    return out.select(*docs.columns)
+    kept = found.where("kept").select(F.col("id").alias("i"), F.col("digest").alias("d"))
+    twice = written(kept.join(drop, (kept["d"] == drop["d"]) & kept["i"].eqNullSafe(drop["i"]), "left_semi"), f"{own}/twice")
+    same = F.col("id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("d"))
+    out = row.join(drop, same, "left_anti")
+    if not twice.isEmpty():  # rows of one id and equal texts, of which one stays
+        first = F.row_number().over(Window.partitionBy("id", "digest").orderBy(F.col("points").desc(), "text"))
+        out = out.unionByName(row.join(twice, same, "left_semi").withColumn("first", first).where("first = 1").drop("first"))
+    return out.select("row.*")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,15 +5,18 @@ BLOCK words. Output shards of SLOTS slots each draw how many slots every source
 block pi(k mod N) of it, pi being a pseudorandom permutation (a Feistel network that walks its cycle) of its own for
 each round through the N blocks. Slots then join the blocks by index.
 
-The draw is multinomial with the whole parts held, over all shards first: each source gets the whole part of its expected
-slots, and only what is left over is drawn, at most one slot a source. So the sum over shards is within a block of the
-target at any number of shards, and a source of three rounds gets them whole. The slots are then dealt to shards by halves:
-each half of a range of shards gets the whole part of its share of each source's slots, and what is left is drawn alike.
-A shard's draw depends on its number only, so shards are drawn apart. No block is used in more than three rounds.
-
-Defined results: null text or a text without words has size 0 and takes part with nothing; a null source is a source,
-last in order; rows that agree in all of id, source and text share one place in the order; an empty table gives no
-rows. The number of sources is to be small enough for the driver (a row for each); their rows may be in any proportion.
+Each shard's counts are a multinomial draw, under the condition that the sums over all shards are what the targets ask for.
+Free draws would leave a source of 47 blocks some 15 % off. The sums are the whole parts of the expected slots, and a
+multinomial draw of the rests, at most one slot a source; so a source is within a block or two of its target at any number of
+shards, and one of three rounds gets them whole. Draws under that condition are hypergeometric: a range of shards with given
+sums is halved, and the first half's sums are drawn without replacement from the whole's, down to single shards. (Ranges of
+more than EXACT slots are halved in proportion, for the sums of so many draws hardly vary.) A shard's draw depends on its
+number only, so shards are drawn apart. No block is used in more than three rounds.
+
+Defined results: null text or a text without words has size 0 and takes part with nothing; texts of any length are cut where
+their words fall; a null source is a source, last in order; rows that agree in all of id, source and text share one
+place in the order; an empty table gives no rows; further columns, whatever their names, come back as they were, but
+for `n_chars`, which follows the text. There may be MOST_SOURCES sources, whose rows may be in any proportion.
 """
 
 from __future__ import annotations
@@ -33,7 +36,8 @@ BLOCK = 64
 SLOTS = 4096
 ROUNDS = 3
 SEED = 20240607
-ROWS_PER_BUCKET = 100_000
+#: Slots of a range of shards that are dealt by an exact draw; sources whose sums the driver may hold.
+EXACT, MOST_SOURCES = 500_000_000, 100_000
 
 
 def targets(sizes: Sequence[int], weights: Sequence[int]) -> list[float]:
@@ -76,12 +80,14 @@ def stream(docs: DataFrame, id_col: str, text_col: str, source_col: str, where:
     text = F.coalesce(F.col(text_col), F.lit(""))
     sizes = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.crc32(text).alias("crc"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"))
     sizes = written(sizes, f"{where}/sizes")
-    rows = sizes.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).collect()
+    rows = sizes.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).limit(MOST_SOURCES + 1).collect()
+    if len(rows) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
     found = [{"src": i, "source": r["source"], "size": r["size"], "rows": r["rows"]} for i, r in enumerate(sorted(rows, key=lambda r: (r["source"] is None, r["source"] or "")))]
     wanted = targets([x["size"] for x in found], [1 + x["src"] % 3 for x in found])
     for x, t in zip(found, wanted, strict=True):
         x |= {"target": t, "blocks": -(-x["size"] // BLOCK)}
-    placed = with_running_sum(sizes, ["source"], ["id", "crc", "size"], F.col("size"), "place", 1 + max([x["rows"] for x in found], default=0) // ROWS_PER_BUCKET)
+    placed = with_running_sum(sizes, ["source"], ["id", "crc", "size"], F.col("size"), "place", max([x["rows"] for x in found], default=0))
     return placed, found
 
 
@@ -114,8 +120,11 @@ def dealt(numbers: Sequence[int], every: np.ndarray) -> Iterator[tuple[int, np.n
             low, high, start, n = path[-1]
             middle = (low + high) // 2
             part, of = (middle - low) * SLOTS, min(high * SLOTS, total) - low * SLOTS
-            share = [divmod(int(x) * part, of) for x in n]
-            half = drawn(np.array([w for w, _ in share]), np.array([r / of for _, r in share]), part - sum(w for w, _ in share), [low, high])
+            if of <= EXACT:
+                half = np.random.default_rng([SEED, low, high]).multivariate_hypergeometric(n, part, method="marginals")
+            else:
+                share = [divmod(int(x) * part, of) for x in n]
+                half = drawn(np.array([w for w, _ in share]), np.array([r / of for _, r in share]), part - sum(w for w, _ in share), [low, high])
             path.append((low, middle, start, half) if s < middle else (middle, high, start + half, n - half))
         yield s, path[-1][2], path[-1][3]
 
@@ -143,7 +152,8 @@ def slots(spark: SparkSession, found: list[dict]) -> DataFrame:
                 source = np.repeat(np.array(names, dtype=object), n)
                 yield pd.DataFrame({"shard": shard, "slot": np.arange(len(source)), "source": source, "block": np.concatenate(out)})
 
-    return map_frames(spark.range(max(1, -(-int(every.sum()) // SLOTS))), place, schema)
+    shards = max(1, -(-int(every.sum()) // SLOTS))
+    return map_frames(spark.range(0, shards, 1, min(shards, 8 * spark.sparkContext.defaultParallelism)), place, schema)
 
 
 def uses(placed: DataFrame, taken: DataFrame) -> DataFrame:
@@ -175,10 +185,12 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     where = workspace(spark, "mix")
     placed, found = stream(docs, id_col, text_col, source_col, where)
     placed = written(placed, f"{where}/placed")
-    cuts = uses(placed, slots(spark, found)).where("n > 0").groupBy("id", "source", "crc", "size", "place").agg(F.array_sort(F.collect_list(F.struct("low", "high", "n"))).alias("_cuts"))
-    cuts = cuts.groupBy(F.col("id").alias("_id"), F.col("source").alias("_s"), F.col("crc").alias("_crc"), F.col("size").alias("_size")).agg(F.min_by("_cuts", "place").alias("_cuts"))
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).cast("string").eqNullSafe(F.col("_s")) & (F.crc32(text_of := F.coalesce(F.col(text_col), F.lit(""))) == F.col("_crc")) & (F.regexp_count(text_of, F.lit(WORD)) == F.col("_size"))
-    rounds = F.filter(F.sequence(F.lit(1), F.lit(ROUNDS)), lambda e: F.exists("_cuts", lambda c: c["n"] >= e))
+    cuts = uses(placed, slots(spark, found)).where("n > 0").groupBy("id", "source", "crc", "size", "place").agg(F.array_sort(F.collect_list(F.struct("low", "high", "n"))).alias("cuts"))
+    cuts = cuts.groupBy(F.col("id").alias("i"), F.col("source").alias("s"), F.col("crc").alias("c"), F.col("size").alias("z")).agg(F.min_by("cuts", "place").alias("cuts"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.crc32(text).alias("crc"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"))
+    same = F.col("id").eqNullSafe(F.col("i")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("crc") == F.col("c")) & (F.col("size") == F.col("z"))
+    rounds = F.filter(F.sequence(F.lit(1), F.lit(ROUNDS)), lambda e: F.exists("cuts", lambda c: c["n"] >= e))
 
     def taken(texts: list[str], sizes: list[int], cuts: list[list[dict]], round_: list[int]) -> pa.Array:
         out = []
@@ -197,8 +209,9 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
                 out.append(" ".join(t[at[a][0] : at[b - 1][1]] for a, b in runs))
         return pa.array(out, pa.string())
 
-    rows = docs.join(cuts, same).withColumn("_round", F.explode(rounds))
-    rows = rows.withColumn(text_col, texts_udf(taken, "string", 3)(F.col(text_col), "_size", "_cuts", "_round"))
+    used = rows.join(cuts, same).withColumn("round", F.explode(rounds))
+    used = used.withColumn("new", texts_udf(taken, "string", 3)(F.col("row")[text_col], "size", "cuts", "round"))
+    new = {text_col: F.col("new")}
     if "n_chars" in names:
-        rows = rows.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
-    return rows.select(*names)
+        new["n_chars"] = F.length("new").cast(docs.schema["n_chars"].dataType)
+    return used.select(*[new.get(c, F.col("row")[c]).alias(c) for c in names])
