@@ -33,8 +33,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Bytes that go to a Python worker at once, and wait for it beside the heap, where the session has Spark's default.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = "4m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's size of batches for Python, if it is Spark's own: 64 MB, of which a task holds several."""
+    if spark.conf.get(BATCH) in ("64MB", "64m", str(64 << 20), f"{64 << 20}b"):
+        spark.conf.set(BATCH, BATCH_BYTES)
+
+
 def workspace(spark: SparkSession, name: str) -> str:
     """A new folder name below the shared folder."""
+    small_batches(spark)
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
@@ -70,6 +82,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -99,6 +112,7 @@ def map_texts(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd
     """Like mapInPandas, in frames of bounded bytes of the text column: what a task holds does not follow its batches."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    small_batches(df.sparkSession)
     kind = to_arrow_schema(T.StructType.fromDDL(schema))
 
     def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,21 +206,27 @@ def with_running_sum(df: DataFrame, group: Sequence[str], order: Sequence[str],
     return out.withColumn(name, (F.col("_inside") + F.col("_start")).cast("long")).select(*df.columns, name)
 
 
-#: Bits of the map that tells which keys may be wanted: 4 MB, whatever the number of keys.
-MAP_BITS = 1 << 25
+#: Wanted keys up to which a map of them is sent (16 to 32 bits a key, 64 MB at most); beyond, rows go to the join as they are.
+MAPPED = 1 << 24
 
 
 def maybe_wanted(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> DataFrame:
     """The rows of df whose key may be among the wanted ones: none that is is left out, few others stay.
 
-    A bitmap of hashes of fixed size is broadcast, so that rows no join needs are dropped where they are read.
+    A bitmap of hashes, of a size by the number of wanted keys, is broadcast, so that rows no join needs are dropped where
+    they are read. Its size is bounded; for more keys than it can tell, nothing is dropped. wanted is read twice.
     """
-    place = lambda k: F.pmod(F.xxhash64(k), F.lit(MAP_BITS))
-    bits = wanted.select(place(wanted_key).alias("p")).groupBy(F.expr("int(p div 32768)").alias("_bucket")).agg(F.bitmap_construct_agg(F.expr("p % 32768")).alias("_map"))
-    rows = df.withColumn("_place", place(key)).withColumn("_bucket", F.expr("int(_place div 32768)"))
-    bit = F.expr("cast(conv(hex(substring(_map, cast((_place % 32768) div 8 + 1 as int), 1)), 16, 10) as int)")
-    found = rows.join(F.broadcast(bits), "_bucket").where(bit.bitwiseAND(F.expr("shiftleft(1, cast(_place % 8 as int))")) != 0)
-    return found.select(*df.columns)
+    n = wanted.count()
+    if n > MAPPED:
+        return df
+    size = max(1 << 18, 1 << (16 * n).bit_length())
+    row, bucket, bits_, place_ = (unused(c, df.columns) for c in ("_row", "_bucket", "_map", "_place"))
+    place = lambda k: F.pmod(F.xxhash64(k), F.lit(size))
+    bits = wanted.select(place(wanted_key).alias("p")).groupBy(F.expr("int(p div 32768)").alias(bucket)).agg(F.bitmap_construct_agg(F.expr("p % 32768")).alias(bits_))
+    rows = df.select(F.struct("*").alias(row), place(key).alias(place_)).withColumn(bucket, F.expr(f"int({place_} div 32768)"))
+    bit = F.expr(f"cast(conv(hex(substring({bits_}, cast(({place_} % 32768) div 8 + 1 as int), 1)), 16, 10) as int)")
+    found = rows.join(F.broadcast(bits), bucket).where(bit.bitwiseAND(F.expr(f"shiftleft(1, cast({place_} % 8 as int))")) != 0)
+    return found.select(f"{row}.*")
 
 
 def components(links: DataFrame, where: str) -> DataFrame:

@@ -10,11 +10,16 @@
    is no less than the overlap; a hash too far behind in a set to be the pair's first common one is passed over, as the
    first one finds the pair. Links inside a component need no search, so a group of near copies makes about as
    many pairs as it has members, and no link between components is missed.
-4. Surviving pairs are verified on the whole sets.
+4. Surviving pairs are verified on the whole sets. Words are hashed by XXH3 to 64 bits, and shingles by mixing their words'.
+
+A hash's group of more than BLOCK members is not gathered: its members are dealt to blocks by a hash of their ids, and each
+pair of blocks is searched in a group of its own.
 
 Defined results: null text or text without words has an empty set, no links, and is its own component; with fewer than
-`words` words the whole sequence is the one shingle; rows that share an id are one document; null ids take part, and
-their component is the smallest other id reached, or null.
+`words` words the whole sequence is the one shingle; texts of any length give all their shingles; rows that share an id
+are one document; rows without an id take part, and their component is the smallest id reached, or null; an empty table
+gives no rows. Other columns, whatever their names, are not looked at, and come back as they were from keep_one. Ids
+below -2^62 are kept for rows without one, and are an error.
 """
 
 from __future__ import annotations
@@ -28,6 +33,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from corpusloom.llm.common import components, documents, lists, map_frames, map_texts, maybe_wanted, shuffle_partitions, texts_udf, workspace, written
 
@@ -42,8 +48,9 @@ LEAF, FANOUT = 32, 8
 #: Pairs of tree nodes, or of points, that are bounded at once.
 TOGETHER = 100_000
 
-_bytes = np.random.default_rng(5).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_base = np.uint64(0x9E3779B97F4A7C15)
+#: Members of a hash's group that are searched together; ids below this stand for rows without one.
+BLOCK = 1000
+NO_ID = -(1 << 62)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -54,17 +61,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def shingles(text: str | None, words: int) -> np.ndarray:
     """Sorted distinct hashes of the text's shingles; ASCII letters count as lower case."""
-    raw = b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split())
-    if not raw:
+    every = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not every:
         return np.zeros(0, np.uint64)
-    data = np.frombuffer(raw, np.uint8)
-    gaps = np.flatnonzero(data == 32)
-    starts = np.r_[0, gaps + 1]
-    place = np.arange(len(data)) - np.repeat(starts, np.diff(np.r_[starts, len(data)]))
-    powers = np.multiply.accumulate(np.full(place.max() + 1, _base))
-    value = _bytes[data] * powers[place]
-    value[gaps] = 0
-    word = _mix(np.add.reduceat(value, starts))
+    word = np.fromiter(map(xxh3_64_intdigest, every), np.uint64, len(every))
     k = min(words, len(word))
     out = np.zeros(len(word) - k + 1, np.uint64)
     for i in range(k):
@@ -85,7 +85,8 @@ def enough(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
 
 
 def sets(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, common: np.ndarray) -> DataFrame:
-    """id, n, digest of the set, its first hashes, and its count vectors (8 bits a group, 255 for more)."""
+    """id, n, digest of the set, its first hashes, and its count vectors (8 bits a group, 255 for more); mark: of rows
+    without id, the text's digest."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -101,11 +102,15 @@ def sets(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int,
                 counted = [np.minimum(np.bincount(h % np.uint64(g), minlength=g), 255).astype(np.uint8).tobytes() for g in (GROUPS, FINE)]
                 rows.append((n, hashlib.blake2b(h.tobytes(), digest_size=16).digest(), first.view(np.int64), *counted))
             out = pd.DataFrame(rows, columns=["n", "digest", "first", "vector", "fine"])
-            out["id"] = frame["id"].astype("Int64")
-            yield out[["id", "n", "digest", "first", "vector", "fine"]]
+            yield out.assign(id=frame["id"].astype("Int64").array, mark=frame["mark"].array)
+
+    return map_texts(keyed(docs, id_col, text_col), run, "id long, n long, digest binary, first array<long>, vector binary, fine binary, mark string")
+
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return map_texts(texts, run, "id long, n long, digest binary, first array<long>, vector binary, fine binary")
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, text, mark."""
+    id_, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    return docs.select(id_.alias("id"), text.alias("text"), F.when(id_.isNull(), F.sha2(F.coalesce(text, F.lit("")), 256)).alias("mark"))
 
 
 def common_hashes(docs: DataFrame, id_col: str, text_col: str, words: int) -> np.ndarray:
@@ -184,7 +189,7 @@ def across(percent: int):
     """
 
     def batch(f: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        h, ids, sizes, parts, places = (f[c].to_numpy() for c in ("h", "id", "n", "part", "pos"))
+        h, ids, sizes, parts, places = (f[c].to_numpy() for c in ("key", "id", "n", "part", "pos"))
         order = np.lexsort((sizes, h))
         h, ids, sizes, parts, places = h[order], ids[order], sizes[order], parts[order], places[order]
         points = vectors(f["vector"])[order]
@@ -228,9 +233,9 @@ def across(percent: int):
         for frame in frames:
             held.append(frame)
             size += len(frame)
-            if size >= 50_000:
+            if size >= 20_000:
                 every = pd.concat(held, ignore_index=True)
-                last = int(np.searchsorted(every["h"].to_numpy(), every["h"].iloc[-1]))
+                last = int(np.searchsorted(every["key"].to_numpy(), every["key"].iloc[-1]))
                 if last:
                     yield from batch(every.iloc[:last])
                 held, size = [every.iloc[last:]], len(every) - last
@@ -248,16 +253,23 @@ def verified(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("i") >= percent * (F.size("set_a") + F.size("set_b") - F.col("i"))).select("a", "b")
 
 
-def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """id, n_shingles and component_id of each row."""
+def clusters(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(id, n, digest, mark) of each row, and (digest, component) of each set: the smallest id that it reaches, or for
+    sets that no id is reached from, a number below NO_ID."""
     spark = docs.sparkSession
     where = workspace(spark, "jaccard")
     sent = spark.sparkContext.broadcast(common_hashes(docs, id_col, text_col, words)).value
     index = written(sets(docs, id_col, text_col, words, percent, sent), f"{where}/index")
-    # One member for each distinct set; copies shrink where they are read.
-    groups = written(index.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.first("vector").alias("vector"), F.first("fine").alias("fine")), f"{where}/groups")
+    if not index.where(F.col("id") < NO_ID).isEmpty():
+        raise ValueError(f"ids below {NO_ID} are kept for rows without one")
+    # One member for each distinct set; copies shrink where they are read. A set that no row with an id has gets a number.
+    number = F.xxhash64("digest").bitwiseAND(F.lit((1 << 62) - 1)) - F.lit(1 << 62) - F.lit((1 << 62) - 1)
+    groups = index.where("n > 0").groupBy("digest").agg(F.min("id").alias("real"), F.max("n").alias("n"), F.first("vector").alias("vector"), F.first("fine").alias("fine"), F.min("mark").alias("mark"))
+    groups = written(groups.withColumn("id", F.coalesce("real", number)), f"{where}/groups")
     own = groups.select("digest", F.col("id").alias("own"))
-    once = index.where("n > 0").join(own, "digest").where("id <=> own").select(F.col("id"), F.posexplode("first").alias("pos", "h"))
+    first = groups.select("digest", F.col("id").alias("own"), "real", F.col("mark").alias("m"))
+    chosen = index.where("n > 0").join(first, "digest").where("id <=> real and (real is not null or mark <=> m)")
+    once = chosen.select(F.col("own").alias("id"), F.posexplode("first").alias("pos", "h"))
 
     shared = written(once.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("centre"), F.max("id").alias("other")).where("centre <> other").select("h", "centre"), f"{where}/shared")
     posts = written(maybe_wanted(once, F.col("h"), shared, F.col("h")).join(shared, "h").distinct(), f"{where}/posts")
@@ -267,12 +279,18 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     stars = written(bounded(stars, members, percent), f"{where}/stars")
     fine = groups.select("id", "n", F.col("fine").alias("vector"))
     near = written(bounded(stars, fine, percent), f"{where}/near1")
-    text = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text"))
+    # Texts by the number of their set's member: the id, or what stands for it.
+    text = keyed(docs, id_col, text_col)
+    nameless = written(groups.where("real is null").select(F.col("mark").alias("m"), F.col("id").alias("number")), f"{where}/nameless")
+    some = not nameless.isEmpty()
 
     def sets_of(pairs: DataFrame, name: str) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+        wanted = written(pairs.select(F.col("a").alias("w")).union(pairs.select(F.col("b").alias("w"))).distinct(), f"{where}/{name}-wanted")
         full = texts_udf(lambda texts: lists([shingles(t, words).view(np.int64) for t in texts], pa.int64()), "array<long>")
-        rows = maybe_wanted(text, F.col("_id"), wanted, F.col("id")).join(wanted.hint("shuffle_hash"), F.col("_id") == F.col("id")).select("id", full("text").alias("set"))
+        mine = maybe_wanted(text.where("id is not null").select("id", "text"), F.col("id"), wanted, F.col("w"))
+        if some:
+            mine = mine.union(text.where("id is null").join(nameless, F.col("mark") == F.col("m")).select(F.col("number").alias("id"), "text"))
+        rows = mine.join(wanted.hint("shuffle_hash"), F.col("id") == F.col("w")).select("id", full("text").alias("set"))
         return written(rows, f"{where}/{name}")
 
     links = written(verified(near, sets_of(near, "sets1"), percent), f"{where}/links1")
@@ -298,16 +316,31 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
         opened = open_groups(parts, "open2")
 
     open_ = opened.join(members, "id").select("h", "id", "pos", "part", "n", "vector")
-    found = map_frames(open_.repartition(shuffle_partitions(spark), "h").sortWithinPartitions("h"), across(percent), "a long, b long").distinct()
+    large = written(opened.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > BLOCK).select("h", F.expr(f"int((m + {BLOCK - 1}) div {BLOCK})").alias("blocks")), f"{where}/large")
+    sent = open_.withColumn("key", F.col("h"))
+    if not large.isEmpty():
+        dealt = open_.join(large, "h").withColumn("block", F.expr("int(pmod(xxhash64(id), blocks))")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.withColumn("key", F.xxhash64("h", F.least("block", "other"), F.greatest("block", "other")))
+        sent = sent.join(large, "h", "left_anti").unionByName(dealt.select(*sent.columns))
+    found = map_frames(sent.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key"), across(percent), "a long, b long").distinct()
     found = written(found.join(stars, ["a", "b"], "left_anti"), f"{where}/found")
     found = written(bounded(found, fine, percent), f"{where}/near3")
     if not found.isEmpty():
         links = links.union(verified(found, sets_of(found, "sets3"), percent))
         parts = written(components(links, f"{where}/parts3"), f"{where}/all")
 
-    least = own.join(parts, F.col("own") == F.col("node"), "left").select("digest", F.coalesce("component", "own").alias("component"))
-    out = index.select("id", "n", "digest").join(least, "digest", "left")
-    return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    found = own.join(parts, F.col("own") == F.col("node"), "left").select("digest", F.coalesce("component", "own").alias("component"))
+    if some:  # numbers that stand for ids are the smallest: where there is an id, it is the component's
+        ends = found.where(F.col("component") < NO_ID).join(groups.select("digest", "real"), "digest").groupBy(F.col("component").alias("c")).agg(F.min("real").alias("least")).where("least is not null")
+        found = found.join(ends, F.col("component") == F.col("c"), "left").select("digest", F.coalesce("least", "component").alias("component"))
+    return index.select("id", "n", "digest", "mark"), written(found, f"{where}/components")
+
+
+def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """id, n_shingles and component_id of each row."""
+    index, found = clusters(docs, id_col, text_col, words, percent)
+    out = index.join(found, "digest", "left")
+    return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("component") >= NO_ID, F.col("component")).otherwise(F.col("id")).alias("component_id"))
 
 
 def bounded(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
@@ -327,9 +360,18 @@ def bounded(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs whose id is the smallest of their component."""
-    found = written(linked(docs, id_col, text_col, words, percent).where("id <> component_id").select(F.col("id").alias("_id")).distinct(), f"{workspace(docs.sparkSession, 'jaccard-keep')}/drop")
-    return docs.join(found, docs[id_col].cast("long") == found["_id"], "left_anti").select(*docs.columns)
+    """A document of each component: the one whose id is the smallest, or of those without ids, one text."""
+    index, found = clusters(docs, id_col, text_col, words, percent)
+    where = workspace(docs.sparkSession, "jaccard-keep")
+    drop = written(index.join(found, "digest").where("id <> component").select(F.col("id").alias("i")).distinct(), f"{where}/drop")
+    row = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256).alias("text"))
+    out = row.where("id is not null").join(drop, F.col("id") == F.col("i"), "left_anti")
+    nameless = row.where("id is null")
+    if not nameless.isEmpty():
+        texts = index.where("id is null").join(found, "digest", "left").groupBy(F.coalesce("component", F.xxhash64("mark")).alias("c"), F.col("component").isNull().alias("empty")).agg(F.min("mark").alias("m"))
+        stay = texts.where((F.col("c") < NO_ID) | F.col("empty")).select("m").distinct()
+        out = out.unionByName(nameless.join(stay, F.col("text") == F.col("m"), "left_semi").dropDuplicates(["text"]))
+    return out.select("row.*")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

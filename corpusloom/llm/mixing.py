@@ -161,6 +161,8 @@ def uses(placed: DataFrame, taken: DataFrame) -> DataFrame:
     used = taken.groupBy(F.col("source").alias("s"), F.col("block").alias("b")).agg(F.count(F.lit(1)).alias("n"))
     cut = placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.expr(f"place div {BLOCK}"), F.expr(f"(place + size - 1) div {BLOCK}"))))
     cut = cut.withColumn("low", F.greatest(F.col("block") * BLOCK - F.col("place"), F.lit(0))).withColumn("high", F.least((F.col("block") + 1) * BLOCK - F.col("place"), F.col("size")))
+    # Spark takes what is made of a range of shard numbers for small, and would broadcast it.
+    used = used.hint("merge")
     return cut.join(used, cut["source"].eqNullSafe(used["s"]) & (cut["block"] == used["b"]), "left").drop("s", "b").fillna(0, ["n"])
 
 

@@ -280,23 +280,24 @@ def test_a_passage_of_all_rows_is_not_gathered(spark, monkeypatch, tmp_path):
 
 
 def brute_links(rows, words, percent):
+    """(id, set size, smallest id reached) of each row; rows of one id are one document, rows without one their own."""
     sets = []
-    for d, t, *_ in rows:
+    for k, (d, t, *_) in enumerate(rows):
         w = re.findall(common.WORD, "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
-        sets.append((d, {tuple(w[i : i + words]) for i in range(len(w) - words + 1)} if len(w) >= words else {tuple(w)} if w else set()))
-    parent = {d: d for d, _ in sets}
+        sets.append((d, k if d is None else -1, {tuple(w[i : i + words]) for i in range(len(w) - words + 1)} if len(w) >= words else {tuple(w)} if w else set()))
+    parent = {(d, k): (d, k) for d, k, _ in sets}
 
     def root(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for i, (a, s) in enumerate(sets):
-        for b, z in sets[:i]:
-            if s and z and None not in (a, b) and 100 * len(s & z) >= percent * len(s | z):
-                x, y = root(a), root(b)
-                parent[max(x, y)] = min(x, y)
-    return Counter((d, len(s), root(d)) for d, s in sets)
+    for i, (a, j, s) in enumerate(sets):
+        for b, k, z in sets[:i]:
+            if s and z and 100 * len(s & z) >= percent * len(s | z):
+                x, y = sorted((root((a, j)), root((b, k))), key=lambda n: (n[0] is None, n))
+                parent[y] = x
+    return Counter((d, len(s), root((d, k))[0]) for d, k, s in sets)
 
 
 @pytest.mark.parametrize(("words", "percent"), [(4, 85), (5, 80)])
