@@ -6,14 +6,20 @@ by a token's shape, chain factors between neighbours, and skip factors between t
 resemble each other however far apart. A token is linked to the one before it with the same key; one outside base spans
 is linked to the nearest base span of each label that has its key instead of to others like it, so that each has the
 base label's whole weight, however many there are. Tokens in base spans keep their label; loopy message passing over
-all of a document carries it along the skip edges to the others, until the document's messages settle, and those that
-end up as data are added as spans. All other tokens have no chance of being data in this model, so they need not be
-nodes.
-
-The factors are learned piecewise from base labels: Spark counts shapes, neighbours and successive repeats over a
-bounded sample (SAMPLE_DOCS rows by a hash of the id); NOISE is the share of base labels taken to be wrong.
-
-Defined results: null text counts as empty and has no spans; rows may repeat; other columns are not looked at.
+all of a document carries it along the edges to the others, until the document's messages settle, and those that end up
+as data are added as spans, neighbouring parts of one number as one span, if they repeat a base span or are whole
+numbers or addresses by themselves. All other tokens have no chance of being data
+in this model, so they need not be nodes.
+
+The field is fitted to base labels. Spark counts shapes, neighbours and successive repeats over half of a bounded sample
+(SAMPLE_DOCS rows by a hash of the id), which gives each factor a table of logarithms; the other half gives the tables'
+weights, by maximum pseudo-likelihood: each token's label given its shape, its neighbours' labels and those of its repeats.
+What the patterns missed counts as `none` there, so a shape that is nearly always data where patterns find it is data
+where they fail, as two numbers that one pattern takes for one that is too long.
+
+Defined results: null text counts as empty and has no spans; texts of any length are one document; rows, ids and null ids
+may repeat, and each row has its own result, which depends on its text only; an empty table gives no rows; columns of
+other names are not looked at.
 """
 
 from __future__ import annotations
@@ -32,10 +38,10 @@ from corpusloom.llm.common import documents, map_texts
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 SAMPLE_DOCS = 20_000
-NOISE = 0.05
-#: By how much a token outside base spans speaks for `none` at least, as a logarithm: patterns decide what is data by
-#: itself, and other tokens only become so by what they are linked to.
-SUPPORT = 3.0
+#: Added to each count of a shape's labels; what never was seen of a shape is this unlikely.
+SMOOTH = 0.1
+#: How strongly weights are held to 1, in cases; bound of the chain's logarithms.
+PRIOR, CHAIN = 10.0, 4.0
 #: Messages of a document have settled when none moves by CLOSE; loops that swing without end are left after ROUNDS.
 ROUNDS, DAMPING, CLOSE = 1000, 0.3, 1e-3
 #: Shortest key by which tokens count as repeats; digits by whose end numbers count as similar.
@@ -159,16 +165,28 @@ class Graph:
         self.skip[old:] = [(a, b) for a, b in self.skip[old:] if a not in held or held[a] != held.get(b)]
 
 
-def counted(texts: list[str | None]) -> Counter:
-    """Counts of (shape, label), neighbouring labels, and agreement of repeats of one shape."""
-    out, graph = Counter(), Graph()
-    for k, t in enumerate(texts):
-        if t:
-            graph.add(k, t, base_spans(t))
-    label = [max(0, b) for b in graph.base]
-    out.update(("shape", s, LABELS[y]) for s, y in zip(graph.shapes, label, strict=True))
-    out.update(("chain", LABELS[label[a]], LABELS[label[b]]) for a, b in graph.chain)
-    out.update(("skip", "same" if label[a] == label[b] else "other", "") for a, b in graph.skip if label[a] + label[b] and graph.shapes[a] == graph.shapes[b])
+def counted(texts: list[str | None], held: list[bool] | None = None) -> Counter:
+    """Counts of (shape, label), neighbouring labels, and agreement of repeats of one shape; of held texts, of whole cases:
+    shape, labels before and after, labels of repeats, and the label."""
+    out = Counter()
+    for t, own in zip(texts, held or [False] * len(texts), strict=True):
+        if not t:
+            continue
+        graph = Graph()
+        graph.add(0, t, base_spans(t))
+        label = [max(0, b) for b in graph.base]
+        if not own:
+            out.update(("shape", s, LABELS[y]) for s, y in zip(graph.shapes, label, strict=True))
+            out.update(("chain", LABELS[label[a]], LABELS[label[b]]) for a, b in graph.chain)
+            out.update(("skip", "same" if label[a] == label[b] else "other", "") for a, b in graph.skip + graph.star if label[a] + label[b] and graph.shapes[a] == graph.shapes[b])
+            continue
+        before, after, repeats = {b: label[a] for a, b in graph.chain}, {a: label[b] for a, b in graph.chain}, {}
+        for a, b in graph.skip + graph.star:
+            repeats.setdefault(a, [0] * len(LABELS))[label[b]] += 1
+            repeats.setdefault(b, [0] * len(LABELS))[label[a]] += 1
+        for i, (s, y) in enumerate(zip(graph.shapes, label, strict=True)):
+            case = f"{s} {before.get(i, -1)} {after.get(i, -1)} {','.join(map(str, repeats[i])) if i in repeats else ''}"
+            out[("case", case, LABELS[y])] += 1
     return out
 
 
@@ -178,30 +196,73 @@ class Field:
     def __init__(self, counts: dict[tuple[str, str, str], int]):
         n = len(LABELS)
         by: dict[str, np.ndarray] = {}
-        chain = np.ones((n, n))
+        chain, cases = np.ones((n, n)), []
         same, other = 9.0, 1.0
-        for (what, a, b), c in counts.items():
+        for (what, a, b), c in sorted(counts.items()):
             if what == "shape":
-                by.setdefault(a, np.full(n, 0.1))[LABELS.index(b)] += c
+                by.setdefault(a, np.full(n, SMOOTH))[LABELS.index(b)] += c
             elif what == "chain":
                 chain[LABELS.index(a), LABELS.index(b)] += c
+            elif what == "case":
+                cases.append((a, LABELS.index(b), c))
             elif a == "same":
                 same += c
             else:
                 other += c
-        clear = lambda p: np.log((1 - NOISE) * p / p.sum() + NOISE / n)
-        self.unary = {s: clear(p) for s, p in by.items()}
-        self.unknown = clear(np.array([1.0] + [0.0] * (n - 1)))
+        self.unary = {s: np.log(p / p.sum()) for s, p in by.items()}
+        every = sum(by.values()) if by else np.ones(n)
+        self.unknown = np.log((every + SMOOTH) / (every + SMOOTH).sum())
         p = chain / chain.sum()
-        self.chain = np.clip(np.log(p / (p.sum(1, keepdims=True) * p.sum(0, keepdims=True))), -2, 2)
+        self.chain = np.clip(np.log(p / (p.sum(1, keepdims=True) * p.sum(0, keepdims=True))), -CHAIN, CHAIN)
         self.skip = np.eye(n) * np.log(same / other)
+        self.weights = self.fitted(cases)
+        a, b, c = self.weights
+        self.unary, self.unknown, self.chain, self.skip = {s: a * u for s, u in self.unary.items()}, a * self.unknown, b * self.chain, c * self.skip
+
+    def features(self, case: str) -> np.ndarray:
+        """Of a case, what each of the three kinds of factor says of each label."""
+        shape_, before, after, repeats = case.split(" ")
+        chain = np.zeros(len(LABELS))
+        if int(before) >= 0:
+            chain += self.chain[int(before)]
+        if int(after) >= 0:
+            chain += self.chain[:, int(after)]
+        skip = self.skip @ np.array(list(map(float, repeats.split(",")))) if repeats else np.zeros(len(LABELS))
+        return np.array([self.unary.get(shape_, self.unknown), chain, skip])
+
+    def fitted(self, cases: list[tuple[str, int, int]]) -> np.ndarray:
+        """The weights of the three kinds of factor that make the cases' labels most likely, by Newton's method."""
+        w = np.ones(3)
+        if not cases:
+            return w
+        f = np.array([self.features(x) for x, _, _ in cases])
+        y, n = np.array([y for _, y, _ in cases]), np.array([float(c) for _, _, c in cases])
+        told = f[np.arange(len(y)), :, y]
+
+        def value(w: np.ndarray) -> float:
+            energy = np.einsum("k,ikl->il", w, f)
+            return float(n @ (told @ w - np.logaddexp.reduce(energy, axis=1)) - PRIOR / 2 * ((w - 1) ** 2).sum())
+
+        for _ in range(50):
+            energy = np.einsum("k,ikl->il", w, f)
+            p = np.exp(energy - np.logaddexp.reduce(energy, axis=1, keepdims=True))
+            mean = np.einsum("il,ikl->ik", p, f)
+            slope = n @ (told - mean) - PRIOR * (w - 1)
+            bend = np.einsum("i,il,ikl,ijl->kj", n, p, f, f) - np.einsum("i,ik,ij->kj", n, mean, mean) + PRIOR * np.eye(3)
+            step, size = np.linalg.solve(bend, slope), 1.0
+            while size > 1e-6 and value(np.maximum(w + size * step, 0)) < value(w):
+                size /= 2
+            new = np.maximum(w + size * step, 0)  # a weight below nothing would turn a factor round
+            if np.abs(new - w).max() < 1e-6:
+                break
+            w = new
+        return w
 
     def labels(self, graph: Graph) -> np.ndarray:
         """Label of each node by loopy message passing: its most likely one if over one half, else none."""
         n, m = len(LABELS), len(graph.doc)
         unary = np.array([self.unary.get(s, self.unknown) for s in graph.shapes]).reshape(m, n)
-        unary[:, 1:] = np.minimum(unary[:, 1:], unary[:, :1] - SUPPORT)
-        base = np.array(graph.base)
+        base = np.array(graph.base, dtype=np.int64)
         fixed = np.flatnonzero(base >= 0)
         unary[fixed] = -30.0
         unary[fixed, base[fixed]] = 0.0
@@ -238,10 +299,29 @@ class Field:
             if t and ("@" in t or DIGIT.search(t)):
                 graph.add(k, t, b)
         more: dict[int, list] = {}
-        for k, span, fixed, y in zip(graph.doc, graph.spans, graph.base, self.labels(graph), strict=True):
-            if fixed < 0 and y:
-                more.setdefault(k, []).append((int(y) - 1, *span))
-        return [(b, sorted({*b, *more.get(k, [])})) for k, b in enumerate(base)]
+        labels = np.where(np.array(graph.base, dtype=np.int64) < 0, self.labels(graph), 0)
+        follows, linked = {b: a for a, b in graph.chain}, {x for a, b in [*graph.skip, *graph.star] for x, y in ((a, b), (b, a)) if graph.base[y] > 0}
+        for i, (k, span, y) in enumerate(zip(graph.doc, graph.spans, labels, strict=True)):
+            if y:
+                own = more.setdefault(k, [])
+                text, before = texts[k], follows.get(i)
+                if own and before is not None and labels[before] == y and own[-1][0] == y - 1 and part(text[slice(*span)]) and part(text[own[-1][1] : own[-1][2]]):
+                    own[-1] = (int(y) - 1, own[-1][1], span[1], own[-1][3] or i in linked)
+                else:
+                    own.append((int(y) - 1, *span, i in linked))
+        added = {k: [s[:3] for s in own if s[3] or whole(s[0], texts[k][s[1] : s[2]])] for k, own in more.items()}
+        return [(b, sorted({*b, *added.get(k, [])})) for k, b in enumerate(base)]
+
+
+def whole(kind: int, span: str) -> bool:
+    """Whether a span that repeats nothing has what its kind has: a part of a number alone is none."""
+    digits = sum(c.isdigit() for c in span)
+    return ("@" in span, span.count(".") == 3, 13 <= digits <= 19, 9 <= digits <= 15)[kind]
+
+
+def part(token: str) -> bool:
+    """Whether a token can be part of a number that goes on: it has too few digits to be one, and no letter or dot."""
+    return sum(c.isdigit() for c in token) < 12 and not any(c.isalpha() or c in ".@" for c in token)
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> Field:
@@ -250,9 +330,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame([(*k, n) for k, n in counted(list(frame["text"])).items()], columns=["what", "a", "b", "n"])
+            yield pd.DataFrame([(*k, n) for k, n in counted(list(frame["text"]), list(frame["held"])).items()], columns=["what", "a", "b", "n"])
 
-    found = docs.where(share < F.lit(sample_docs / max(1, total))).select(F.col(text_col).cast("string").alias("text"))
+    held = F.pmod(F.xxhash64(F.lit("held"), id_col), F.lit(2)) == 1
+    found = docs.where(share < F.lit(sample_docs / max(1, total))).select(F.col(text_col).cast("string").alias("text"), held.alias("held"))
     found = map_texts(found, count, "what string, a string, b string, n long")
     return Field({(r[0], r[1], r[2]): r[3] for r in found.groupBy("what", "a", "b").agg(F.sum("n")).collect()})
 
