@@ -1,12 +1,15 @@
-"""MPEG audio columns: writing frames, and reading any MPEG-1/2/2.5 stream.
+"""MPEG audio columns: writing frames, and reading MPEG-1/2/2.5 streams of layers I to III (free-format frames are skipped).
 
-The reader resynchronises on frame headers, parses ID3v2 and ID3v1 tags and the variable-bitrate tables (Xing or Info,
-and VBRI), verifies frame checksums, and gives exact durations (samples over sample rate) and the seek offset of every
-frame. The writer stores bytes losslessly in layer III frames: side information of a silent frame, a valid checksum,
+The reader resynchronises on frame headers, parses ID3v2.2 to 2.4 tags (unsynchronised ones and extended headers too; the
+n-th frame of an id is `id#n`) and ID3v1 tags, and the variable-bitrate tables (Xing or Info, and VBRI), verifies the
+checksums of guarded frames of every layer, and gives exact durations (samples over sample rate) and the seek offset of
+every frame. The writer stores bytes losslessly in layer III frames: side information of a silent frame, a valid checksum,
 and the payload in the frame's main data area; a last, smaller frame takes the rest, so the stream has a variable
 bitrate and carries a Xing table.
 
-Defined results: null text counts as empty and gives a payload of 64 zero bytes; equal texts give equal media.
+Defined results: null text counts as empty and gives a payload of 64 zero bytes; texts of any length are stored whole, in as
+many frames as they need; equal texts give equal media; null media has no frames; ids may be null or repeat, a row for each
+row; an empty table gives no rows; columns of other names come back as they were from with_media.
 """
 
 from __future__ import annotations
@@ -43,16 +46,44 @@ OWNER = b"corpusloom.payload\x00"
 
 
 @lru_cache(4096)
-def checksum(data: bytes) -> int:
-    """The CRC-16 of MPEG audio: polynomial 0x8005, all ones at first."""
+def checksum(data: bytes, bits: int | None = None) -> int:
+    """The CRC-16 of MPEG audio: polynomial 0x8005, all ones at first; of the first bits only, if their number is given."""
     crc = 0xFFFF
-    for byte in data:
-        crc ^= byte << 8
-        for _ in range(8):
-            crc = ((crc << 1) ^ 0x8005 if crc & 0x8000 else crc << 1) & 0xFFFF
+    for k in range(8 * len(data) if bits is None else bits):
+        out = (crc >> 15) ^ (data[k >> 3] >> (7 - (k & 7)) & 1)
+        crc = (crc << 1 & 0xFFFF) ^ (0x8005 if out else 0)
     return crc
 
 
+def allocation(h: dict) -> list[int]:
+    """Bits that the allocation of each subband has in a layer I or II frame."""
+    if h["layer"] == 1:
+        return [4] * 32
+    if h["version"] != "1":
+        return [4] * 4 + [3] * 7 + [2] * 19
+    each = h["kbps"] // (1 if h["mono"] else 2)
+    if 56 <= each <= 80 or (h["rate"] == 48000 and each >= 56):
+        return [4] * 11 + [3] * 12 + [2] * 4
+    if each >= 96:
+        return [4] * 11 + [3] * 12 + [2] * 7
+    return [4] * 2 + [3] * (6 if h["rate"] != 32000 else 10)
+
+
+def guarded_bits(h: dict, data: bytes) -> int:
+    """How many bits after the checksum it covers: side information, or allocations and, in layer II, scale factor choices."""
+    if h["layer"] == 3:
+        return 8 * h["side"]
+    at, chosen = 0, 0
+    channels = 1 if h["mono"] else 2
+    for band, width in enumerate(allocation(h)):
+        shared = channels == 2 and h["mode"] == 1 and band >= h["bound"]
+        for _ in range(1 if shared else channels):
+            used = int.from_bytes(data[at >> 3 : (at + 15) >> 3].ljust(2, b"\0")[:2]) >> (16 - (at & 7) - width) & ((1 << width) - 1)
+            chosen += (2 if shared else 1) * 2 * bool(used)
+            at += width
+    return at + (chosen if h["layer"] == 2 else 0)
+
+
 @lru_cache(4096)
 def header(four: bytes) -> dict | None:
     """What a frame header says; None if it is none (free-format frames are not taken)."""
@@ -68,8 +99,9 @@ def header(four: bytes) -> dict | None:
         size = (12 * bits // hertz + pad) * 4
     else:
         size = SAMPLES[first, layer] // 8 * bits // hertz + pad
-    mono = four[3] >> 6 == 3
-    return {"version": {3: "1", 2: "2", 0: "2.5"}[version], "layer": layer, "kbps": bits // 1000, "rate": hertz, "mono": mono, "guarded": not four[1] & 1, "size": size, "samples": SAMPLES[first, layer], "side": SIDE[first, mono] if layer == 3 else 0}
+    mode = four[3] >> 6
+    mono = mode == 3
+    return {"mode": mode, "bound": 4 * ((four[3] >> 4 & 3) + 1), "version": {3: "1", 2: "2", 0: "2.5"}[version], "layer": layer, "kbps": bits // 1000, "rate": hertz, "mono": mono, "guarded": not four[1] & 1, "size": size, "samples": SAMPLES[first, layer], "side": SIDE[first, mono] if layer == 3 else 0}
 
 
 def syncsafe(data: bytes) -> int:
@@ -83,14 +115,26 @@ def from_syncsafe(n: int) -> bytes:
 def tags(media: bytes) -> tuple[dict[str, bytes], int, int]:
     """The ID3v2 frames by id and the ID3v1 title, and where the audio starts and ends."""
     found, start, end = {}, 0, len(media)
+    seen: dict[str, int] = {}
     while media[start : start + 3] == b"ID3" and start + 10 <= end:
-        major, size = media[start + 3], syncsafe(media[start + 6 : start + 10])
-        at, stop = start + 10, min(end, start + 10 + size)
-        while at + 10 <= stop and media[at] and major >= 3:
-            n = syncsafe(media[at + 4 : at + 8]) if major == 4 else int.from_bytes(media[at + 4 : at + 8])
-            found.setdefault(media[at : at + 4].decode("latin-1"), media[at + 10 : min(stop, at + 10 + n)])
-            at += 10 + n
-        start = min(end, start + 10 + size + 10 * bool(media[start + 5] & 16))
+        major, flags, size = media[start + 3], media[start + 5], syncsafe(media[start + 6 : start + 10])
+        body = media[start + 10 : min(end, start + 10 + size)]
+        if flags & 128 and major < 4:
+            body = body.replace(b"\xff\0", b"\xff")
+        at, short = 0, major == 2
+        if flags & 64 and major >= 3:  # an extended header is passed over
+            at = syncsafe(body[:4]) if major == 4 else 4 + int.from_bytes(body[:4])
+        head = 6 if short else 10
+        while at + head <= len(body) and body[at]:
+            name, n = body[at : at + (3 if short else 4)].decode("latin-1"), body[at + (3 if short else 4) : at + (6 if short else 8)]
+            n = syncsafe(n) if major == 4 else int.from_bytes(n)
+            data = body[at + head : at + head + n]
+            if major == 4 and body[at + 9] & 2:
+                data = data.replace(b"\xff\0", b"\xff")
+            seen[name] = seen.get(name, 0) + 1
+            found[name if seen[name] == 1 else f"{name}#{seen[name]}"] = data
+            at += head + n
+        start = min(end, start + 10 + size + 10 * bool(flags & 16))
     if end - start >= 128 and media[end - 128 : end - 125] == b"TAG":
         found["ID3v1"] = media[end - 125 : end - 95].rstrip(b"\0 ")
         end -= 128
@@ -140,9 +184,11 @@ def parse(media: bytes) -> dict:
             if out["vbr"]:
                 at += h["size"]
                 continue
-        if h["guarded"] and h["layer"] == 3:
+        if h["guarded"]:
+            data = media[at + 6 : at + min(h["size"], 160)]
+            bits = guarded_bits(h, data)
             out["checked"] += 1
-            out["bad"] += checksum(media[at + 2 : at + 4] + media[at + 6 : at + 6 + h["side"]]) != int.from_bytes(media[at + 4 : at + 6])
+            out["bad"] += checksum(media[at + 2 : at + 4] + data[: (bits + 7) // 8], 16 + bits) != int.from_bytes(media[at + 4 : at + 6])
         out["frames"].append((at, h["size"], h))
         out["samples"] += h["samples"]
         at += h["size"]
