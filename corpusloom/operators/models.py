@@ -344,14 +344,19 @@ class Reasoning:
         self.messages += [{"role": "assistant", "content": f"{step.get('title', '')}\n{step.get('content', '')}"}, {"role": "user", "content": STEPS.get(then, STEPS["think"])}]
 
 
+#: A session setting for a folder that all executors share, where spark.checkpoint.dir is not to be used.
+WORK = "corpusloom.work.dir"
+_local: dict[str, str] = {}
+
+
 def work_folder(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir. A local session that has none gets a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: the setting WORK, or spark.checkpoint.dir. A local session without one gets a
+    temporary folder."""
+    folder = spark.conf.get(WORK, None) or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share: what models answer is written there")
-        folder = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = _local.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="corpusloom-"))
     return folder.rstrip("/")
 
 

@@ -147,7 +147,7 @@ def main(arguments: Sequence[str] | None = None) -> None:
 
     spark = SparkSession.builder.appName("corpusloom").config("spark.speculation", "false").getOrCreate()
     if a.work_dir:
-        spark.conf.set("spark.checkpoint.dir", a.work_dir)
+        spark.conf.set(models.WORK, a.work_dir)
     models.work_folder(spark)  # on a cluster, fails before any work if there is none
     seed = read_jsonl(spark, a.ds_path)
     if a.debug:
