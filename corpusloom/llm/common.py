@@ -22,14 +22,17 @@ BLANKS = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_local: dict[str, str] = {}
+_made: dict[str, list[str]] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from spark.checkpoint.dir. A local session that has none gets a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _local.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="corpusloom-"))
     return found.rstrip("/")
 
 
@@ -47,7 +50,16 @@ def small_batches(spark: SparkSession) -> None:
 def workspace(spark: SparkSession, name: str) -> str:
     """A new folder name below the shared folder."""
     small_batches(spark)
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes what the operators have written to the shared folder in this application: once results are stored."""
+    for path in _made.pop(spark.sparkContext.applicationId, []):
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def written(df: DataFrame, path: str) -> DataFrame:

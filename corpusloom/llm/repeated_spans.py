@@ -14,14 +14,22 @@ A byte is removed if a string of LENGTH bytes that covers it starts at two place
    bytes in common; intervals of one are done, and after LENGTH - GRAM steps all are.
 4. The found runs of starts are laid over each text.
 
+Why this is the expansion that the transform of all texts would give: the suffixes that begin with one gram are one interval
+of the whole suffix array, and sorting them by what follows gives their ranks and, as minima over ranks, all common prefixes
+inside. A backward step by a byte takes an interval to the suffixes that begin one place earlier with that byte, in the same
+order, and makes every common prefix one longer; so values come in increasing order, one for each step, all intervals of a
+value before the next. It stops where prefixes reach LENGTH, or an interval has one suffix, and never needs intervals of
+strings that hold no anchor, as each string of LENGTH bytes holds one.
+
 An interval of more than HOT places is not sent to one task: equal surroundings are counted first, where they are
 found; the rest falls apart by the bytes around the anchor into groups of STEP offsets, each with LENGTH - STEP bytes
 in common, where windows are cut to the bytes that these offsets reach and equal ones are counted again. What is left of
 more than HOT different windows - the rows differ within STEP bytes - is not gathered at all: its strings of LENGTH bytes
 are counted offset by offset. Bytes are compared as they are, so hashes never decide what goes.
 
-Defined results: null text counts as empty; texts shorter than LENGTH lose nothing; ids may be null or repeat (the
-result has a row for each row); an empty table gives no rows.
+Defined results: null text counts as empty; texts shorter than LENGTH lose nothing; texts of any length are read whole, in
+pieces of CHUNK bytes that overlap; ids may be null or repeat (the result has a row for each row); an empty table gives no
+rows; columns of other names are not looked at.
 """
 
 from __future__ import annotations
