@@ -62,6 +62,8 @@ class Generator:
             try:
                 self._chain(rows.where((F.col(wave) == k) & mine).select(*names)).write.mode("overwrite").parquet(f"{checkpoint}/rows={low}-{high}")
                 note(spark, checkpoint, spans)
+            except EmptyResult as e:  # so none of its batches has rows either
+                log.warning("batches %s to %s: %s", low, high, e)
             except Exception as e:  # noqa: BLE001  a batch that fails is made in the next run
                 log.error("batches %s to %s failed: %s", low, high, e)
                 failed.append(spans)

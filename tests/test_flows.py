@@ -152,6 +152,15 @@ def test_waves_are_few_jobs_and_failures_are_found_by_halves(spark, tmp_path, mo
     assert run.generate(df, where).count() == 40
 
 
+def test_waves_without_rows_are_not_halved(spark, tmp_path, monkeypatch, caplog):
+    monkeypatch.setattr("corpusloom.plans.run.WAVES", 2)
+    df = spark.range(16).selectExpr("id", "'t' as document")
+    keep = Step("FilterByValueBlock", {"filter_column": "id", "filter_value": 8, "operation": "operator.ge"})
+    out = Generator([[keep]], batch_size=2, key=["id"]).generate(df, f"file://{tmp_path}/out")
+    assert sorted(r["id"] for r in out.collect()) == list(range(8, 16))
+    assert len([r for r in caplog.records if "gave no rows" in r.getMessage()]) == 1
+
+
 def test_spans():
     assert without(0, 9, [(2, 3, ""), (5, 5, ""), (20, 30, "")]) == [(0, 1), (4, 4), (6, 9)]
     assert without(0, 3, [(0, 9, "")]) == []
