@@ -70,7 +70,7 @@ def medians(rows: DataFrame, nodes: DataFrame, leaf_bytes: float, many: bool, wh
         looked = written(looked, f"{where}/looked{k}")
         found = looked.where("at is not null").select("node", "k", "dim", "at")
         done = found if done is None else done.union(found)
-        todo = written(looked.where("at is null").drop("at").withColumn("step", step.cast("long")), f"{where}/todo{k}")
+        todo = looked.where("at is null").drop("at").withColumn("step", step.cast("long"))
     return done if done is not None else nodes.select("node", "k", "dim", F.col("low").alias("at")).where("false")
 
 

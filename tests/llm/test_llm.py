@@ -1,6 +1,7 @@
 """The training-data operators against brute force, round trips and held-out accuracy, and on odd input."""
 
 import hashlib
+import os
 import random
 import re
 from collections import Counter
@@ -337,6 +338,15 @@ def test_maybe_wanted_keeps_what_is_wanted(spark):
     assert len(out) < 800
 
 
+def test_what_operators_wrote_can_be_cleared(spark, tmp_path):
+    path = common.workspace(spark, "clear-me")
+    common.written(spark.range(3), f"{path}/x")
+    folder = path.removeprefix("file://").removeprefix("file:")
+    assert os.path.isdir(folder)
+    common.clear(spark)
+    assert not os.path.exists(folder)
+
+
 # 10
 
 
