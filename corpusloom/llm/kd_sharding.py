@@ -60,9 +60,10 @@ def medians(rows: DataFrame, nodes: DataFrame, leaf_bytes: float, many: bool, wh
     upto = Window.partitionBy("node").orderBy("bin")
     while not todo.isEmpty():
         keyed = rows.join(sent(todo.select("node", "dim", "low", "high", "step")), "node").withColumn("key", F.element_at(F.array(*DIMS), F.col("dim"))).where("key >= low and key < high")
-        bins = keyed.groupBy("node", F.expr("(key - low) div step").alias("bin")).agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("m"))
+        bins = keyed.groupBy("node", F.expr("(key - low) div step").alias("bin")).agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("m"), F.min("key").alias("start"), (F.max("key") + 1).alias("end"))
         summed = bins.withColumn("sum", F.sum("s").over(upto)).join(sent(todo), "node")
-        start, end = F.expr("low + bin * step"), F.expr("least(high, low + (bin + 1) * step)")
+        # The part that is looked at next is no wider than its keys: one value of a dimension is left behind at once.
+        start, end = F.col("start"), F.col("end")
         close = (F.col("s") <= TOLERANCE * leaf_bytes) | (F.col("step") == 1)
         at = F.when(close, F.when(F.expr("sum - goal <= goal - (sum - s)"), end).otherwise(start))
         looked = summed.where("sum >= goal and sum - s < goal").select("node", "k", "dim", start.alias("low"), end.alias("high"), F.expr("goal - (sum - s)").alias("goal"), F.col("m").alias("n"), at.alias("at"))
