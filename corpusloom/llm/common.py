@@ -55,13 +55,18 @@ def workspace(spark: SparkSession, name: str) -> str:
     return path
 
 
-def clear(spark: SparkSession) -> None:
-    """Deletes what the operators have written to the shared folder in this application: once results are stored."""
-    for path in _made.pop(spark.sparkContext.applicationId, []):
+def forget(spark: SparkSession, *paths: str) -> None:
+    """Deletes folders that nothing reads any more."""
+    for path in paths:
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes what the operators have written to the shared folder in this application: once results are stored."""
+    forget(spark, *_made.pop(spark.sparkContext.applicationId, []))
+
+
 def written(df: DataFrame, path: str) -> DataFrame:
     """Writes df and reads it again: lineage ends here, and lost executors cost no recomputation."""
     df.write.mode("overwrite").parquet(path)
