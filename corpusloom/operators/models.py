@@ -1,16 +1,14 @@
 """Model calls: one stage that is evaluated once, behind a backend that can be exchanged.
 
-A call is a non-deterministic Arrow function of the prompt, so Catalyst neither moves a filter through it nor runs it
-twice, and only prompts go to Python; its result is written before anything else reads it (`evaluate_once`), because a
-second evaluation would give other completions. Each request has an id made from step and prompt, so that a server can
-recognise a retry.
+Only prompts go to Python; a call's result is written before anything else reads it (`evaluate_once`), because a second
+evaluation would give other completions. Each request has an id made from step and prompt, so that a server can
+recognise a retry. A row that can't be answered fails alone (`errors` names a column for reasons), and with a store each distinct
+request at temperature 0 is made once.
 """
 
 from __future__ import annotations
 
 import json
-import re
-import tempfile
 import time
 import urllib.error
 import urllib.request
@@ -20,12 +18,15 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 from typing import Any, Protocol
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.functions import text as tx
+from corpusloom.operators.columns import unused
+from corpusloom.operators.stages import WORK, AnswerStore, Failure, Quarantine, evaluate_once, evaluated, stage, to_arrow, work_folder
+
+__all__ = ["WORK", "AnswerStore", "Backend", "Failure", "HttpBackend", "Options", "Quarantine", "StubBackend", "evaluate_once", "evaluated", "to_arrow", "work_folder"]
 
 
 @dataclass(frozen=True)
@@ -54,7 +55,7 @@ class Options:
 
 
 class Backend(Protocol):
-    """Answers a batch of prompts: n completions for each. Must be serialisable; it runs in tasks."""
+    """Answers a batch of prompts: n completions, or a Failure, for each. Must be serialisable; it runs in tasks."""
 
     def complete(self, prompts: list[str], ids: list[str], model: str | None, options: Options) -> list[list[str]]: ...
 
@@ -81,7 +82,7 @@ class StubBackend:
         return [[{w: -1.0 / (1 + len(w))} for w in p.split()[: options.max_tokens]] for p in prompts]
 
     def rewards(self, messages, model):
-        return [[round(len(s) / (1 + len(s)), 6) for s in m[-1]["content"].split("\n\n") if s] for m in messages]
+        return [[len(s) / (1 + len(s)) for s in m[-1]["content"].split("\n\n") if s] for m in messages]
 
 
 @dataclass(frozen=True)
@@ -183,53 +184,46 @@ def ready(backend: Backend, model: str | None) -> tuple[Backend, str | None]:
     return backend, model
 
 
-def _stage(df: DataFrame, output: str, kind: T.DataType, source: Column | str, call: Callable[[list], list]) -> DataFrame:
-    """df with a column that a model makes of another one, which alone is sent to Python."""
-    arrow = to_arrow(kind)
-
-    def run(values: pa.Array) -> pa.Array:
-        return pa.array(call(values.to_pylist()) if len(values) else [], arrow)
-
-    run.__annotations__ = {"values": pa.Array, "return": pa.Array}
-    made = F.arrow_udf(run, kind).asNondeterministic()
-    return df.withColumn(output, made(tx.column(source)))
-
+def _ask(df: DataFrame, output: str, kind: T.DataType, source: Column | str, call: Callable[[list], list], request: dict[str, Any], errors: str | None, store: AnswerStore | None) -> DataFrame:
+    """A stage; by the store, if there is one and the same request has the same answer."""
+    if store is not None and not request.get("options", {}).get("temperature"):
+        return store.ask(df, output, kind, source, call, request, errors)
+    return stage(df, output, kind, source, call, errors)
 
-def to_arrow(kind: T.DataType) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
 
-    return to_arrow_type(kind)
+def _each_answer(found: list, take: Callable) -> list:
+    return [f if isinstance(f, Failure) else take(f) for f in found]
 
 
 def request_ids(step: str, asked: list) -> list[str]:
     return [str(uuid.uuid5(uuid.NAMESPACE_OID, f"{step}|{p}")) for p in asked]
 
 
-def complete(df: DataFrame, prompt: str, output: str, backend: Backend, options: Options | None = None, model: str | None = None, step: str = "") -> DataFrame:
+def complete(df: DataFrame, prompt: str, output: str, backend: Backend, options: Options | None = None, model: str | None = None, step: str = "", errors: str | None = None, store: AnswerStore | None = None) -> DataFrame:
     """Adds an array of completions, with the stop strings given back so that tags match."""
     options, (backend, model) = options or Options(), ready(backend, model)
     tail = "".join(options.stop)
 
     def call(prompts: list) -> list:
         prompts = [p or "" for p in prompts]
-        return [[c.strip() + tail for c in found] for found in backend.complete(prompts, request_ids(step, prompts), model, options)]
+        return _each_answer(backend.complete(prompts, request_ids(step, prompts), model, options), lambda found: [c.strip() + tail for c in found])
 
-    return _stage(df, output, T.ArrayType(T.StringType()), prompt, call)
+    return _ask(df, output, T.ArrayType(T.StringType()), prompt, call, {"route": "complete", "model": model, "options": options.body()}, errors, store)
 
 
-def chat(df: DataFrame, messages: str, output: str, backend: Backend, options: Options | None = None, model: str | None = None, step: str = "") -> DataFrame:
+def chat(df: DataFrame, messages: str, output: str, backend: Backend, options: Options | None = None, model: str | None = None, step: str = "", errors: str | None = None, store: AnswerStore | None = None) -> DataFrame:
     """Adds a chat answer: a string, or an array for n > 1."""
     options, (backend, model) = options or Options(), ready(backend, model)
 
     def call(rows: list) -> list:
         rows = [m or [] for m in rows]
-        found = backend.chat(rows, request_ids(step, rows), model, options)
-        return found if options.n > 1 else [f[0] for f in found]
+        return _each_answer(backend.chat(rows, request_ids(step, rows), model, options), lambda found: found if options.n > 1 else found[0])
 
-    return _stage(df, output, T.ArrayType(T.StringType()) if options.n > 1 else T.StringType(), messages, call)
+    kind = T.ArrayType(T.StringType()) if options.n > 1 else T.StringType()
+    return _ask(df, output, kind, messages, call, {"route": "chat", "model": model, "options": options.body()}, errors, store)
 
 
-def converse(df: DataFrame, messages: str, output: str, asks: Sequence[str], backend: Backend, options: Options | None = None, model: str | None = None, step: str = "") -> DataFrame:
+def converse(df: DataFrame, messages: str, output: str, asks: Sequence[str], backend: Backend, options: Options | None = None, model: str | None = None, step: str = "", store: AnswerStore | None = None) -> DataFrame:
     """A chain of chat calls: each answer and the next of asks are appended to the messages before the next call.
 
     Gives the last answer as output, and all messages, with the answers, in place of the messages. Each call is
@@ -242,12 +236,12 @@ def converse(df: DataFrame, messages: str, output: str, asks: Sequence[str], bac
     for k, ask in enumerate([None, *asks]):
         if ask is not None:
             df = df.withColumn(messages, F.array_append(messages, turn("user", F.lit(ask))))
-        df = evaluate_once(chat(df, messages, output, backend, options, model, f"{step}|{k}"))
+        df = evaluate_once(chat(df, messages, output, backend, options, model, f"{step}|{k}", store=store))
         df = df.withColumn(messages, F.array_append(messages, turn("assistant", F.col(output))))
     return df
 
 
-def logprobs(df: DataFrame, prompt: str, output: str, backend: Backend, options: Options | None = None, model: str | None = None, step: str = "") -> DataFrame:
+def logprobs(df: DataFrame, prompt: str, output: str, backend: Backend, options: Options | None = None, model: str | None = None, step: str = "", errors: str | None = None, store: AnswerStore | None = None) -> DataFrame:
     """Adds an array with a JSON object of token log probabilities for each generated token."""
     options, (backend, model) = options or Options(), ready(backend, model)
     if options.n != 1:
@@ -255,9 +249,10 @@ def logprobs(df: DataFrame, prompt: str, output: str, backend: Backend, options:
 
     def call(prompts: list) -> list:
         prompts = [p or "" for p in prompts]
-        return [[list(t.items()) for t in row] for row in backend.logprobs(prompts, request_ids(step, prompts), model, options)]
+        return _each_answer(backend.logprobs(prompts, request_ids(step, prompts), model, options), lambda row: [list(t.items()) for t in row])
 
-    maps = _stage(df, output, T.ArrayType(T.MapType(T.StringType(), T.DoubleType())), prompt, call)
+    kind = T.ArrayType(T.MapType(T.StringType(), T.DoubleType()))
+    maps = _ask(df, output, kind, prompt, call, {"route": "logprobs", "model": model, "options": options.body()}, errors, store)
     return maps.withColumn(output, F.transform(output, lambda x: F.to_json(x)))
 
 
@@ -272,97 +267,93 @@ def rewards(df: DataFrame, prompt: str, response: str, backend: Backend, output:
     """Adds the reward of each step: zeros where the server failed, an empty array where its answer is malformed."""
     backend, model = ready(backend, model)
     asked = reward_messages(prompt, response, system, separator, fill)
-    scored = _stage(df, output, T.ArrayType(T.DoubleType()), asked, lambda rows: backend.rewards([m or [] for m in rows], model))
+    scored = stage(df, output, T.ArrayType(T.DoubleType()), asked, lambda rows: backend.rewards([m or [] for m in rows], model))
     zeros = F.transform(F.split(F.col(response), tx.quoted(separator)), lambda _: F.lit(0.0))
     return scored.withColumn(output, F.coalesce(output, zeros))
 
 
-# What a model is told for its next step.
+#: What a model is told for its next step.
 STEPS = {
-    "think": "Continue thinking about the problem.",
-    "reflect": "Are you sure that the reasoning is correct? Please reflect on your reasoning.",
-    "generate": "Please provide your final answer to the question.",
-    "backtrack": "Please backtrack and think about the problem in a different chain of reasoning.",
+    "think": "Go on with your reasoning, one step further.",
+    "reflect": "Check the reasoning so far: where could it be wrong?",
+    "generate": "Now state the answer to the question itself.",
+    "backtrack": "Leave this line of reasoning and begin with another one.",
 }
+#: A step of a reasoning model. What is no number as confidence is no step.
+STEP = "current_action string, title string, content string, confidence string, next_action string"
 
 
-def reason(df: DataFrame, prompt: str, output: str, backend: Backend, system: str = "", max_steps: int = 32, model: str | None = None, retry_temperature: float = 0.7) -> DataFrame:
-    """Adds the answer of a reasoning loop, of at most max_steps calls a row; null if there is none by then.
+def reason(df: DataFrame, prompt: str, output: str, backend: Backend, system: str = "", max_steps: int | None = None, model: str | None = None, retry_temperature: float = 0.7, trace: str | None = None, on_duplicate: str = "note", store: AnswerStore | None = None) -> DataFrame:
+    """Adds the answer of a reasoning loop. All rows that have none make one call each a round, which is a stage of its own.
 
     Each call is answered by a JSON object: current_action, title, content, confidence, next_action. A step to backtrack,
-    or with a confidence below one half, begins the row's conversation anew at another temperature. The loop ends at
+    without sense, or with a confidence below one half, begins the row's conversation anew at another temperature. The loop ends at
     next_action `terminate` once the row has reflected, which is asked for otherwise; what was generated last is the answer.
+    A row goes on until then, or, if max_steps is given, for so many calls: then its answer is null. trace: a column for
+    (calls, restarts, duplicates, trajectory), the last being the last step of each action since the last restart. A message that a row
+    has had before is counted there, or, with on_duplicate="backtrack", answered by the request to backtrack.
     """
+    if on_duplicate not in ("note", "backtrack"):
+        raise ValueError(f"on_duplicate is note or backtrack, not {on_duplicate}")
     backend, model = ready(backend, model)
-
-    def call(prompts: list) -> list:
-        states = [Reasoning(system, p or "") for p in prompts]
-        for k in range(max_steps):
-            for again in (False, True):  # rows of one temperature are asked together
-                live = [s for s in states if not s.done and s.again == again and s.calls == k]
-                if live:
-                    asked = [s.messages for s in live]
-                    options = Options(temperature=retry_temperature if again else 0.0, max_tokens=1024)
-                    for s, found in zip(live, backend.chat(asked, request_ids(f"reason|{k}", asked), model, options), strict=True):
-                        s.take(found[0])
-        return [s.answer if s.done else None for s in states]
-
-    return _stage(df, output, T.StringType(), prompt, call)
-
-
-class Reasoning:
-    """One row's conversation with a reasoning model."""
-
-    def __init__(self, system: str, prompt: str):
-        self.first = [{"role": "system", "content": system}, {"role": "user", "content": prompt}]
-        self.calls, self.again, self.done = 0, False, False
-        self.begin()
-
-    def begin(self) -> None:
-        self.messages, self.reflected, self.answer = list(self.first), False, None
-
-    def take(self, said: str) -> None:
-        self.calls += 1
-        try:
-            step = json.loads(said)
-            action, then = step["current_action"], step.get("next_action", "think")
-            sure = float(step.get("confidence", 0.5))
-        except (ValueError, TypeError, KeyError):
-            action, then, sure, step = "backtrack", "think", 0.0, {}
-        if action == "backtrack" or sure < 0.5:
-            self.begin()
-            self.again = True
-            return
-        self.reflected |= action == "reflect"
-        if action == "generate":
-            self.answer = step.get("content", "")
-        if then == "terminate" and self.reflected and self.answer is not None:
-            self.done = True
-            return
-        if then == "terminate":
-            then = "generate" if self.reflected else "reflect"
-        self.messages += [{"role": "assistant", "content": f"{step.get('title', '')}\n{step.get('content', '')}"}, {"role": "user", "content": STEPS.get(then, STEPS["think"])}]
-
-
-#: A session setting for a folder that all executors share, where spark.checkpoint.dir is not to be used.
-WORK = "corpusloom.work.dir"
-_local: dict[str, str] = {}
-
-
-def work_folder(spark: SparkSession) -> str:
-    """The folder all executors share: the setting WORK, or spark.checkpoint.dir. A local session without one gets a
-    temporary folder."""
-    folder = spark.conf.get(WORK, None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share: what models answer is written there")
-        folder = _local.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="corpusloom-"))
-    return folder.rstrip("/")
-
-
-def evaluate_once(df: DataFrame, parts: Sequence[str] = ()) -> DataFrame:
-    """Writes what a model stage made to the shared folder, so that nothing calls the model again."""
-    spark = df.sparkSession
-    path = f"{work_folder(spark)}/model-{uuid.uuid4().hex}"
-    df.write.partitionBy(*parts).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    names = [*df.columns, output, trace or ""]
+    row, s, said = (unused(n, names) for n in ("_row", "_state", "_said"))
+    turn = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
+    of = lambda **c: F.struct(*[x.alias(k) for k, x in c.items()])
+    first = F.array(turn("system", F.lit(system)), turn("user", F.coalesce(F.col(f"`{row}`.`{prompt}`").cast("string"), F.lit(""))))
+    no_trace = F.lit(None).cast("map<string,string>")
+    begun = of(messages=first, again=F.lit(False), reflected=F.lit(False), answer=F.lit(None).cast("string"), seen=F.array().cast("array<string>"), trajectory=no_trace, calls=F.lit(0), restarts=F.lit(0), duplicates=F.lit(0), done=F.lit(False))
+    live = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(row)).withColumn(s, begun)
+
+    def after(d: DataFrame) -> DataFrame:
+        """The states after what was said."""
+        step, old = F.from_json(said, STEP), F.col(s)
+        action, content = step["current_action"], F.coalesce(step["content"], F.lit(""))
+        sure = F.when(step["confidence"].isNull(), 0.5).otherwise(step["confidence"].try_cast("double"))
+        restart = action.isNull() | (action == "backtrack") | sure.isNull() | F.isnan(sure) | (sure < 0.5)
+        message = F.concat(F.coalesce(step["title"], F.lit("")), F.lit("\n"), content)
+        mark = F.sha2(message, 256)
+        repeated = action.isNotNull() & F.array_contains(old["seen"], mark)
+        reflected = old["reflected"] | (action == "reflect")
+        answer = F.when(action == "generate", content).otherwise(old["answer"])
+        following = F.coalesce(step["next_action"], F.lit("think"))
+        done = ~restart & (following == "terminate") & reflected & answer.isNotNull()
+        then = F.when(following == "terminate", F.when(reflected, "generate").otherwise("reflect")).otherwise(following)
+        if on_duplicate == "backtrack":
+            then = F.when(repeated, "backtrack").otherwise(then)
+        told = F.coalesce(*[F.when(then == k, v) for k, v in STEPS.items()], F.lit(STEPS["think"]))
+        kept = F.coalesce(F.map_filter(old["trajectory"], lambda k, _: k != action), F.create_map().cast("map<string,string>"))
+        new = of(
+            messages=F.when(restart, first).otherwise(F.concat(old["messages"], F.array(turn("assistant", message), turn("user", told)))),
+            again=old["again"] | restart,
+            reflected=~restart & reflected,
+            answer=F.when(~restart, answer),
+            seen=F.when(action.isNull(), old["seen"]).otherwise(F.array_union(old["seen"], F.array(mark))),
+            trajectory=F.when(~restart, F.map_concat(kept, F.create_map(action, F.col(said)))),
+            calls=old["calls"] + 1,
+            restarts=old["restarts"] + restart.cast("int"),
+            duplicates=old["duplicates"] + repeated.cast("int"),
+            done=done,
+        )
+        return d.select(row, new.alias(s))
+
+    ended: list[DataFrame] = []
+    live, n = evaluated(live)
+    count, again, k = n["rows"], 0, 0
+    while count and k != max_steps:
+        asked = []  # rows of one temperature are asked together
+        for warm, some in ((False, count - again), (True, again)):
+            if some:
+                options = Options(temperature=retry_temperature if warm else 0.0, max_tokens=1024)
+                asked.append(chat(live.where(F.col(s)["again"] == warm).withColumn("_asked", F.col(s)["messages"]), "_asked", said, backend, options, model, f"reason|{k}", store=store).drop("_asked"))
+        # What was said is written before it is looked at many times.
+        answered = evaluate_once(asked[0] if len(asked) == 1 else asked[0].unionByName(asked[1]))
+        states, n = evaluated(after(answered), live=~F.col(s)["done"], again=~F.col(s)["done"] & F.col(s)["again"])
+        ended.append(states.where(F.col(s)["done"]))
+        live, count, again, k = states.where(~F.col(s)["done"]), n["live"], n["again"], k + 1
+    out = ended[0] if ended else live.limit(0)
+    for e in [*ended[1:], *([live] if count else [])]:
+        out = out.unionByName(e)
+    traced = [of(**{c: F.col(s)[c] for c in ("calls", "restarts", "duplicates", "trajectory")}).alias(trace)] if trace else []
+    kept = [F.col(row)[c].alias(c) for c in df.columns if c not in (output, trace)]
+    return out.select(*kept, F.when(F.col(s)["done"], F.col(s)["answer"]).alias(output), *traced)

@@ -469,7 +469,7 @@ def prm_messages(spark, d):
 
 @query("""
 WITH s AS (SELECT conv_id, turn, list_filter(string_split(text || chr(10) || chr(10), chr(10) || chr(10)), lambda x: x <> '') AS s FROM conversations WHERE role = 'assistant')
-SELECT conv_id, turn, len(s) AS n_rewards, round(s[1].length() / (1.0::double + s[1].length()), 6) AS first, round(list_sum(list_transform(s, lambda x: length(x) / (1.0::double + length(x)))), 3) AS total FROM s
+SELECT conv_id, turn, len(s) AS n_rewards, s[1].length() / (1.0::double + s[1].length()) AS first, round(list_sum(list_transform(s, lambda x: length(x) / (1.0::double + length(x)))), 3) AS total FROM s
 """)
 def prm_rewards(spark, d):
     df = table(spark, d, "conversations").where("role = 'assistant'")

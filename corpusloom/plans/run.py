@@ -8,12 +8,13 @@ import logging
 import operator
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators import columns, models, reshape
-from corpusloom.plans.flow import Context, EmptyResult, Step, generate, read_flow
+from corpusloom.plans.flow import Context, EmptyResult, Step, generate, read_flow, scoped
 
 log = logging.getLogger("corpusloom")
 
@@ -30,22 +31,26 @@ class Generator:
     which there are at most WAVES however many batches there are. A wave is one job over its own folder of rows; `parallel`
     waves run side by side. A job that fails is tried again in halves down to single batches, of which those that fail are
     logged and left to the next run. What a job made is a folder of its own, entered in a ledger once it is whole.
+
+    A batch is what a step looks at: its number goes with the rows through all steps as a scope, by which majorities are
+    taken and first rows kept, and is dropped at the end. So the rows do not depend on how many batches share a job.
     """
 
     def __init__(self, flows: Sequence[Sequence[Step]], context: Context | None = None, batch_size: int | None = None, save_every: int = 1, key: Sequence[str] = (), parallel: int = 4):
         self.flows, self.context = flows, context or Context()
         self.batch_size, self.save_every, self.key, self.parallel = batch_size, save_every, key, parallel
 
-    def _chain(self, df: DataFrame) -> DataFrame:
+    def _chain(self, df: DataFrame, context: Context | None = None) -> DataFrame:
         for steps in self.flows:
-            df = generate(df, steps, self.context)
+            df = generate(df, steps, context or self.context)
         return df
 
     def generate(self, df: DataFrame, checkpoint: str | None = None) -> DataFrame:
         if not self.batch_size or not checkpoint:
             return self._resumed_by_value(df, checkpoint) if checkpoint else self._chain(df)
         spark, names = df.sparkSession, df.columns
-        batch, wave = columns.unused("_batch", names), columns.unused("_wave", names)
+        context, batch = scoped(self.context, self.flows, names)
+        wave = columns.unused("_wave", [*names, batch])
         rows = reshape.batches(reshape.numbered(df, list(self.key or names[:1]), wave), self.batch_size * self.save_every, wave, batch)
         total = rows.agg(F.max(batch)).first()[0]
         if total is None:
@@ -60,7 +65,8 @@ class Generator:
             mine = functools.reduce(operator.or_, [F.col(batch).between(*s) for s in spans])
             low, high = spans[0][0], spans[-1][1]
             try:
-                self._chain(rows.where((F.col(wave) == k) & mine).select(*names)).write.mode("overwrite").parquet(f"{checkpoint}/rows={low}-{high}")
+                own = replace(context, quarantine=context.quarantine.of(f"rows={low}-{high}").emptied(spark)) if context.quarantine else context
+                self._chain(rows.where((F.col(wave) == k) & mine).select(*names, batch), own).drop(batch).write.mode("overwrite").parquet(f"{checkpoint}/rows={low}-{high}")
                 note(spark, checkpoint, spans)
             except EmptyResult as e:  # so none of its batches has rows either
                 log.warning("batches %s to %s: %s", low, high, e)
@@ -80,6 +86,12 @@ class Generator:
             raise EmptyResult("no batch was finished")
         return spark.read.parquet(*sorted({f"{checkpoint}/rows={folder}" for _, _, folder in done}))
 
+    def quarantined(self, spark: SparkSession, checkpoint: str) -> DataFrame:
+        """step, reason, row of what finished jobs could not do."""
+        if self.context.quarantine is None:
+            raise ValueError("there is no quarantine")
+        return self.context.quarantine.rows(spark, [f"rows={folder}" for folder in sorted({f for _, _, f in ledger(spark, checkpoint)})])
+
     def _resumed_by_value(self, df: DataFrame, checkpoint: str) -> DataFrame:
         """Seed rows whose values appear in what was saved are not made again; all of it is returned."""
         spark = df.sparkSession
