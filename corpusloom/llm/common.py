@@ -125,6 +125,20 @@ def given_back() -> None:
         trim(0)
 
 
+def sampled(rows: DataFrame, most: int, id_col: str, text_col: str) -> DataFrame:
+    """About `most` of the rows, chosen by a hash of id and text; rows that agree in both count once, so null or repeated ids
+    and copies neither empty the sample nor swell it."""
+    mark = unused("_mark", rows.columns)
+    marked = rows.withColumn(mark, sample_hash(id_col, text_col))
+    share = F.pmod(F.col(mark), F.lit(1 << 30)) / float(1 << 30)
+    return marked.where(share < F.lit(most / max(1, rows.count()))).dropDuplicates([mark]).drop(mark)
+
+
+def sample_hash(id_col: str, text_col: str) -> Column:
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return F.xxhash64(F.lit("sample"), text(id_col), text(text_col))
+
+
 def map_texts(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, by: str = "text") -> DataFrame:
     """Like mapInPandas, in frames of bounded bytes of the text column: what a task holds does not follow its batches."""
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from corpusloom.llm.common import components, documents, lists, map_frames, map_texts, maybe_wanted, shuffle_partitions, texts_udf, workspace, written
+from corpusloom.llm.common import components, documents, lists, map_frames, map_texts, maybe_wanted, sampled, shuffle_partitions, texts_udf, workspace, written
 
 GROUPS = 64
 #: Groups of the vector that a pair is bounded by once more before its sets are fetched.
@@ -115,8 +115,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def common_hashes(docs: DataFrame, id_col: str, text_col: str, words: int) -> np.ndarray:
     """Hashes found in COMMON rows of the sample, or more: at most its shingles over COMMON."""
-    share = F.pmod(F.xxhash64(F.lit("sample"), id_col), F.lit(1 << 30)) / float(1 << 30)
-    some = docs.where(share < F.lit(SAMPLE_DOCS / max(1, docs.count()))).select(F.col(text_col).alias("text"))
+    some = sampled(docs, SAMPLE_DOCS, id_col, text_col).select(F.col(text_col).alias("text"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -2,8 +2,9 @@
 
 A text's words (runs of letters, lower case) are scored character by character, each given up to ORDER - 1 characters
 before it in the word, the word's start among them, and the word's end is scored too. Spark counts the n-grams of a
-bounded sample of labelled rows (DOCS_PER_LANG whole texts of each language, chosen by a hash of the id); lower orders
-count the distinct characters before an n-gram. The models lie side by side in sorted arrays of 64-bit n-gram hashes
+bounded sample of labelled rows: of each language the DOCS_PER_LANG whole texts that come first by a hash of id and text,
+CHARS_PER_LANG characters at most (a longer text only if it is the first); lower orders count the distinct characters before
+an n-gram. The models lie side by side in sorted arrays of 64-bit n-gram hashes
 with a column of log probabilities for each language, and in one of context hashes with log back-off weights.
 
 The language of lowest cross-entropy per character is chosen. Further sampled rows calibrate the temperature of the
@@ -12,7 +13,8 @@ there is a limit for each of LENGTHS characters, from pieces of that length of t
 cross-entropy of a QUANTILE of them and MARGIN deviations more; limits of other lengths lie between these.
 
 Defined results: a null text and a text without letters are `und` with score 0 and rejected, as is every text if no
-row has a language, or the table no rows; null ids count as an empty one; rows and ids may repeat, and are judged alike;
+row has a language, or the table no rows; null ids count as an empty one, and rows that agree in id and text are learned from
+once; rows and ids may repeat, and are judged alike;
 texts of any length are scored whole. Columns of other names, whatever they are, come back as they were.
 """
 
@@ -26,14 +28,14 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import documents, kept, texts_udf, workspace, written
+from corpusloom.llm.common import documents, kept, sample_hash, texts_udf, workspace, written
 
 ORDER = 5
 #: Rows of a language that its model is learned from, at most; a tenth as many calibrate.
-DOCS_PER_LANG = 400
+DOCS_PER_LANG, CHARS_PER_LANG = 400, 8_000_000
 #: Lengths with a limit of their own; pieces of each that are taken of a calibrating text.
 LENGTHS, PIECES = (8, 16, 32, 64, 128, 256, 512, 1024, 2048), 8
 QUANTILE, MARGIN = 0.999, 4.0
@@ -258,19 +260,28 @@ def trainable(id_col: str) -> Column:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = DOCS_PER_LANG) -> Models:
     """Learns from a sample of the rows that may be learned from; ids whose checksum modulo 4 is 2 never are."""
-    rows = docs.where(trainable(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    number = {r[0]: r[1] for r in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*")).collect()}
-    share = F.pmod(F.xxhash64(F.lit("sample"), id_col), F.lit(1 << 30)) / float(1 << 30)
-    some = lambda n: F.coalesce(*[F.when(F.col(lang_col) == l, F.lit(min(1.0, n / c))) for l, c in number.items()]) if number else F.lit(0.0)
-    picked = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), share.alias("share"), some(1.1 * docs_per_lang).alias("most")).where("share < most")
-    tenth = F.col("share") >= F.col("most") / 1.1
-    models = learned(gram_counts(picked.where(~tenth | (F.col("most") >= 1))).toPandas())
+    picked = written(sample(docs.where(trainable(id_col)), id_col, text_col, lang_col, docs_per_lang), f"{workspace(docs.sparkSession, 'language')}/sample")
+    models = learned(gram_counts(picked.where("learn")).toPandas())
     if models.langs:
-        seen = picked.where(tenth | (F.col("most") >= 1)).select("lang", calibrating(models)("text").alias("h")).toPandas()
-        calibrate(models, seen)
+        calibrate(models, picked.where("try").select("lang", calibrating(models)("text").alias("h")).toPandas())
     return models
 
 
+def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, docs_per_lang: int, chars: int = CHARS_PER_LANG) -> DataFrame:
+    """lang, text, learn, try: the rows of each language to learn from, and a tenth as many to calibrate by, which are the
+    same if there are no others."""
+    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), sample_hash(id_col, text_col).alias("h"))
+    number = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("all"))
+    most = int(1.1 * docs_per_lang)
+    # Twice as many as are needed, by hash; of those the first by an exact rule. A language's window has no more rows than these.
+    some = rows.join(number, "lang").where(F.pmod("h", F.lit(1 << 30)) / float(1 << 30) < 2.0 * most / F.col("all")).dropDuplicates(["lang", "h"])
+    by = Window.partitionBy("lang").orderBy(F.length("text") > chars // 8, "h")
+    ranked = some.select("lang", "text", F.row_number().over(by).alias("n"), F.sum(F.length("text").cast("long")).over(by.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))
+    kept_rows = ranked.where((F.col("n") <= most) & ((F.col("upto") <= chars) | (F.col("n") == 1)))
+    few = F.count(F.lit(1)).over(Window.partitionBy("lang")) < most
+    return kept_rows.select("lang", "text", "n", few.alias("few")).select("lang", "text", (F.col("few") | (F.col("n") <= docs_per_lang)).alias("learn"), (F.col("few") | (F.col("n") > docs_per_lang)).alias("try"))
+
+
 def pieces(text: str | None) -> list[str]:
     """The text, and at most PIECES pieces of it of each of LENGTHS characters, evenly spaced."""
     words = LETTERS.findall((text or "").lower())

@@ -12,10 +12,12 @@ numbers or addresses by themselves. All other tokens have no chance of being dat
 in this model, so they need not be nodes.
 
 The field is fitted to base labels. Spark counts shapes, neighbours and successive repeats over half of a bounded sample
-(SAMPLE_DOCS rows by a hash of the id), which gives each factor a table of logarithms; the other half gives the tables'
-weights, by maximum pseudo-likelihood: each token's label given its shape, its neighbours' labels and those of its repeats.
-What the patterns missed counts as `none` there, so a shape that is nearly always data where patterns find it is data
-where they fail, as two numbers that one pattern takes for one that is too long.
+(SAMPLE_DOCS rows by a hash of id and text), which gives each factor a table of logarithms; the other half gives the tables'
+weights, by maximum pseudo-likelihood: each token's label given its shape, its neighbours' labels and those of its repeats. Each
+token is also a case with its shape hidden, so that the weights of neighbours and repeats are those by which they
+find what a pattern misses. What the patterns missed counts as `none` there, so a shape that is nearly always data where
+patterns find it is data where they fail, as two numbers that one pattern takes for one that is too long. A number of a card's
+length that fails the checksum, or an address with a part over 255, is never added.
 
 Defined results: null text counts as empty and has no spans; texts of any length are one document; rows, ids and null ids
 may repeat, and each row has its own result, which depends on its text only; an empty table gives no rows; columns of
@@ -33,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import documents, map_texts
+from corpusloom.llm.common import documents, map_texts, sample_hash, sampled
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
@@ -44,6 +46,8 @@ SMOOTH = 0.1
 PRIOR, CHAIN = 10.0, 4.0
 #: Messages of a document have settled when none moves by CLOSE; loops that swing without end are left after ROUNDS.
 ROUNDS, DAMPING, CLOSE = 1000, 0.3, 1e-3
+#: A shape that no token has.
+HIDDEN = "?"
 #: Shortest key by which tokens count as repeats; digits by whose end numbers count as similar.
 KEY, TAIL = 4, 7
 
@@ -187,6 +191,7 @@ def counted(texts: list[str | None], held: list[bool] | None = None) -> Counter:
         for i, (s, y) in enumerate(zip(graph.shapes, label, strict=True)):
             case = f"{s} {before.get(i, -1)} {after.get(i, -1)} {','.join(map(str, repeats[i])) if i in repeats else ''}"
             out[("case", case, LABELS[y])] += 1
+            out[("case", f"{HIDDEN}{case[len(s) :]}", LABELS[y])] += 1
     return out
 
 
@@ -309,7 +314,8 @@ class Field:
                     own[-1] = (int(y) - 1, own[-1][1], span[1], own[-1][3] or i in linked)
                 else:
                     own.append((int(y) - 1, *span, i in linked))
-        added = {k: [s[:3] for s in own if s[3] or whole(s[0], texts[k][s[1] : s[2]])] for k, own in more.items()}
+        said = lambda k, s: texts[k][s[1] : s[2]]
+        added = {k: [s[:3] for s in own if (s[3] or whole(s[0], said(k, s))) and not refuted(s[0], said(k, s))] for k, own in more.items()}
         return [(b, sorted({*b, *added.get(k, [])})) for k, b in enumerate(base)]
 
 
@@ -319,21 +325,26 @@ def whole(kind: int, span: str) -> bool:
     return ("@" in span, span.count(".") == 3, 13 <= digits <= 19, 9 <= digits <= 15)[kind]
 
 
+def refuted(kind: int, span: str) -> bool:
+    """Whether a span is of a kind's form, but fails its test: such a number is none, whatever stands beside it."""
+    digits = "".join(c for c in span if c in "0123456789")
+    if KINDS[kind] == "card":
+        return 13 <= len(digits) <= 19 and not luhn(digits)
+    return KINDS[kind] == "ip" and any(int(x) > 255 for x in span.split(".") if x.isascii() and x.isdigit())
+
+
 def part(token: str) -> bool:
     """Whether a token can be part of a number that goes on: it has too few digits to be one, and no letter or dot."""
     return sum(c.isdigit() for c in token) < 12 and not any(c.isalpha() or c in ".@" for c in token)
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> Field:
-    total = docs.count()
-    share = F.pmod(F.xxhash64(F.lit("sample"), id_col), F.lit(1 << 30)) / float(1 << 30)
-
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             yield pd.DataFrame([(*k, n) for k, n in counted(list(frame["text"]), list(frame["held"])).items()], columns=["what", "a", "b", "n"])
 
-    held = F.pmod(F.xxhash64(F.lit("held"), id_col), F.lit(2)) == 1
-    found = docs.where(share < F.lit(sample_docs / max(1, total))).select(F.col(text_col).cast("string").alias("text"), held.alias("held"))
+    held = F.pmod(F.xxhash64(F.lit("held"), sample_hash(id_col, text_col)), F.lit(2)) == 1
+    found = sampled(docs, sample_docs, id_col, text_col).select(F.col(text_col).cast("string").alias("text"), held.alias("held"))
     found = map_texts(found, count, "what string, a string, b string, n long")
     return Field({(r[0], r[1], r[2]): r[3] for r in found.groupBy("what", "a", "b").agg(F.sum("n")).collect()})
 

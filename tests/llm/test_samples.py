@@ -1,0 +1,118 @@
+"""Samples that operators learn from: null and repeated ids, copies, and hot ids neither empty nor swell them."""
+
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from corpusloom.llm import common, jaccard_join, language_id, personal_data
+
+LANGS = {"en": ["the", "and", "ing", "tion", "of", "er", "th"], "de": ["und", "der", "sch", "ung", "ein", "keit"], "fr": ["les", "eau", "ment", "que", "é", "oi"]}
+
+
+def texts(n, seed=1):
+    r = random.Random(seed)
+    out = []
+    for i in range(n):
+        lang = list(LANGS)[i % 3]
+        word = lambda own=LANGS[lang]: "".join(r.choice(own) for _ in range(r.randint(1, 3)))
+        out.append((" ".join(word() for _ in range(r.randint(20, 60))), lang))
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs():
+    return texts(240)
+
+
+def table(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+
+@pytest.mark.parametrize("ids", ["null", "one"])
+def test_languages_are_learned_whatever_the_ids(spark, docs, ids):
+    """1's checksum modulo 4 is not 2, nor is that of a null id."""
+    df = table(spark, [(None if ids == "null" else 1, *d) for d in docs])
+    models = language_id.train(df)
+    found = df.select("lang", language_id.predictor(models)("text").alias("f")).collect()
+    assert models.langs == sorted(LANGS)
+    assert sum(r.lang == r.f.lang and not r.f.rejected for r in found) >= 0.99 * len(found)
+
+
+@pytest.mark.parametrize("ids", ["null", "one", "copies"])
+def test_the_sample_is_bounded_exactly(spark, docs, ids):
+    rows = [(None if ids == "null" else 1, *d) for d in texts(900, 2)]
+    if ids == "copies":
+        rows += [rows[0]] * 900
+    got = language_id.sample(table(spark, rows), "doc_id", "text", "lang", 20).groupBy("lang").agg(F.sum(F.col("learn").cast("int")).alias("learn"), F.sum(F.col("try").cast("int")).alias("try"), F.countDistinct("text").alias("texts")).collect()
+    assert {r.lang: (r.learn, r["try"], r.texts) for r in got} == {l: (20, 2, 22) for l in LANGS}
+
+
+def test_long_texts_are_learned_from_only_alone(spark):
+    rows = [(1, "a b " * 400, "en"), (2, "c d " * 400, "en"), (3, "short text", "en"), (4, "only " * 1000, "de")]
+    got = language_id.sample(table(spark, rows), "doc_id", "text", "lang", 20, chars=100).collect()
+    assert sorted((r.lang, len(r.text)) for r in got) == [("de", 5000), ("en", 10)]
+    assert all(r.learn and r["try"] for r in got)
+
+
+def test_the_sample_follows_ids_and_texts_only(spark, docs):
+    df = table(spark, list(enumerate(x for x in []))) if not docs else table(spark, [(i, *d) for i, d in enumerate(docs)])
+    one = {tuple(r) for r in language_id.sample(df, "doc_id", "text", "lang", 10).collect()}
+    other = {tuple(r) for r in language_id.sample(df.repartition(7).withColumn("h", F.lit(1)), "doc_id", "text", "lang", 10).collect()}
+    assert one == other and len(one) == 33
+
+
+@pytest.mark.parametrize("ids", ["null", "one"])
+def test_the_pipeline_keeps_rows_whatever_the_ids(spark, docs, ids, tmp_path):
+    rows = [(None if ids == "null" else 1, t, lang, f"s{i % 3}", len(t)) for i, (t, lang) in enumerate(docs)]
+    rows.append((None if ids == "null" else 1, "12 34 !!", None, "s0", 8))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(f"file://{tmp_path}/documents.parquet")
+    first = corpus_pipeline.STAGES[0][1](spark, df, str(tmp_path))
+    assert {r.text for r in first.collect()} == {t for t, _ in docs}
+    out = corpus_pipeline.run(spark, f"file://{tmp_path}")
+    assert out.where("round_trip and n_tokens > 0").count() >= 0.8 * len(docs)
+
+
+def test_samples_of_about_a_number(spark):
+    df = table(spark, [(None, f"t{i}", None) for i in range(4000)] + [(None, "t0", None)] * 4000)
+    assert 1300 < common.sampled(df, 3000, "doc_id", "text").count() < 1700  # a half of the rows are one text
+    assert common.sampled(df.where("false"), 10, "doc_id", "text").count() == 0
+
+
+def personal(n, seed=3):
+    """Texts with numbers of a card's length, of which nearly all pass the checksum where a pattern finds them."""
+    r = random.Random(seed)
+    good = lambda: next(c for c in iter(lambda: "".join(r.choice("0123456789") for _ in range(16)), None) if personal_data.luhn(c))
+    bad = lambda: next(c for c in iter(lambda: "".join(r.choice("0123456789") for _ in range(16)), None) if not personal_data.luhn(c))
+    return [f"pay {good()} or {bad() if i % 3 == 0 else 'cash'} call +1 555 010 {r.randint(1000, 9999)}, mail u{i}@mail.example.com from 10.{i % 300}.0.1" for i in range(n)]
+
+
+def test_added_spans_are_what_they_are_said_to_be(spark):
+    df = table(spark, [(None, t, None) for t in personal(600)])
+    field = personal_data.train(df, sample_docs=600)
+    said = personal(120, 9) + ["pay 4111111111111111 and again 4111111111111112", "card 4111 1111 1111 1111, ends in 1111 1111", "+1 (269) 555-3296 4524132264652876"]
+    for text, (base, spans) in zip(said, field.find(said), strict=True):
+        assert set(base) <= set(spans)
+        for kind, a, b in set(spans) - set(base):
+            digits = re.sub(r"\D", "", text[a:b])
+            assert not (kind == 2 and 13 <= len(digits) <= 19 and not personal_data.luhn(digits)), text[a:b]
+            assert not (kind == 1 and any(int(x) > 255 for x in text[a:b].split("."))), text[a:b]
+
+
+def test_repeats_find_what_patterns_miss(spark):
+    """Mentions of an address's name part are found by skip edges alone: without them, none is."""
+    field = personal_data.train(table(spark, [(i, t, None) for i, t in enumerate(personal(600))]), sample_docs=600)
+    said = [f"ask jonathan{k}@mail.example.com; {'jonathan%d said so; ' % k * 3}" for k in range(20)]
+    more = [len(set(s) - set(b)) for b, s in field.find(said)]
+    field.skip = field.skip * 0
+    none = [len(set(s) - set(b)) for b, s in field.find(said)]
+    assert more == [3] * 20 and none == [0] * 20
+
+
+def test_common_hashes_of_rows_without_ids(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "COMMON", 5)
+    df = table(spark, [(None, f"one two three four five {i}", None) for i in range(40)])
+    assert len(jaccard_join.common_hashes(df, "doc_id", "text", 4)) == 2
