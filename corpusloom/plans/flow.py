@@ -214,11 +214,14 @@ def generate(df: DataFrame, steps: Sequence[Step], context: Context | None = Non
 def _generated(df: DataFrame, steps: Sequence[Step], context: Context, fail_on_empty: bool) -> DataFrame:
     some = False  # whether it is known that there are rows
     for k, step in enumerate(steps):
+        given = Observation()
+        if asks(step):
+            df = df.observe(given, F.count(F.lit(1)).alias("rows"))
         df = apply_step(df, step, context, f"{k + 1} {step.name}")
         if asks(step):
             df, made = written_step(df, context)
             if fail_on_empty and not made:
-                raise EmptyResult(f"step {step.name} gave no rows")
+                raise EmptyResult(f"step {step.name} gave no rows" if (observed(given) or {}).get("rows") else f"there are no rows for step {step.name}")
             some = made > 0
         else:
             some = some and step.block_type in SAME
