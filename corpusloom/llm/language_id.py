@@ -271,7 +271,7 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, docs_per_
     """lang, text, learn, try: the rows of each language to learn from, and a tenth as many to calibrate by, which are the
     same if there are no others."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), sample_hash(id_col, text_col).alias("h"))
-    number = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("all"))
+    number = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("all"))
     most = int(1.1 * docs_per_lang)
     # Twice as many as are needed, by hash; of those the first by an exact rule. A language's window has no more rows than these.
     some = rows.join(number, "lang").where(F.pmod("h", F.lit(1 << 30)) / float(1 << 30) < 2.0 * most / F.col("all")).dropDuplicates(["lang", "h"])

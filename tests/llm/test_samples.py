@@ -58,7 +58,7 @@ def test_long_texts_are_learned_from_only_alone(spark):
 
 
 def test_the_sample_follows_ids_and_texts_only(spark, docs):
-    df = table(spark, list(enumerate(x for x in []))) if not docs else table(spark, [(i, *d) for i, d in enumerate(docs)])
+    df = table(spark, [(i, *d) for i, d in enumerate(docs)])
     one = {tuple(r) for r in language_id.sample(df, "doc_id", "text", "lang", 10).collect()}
     other = {tuple(r) for r in language_id.sample(df.repartition(7).withColumn("h", F.lit(1)), "doc_id", "text", "lang", 10).collect()}
     assert one == other and len(one) == 33
