@@ -112,6 +112,23 @@ def compiled(text: str, schema: T.StructType, missing: str = "error") -> Column:
     return strip(_render(_parse(text), {}, schema, missing))
 
 
+def variables(text: str) -> frozenset[str]:
+    """The columns that a template names."""
+
+    def of(body: list) -> set[str]:
+        out: set[str] = set()
+        for node in body:
+            if node[0] == "value":
+                out.add(node[1].split(".")[0])
+            elif node[0] == "if":
+                out |= {node[1][0].split(".")[0] if node[1][0] != "not" else node[1][1].split(".")[0]} | of(node[2]) | of(node[3])
+            elif node[0] == "for":
+                out |= {node[2].split(".")[0]} | (of(node[3]) - {node[1]})
+        return out
+
+    return frozenset(of(_parse(text)))
+
+
 def prompt_text(config: dict | None) -> str:
     """The five sections of a prompt configuration in one template; nothing for no configuration."""
     if config is None:

@@ -6,14 +6,16 @@ import hashlib
 import json
 import logging
 import subprocess
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from pathlib import Path
 from typing import Any
 
+import pyarrow as pa
 import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 log = logging.getLogger("corpusloom")
 
@@ -121,6 +123,7 @@ def read_parsed(spark: SparkSession, path: str) -> DataFrame:
 # Taxonomies
 
 LEAF = "taxonomy_path string, ordinal long, task_description string, domain string, document array<string>, document_outline string, context string, question string, answer string, questions_and_answers array<struct<question: string, answer: string>>"
+LEAF_COLUMNS = ("taxonomy_path", "ordinal", "task_description", "domain", "document", "document_outline", "context", "question", "answer", "questions_and_answers")
 ROOTS = ("compositional_skills", "knowledge")
 
 
@@ -202,11 +205,32 @@ def leaf_rows(path: str | Path, root: str | Path, documents: Callable[[dict], li
     return out
 
 
-def read_taxonomy(spark: SparkSession, path: str, base: str | None = None, documents: Callable[[dict], list[str]] | None = None, strict: bool = False) -> DataFrame:
-    """The rows of one file, of all files of a folder, or of those changed against a base."""
+def taxonomy_files(path: str, base: str | None = None) -> tuple[list[str], str]:
+    """One file, all files of a folder, or those changed against a base; and the folder."""
     root = Path(path)
     if root.is_file():
-        files, root = [root], root.parent
-    else:
-        files = [root / f for f in changed_files(path, base)] if base else sorted(p for r in ROOTS for p in (root / r).rglob("*.y*ml"))
-    return spark.createDataFrame([r for f in files for r in leaf_rows(f, root, documents, strict)], LEAF)
+        return [str(root)], str(root.parent)
+    found = [root / f for f in changed_files(path, base)] if base else sorted(p for r in ROOTS for p in (root / r).rglob("*.y*ml"))
+    return [str(f) for f in found], path
+
+
+def read_taxonomy(spark: SparkSession, path: str, base: str | None = None, documents: Callable[[dict], list[str]] | None = None, strict: bool = False) -> DataFrame:
+    """The rows of one file, of all files of a folder, or of those changed against a base. Files are read in tasks."""
+    if documents is None:
+        from corpusloom.sources import remote
+
+        chosen = {"strict": str(strict)} | ({"base": base} if base else {})
+        return remote.register(spark).read.format("taxonomy").options(**chosen).load(path)
+    names, root = taxonomy_files(path, base)
+    listed = spark.createDataFrame([(n,) for n in names], "name string").repartition(max(1, min(len(names), 64)), "name")
+    kinds = to_arrow_schema(T.StructType.fromDDL(LEAF))
+    pairs = LEAF_COLUMNS.index("questions_and_answers")
+    named = lambda row: dict(zip(LEAF_COLUMNS, [*row[:pairs], [{"question": q, "answer": a} for q, a in row[pairs]] if row[pairs] else None], strict=True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch["name"].to_pylist():
+                found = leaf_rows(name, root, documents, strict)
+                yield pa.RecordBatch.from_pylist([named(r) for r in found], kinds)
+
+    return listed.mapInArrow(run, LEAF)

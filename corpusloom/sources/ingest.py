@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
@@ -78,11 +78,70 @@ def chunk_texts(documents: str | Sequence[str], context: int, words: int) -> lis
     return [c for d in documents for c in split_text(re.sub(r" {2,}\|", " |", re.sub(r"-{2,}\|", "-|", d)), size)]
 
 
+def pieces_of(text: Column, separator: str) -> Column:
+    """The text cut before each place of a separator, which stays in front of what follows it; characters for none."""
+    found = F.split(text, "") if separator == "" else F.regexp_extract_all(text, F.lit(f"(?s)(?:{separator})?.*?(?={separator}|\\z)"), F.lit(0))
+    return F.filter(found, lambda p: p != "")
+
+
+def merged(sizes: Column, size: int, overlap: int, cuts_further: bool) -> Column:
+    """Runs (start, stop, done) of pieces, from the pieces' lengths: as many as fit in size, a run beginning with as many of
+    the last run's pieces as fit in the overlap. A piece that is too long by itself is a run that isn't done.
+
+    A fold over the pieces with what is held (its first piece and its length) and the runs so far as its state.
+    """
+    run = lambda a, b, done: F.array(F.struct(a.alias("start"), b.alias("stop"), F.lit(done).alias("done")))
+    none = F.array().cast("array<struct<start:int,stop:int,done:boolean>>")
+    state = lambda start, length, runs: F.struct(start.cast("int").alias("start"), length.cast("int").alias("length"), runs.alias("runs"))
+
+    def kept(start: Column, j: Column, limit: Column) -> Column:
+        """(n, length) of the last pieces before j, from start on, whose length is within the limit: one step for each character of overlap at most."""
+        begun = F.struct(F.lit(0).alias("n"), F.lit(0).alias("length"), F.lit(True).alias("open"))
+        return F.aggregate(
+            F.sequence(F.lit(1), F.least(j - start, F.lit(max(1, overlap)))),
+            begun,
+            lambda t, i: F.when(t["open"] & (t["length"] + F.get(sizes, j - i) <= limit), F.struct((t["n"] + 1).alias("n"), (t["length"] + F.get(sizes, j - i)).alias("length"), F.lit(True).alias("open"))).otherwise(F.struct(t["n"].alias("n"), t["length"].alias("length"), F.lit(False).alias("open"))),
+        )
+
+    def add(s: Column, j: Column) -> Column:
+        own, held = F.get(sizes, j), j > s["start"]
+        further = F.lit(cuts_further) & (own > size)
+        before = F.when(held, F.concat(s["runs"], run(s["start"], j, True))).otherwise(s["runs"])
+        alone = state(j + 1, F.lit(0), F.concat(before, run(j, j + 1, False)))
+        begun = F.transform(F.array(kept(s["start"], j, F.least(F.lit(overlap), size - own))), lambda t: state(j - t["n"], t["length"] + own, before))[0]
+        return F.when(further, alone).when(held & (s["length"] + own > size), begun).otherwise(state(s["start"], s["length"] + own, s["runs"]))
+
+    n = F.size(sizes)
+    last = lambda s: F.when(s["start"] < n, F.concat(s["runs"], run(s["start"], n, True))).otherwise(s["runs"])
+    return F.when(n > 0, F.aggregate(F.sequence(F.lit(0), n - 1), state(F.lit(0), F.lit(0), none), add, last)).otherwise(none)
+
+
+def with_split(df: DataFrame, column: str, size: int, overlap: int = OVERLAP, separators: Sequence[str] = SEPARATORS) -> DataFrame:
+    """df with a text column as the array of its pieces, as `split_text` has them: none for null or blank text.
+
+    Each separator is a projection, in which pieces that are still too long are cut there, all at once.
+    """
+    item = lambda t, done: F.struct(t.alias("text"), done.alias("done"))
+    items = reshape.unused("_items", df.columns)
+
+    def level(separator: str, further: bool) -> Column:
+        whole = lambda ps, r: F.array_join(F.slice(ps, r["start"] + 1, r["stop"] - r["start"]), "")
+        runs = lambda ps: tx.once(F.transform(ps, lambda p: F.length(p)), lambda n: merged(n, size, overlap, further))
+        cut = lambda x: tx.once(pieces_of(x["text"], separator), lambda ps: F.transform(runs(ps), lambda r: item(whole(ps, r), r["done"])))
+        there = lambda x: F.rlike(x["text"], F.lit(separator)) if separator else F.lit(True)
+        return F.flatten(F.transform(items, lambda x: F.when(~x["done"] & there(x), cut(x)).otherwise(F.array(x))))
+
+    text = F.coalesce(F.col(f"`{column}`"), F.lit(""))
+    out = df.withColumn(items, F.array(item(text, F.length(text) <= size)))
+    for k, separator in enumerate(separators):
+        out = out.withColumn(items, level(separator, k + 1 < len(separators)))
+    return out.withColumn(column, F.filter(F.transform(items, lambda x: tx.strip(x["text"])), lambda t: t != "")).select(*df.columns)
+
+
 def chunked(df: DataFrame, column: str, context: int, words: int, position: str | None = None) -> DataFrame:
-    """A row for each chunk of a text column."""
+    """A row for each chunk of a text column; none for null or blank text. All of it are expressions, no text leaves the JVM."""
     size = budget(words, context)
-    pieces = F.pandas_udf(lambda texts: texts.map(lambda t: split_text(t, size) if t else []), "array<string>")
-    return reshape.explode_list(df.withColumn(column, pieces(tx.compact_table(column))), column, position)
+    return reshape.explode_list(with_split(df.withColumn(column, tx.compact_table(column)), column, size), column, position)
 
 
 # Element types that are passed over, types that are taken, and what ends a document.
