@@ -13,9 +13,8 @@ in this model, so they need not be nodes.
 
 The field is fitted to base labels. Spark counts shapes, neighbours and successive repeats over half of a bounded sample
 (SAMPLE_DOCS rows by a hash of id and text), which gives each factor a table of logarithms; the other half gives the tables'
-weights, by maximum pseudo-likelihood: each token's label given its shape, its neighbours' labels and those of its repeats. Each
-token is also a case with its shape hidden, so that the weights of neighbours and repeats are those by which they
-find what a pattern misses. What the patterns missed counts as `none` there, so a shape that is nearly always data where
+weights, by maximum pseudo-likelihood: each token's label given its shape, its neighbours' labels and those of its repeats.
+What the patterns missed counts as `none` there, so a shape that is nearly always data where
 patterns find it is data where they fail, as two numbers that one pattern takes for one that is too long. A number of a card's
 length that fails the checksum, or an address with a part over 255, is never added.
 
@@ -46,8 +45,6 @@ SMOOTH = 0.1
 PRIOR, CHAIN = 10.0, 4.0
 #: Messages of a document have settled when none moves by CLOSE; loops that swing without end are left after ROUNDS.
 ROUNDS, DAMPING, CLOSE = 1000, 0.3, 1e-3
-#: A shape that no token has.
-HIDDEN = "?"
 #: Shortest key by which tokens count as repeats; digits by whose end numbers count as similar.
 KEY, TAIL = 4, 7
 
@@ -191,7 +188,6 @@ def counted(texts: list[str | None], held: list[bool] | None = None) -> Counter:
         for i, (s, y) in enumerate(zip(graph.shapes, label, strict=True)):
             case = f"{s} {before.get(i, -1)} {after.get(i, -1)} {','.join(map(str, repeats[i])) if i in repeats else ''}"
             out[("case", case, LABELS[y])] += 1
-            out[("case", f"{HIDDEN}{case[len(s) :]}", LABELS[y])] += 1
     return out
 
 
