@@ -16,6 +16,7 @@ import uuid
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
+from threading import Condition
 from typing import Any, Protocol
 
 from pyspark.sql import Column, DataFrame
@@ -85,11 +86,51 @@ class StubBackend:
         return [[len(s) / (1 + len(s)) for s in m[-1]["content"].split("\n\n") if s] for m in messages]
 
 
+class Pace:
+    """How many requests may be in flight at once: one more for a round of answers, half as many when a server says that it is busy
+    or an answer takes long, and none before the time it names. A worker process has one for each server."""
+
+    def __init__(self, most: int, slow: float = 4.0, clock: Callable[[], float] = time.monotonic):
+        self.most, self.slow, self.clock = most, slow, clock
+        self.limit, self.flying, self.until, self.usual, self.cut = max(1.0, most / 2), 0, 0.0, None, 0.0
+        self.turn = Condition()
+
+    def begin(self) -> float:
+        """Waits for a place; the time at which it was given."""
+        with self.turn:
+            while self.flying >= int(self.limit) or self.clock() < self.until:
+                self.turn.wait(max(0.005, min(1.0, self.until - self.clock())))
+            self.flying += 1
+            return self.clock()
+
+    def end(self, began: float, busy: bool = False, wait: float = 0.0) -> None:
+        """Gives a place back, after an answer or a busy server's refusal."""
+        with self.turn:
+            now = self.clock()
+            self.flying -= 1
+            took = now - began
+            if not busy:
+                self.usual = took if self.usual is None else min(took, 0.95 * self.usual + 0.05 * took)
+            if busy or took > self.slow * max(self.usual or took, 0.05):
+                if began >= self.cut:  # requests that were under way tell of the limit before
+                    self.limit, self.cut = max(1.0, self.limit / 2), now
+                self.until = max(self.until, now + wait)
+            else:
+                self.limit = min(float(self.most), self.limit + 1 / self.limit)
+            self.turn.notify_all()
+
+
+_paces: dict[tuple[str, int], Pace] = {}
+#: What a request is refused for its content with, so that asking again is of no use.
+REFUSED = {400, 413, 422}
+
+
 @dataclass(frozen=True)
 class HttpBackend:
     """A server with the usual completions, chat and pooling routes; bounded retries with a growing pause.
 
-    batched: whether a request may hold several prompts; None asks the server once (`ready`), and is no until then.
+    workers: requests in flight at most; fewer while the server is busy (`Pace`). batched: whether a request may hold several prompts; None asks
+    the server once (`ready`), and is no until then. A batch that is refused for its content is asked in halves; a prompt that is, is a Failure.
     """
 
     url: str
@@ -100,19 +141,39 @@ class HttpBackend:
     retries: int = 3
     timeout: float = 600.0
 
+    def pace(self) -> Pace:
+        return _paces.setdefault((self.url, self.workers), Pace(self.workers))
+
     def _post(self, route: str, body: dict, request_id: str) -> dict:
         headers = {"Content-Type": "application/json", "X-Request-Id": request_id} | ({"Authorization": f"Bearer {self.key}"} if self.key else {})
+        pace, data = self.pace(), json.dumps(body).encode()
         for attempt in range(self.retries + 1):
+            began, busy, wait = pace.begin(), False, 0.0
             try:
-                request = urllib.request.Request(f"{self.url.rstrip('/')}/{route}", json.dumps(body).encode(), headers)
+                request = urllib.request.Request(f"{self.url.rstrip('/')}/{route}", data, headers)
                 with urllib.request.urlopen(request, timeout=self.timeout) as answer:
                     return json.load(answer)
             except (urllib.error.URLError, TimeoutError) as e:
-                if attempt == self.retries or isinstance(e, urllib.error.HTTPError) and e.code < 500 and e.code != 429:
+                code = e.code if isinstance(e, urllib.error.HTTPError) else 503
+                if attempt == self.retries or code < 500 and code != 429:
                     raise
-                time.sleep(min(30.0, 0.5 * 2**attempt))
+                named = e.headers.get("Retry-After", "") if isinstance(e, urllib.error.HTTPError) else ""
+                busy, wait = code in (429, 503), float(named) if named.isdigit() else min(30.0, 0.5 * 2**attempt)
+            finally:
+                pace.end(began, busy, min(wait, 30.0) if busy else 0.0)
+            if not busy:
+                time.sleep(wait)
         raise AssertionError
 
+    def _row(self, call: Callable[[], Any]) -> Any:
+        """What a request for one row gives; a Failure if it is refused for its content."""
+        try:
+            return call()
+        except urllib.error.HTTPError as e:
+            if e.code not in REFUSED:
+                raise
+            return Failure(f"HTTP {e.code}: {e.read(500).decode(errors='replace')}")
+
     def models(self) -> list[str]:
         with urllib.request.urlopen(f"{self.url.rstrip('/')}/models", timeout=self.timeout) as answer:
             return [m["id"] for m in json.load(answer)["data"]]
@@ -131,26 +192,35 @@ class HttpBackend:
     def complete(self, prompts, ids, model, options):
         body = {"model": model, **options.body()}
         if not self.batched:
-            return self._each(lambda p, i: [c["text"] for c in self._post("completions", body | {"prompt": p}, i)["choices"]], [prompts, ids])
+            return self._each(lambda p, i: self._row(lambda: [c["text"] for c in self._post("completions", body | {"prompt": p}, i)["choices"]]), [prompts, ids])
 
-        def several(k: int) -> list[list[str]]:
-            asked = prompts[k : k + self.rows]
-            choices = [c["text"] for c in self._post("completions", body | {"prompt": asked}, ids[k])["choices"]]
+        def several(low: int, high: int) -> list:
+            asked = prompts[low:high]
+            try:
+                choices = [c["text"] for c in self._post("completions", body | {"prompt": asked}, ids[low])["choices"]]
+            except urllib.error.HTTPError as e:
+                if e.code not in REFUSED:
+                    raise
+                if high - low == 1:
+                    return [Failure(f"HTTP {e.code}: {e.read(500).decode(errors='replace')}")]
+                middle = (low + high) // 2
+                return several(low, middle) + several(middle, high)
             if len(choices) != len(asked) * options.n:
                 raise ValueError(f"{len(choices)} choices for {len(asked)} prompts of {options.n}")
             return [choices[j * options.n : (j + 1) * options.n] for j in range(len(asked))]
 
-        return [c for found in self._each(several, [range(0, len(prompts), self.rows)]) for c in found]
+        starts = range(0, len(prompts), self.rows)
+        return [c for found in self._each(several, [starts, [min(k + self.rows, len(prompts)) for k in starts]]) for c in found]
 
     def chat(self, messages, ids, model, options):
         if options.n > 1 and options.temperature <= 0:
             options = Options(**{**options.__dict__, "temperature": 0.7})
         body = {"model": model, **options.body()}
-        return self._each(lambda m, i: [c["message"]["content"] for c in self._post("chat/completions", body | {"messages": m}, i)["choices"]], [messages, ids])
+        return self._each(lambda m, i: self._row(lambda: [c["message"]["content"] for c in self._post("chat/completions", body | {"messages": m}, i)["choices"]]), [messages, ids])
 
     def logprobs(self, prompts, ids, model, options):
         body = {"model": model, **options.body(), "logprobs": options.logprobs or 10, "n": 1}
-        return self._each(lambda p, i: self._post("completions", body | {"prompt": p}, i)["choices"][0]["logprobs"]["top_logprobs"], [prompts, ids])
+        return self._each(lambda p, i: self._row(lambda: self._post("completions", body | {"prompt": p}, i)["choices"][0]["logprobs"]["top_logprobs"]), [prompts, ids])
 
     def rewards(self, messages, model):
         def one(m):

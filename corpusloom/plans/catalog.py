@@ -18,6 +18,7 @@ from corpusloom.operators import columns, filters, models, reshape
 from corpusloom.operators.parse import Parser, parse_rows
 from corpusloom.plans import convert, mix
 from corpusloom.plans.flow import Context, Step, generate, read_flow
+from corpusloom.plans.rewrite import rewritten
 from corpusloom.plans.run import Generator
 from corpusloom.sources import files, ingest
 
@@ -428,9 +429,47 @@ def fuse_texts(spark, d):
     return convert.fused(lines, "doc_id", "line_no", "line", 20)
 
 
-@query()
+#: The separators of chunks as regular expressions; the last cuts between characters.
+CUTS = (r"\n#{1,6} ", r"```\n", r"\n\*\*\*+\n", r"\n---+\n", r"\n___+\n", r"\n\n", r"\n", " ", "")
+
+
+def _chunk_sql(size: int, overlap: int) -> str:
+    """SQL for chunks: a level for each separator, which cuts the items that are too long. An item's pieces are lists of texts
+    and of offsets; a recursion goes from run to run, each as long as it may be, by the offsets."""
+    levels = []
+    for k, cut in enumerate(CUTS):
+        last = k + 1 == len(CUTS)
+        has = "true" if last else f"regexp_matches(text, '{cut}')"
+        pieces = "string_split(text, '')" if last else f"string_split(regexp_replace(text, '({cut})', chr(1) || '\\1', 'g'), chr(1))"
+        big = "false" if last else f"o[i + 2] - o[i + 1] > {size}"
+        levels.append(f"""
+p{k} AS MATERIALIZED (SELECT doc_id, path, list_filter({pieces}, lambda x: x <> '') AS p FROM i{k} WHERE {has}),
+o{k} AS MATERIALIZED (SELECT doc_id, path, list_prepend(0, list(upto ORDER BY j)) AS o FROM (SELECT doc_id, path, j, sum(n) OVER (PARTITION BY doc_id, path ORDER BY j)::bigint AS upto FROM (SELECT doc_id, path, unnest(range(len(p))) AS j, length(unnest(p)) AS n FROM p{k})) GROUP BY doc_id, path),
+r{k} AS (
+  SELECT doc_id, path, 0 AS step, 0::bigint AS s, 0::bigint AS j, 0::bigint AS a, 0::bigint AS b, false AS alone, 0::bigint AS n FROM o{k}
+  UNION ALL
+  SELECT doc_id, path, step + 1, CASE WHEN big THEN e + 1 WHEN e < m THEN list_filter(range(s, e + 1), lambda i: o[e + 1] - o[i + 1] <= least({overlap}, {size} - (o[e + 2] - o[e + 1])))[1] ELSE e END, e + 1, s, e, big, m
+  FROM (SELECT *, {'false' if last else f'e < m AND o[e + 2] - o[e + 1] > {size}'} AS big FROM (
+    SELECT r.doc_id, r.path, r.step, r.s, o.o, len(o.o) - 1 AS m, coalesce(list_filter(range(r.j, len(o.o) - 1), lambda i: {big} OR o[i + 2] - o[r.s + 1] > {size})[1], len(o.o) - 1) AS e
+    FROM r{k} r JOIN o{k} o USING (doc_id, path) WHERE r.step = 0 OR r.b < r.n))
+),
+c{k} AS (
+  SELECT doc_id, list_append(path, 2 * step) AS path, array_to_string(p[a + 1:b], '') AS text, true AS done FROM r{k} JOIN p{k} USING (doc_id, path) WHERE b > a
+  UNION ALL SELECT doc_id, list_append(path, 2 * step + 1), p[b + 1], false FROM r{k} JOIN p{k} USING (doc_id, path) WHERE alone
+),
+i{k + 1} AS MATERIALIZED (SELECT doc_id, path, text FROM c{k} WHERE NOT done UNION ALL SELECT doc_id, path, text FROM i{k} WHERE NOT ({has}))""")
+    done = " UNION ALL ".join(f"SELECT doc_id, path, text FROM c{k} WHERE done" for k in range(len(CUTS)))
+    return f"""
+WITH RECURSIVE t AS MATERIALIZED (SELECT doc_id, regexp_replace(regexp_replace(text, '-{{2,}}[|]', '-|', 'g'), ' {{2,}}[|]', ' |', 'g') AS text FROM documents),
+i0 AS MATERIALIZED (SELECT doc_id, []::bigint[] AS path, text FROM t WHERE length(text) > {size}),{",".join(levels)}
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY path) - 1 AS chunk, text FROM (
+  SELECT doc_id, path, trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS text FROM (SELECT doc_id, []::bigint[] AS path, text FROM t WHERE length(text) <= {size} UNION ALL {done})) WHERE text <> ''
+"""
+
+
+@query(_chunk_sql(1040, 100))
 def chunk_document(spark, d):
-    return ingest.chunked(table(spark, d, "documents").select("doc_id", "text"), "text", 4096, 200, "chunk")
+    return ingest.chunked(table(spark, d, "documents").select("doc_id", "text"), "text", 4096, 200, "chunk").withColumn("chunk", F.col("chunk").cast("long"))
 
 
 TOKENS = "floor(len(list_filter(regexp_split_to_array({0}, '\\s+'), lambda x: x <> '')) * 13 / 10)"
@@ -844,3 +883,165 @@ SELECT question, response, kind AS dataset_type FROM f WHERE length(question) %
 def flow_summaries(spark, d):
     df = table(spark, d, "documents").select("doc_id", F.col("text").alias("document"), F.col("source").alias("document_outline"), F.col("lang").alias("domain"), *[F.lit(v).alias(k) for k, v in EXAMPLE.items()])
     return generate(df, read_flow("knowledge_summaries.yaml"), Context(Summaries(), order=("doc_id", "dataset_type", "response"))).select("question", "response", "dataset_type")
+
+
+# Batches, errors, answers that are kept
+
+@query("""
+WITH b AS (SELECT doc_id, source, lang, (row_number() OVER (ORDER BY doc_id) - 1) // 64 AS batch FROM documents),
+m AS (SELECT batch, lang FROM (SELECT batch, lang, count(*) AS n FROM b WHERE lang IS NOT NULL GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY batch ORDER BY n DESC, lang) = 1)
+SELECT doc_id, source, m.lang AS language FROM (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY batch, source ORDER BY doc_id) = 1) f LEFT JOIN m USING (batch)
+""")
+def batched_majority(spark, d):
+    """Batches of 64 documents: each batch's majority language, and its first document of each source."""
+    steps = [Step("SetToMajorityValue", {"col_name": "lang"}), Step("RenameColumns", {"columns_map": {"lang": "language"}}, drop_duplicates=["source"])]
+    df = table(spark, d, "documents").select("doc_id", "source", "lang")
+    return Generator([steps], Context(order=("doc_id",)), 32, 2, ["doc_id"]).generate(df, scratch(spark, "batches"))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    return f"{models.work_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+PLAIN = {"system": "", "introduction": "", "principles": "", "examples": "", "generation": "{{ source }} {{ lang }} {{ doc_id }}", "start_tags": ["<"], "end_tags": [">"]}
+
+
+@dataclass(frozen=True)
+class Picky(models.StubBackend):
+    """Answers a prompt with its length; refuses those whose length is a multiple of three."""
+
+    def complete(self, prompts, ids, model, options):
+        return [models.Failure(f"refused: {len(p)}") if len(p) % 3 == 0 else [f"<{len(p)}>"] for p in prompts]
+
+
+@query("""
+WITH p AS (SELECT doc_id, source, lang, CASE WHEN lang = 'fr' THEN 'no prompt for fr' WHEN n % 3 = 0 THEN 'refused: ' || n END AS reason
+  FROM (SELECT *, length(trim(source || ' ' || lang || ' ' || doc_id)) AS n FROM documents))
+SELECT coalesce(reason, 'none') AS reason, count(*) AS n, min(doc_id) AS first_doc FROM p GROUP BY 1
+""")
+def quarantined_rows(spark, d):
+    """Documents that a step could not do, by reason, and those that it did."""
+    quarantine = models.Quarantine(scratch(spark, "quarantine"))
+    prompts = {k: "plain" for k in ("en", "de", "es")}
+    ask = Step("ConditionalLLMBlock", {"block_name": "ask", "config_paths": prompts, "selector_column_name": "lang", "output_cols": ["answer"]})
+    done = generate(table(spark, d, "documents").select("doc_id", "source", "lang"), [ask], Context(Picky(), configs={"plain": PLAIN}, quarantine=quarantine))
+    bad = quarantine.rows(spark).select("reason", F.get_json_object("row", "$.doc_id").cast("long").alias("doc_id"))
+    return done.select(F.lit("none").alias("reason"), "doc_id").unionByName(bad).groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
+
+
+@query("SELECT doc_id, upper(source || ' ' || lang) AS answer, (SELECT count(DISTINCT source || ' ' || lang) FROM documents) AS asked FROM documents")
+def stored_answers(spark, d):
+    """Each distinct prompt is asked once, however many rows have it and however often they are run."""
+    store, df = models.AnswerStore(scratch(spark, "answers")), table(spark, d, "documents").select("doc_id", F.concat_ws(" ", "source", "lang").alias("prompt"))
+    for _ in range(2):
+        out = models.complete(df, "prompt", "answer", Shouting(), store=store)
+    kept = spark.read.option("recursiveFileLookup", "true").parquet(store.folder).agg(F.count(F.lit(1)).alias("asked"))
+    return out.select("doc_id", F.col("answer")[0].alias("answer")).join(F.broadcast(kept))
+
+
+@dataclass(frozen=True)
+class Shouting(models.StubBackend):
+    def complete(self, prompts, ids, model, options):
+        return [[p.upper()] for p in prompts]
+
+
+@query("""
+WITH s AS (SELECT conv_id, turn, text, length(text) % 4 AS k FROM conversations WHERE role = 'user')
+SELECT conv_id, turn, CASE WHEN k = 0 THEN 'b' ELSE 'a' END AS answer, CASE k WHEN 0 THEN 4 WHEN 1 THEN 2 WHEN 2 THEN 4 ELSE 3 END AS calls, CASE WHEN k = 0 THEN 1 ELSE 0 END AS restarts, CASE k WHEN 2 THEN 2 ELSE 0 END AS duplicates, CASE k WHEN 3 THEN 'generate,reflect,think' WHEN 2 THEN 'generate,reflect,think' ELSE 'generate,reflect' END AS actions FROM s
+""")
+def reasoning_trace(spark, d):
+    """Reasoning in rounds: rows that begin anew, repeat themselves, or need more rounds than others."""
+    df = table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", "text")
+    out = models.reason(df, "text", "answer", Paths(), "Reason.", trace="t")
+    return out.select("conv_id", "turn", "answer", F.col("t.calls").alias("calls"), F.col("t.restarts").alias("restarts"), F.col("t.duplicates").alias("duplicates"), F.array_join(F.array_sort(F.map_keys("t.trajectory")), ",").alias("actions"))
+
+
+@dataclass(frozen=True)
+class Paths(models.StubBackend):
+    """Four ways to reason, by the length of the prompt."""
+
+    def chat(self, messages, ids, model, options):
+        return [[self.one(m, bool(options.temperature))] for m in messages]
+
+    @staticmethod
+    def one(m: list[dict], again: bool) -> str:
+        say = lambda action, then, content="", sure=0.9: json.dumps({"current_action": action, "title": "", "content": content, "confidence": sure, "next_action": then})
+        k, n = sum(x["role"] == "assistant" for x in m), len(m[1]["content"]) % 4
+        end = [say("generate", "reflect", "b" if again else "a"), say("reflect", "terminate", "so")]
+        ways = {0: end if again else [say("think", "think", "1"), say("think", "think", "2", 0.2)], 1: end, 2: [say("think", "think", "same"), say("think", "generate", "same"), say("generate", "reflect", "a"), say("reflect", "terminate", "a")], 3: [say("think", "generate", "1"), *end]}
+        return ways[n][min(k, len(ways[n]) - 1)]
+
+
+@query("""
+WITH w AS (SELECT doc_id, lang, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents),
+p AS (SELECT doc_id, lang, k, 'What of ' || array_to_string(w[k + 1:k + 4], ' ') || '?' AS question, array_to_string(w[k + 5:k + 10], ' ') || ' ' AS response FROM w, (VALUES (0), (10)) v(k) WHERE len(w) > k + 4),
+f AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY question ORDER BY doc_id, response) = 1)
+SELECT question, response FROM f WHERE length(question) % 3 <> 0 AND length(response) % 2 = 1 AND lang = 'en'
+""")
+def flow_rewritten(spark, d):
+    """The question-answer flow for one language, whose filter stands last and is moved before the judges."""
+    df = table(spark, d, "documents").select("doc_id", F.col("text").alias("document"), F.col("source").alias("document_outline"), F.col("lang").alias("domain"), *[F.lit(v).alias(k) for k, v in EXAMPLE.items()])
+    context = Context(Rules(), order=("doc_id", "response"))
+    steps = [*read_flow("knowledge.yaml"), Step("FilterByValueBlock", {"filter_column": "domain", "filter_value": "en", "operation": "eq"})]
+    return generate(df, rewritten(steps, df.columns, context), context).select("question", "response")
+
+
+# Packaged flows with models of rules
+
+@dataclass(frozen=True)
+class Ruled(models.StubBackend):
+    """A model of rules for the flows of one step, and for the reasoned one."""
+
+    def complete(self, prompts, ids, model, options):
+        return [[self.one(p)] for p in prompts]
+
+    @staticmethod
+    def one(prompt: str) -> str:
+        if found := re.search(r"(?s)Text: (.*)\nFeeling:", prompt):
+            return ("joy", "anger", "fear", "sadness", "love", "surprise")[len(found[1]) % 6]
+        if found := re.search(r"(?s)Context: (.*)\nTask: (.*)\nAnswer: (.*?)(?: ?\[/INST\])?$", prompt):
+            return f"{found[2]} in {found[1]}: {found[3]}"
+        if found := re.search(r"(?s)Document:\n(.*)\n\nUse \[QUESTION\]", prompt):
+            w = found[1].split()
+            return f"[QUESTION] {' '.join(w[:3])} [ANSWER] A) {w[3]} [END]" if len(w) > 3 else ""
+        if found := re.search(r"(?s)document says\.\n\n(.*)\n\nWrite one question", prompt):
+            w = found[1].split()
+            pairs = [(" ".join(w[k : k + 4]), " ".join(w[k + 4 : k + 10])) for k in (0, 10) if len(w) > k + 4]
+            return "<think>[QUESTION] no [ANSWER] no</think>" + "\n".join(f"[QUESTION] What of {q}? [ANSWER] {a} [END]" for q, a in pairs)
+        return Summaries.one(prompt, 0)
+
+
+@query("SELECT prompt, ['joy', 'anger', 'fear', 'sadness', 'love', 'surprise'][length(prompt) % 6 + 1] AS output, min(doc_id) AS doc_id FROM (SELECT doc_id, source || ' ' || lang AS prompt FROM documents) GROUP BY prompt")
+def flow_annotation(spark, d):
+    df = table(spark, d, "documents").select("doc_id", F.concat_ws(" ", "source", "lang").alias("prompt"), F.lit("What is felt?").alias("simple_task_description"))
+    return generate(df, read_flow("annotation_simple.yaml"), Context(Ruled(), order=("doc_id",))).select("prompt", "output", "doc_id")
+
+
+@query("SELECT output, min(doc_id) AS doc_id FROM (SELECT doc_id, source || ' in ' || lang || ': ' || n_chars % 10 AS output FROM documents) GROUP BY output")
+def flow_grounded_simple(spark, d):
+    df = table(spark, d, "documents").select("doc_id", F.lit("Write.").alias("task_description"), F.col("lang").alias("seed_context"), F.col("source").alias("seed_question"), (F.col("n_chars") % 10).cast("string").alias("seed_response"))
+    return generate(df, read_flow("grounded_simple.yaml"), Context(Ruled(), order=("doc_id",))).select("output", "doc_id")
+
+
+@query(r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents)
+SELECT array_to_string(w[1:3], ' ') AS question, 'A) ' || w[4] AS answer, doc_id FROM w WHERE len(w) > 3 QUALIFY row_number() OVER (PARTITION BY question ORDER BY doc_id) = 1
+""")
+def flow_choices(spark, d):
+    df = table(spark, d, "documents").select("doc_id", F.col("text").alias("document"), F.col("lang").alias("domain"))
+    out = generate(df, read_flow("multiple_choice.yaml"), Context(Ruled(), order=("doc_id",)))
+    return out.select(F.col("mmlubench_question").alias("question"), F.col("mmlubench_answer").alias("answer"), "doc_id")
+
+
+@query(r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents),
+s AS (
+  SELECT doc_id, kind, CASE WHEN kind = 'base_document' THEN w ELSE list_concat([word], list_slice(w, greatest(1, len(w) - 13), len(w))) END AS w
+  FROM w, (VALUES ('summary_detailed', 'Long'), ('summary_extractive', 'Quotes'), ('summary_atomic_facts', 'Facts'), ('base_document', '')) v(kind, word)
+)
+SELECT doc_id, kind AS dataset_type, 'What of ' || array_to_string(w[k + 1:k + 4], ' ') || '?' AS question, array_to_string(w[k + 5:k + 10], ' ') || ' ' AS response FROM s, (VALUES (0), (10)) v(k) WHERE len(w) > k + 4
+""")
+def flow_reasoned(spark, d):
+    """Summaries and the document itself, each asked about by a model that thinks before it answers."""
+    df = table(spark, d, "documents").select("doc_id", F.col("text").alias("document"), F.col("source").alias("document_outline"), F.col("lang").alias("domain"))
+    return generate(df, read_flow("knowledge_reasoned.yaml"), Context(Ruled())).select("doc_id", "dataset_type", "question", "response")

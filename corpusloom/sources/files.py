@@ -215,7 +215,12 @@ def taxonomy_files(path: str, base: str | None = None) -> tuple[list[str], str]:
 
 
 def read_taxonomy(spark: SparkSession, path: str, base: str | None = None, documents: Callable[[dict], list[str]] | None = None, strict: bool = False) -> DataFrame:
-    """The rows of one file, of all files of a folder, or of those changed against a base. Files are read in tasks."""
+    """The rows of one file, of all files of a folder, or of those changed against a base. Files are read in tasks; with strict,
+    the format's rules are checked before."""
+    if strict:
+        names, root = taxonomy_files(path, base)
+        for n in names:
+            leaf_rows(n, root, strict=True)
     if documents is None:
         from corpusloom.sources import remote
 

@@ -412,5 +412,5 @@ def test_files(tmp_path):
         files.model_family("none", "/m/x", {}, "base")
 
 
-def test_catalog_has_sql_for_all_but_chunks():
-    assert set(catalog.QUERIES) - set(catalog.ORACLE) == {"chunk_document"}
+def test_catalog_has_sql_for_all():
+    assert set(catalog.QUERIES) == set(catalog.ORACLE)
