@@ -252,7 +252,13 @@ def plain(value):
 
 
 def folded(parsed: DataFrame, max_tokens: int = 500, by_page: bool = False, count: Callable[[str], int] | None = None, criteria: Callable[[str], bool] | None = None) -> DataFrame:
-    """(file, place, text): a row for each chunk of each parsed document, one document to a row."""
+    """(file, place, text): a row for each chunk of each parsed document, one document to a row.
+
+    By the words rule, and by pages or a budget, all of it are expressions; functions of texts are called in Python.
+    """
+    if count is None and criteria is None:
+        found = folded_column(parsed.select("file", "elements", "tables"), max_tokens, by_page)
+        return found.select("file", F.posexplode("chunks").alias("place", "text")).withColumn("place", F.col("place").cast("long"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -267,6 +273,104 @@ def folded(parsed: DataFrame, max_tokens: int = 500, by_page: bool = False, coun
     return parsed.mapInPandas(run, "file string, place long, text string")
 
 
+def g_text(number: Column) -> Column:
+    """A number as format(x, "g") has it: six digits, no zeros at the end, an exponent below -4 and from 6 on."""
+    said = F.format_string("%.5e", number)
+
+    def of(s: Column) -> Column:
+        sign, digits = F.when(s.startswith("-"), "-").otherwise(""), F.regexp_replace(F.substring_index(s, "e", 1), "[^0-9]", "")
+        e = F.substring_index(s, "e", -1).cast("int")
+        cut = lambda t: F.regexp_replace(t, r"\.?0+$", "")
+        whole = cut(F.concat(F.substr(digits, F.lit(1), e + 1), F.lit("."), F.substr(digits, e + 2), F.lit("0")))
+        small = cut(F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits))
+        far = F.concat(cut(F.concat(F.substr(digits, F.lit(1), F.lit(1)), F.lit("."), F.substr(digits, F.lit(2)))), F.lit("e"), F.when(e < 0, "-").otherwise("+"), F.when(F.abs(e) < 10, "0").otherwise(""), F.abs(e).cast("string"))
+        return F.concat(sign, F.when((e < -4) | (e > 5), far).when(e < 0, small).otherwise(whole))
+
+    return F.when(F.abs(number) == float("inf"), F.when(number < 0, "-inf").otherwise("inf")).otherwise(tx.once(said, of))
+
+
+def column_texts(cells: Column) -> Column:
+    """`table_column` as a column: cells at one width, of digits in ASCII if they are numbers."""
+    number, whole = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$", r"^\s*[+-]?[0-9]+\s*$"
+    width = lambda c: F.array_max(F.transform(c, lambda x: F.length(x)))
+    to_left = lambda c: tx.once(F.transform(c, tx.strip), lambda own: F.transform(own, lambda x: F.rpad(x, width(own), F.lit(" "))))
+    after = lambda x: F.when(x.contains("."), F.length(F.substring_index(x, ".", -1))).otherwise(-1)
+    pointed = lambda c: F.transform(c, lambda x: F.concat(x, F.repeat(F.lit(" "), F.array_max(F.transform(c, after)) - after(x))))
+    to_right = lambda c: tx.once(tx.once(F.transform(c, tx.strip), pointed), lambda own: F.transform(own, lambda x: F.lpad(x, width(own), F.lit(" "))))
+    numbers = lambda c: F.when(F.forall(c, lambda x: F.rlike(x, F.lit(whole))), c).otherwise(F.transform(c, lambda x: g_text(tx.strip(x).cast("double"))))
+    return F.when(F.forall(cells, lambda x: F.rlike(x, F.lit(number))), to_right(numbers(cells))).otherwise(to_left(cells))
+
+
+def folded_column(df: DataFrame, max_tokens: int, by_page: bool) -> DataFrame:
+    """df of parsed documents (file, elements, tables) with `chunks`, as `fold_elements` has them by the words rule.
+
+    Texts of tables and elements come first. The fold over the elements has a state of its own: chunks so far, what is held, the
+    page, the last page of any element, and whether the end was met.
+    """
+    text = lambda x: F.coalesce(x, F.lit(""))
+    # Tables: cells by row, then columns at one width, then lines.
+    rows = F.transform(F.coalesce("tables", F.array().cast(df.schema["tables"].dataType)), lambda t: F.struct(F.transform(F.coalesce(t["data"], F.array().cast("array<array<struct<text:string>>>")), lambda r: F.transform(r, lambda c: text(c["text"]))).alias("rows"), t["text"].alias("caption")))
+    cell = lambda t, k: F.transform(t["rows"], lambda r: text(F.get(r, k)))
+    across = lambda t: F.sequence(F.lit(0), F.array_max(F.transform(t["rows"], lambda r: F.size(r))) - 1)
+    real = lambda t: (F.size(t["rows"]) > 1) & (F.size(F.get(t["rows"], F.lit(0))) > 1)
+    out = df.withColumn("_rows", rows)
+    out = out.withColumn("_cells", F.transform("_rows", lambda t: F.struct(t["caption"].alias("caption"), F.when(real(t), F.transform(across(t), lambda k: cell(t, k))).otherwise(F.array().cast("array<array<string>>")).alias("columns"))))
+    out = out.withColumn("_wide", F.transform("_cells", lambda t: F.struct(t["caption"].alias("caption"), F.transform(t["columns"], column_texts).alias("columns"))))
+
+    def lines(t: Column) -> Column:
+        rule = F.concat(F.lit("|"), F.array_join(F.transform(t["columns"], lambda c: F.repeat(F.lit("-"), F.length(c[0]) + 2)), "|"), F.lit("|"))
+        line = lambda i: F.concat(F.lit("| "), F.array_join(F.transform(t["columns"], lambda c: F.get(c, i)), " | "), F.lit(" |"))
+        body = F.transform(F.sequence(F.lit(0), F.size(t["columns"][0]) - 1), line)
+        caption = F.when(text(t["caption"]) != "", F.concat(F.lit("\nCaption: "), t["caption"], F.lit("\n"))).otherwise("")
+        return F.when(F.size(t["columns"]) > 0, F.concat(F.array_join(F.concat(F.array(rule), body), "\n"), caption)).otherwise("")
+
+    out = out.withColumn("_tables", F.transform("_wide", lines))
+    # Elements: kind, text, page, and the page of what comes after.
+    page = lambda e: F.get(e["prov"], F.lit(0))["page"]
+    subtitle = F.array_position(F.transform("elements", lambda e: e["type"]), "subtitle-level-1")
+
+    def part(e: Column, k: Column) -> Column:
+        kind, said = text(e["type"]), text(e["text"])
+        number = F.get(F.split(e["$ref"], "/"), F.lit(2))
+        first = F.substring_index(said, ".", 1)
+        paragraph = F.when(said.contains(".") & (F.size(F.split(first, " ")) < 3), F.concat(F.lit("**"), first, F.lit("**"), F.substr(said, F.length(first) + 2))).otherwise(said)
+        table = F.when(F.rlike(number, F.lit("^[0-9]+$")), F.get("_tables", number.try_cast("int")))
+        head = F.when(k + 1 == F.col("_first"), F.concat(F.lit("# Title: **"), said, F.lit("**"))).otherwise(F.concat(F.lit("## **"), said, F.lit("**")))
+        shown = F.when(kind == "subtitle-level-1", head).when(kind == "title", F.concat(F.lit("# **"), said, F.lit("**"))).when(kind == "paragraph", paragraph).when(kind == "table", text(table)).otherwise(said)
+        later = F.filter(F.slice("elements", k + 1, F.size("elements")), lambda x: page(x).isNotNull())
+        return F.struct(kind.alias("kind"), shown.alias("text"), tx.word_count(shown).cast("long").alias("words"), page(e).alias("page"), (F.size(e["prov"]) > 0).alias("told"), F.when(kind == "table", page(F.get(later, F.lit(0)))).alias("after"))
+
+    out = out.withColumn("_first", subtitle).withColumn("_parts", F.transform(F.coalesce("elements", F.array().cast(df.schema["elements"].dataType)), part))
+    joined = lambda held: F.array_join(held, "\n\n")
+    none, no_words = F.array().cast("array<string>"), F.array().cast("array<bigint>")
+    number = F.lit(None).cast("long")
+    tokens = tx.tokens_from_words  # words of texts that are joined add up
+    state = lambda chunks, held, words, page, seen, ended: F.struct(chunks.alias("chunks"), held.alias("held"), words.alias("words"), page.cast("long").alias("page"), seen.cast("long").alias("seen"), ended.alias("ended"))
+
+    def add(s: Column, e: Column) -> Column:
+        held = s["held"]
+        own = F.when(e["kind"] == "table", F.coalesce(e["after"], s["seen"])).otherwise(F.when(e["told"], e["page"]).otherwise(s["page"]))
+        last = F.element_at(held, -1)
+        turned = (s["page"].isNotNull() & ~own.eqNullSafe(s["page"])) if by_page else F.lit(False)
+        words = s["words"]
+        full = (F.size(held) > 1) & (tokens(F.aggregate(words, F.lit(0).cast("long"), lambda a, x: a + x)) >= max_tokens)
+        big = tokens(F.element_at(words, -1)) >= max_tokens
+        chunks = F.when(turned, F.concat(s["chunks"], F.array(joined(held)))).when(full & big, F.concat(s["chunks"], F.array(joined(F.slice(held, F.lit(1), F.size(held) - 1)), last))).when(full, F.concat(s["chunks"], F.array(joined(F.slice(held, F.lit(1), F.size(held) - 1))))).otherwise(s["chunks"])
+        kept = F.when(turned | (full & big), none).when(full, F.array(last)).otherwise(held)
+        counts = F.when(turned | (full & big), no_words).when(full, F.array(F.element_at(words, -1))).otherwise(words)
+        ends = F.lit(False)
+        for end in ENDS:
+            ends = ends | e["text"].contains(end)
+        seen = F.coalesce(e["page"], s["seen"])
+        taken = state(chunks, F.when(ends, kept).otherwise(F.concat(kept, F.array(e["text"]))), F.when(ends, counts).otherwise(F.concat(counts, F.array(e["words"]))), own, seen, ends)
+        return F.when(s["ended"], s).when(e["kind"].isin(*SKIPPED), state(s["chunks"], held, words, s["page"], seen, F.lit(False))).when(e["kind"].isin(*TAKEN), taken).otherwise(state(s["chunks"], held, words, own, seen, F.lit(False)))
+
+    out = out.withColumn("_state", F.aggregate("_parts", state(none, none, no_words, number, number, F.lit(False)), add))
+    last = joined(F.col("_state.held"))
+    rest = F.when((last != "") & ~F.array_contains("_state.chunks", last), F.array(last)).otherwise(none)
+    return out.withColumn("chunks", F.concat(F.filter("_state.chunks", lambda c: c != ""), rest)).select(*df.columns, "chunks")
+
+
 def seed_examples(config: dict) -> list[dict[str, str]]:
     """Few-shot columns of a document configuration: a context and three questions with answers for each example."""
     out = []
