@@ -1,14 +1,17 @@
-"""Exact deduplication by a stateful stream.
+"""Exact deduplication by stateful streams.
 
-A batch pass reads each text once and appends (digest, variant, id, length, locator) to an inbox in the shared folder. A
-Structured Streaming query then folds the inbox, file group by file group, into keyed state that lives on disk
-(RocksDB) and never expires: for each digest the number of rows, the stable identifier of the row to keep, and
-the locator of its content. A later run over the same folder goes on from that state.
+A batch pass reads each text once and puts (digest, id, length, locator) as a run into an inbox in the shared folder. A
+Structured Streaming query folds the inbox, file group by file group, into keyed state that lives on disk (RocksDB) and
+never expires: for each digest the number of rows and the locator of its content. It emits the digests that it has had
+before, in this run or in earlier ones: the hits. Their full bytes are checked: those of this run by the smallest and largest
+body of each digest, those of earlier runs by the content that is read from where the locators say. Texts that only
+share a digest are told apart by a variant number beside it. A second stream over the checked rows then keeps, for each
+digest and variant, the number of rows and the stable identifier of the row that stays. Later runs over the same
+folder go on from both states.
 
-Full bytes are checked on hits, before they are folded: digests that come twice in a run by the smallest and largest body of
-each, and those that earlier runs have by the content that is read from where their locator says. Runs that others will
-follow write the content of each new digest once, to a folder of the run, which is the locator. Texts that only share a
-digest are told apart by a variant number beside it.
+A run is admitted to an inbox by one rename of a folder that was written before, under a name that follows from its rows (or
+is given): a job that dies anywhere and is run again adds its rows once. What was written and is in no state is not
+looked at. Runs that others follow write the content of each new digest once, to a folder of the run, which is the locator.
 
 Defined results: null text counts as empty; texts of any length are compared whole; a null id loses to every other; rows with
 the same id and equal text are copies of which one stays; an empty table gives an empty result; other columns, whatever
@@ -17,8 +20,8 @@ their names, are not looked at, and come back as they were from keep_first.
 
 from __future__ import annotations
 
+import hashlib
 import time
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -49,68 +52,111 @@ def prepared(docs: DataFrame, id_col: str, text_col: str, digest: Callable[[Colu
 KEY = ["digest", "variant"]
 
 
-def state(spark: SparkSession, folder: str) -> DataFrame:
-    """digest, variant, n, keep (points, turned id), locator of what has been folded."""
+def there(spark: SparkSession, path: str):
+    """The store of a path, the path, and whether it is there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return store, place, store.exists(place)
+
+
+def admit(spark: SparkSession, df: DataFrame, inbox: str, run: str) -> None:
+    """Puts rows into an inbox as one run, unless they are there: they are written beside it, and moved by one rename."""
+    store, place, known = there(spark, f"{inbox}/{run}")
+    if known:
+        return
+    beside = f"{inbox}-beside/{run}"
+    df.write.mode("overwrite").parquet(beside)
+    store.mkdirs(place.getParent())
+    if not store.rename(spark._jvm.org.apache.hadoop.fs.Path(beside), place):
+        raise OSError(f"{beside} could not be moved to {inbox}")
+
+
+def run_name(spark: SparkSession, index: DataFrame, home: str, run: str | None) -> str:
+    """The name of a run: that of an earlier try, if there was one, else a new one that sorts behind all others."""
+    if run is None:
+        found = index.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("id", "digest", "points").cast("decimal(38,0)")).alias("h")).first()
+        run = hashlib.sha256(f"{found.n} {found.h}".encode()).hexdigest()[:24]
+    store, place, known = there(spark, f"{home}/runs")
+    names = [f.getPath().getName() for f in store.listStatus(place)] if known else []
+    for name in names:
+        if name.partition("-")[2] == run:
+            return name
+    name = f"{time.time_ns():020d}-{run}"
+    store.mkdirs(spark._jvm.org.apache.hadoop.fs.Path(f"{home}/runs/{name}"))
+    return name
+
+
+def state(spark: SparkSession, folder: str, names: tuple[str, ...]) -> DataFrame | None:
+    """The keys and values, by these names, of what has been folded; None before the first fold has ended."""
+    store, place, known = there(spark, f"{folder}/commits")
+    if not known or not any(f.getPath().getName().isdigit() for f in store.listStatus(place)):
+        return None
     value = spark.read.format("statestore").load(folder)
     fields = value.schema["value"].dataType.fieldNames()
-    return value.select("key.digest", "key.variant", *[F.col(f"value.{f}").alias(c) for f, c in zip(fields, ("n", "keep", "locator"), strict=False)])
+    return value.select("key.*", *[F.col(f"value.{f}").alias(c) for f, c in zip(fields, names, strict=False)])
 
 
-def fold(spark: SparkSession, inbox: str, schema, folder: str) -> DataFrame:
-    """Runs the stream over what is new in the inbox; returns the state."""
+def folded(spark: SparkSession, inbox: str, schema, keys: list[str], values: list[Column], folder: str, emit: Callable[[DataFrame, int], None] | None = None) -> None:
+    """Runs a stream over what is new in an inbox, into state by keys. emit: gets what each micro-batch has changed."""
     with settings(spark, STATE_STORE):
-        rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(inbox)
-        keyed = rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("points", (-F.col("id")).alias("turned"))).alias("keep"), F.min("locator").alias("locator"))
-        keyed.writeStream.format("noop").outputMode("update").option("checkpointLocation", folder).trigger(availableNow=True).start().awaitTermination()
-        return state(spark, folder)
-
-
-def contents(spark: SparkSession, folder: str, index: DataFrame, where: str) -> DataFrame | None:
-    """digest, variant, body of what earlier runs have of the index's digests, from where their locators say."""
-    try:
-        spark.read.parquet(f"{folder}/contents/*")
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" in str(e):
-            return None
-        raise
-    known = state(spark, f"{folder}/state").join(index.select("digest").distinct(), "digest", "left_semi").select(*KEY, "locator")
-    known = written(known, f"{where}/known")
-    places = [r[0] for r in known.select("locator").distinct().collect()]  # one for each run
-    return spark.read.parquet(*places).join(known.select(*KEY), KEY, "left_semi") if places else None
-
-
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, folder: str | None = None) -> DataFrame:
+        rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_BATCH).option("recursiveFileLookup", "true").parquet(inbox)
+        stream = rows.groupBy(*keys).agg(*values).writeStream.outputMode("update").option("checkpointLocation", folder).trigger(availableNow=True)
+        (stream.foreachBatch(emit) if emit else stream.format("noop")).start().awaitTermination()
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, folder: str | None = None, run: str | None = None) -> DataFrame:
     """One row per row of docs: id, keep_id, group_size, kept, digest, variant.
 
-    folder: where inbox, state and contents are kept, for runs that add to earlier ones; the result then tells about the
-    rows of docs, with the groups of all runs.
+    folder: where inboxes, states and contents are kept, for runs that add to earlier ones; the result then tells about the
+    rows of docs, with the groups of all runs. run: a name by which a run that is tried again is known; without one, the
+    same rows are the same run.
     """
     spark = docs.sparkSession
     own, home = workspace(spark, "dedup"), folder or workspace(spark, "dedup-state")
-    run = f"{home}/contents/{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
     rows = prepared(docs, id_col, text_col, digest)
-    index = rows.drop("body").withColumn("variant", F.lit(0))
-    index = written(index.withColumn("locator", F.lit(run)) if folder else index, f"{own}/index")
-    seen = contents(spark, folder, index, own) if folder else None
+    index = written(rows.drop("body"), f"{own}/index")
+    name = run_name(spark, index, home, run) if folder else "0"
+    place = f"{home}/contents/{name}"
+    if folder:
+        index = index.withColumn("locator", F.lit(place))
+
+    # The first state: which digests were there before, and where their content is. It tells the hits.
+    hits_at = f"{home}/hits"
+
+    def emit(changed: DataFrame, batch: int) -> None:
+        changed.where("n > 1").select("digest", "locator").write.mode("overwrite").parquet(f"{hits_at}/{batch}")
+
+    admit(spark, index.select("digest", "locator"), f"{home}/arrivals", name)
+    folded(spark, f"{home}/arrivals", index.select("digest", "locator").schema, ["digest"], [F.count(F.lit(1)).alias("n"), F.min("locator").alias("locator")], f"{home}/seen", emit)
+    hits = spark.read.schema("digest binary, locator string").option("recursiveFileLookup", "true").parquet(hits_at)
+    if folder:  # of this run only; hits of other runs stay for their tries
+        hits = hits.join(index.select("digest").distinct(), "digest", "left_semi")
+    hits = written(hits.groupBy("digest").agg(F.min("locator").alias("locator")), f"{own}/hits")
 
     # Full bytes of the hits: equal smallest and largest body means that all are equal. Groups shrink before the shuffle.
-    hits = index.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
-    hits = written(hits if seen is None else hits.union(seen.select("digest")).distinct(), f"{own}/hits")
-    bodies = rows.join(hits, "digest", "left_semi").select("digest", "body")
+    seen = contents(spark, home, hits, own, name) if folder else None
+    bodies = rows.join(hits.select("digest"), "digest", "left_semi").select("digest", "body")
     bodies = bodies if seen is None else bodies.union(seen.select("digest", "body"))
     clashing = written(bodies.groupBy("digest").agg(F.min("body").alias("low"), F.max("body").alias("high")).where("low <> high").select("digest"), f"{own}/clashing")
-    variants = None
+    variants, index = None, index.withColumn("variant", F.lit(0))
     if not clashing.isEmpty():
         apart = rows.join(clashing, "digest", "left_semi")
         variants = written(numbered_variants(apart, None if seen is None else seen.join(clashing, "digest", "left_semi")), f"{own}/variants")
-        index = written(index.join(clashing, "digest", "left_anti").unionByName(apart.join(variants, ["digest", "body"]).select(*[F.lit(run).alias(c) if folder and c == "locator" else c for c in index.columns])), f"{own}/index-variants")
-    if folder:
-        fresh = rows.withColumn("variant", F.lit(0)) if variants is None else rows.join(clashing, "digest", "left_anti").withColumn("variant", F.lit(0)).select(*KEY, "body").union(variants.select(*KEY, "body"))
+        mine = apart.join(variants, ["digest", "body"]).select("id", "points", *[F.lit(place).alias("locator") if folder else F.col("locator")], *KEY)
+        index = index.join(clashing, "digest", "left_anti").unionByName(mine)
+        if folder:
+            there(spark, f"{home}/clashed")[0].mkdirs(spark._jvm.org.apache.hadoop.fs.Path(f"{home}/clashed/{name}"))
+    if folder and not there(spark, f"{home}/inbox/{name}")[2]:
+        fresh = rows.withColumn("variant", F.lit(0)).select(*KEY, "body") if variants is None else rows.join(clashing, "digest", "left_anti").select("digest", F.lit(0).alias("variant"), "body").union(variants.select(*KEY, "body"))
         fresh = fresh if seen is None else fresh.join(seen.select(*KEY), KEY, "left_anti")
-        fresh.groupBy(*KEY).agg(F.min("body").alias("body")).write.parquet(run)
-
-    index.write.mode("append").parquet(f"{home}/inbox")
-    states = written(fold(spark, f"{home}/inbox", index.schema, f"{home}/state"), f"{own}/states")
+        fresh.groupBy(*KEY).agg(F.min("body").alias("body")).write.mode("overwrite").parquet(place)
+
+    # The second state: rows by digest and variant, and the one that stays.
+    index = written(index.select("id", "points", *KEY), f"{own}/checked")
+    admit(spark, index, f"{home}/inbox", name)
+    keep = F.max(F.struct("points", (-F.col("id")).alias("turned"))).alias("keep")
+    folded(spark, f"{home}/inbox", index.schema, KEY, [F.count(F.lit(1)).alias("n"), keep], f"{home}/state")
+    states = written(state(spark, f"{home}/state", ("n", "keep")), f"{own}/states")
     groups = states.select(*KEY, F.col("n").alias("group_size"), (-F.col("keep.turned")).alias("keep_id"), F.col("keep.points").alias("keep_points"))
     # No window over this join, so that a digest with a great share of the rows may be split among tasks.
     best = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("points") == F.col("keep_points"))
@@ -125,6 +171,21 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return found.where("not kept").unionByName(found.where("kept").join(again, KEY, "left_anti")).unionByName(one).unionByName(rest)
 
 
+def contents(spark: SparkSession, home: str, hits: DataFrame, where: str, name: str) -> DataFrame | None:
+    """digest, variant, body of what the folder has of the hits. Only runs that are in the inbox count, this one too if it is run again.
+
+    Where all locators name such runs, only these are read, and those that had to tell variants apart; else all runs are.
+    """
+    listed = lambda folder: {f.getPath().getName() for f in x[0].listStatus(x[1])} if (x := there(spark, folder))[2] else set()
+    admitted = listed(f"{home}/inbox")
+    at = {r[0].rpartition("/")[2] for r in hits.select("locator").distinct().collect()} - ({name} - admitted)  # one for each run
+    read = sorted(at | (listed(f"{home}/clashed") & admitted) | ({name} & admitted) if at <= admitted else admitted)
+    if not read:
+        return None
+    found = spark.read.schema("digest binary, variant int, body string").parquet(*[f"{home}/contents/{n}" for n in read])
+    return written(found.join(hits.select("digest"), "digest", "left_semi").dropDuplicates(KEY), f"{where}/earlier")
+
+
 def numbered_variants(apart: DataFrame, known: DataFrame | None) -> DataFrame:
     """digest, body, variant: the numbers that bodies have, and the next ones for new bodies."""
     bodies = apart.select("digest", "body").distinct()
