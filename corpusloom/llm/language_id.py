@@ -36,6 +36,8 @@ from corpusloom.llm.common import documents, kept, sample_hash, texts_udf, works
 ORDER = 5
 #: Rows of a language that its model is learned from, at most; a tenth as many calibrate.
 DOCS_PER_LANG, CHARS_PER_LANG = 400, 8_000_000
+#: Languages whose numbers of rows are sent to every executor; a table with more values is joined.
+SENT_LANGS = 10_000
 #: Lengths with a limit of their own; pieces of each that are taken of a calibrating text.
 LENGTHS, PIECES = (8, 16, 32, 64, 128, 256, 512, 1024, 2048), 8
 QUANTILE, MARGIN = 0.999, 4.0
@@ -272,6 +274,8 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, docs_per_
     same if there are no others."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), sample_hash(id_col, text_col).alias("h"))
     number = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("all"))
+    # A join by language would bring all texts of one to one task; so many rows are sent instead.
+    number = F.broadcast(number) if number.count() <= SENT_LANGS else number
     most = int(1.1 * docs_per_lang)
     # Twice as many as are needed, by hash; of those the first by an exact rule. A language's window has no more rows than these.
     some = rows.join(number, "lang").where(F.pmod("h", F.lit(1 << 30)) / float(1 << 30) < 2.0 * most / F.col("all")).dropDuplicates(["lang", "h"])
