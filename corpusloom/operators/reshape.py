@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from corpusloom.functions.text import hash_number
 from corpusloom.operators.columns import need, unused
+from corpusloom.operators.stages import evaluate_once
 
 
 def flatten(df: DataFrame, columns: Sequence[str], value: str, variable: str) -> DataFrame:
@@ -71,11 +72,16 @@ def concat(frames: Iterable[DataFrame | None]) -> DataFrame | None:
 
 
 def numbered(df: DataFrame, order: Sequence[str], name: str = "ordinal") -> DataFrame:
-    """Numbers rows 0, 1, ... in order: by range partitions, whose sizes come first, so no task sees all rows."""
-    spread = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
-    sizes = spread.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_low"))
-    starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return spread.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_row") - F.col("_low")).select(*df.columns, name)
+    """Numbers rows 0, 1, ... in order: by range partitions, whose sizes come first, so no task sees all rows.
+
+    The ranges are written once: their sizes and their rows are then of one evaluation, whatever df is made of.
+    """
+    part, row, low, start, n = (unused(c, [*df.columns, name]) for c in ("_part", "_row", "_low", "_start", "_n"))
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    spread = evaluate_once(ranged.withColumn(part, F.spark_partition_id()).withColumn(row, F.monotonically_increasing_id()))
+    sizes = spread.groupBy(part).agg(F.count(F.lit(1)).alias(n), F.min(row).alias(low))
+    starts = sizes.withColumn(start, F.coalesce(F.sum(n).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return spread.join(F.broadcast(starts), part).withColumn(name, F.col(start) + F.col(row) - F.col(low)).select(*df.columns, name)
 
 
 def row_range(df: DataFrame, start: int, end: int, ordinal: str = "ordinal") -> DataFrame:
@@ -138,9 +144,10 @@ EXAMPLES = 10_000
 
 
 def with_examples(df: DataFrame, examples: DataFrame, example_order: str | None = None) -> DataFrame:
-    """Each row with each example. The examples are a seed file's rows: their number is checked before they are sent."""
+    """Each row with each example. The examples are a seed file's rows: their number is checked before they are sent; more than
+    EXAMPLES are numbered and joined, a block of so many at a time."""
     if examples.limit(EXAMPLES + 1).count() > EXAMPLES:
-        raise ValueError(f"more than {EXAMPLES} examples")
+        return _with_blocks(df, examples, example_order)
     # One literal of the plan, whatever the number of examples.
     kind = T.StructType([*examples.schema.fields, T.StructField("_place", T.IntegerType())])
     numbered_ = [r[0] for r in examples.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).collect()]
@@ -151,6 +158,17 @@ def with_examples(df: DataFrame, examples: DataFrame, example_order: str | None
     return out.select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(entry)[c].alias(c) for c in kind.names[:-1]], *place)
 
 
+def _with_blocks(df: DataFrame, examples: DataFrame, example_order: str | None) -> DataFrame:
+    entry, block, place, other = (unused(c, [*df.columns, *examples.columns]) for c in ("_example", "_block", "_place", "_other"))
+    many = numbered(examples.withColumn(other, F.monotonically_increasing_id()), [other], place)
+    packed = evaluate_once(many.select((F.col(place) / EXAMPLES).cast("long").alias(other), F.struct(*[F.col(f"`{c}`") for c in examples.columns], place).alias(entry)))
+    last = packed.agg(F.max(other)).first()[0]
+    rows = df.withColumn(block, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last))))
+    out = rows.join(packed, F.col(block) == F.col(other))
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in examples.columns]
+    return out.select(*kept, *[F.col(entry)[c].alias(c) for c in examples.columns], *([F.col(entry)[place].cast("int").alias(example_order)] if example_order else []))
+
+
 def class_codes(df: DataFrame, column: str, values: Sequence[str] | None = None) -> DataFrame:
     """A column as the place of its value among the sorted values, given or present. Unknown values are null."""
     if values is None:

@@ -74,7 +74,8 @@ def raft(df: DataFrame, p: float, documents: int = 4, key: str = "id", seed: str
     its own, so each pick is one equi-join on the place. Fewer contexts than wanted: all; none: the row's own.
     """
     ring = reshape.numbered(df.select("context").distinct().withColumn("_md5", F.md5(F.col("context").cast("binary"))), ["_md5", "context"], "_place").select("_place", F.col("context").alias("_other"))
-    total = ring.count()
+    ring, counts = models.evaluated(ring)  # all contexts, read twice
+    total = counts["rows"]
     with_own = tx.hash_number(F.lit(seed), key, modulus=1_000_000) < int(p * 1_000_000)
     wanted = F.when(with_own, F.lit(documents - 1)).otherwise(F.lit(documents))
     rows = df.withColumn("_own", with_own).withColumn("_wanted", wanted).withColumn("_start", tx.hash_number(F.lit(seed + "-start"), key, modulus=max(1, total)))

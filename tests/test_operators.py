@@ -153,3 +153,19 @@ def test_a_pattern_runs_once_a_row(spark):
     assert plan.count("regexp_extract_all") == 2
     clash = spark.createDataFrame([("<q>a</q>", 1, 2, 3)], "t string, _array_0 int, _position int, _entry int")
     assert parse_rows(clash, "t", Parser(["q"], ["<q>"], ["</q>"])).first().asDict() == {"t": "<q>a</q>", "_array_0": 1, "_position": 2, "_entry": 3, "q": "a"}
+
+
+def test_more_examples_than_are_sent(spark, monkeypatch):
+    df, examples = spark.createDataFrame([("q1", "x"), ("q2", "y")], "q string, e string"), spark.createDataFrame([(f"a{k}",) for k in range(7)], "e string")
+    few = sorted(map(tuple, reshape.with_examples(df.drop("e"), examples, "place").select("q", "e", "place").collect()))
+    monkeypatch.setattr(reshape, "EXAMPLES", 3)
+    out = reshape.with_examples(df.drop("e"), examples, "place").select("q", "e", "place")
+    assert sorted(map(tuple, out.collect())) == few and len(few) == 14
+    assert {r.e for r in reshape.with_examples(df, examples).collect()} == {f"a{k}" for k in range(7)}
+
+
+def test_numbers_of_rows_that_come_out_in_another_order_each_time(spark):
+    df = spark.range(200).withColumn("_part", F.rand())  # another order in each evaluation
+    got = reshape.numbered(df, ["_part"], "n").collect()
+    assert sorted(r.n for r in got) == list(range(200))
+    assert [r.n for r in sorted(got, key=lambda r: r._part)] == list(range(200))
