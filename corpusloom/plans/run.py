@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import columns, models, reshape
 from corpusloom.plans.flow import Context, EmptyResult, Step, generate, read_flow, scoped
+from corpusloom.plans.rewrite import rewritten
 
 log = logging.getLogger("corpusloom")
 
@@ -155,6 +156,9 @@ def main(arguments: Sequence[str] | None = None) -> None:
     p.add_argument("--dataset_start_index", type=int, default=0)
     p.add_argument("--dataset_end_index", type=int, default=None)
     p.add_argument("--work_dir", default=None, help="a folder that all executors share, for what models answer; else spark.checkpoint.dir")
+    p.add_argument("--answers", default=None, help="a folder where answers are kept, so that no request is made twice")
+    p.add_argument("--quarantine", default=None, help="a folder for rows that a step can't do; without it they fail their batch")
+    p.add_argument("--rewrite", action="store_true", help="put filters before the model steps that don't need them")
     p.add_argument("--debug", action="store_true")
     a = p.parse_args(arguments)
     from corpusloom.sources.files import read_jsonl, write_jsonl
@@ -168,7 +172,11 @@ def main(arguments: Sequence[str] | None = None) -> None:
         seed = reshape.sample_exact(seed, 30, seed.columns)
     if a.dataset_start_index or a.dataset_end_index is not None:
         seed = reshape.row_range(reshape.numbered(seed, seed.columns), a.dataset_start_index, a.dataset_end_index if a.dataset_end_index is not None else 1 << 62).drop("ordinal")
-    made = Generator([read_flow(a.flow)], Context(models.HttpBackend(a.endpoint, workers=a.num_workers)), a.bs, a.save_freq, seed.columns).generate(seed, a.checkpoint_dir)
+    context = Context(models.HttpBackend(a.endpoint, workers=a.num_workers), store=models.AnswerStore(a.answers) if a.answers else None, quarantine=models.Quarantine(a.quarantine) if a.quarantine else None)
+    steps = read_flow(a.flow)
+    if a.rewrite:
+        steps = rewritten(steps, seed.columns, context)
+    made = Generator([steps], context, a.bs, a.save_freq, seed.columns).generate(seed, a.checkpoint_dir)
     write_jsonl(made, a.save_path)
 
 

@@ -216,3 +216,20 @@ def test_token_counters_can_be_exchanged(spark):
     df = spark.createDataFrame([("a b c",), (None,)], "t string")
     assert [r[0] for r in df.select(text.token_count("t", len)).collect()] == [5, None]
     assert [r[0] for r in df.select(text.token_count("t")).collect()][0] == 3
+
+
+def test_command_line_with_answers_kept_and_filters_first(spark, server, tmp_path):
+    url, kind = server
+    (tmp_path / "in.jsonl").write_text("".join(json.dumps({"n": k, "doc": f"d{k % 3}"}) + "\n" for k in range(12)))
+    files.write_yaml({"system": "", "introduction": "", "principles": "", "examples": "", "generation": "{{ doc }}", "start_tags": [""], "end_tags": [""]}, tmp_path / "ask.yaml")
+    ask = {"block_type": "LLMBlock", "block_config": {"block_name": "ask", "config_path": str(tmp_path / "ask.yaml"), "output_cols": ["out"]}}
+    only = {"block_type": "FilterByValueBlock", "block_config": {"block_name": "only", "filter_column": "doc", "filter_value": ["d0", "d1"], "operation": "operator.eq"}}
+    files.write_yaml([ask, only], tmp_path / "flow.yaml")
+    try:
+        for k in range(2):
+            run.main(["--ds_path", f"file://{tmp_path}/in.jsonl", "--save_path", f"file://{tmp_path}/out{k}", "--flow", str(tmp_path / "flow.yaml"), "--endpoint", url, "--answers", f"file://{tmp_path}/answers", "--quarantine", f"file://{tmp_path}/bad", "--rewrite", "--work_dir", f"file://{tmp_path}/work"])
+    finally:
+        spark.conf.unset(models.WORK)
+    out = files.read_folder(spark, f"file://{tmp_path}/out1")
+    assert {(r["n"], r["out"]) for r in out.collect()} == {(k, f"first-model d{k % 3}") for k in range(12) if k % 3 < 2}
+    assert sum(kind.sizes) == 2  # two texts, however many rows and runs
