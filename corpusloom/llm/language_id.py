@@ -44,7 +44,8 @@ QUANTILE, MARGIN = 0.999, 4.0
 #: Characters a language is taken to have, for those never seen.
 ALPHABET = 4096
 REMEMBERED = 150_000
-CHARS_AT_ONCE = 1_000_000
+#: Characters whose words are looked up together, and new words that are scored together: some 100 bytes a character each.
+CHARS_AT_ONCE, FRESH = 400_000, 16_000
 START, END = "\x02", "\x03"
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -126,8 +127,8 @@ class Models:
             self.known, self.table = {}, np.zeros((0, len(self.langs)))
         known = self.known
         fresh = list({w for _, words in chunk for w in words if w not in known})
-        for k in range(0, len(fresh), 50_000):
-            part = fresh[k : k + 50_000]
+        for k in range(0, len(fresh), FRESH):
+            part = fresh[k : k + FRESH]
             known.update(zip(part, range(len(known), len(known) + len(part)), strict=True))
             self.table = np.vstack([self.table, self.words(part)])
         for k, words in chunk:
