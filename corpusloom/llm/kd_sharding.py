@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import documents, with_running_sum, workspace, written
 
-BINS = 512
+BINS = 2048
 #: A part of a node with no more rows than this is looked at key by key.
-EXACT_ROWS = 512
+EXACT_ROWS = 16_384
 #: Of the bytes of a shard; a median is looked for until it is this exact.
 TOLERANCE = 1e-3
 #: Nodes whose table is sent to every executor; more are joined by a shuffle.
