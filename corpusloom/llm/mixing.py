@@ -21,6 +21,7 @@ for `n_chars`, which follows the text. There may be MOST_SOURCES sources, whose
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
 from fractions import Fraction
 
@@ -75,6 +76,11 @@ def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def key_of(source: int, round_: int) -> int:
+    """The permutation's key of a source's round, the same in all versions of Python."""
+    return int.from_bytes(hashlib.blake2b(f"{SEED} {source} {round_}".encode(), digest_size=7).digest())
+
+
 def stream(docs: DataFrame, id_col: str, text_col: str, source_col: str, where: str) -> tuple[DataFrame, list[dict]]:
     """(id, source, crc, size, place, src): each document's place in its source's words; and the sources in order."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -147,7 +153,7 @@ def slots(spark: SparkSession, found: list[dict]) -> DataFrame:
                     rounds, block = k // blocks[src], np.empty(len(k), np.int64)
                     for e in np.unique(rounds):
                         own = rounds == e
-                        block[own] = permuted(k[own] % blocks[src], blocks[src], hash((SEED, int(src), int(e))))
+                        block[own] = permuted(k[own] % blocks[src], blocks[src], key_of(int(src), int(e)))
                     out.append(block)
                 source = np.repeat(np.array(names, dtype=object), n)
                 yield pd.DataFrame({"shard": shard, "slot": np.arange(len(source)), "source": source, "block": np.concatenate(out)})
