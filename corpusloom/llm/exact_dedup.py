@@ -27,7 +27,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import documents, settings, squeezed, workspace, written
+from corpusloom.llm.common import documents, maybe_wanted, settings, squeezed, workspace, written
 
 STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -135,7 +135,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # Full bytes of the hits: equal smallest and largest body means that all are equal. Groups shrink before the shuffle.
     seen = contents(spark, home, hits, own, name) if folder else None
-    bodies = rows.join(hits.select("digest"), "digest", "left_semi").select("digest", "body")
+    # Which rows are hits is known where they are read, so other bodies are not shuffled, whatever join follows.
+    bodies = maybe_wanted(rows.select("digest", "body"), F.col("digest"), hits, F.col("digest"))
+    bodies = bodies.join(hits.select("digest"), "digest", "left_semi").select("digest", "body")
     bodies = bodies if seen is None else bodies.union(seen.select("digest", "body"))
     clashing = written(bodies.groupBy("digest").agg(F.min("body").alias("low"), F.max("body").alias("high")).where("low <> high").select("digest"), f"{own}/clashing")
     variants, index = None, index.withColumn("variant", F.lit(0))
