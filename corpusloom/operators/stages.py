@@ -57,7 +57,7 @@ def evaluated(df: DataFrame, parts: Sequence[str] = (), **counts: Column) -> tup
     spark, seen = df.sparkSession, Observation()
     path = f"{work_folder(spark)}/model-{uuid.uuid4().hex}"
     watched = df.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.count(F.when(c, 1)).alias(name) for name, c in counts.items()])
-    watched.write.partitionBy(*parts).parquet(path)
+    watched.write.partitionBy(*parts).parquet(path, compression="zstd")
     out = spark.read.schema(df.schema).parquet(path)
     found = observed(seen)
     if found is None:

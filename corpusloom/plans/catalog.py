@@ -572,7 +572,12 @@ SELECT question, response FROM f WHERE length(question) % 3 <> 0 AND length(resp
 """)
 def flow_knowledge(spark, d):
     df = table(spark, d, "documents").select("doc_id", F.col("text").alias("document"), F.col("source").alias("document_outline"), F.col("lang").alias("domain"), *[F.lit(v).alias(k) for k, v in EXAMPLE.items()])
-    return generate(df, read_flow("knowledge.yaml"), Context(Rules(), order=("doc_id", "response"))).select("question", "response")
+    return flow_columns(df, read_flow("knowledge.yaml"), Context(Rules(), order=("doc_id", "response")), "question", "response")
+
+
+def flow_columns(df: DataFrame, steps: list[Step], context: Context, *wanted: str) -> DataFrame:
+    """Some columns of what a flow makes: the others are not written by its stages."""
+    return generate(df, rewritten(steps, df.columns, context, wanted), context).select(*wanted)
 
 
 @query("SELECT conv_id, turn, CASE WHEN length(text) % 2 = 0 THEN text ELSE 'Better: ' || text END AS chosen_response FROM conversations WHERE role = 'user'")
@@ -866,7 +871,8 @@ class Summaries(Rules):
             return "A" if len(prompt) % 3 else "B"
         for told, word in (("Summarise the document", "Long"), ("List the facts", "Facts"), ("List the sentences", "Quotes")):
             if told in prompt:
-                return " ".join([word, *re.search(r"(?s)Title: [^\n]*\n\n(.*?)(\[/INST\])?$", prompt)[1].split()[-14:]])
+                text = prompt[re.search(r"Title: [^\n]*\n\n", prompt).end() :].removesuffix("[/INST]")
+                return " ".join([word, *text.rsplit(None, 14)[-14:]])
         return Rules.one(prompt, sample)
 
 
@@ -882,7 +888,7 @@ SELECT question, response, kind AS dataset_type FROM f WHERE length(question) %
 """)
 def flow_summaries(spark, d):
     df = table(spark, d, "documents").select("doc_id", F.col("text").alias("document"), F.col("source").alias("document_outline"), F.col("lang").alias("domain"), *[F.lit(v).alias(k) for k, v in EXAMPLE.items()])
-    return generate(df, read_flow("knowledge_summaries.yaml"), Context(Summaries(), order=("doc_id", "dataset_type", "response"))).select("question", "response", "dataset_type")
+    return flow_columns(df, read_flow("knowledge_summaries.yaml"), Context(Summaries(), order=("doc_id", "dataset_type", "response")), "question", "response", "dataset_type")
 
 
 # Batches, errors, answers that are kept
@@ -983,7 +989,7 @@ def flow_rewritten(spark, d):
     df = table(spark, d, "documents").select("doc_id", F.col("text").alias("document"), F.col("source").alias("document_outline"), F.col("lang").alias("domain"), *[F.lit(v).alias(k) for k, v in EXAMPLE.items()])
     context = Context(Rules(), order=("doc_id", "response"))
     steps = [*read_flow("knowledge.yaml"), Step("FilterByValueBlock", {"filter_column": "domain", "filter_value": "en", "operation": "eq"})]
-    return generate(df, rewritten(steps, df.columns, context), context).select("question", "response")
+    return flow_columns(df, steps, context, "question", "response")
 
 
 # Packaged flows with models of rules
@@ -1029,7 +1035,7 @@ SELECT array_to_string(w[1:3], ' ') AS question, 'A) ' || w[4] AS answer, doc_id
 """)
 def flow_choices(spark, d):
     df = table(spark, d, "documents").select("doc_id", F.col("text").alias("document"), F.col("lang").alias("domain"))
-    out = generate(df, read_flow("multiple_choice.yaml"), Context(Ruled(), order=("doc_id",)))
+    out = flow_columns(df, read_flow("multiple_choice.yaml"), Context(Ruled(), order=("doc_id",)), "mmlubench_question", "mmlubench_answer", "doc_id")
     return out.select(F.col("mmlubench_question").alias("question"), F.col("mmlubench_answer").alias("answer"), "doc_id")
 
 
@@ -1044,4 +1050,4 @@ SELECT doc_id, kind AS dataset_type, 'What of ' || array_to_string(w[k + 1:k + 4
 def flow_reasoned(spark, d):
     """Summaries and the document itself, each asked about by a model that thinks before it answers."""
     df = table(spark, d, "documents").select("doc_id", F.col("text").alias("document"), F.col("source").alias("document_outline"), F.col("lang").alias("domain"))
-    return generate(df, read_flow("knowledge_reasoned.yaml"), Context(Ruled())).select("doc_id", "dataset_type", "question", "response")
+    return flow_columns(df, read_flow("knowledge_reasoned.yaml"), Context(Ruled()), "doc_id", "dataset_type", "question", "response")
