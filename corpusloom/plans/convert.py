@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
 from corpusloom.operators import columns, filters, models, reshape
+from corpusloom.operators.columns import unused
 
 #: Instructions for auxiliary rows, by kind of document: our own words.
 INSTRUCTIONS: dict[str, Sequence[str]] = {
@@ -55,8 +56,14 @@ def auxiliary(df: DataFrame, order: Sequence[str] | None = None, instructions: M
     """Instruction rows from generated documents of other kinds; None without a kind column."""
     if "dataset_type" not in df.columns:
         return None
-    made = reshape.first_per_key(filters.not_equal(df, "dataset_type", "base_document"), ["document"], order)
-    made = columns.rename(columns.keep(made, ["raw_document", "document_outline", "domain", "dataset_type", "document"]), {"raw_document": "context", "document": "response"})
+    kept = ["raw_document", "document_outline", "domain", "dataset_type", "document"]
+    made = columns.keep(filters.not_equal(df, "dataset_type", "base_document"), [*kept, *(order or [])])
+    # A raw document that is the document itself goes through the aggregate once.
+    same = unused("_same", made.columns)
+    made = made.withColumn(same, F.col("raw_document").eqNullSafe(F.col("document"))).withColumn("raw_document", F.when(~F.col(same), F.col("raw_document")))
+    made = reshape.first_per_key(made, ["document"], order)
+    made = made.withColumn("raw_document", F.when(F.col(same), F.col("document")).otherwise(F.col("raw_document")))
+    made = columns.rename(columns.keep(made, kept), {"raw_document": "context", "document": "response"})
     picked = F
     for kind, texts in instructions.items():
         pick = F.element_at(F.array(*[F.lit(t) for t in texts]), (tx.hash_number("response", modulus=len(texts)) + 1).cast("int"))
@@ -67,24 +74,39 @@ def auxiliary(df: DataFrame, order: Sequence[str] | None = None, instructions: M
     return made.select(tx.row_id("response", "dataset_type").alias("id"), F.array(turn("user", asked), turn("assistant", "response")).alias("messages"), meta.alias("metadata"))
 
 
+#: Places of the ring of contexts that are one row of the table that rows get their distractors from.
+RING = 64
+
+
 def raft(df: DataFrame, p: float, documents: int = 4, key: str = "id", seed: str = "raft") -> DataFrame:
     """Puts distractor contexts before the first user turn, the row's own among them with probability p.
 
-    Distinct contexts stand on a ring in the order of their md5; a row takes those from a hashed place on, leaving out
-    its own, so each pick is one equi-join on the place. Fewer contexts than wanted: all; none: the row's own.
+    Distinct contexts stand on a ring in the order of their md5 (if one md5 had two, of their sha256); a row takes those from a
+    hashed place on, leaving out its own. Fewer contexts than wanted: all; none: the row's own. Places are given to digests,
+    and runs of RING places, with those that the last of them look ahead to, are one row each: so a context is shuffled
+    twice and a row once, however many contexts each row takes.
     """
-    ring = reshape.numbered(df.select("context").distinct().withColumn("_md5", F.md5(F.col("context").cast("binary"))), ["_md5", "context"], "_place").select("_place", F.col("context").alias("_other"))
-    ring, counts = models.evaluated(ring)  # all contexts, read twice
-    total = counts["rows"]
+    digests = [F.md5(F.col("context").cast("binary")).alias("_md5"), F.sha2(F.col("context").cast("binary"), 256).alias("_sha")]
+    places = reshape.numbered(df.select(*digests).distinct(), ["_md5", "_sha"], "_place")
+    total = max(1, places.count())
+    texts = df.select(digests[1], "context").groupBy("_sha").agg(F.first("context").alias("_other"))
+    places = places.select(F.col("_sha").alias("_s"), "_place").hint("merge")
+    ring = texts.join(places, F.col("_sha").eqNullSafe(F.col("_s")))
+    # A place is in its own run, and in those whose last places look ahead to it, around the ring.
+    run = lambda place: F.floor((place + total) % total / RING)
+    runs = F.array_distinct(F.array(*[run(F.col("_place") - k) for k in range(documents + 1)]))
+    ring = ring.select(F.explode(runs).alias("_run"), F.struct("_place", "_sha", "_other").alias("_spot")).groupBy("_run").agg(F.collect_list("_spot").alias("_spots"))
     with_own = tx.hash_number(F.lit(seed), key, modulus=1_000_000) < int(p * 1_000_000)
     wanted = F.when(with_own, F.lit(documents - 1)).otherwise(F.lit(documents))
-    rows = df.withColumn("_own", with_own).withColumn("_wanted", wanted).withColumn("_start", tx.hash_number(F.lit(seed + "-start"), key, modulus=max(1, total)))
-    spots = rows.select(key, "context", "_wanted", F.explode(F.sequence(F.lit(0), F.least(F.lit(documents), F.lit(max(0, total - 1))))).alias("_k"), "_start")
-    spots = spots.withColumn("_place", (F.col("_start") + F.col("_k")) % F.lit(max(1, total)))
-    others = spots.join(ring, "_place").where("not (context <=> _other)")
-    picked = others.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_k", "_other"))).alias("_picks"))
-    joined = rows.join(picked, key, "left")
-    picks = F.coalesce(F.slice(F.col("_picks._other"), F.lit(1), F.col("_wanted")), F.array().cast("array<string>"))
+    rows = df.withColumn("_own", with_own).withColumn("_wanted", wanted).withColumn("_start", tx.hash_number(F.lit(seed + "-start"), key, modulus=total))
+    # Only rows that show their own context take its text along.
+    rows = rows.withColumn("_mine", digests[1]).withColumn("context", F.when(F.col("_own") | (F.col("_wanted") == 0) | F.lit(total == 1), F.col("context")))
+    joined = rows.withColumn("_at", run(F.col("_start"))).hint("merge").join(ring, F.col("_at") == F.col("_run"), "left")
+    ahead = lambda s: (s["_place"] - F.col("_start") + total) % total
+    near = F.filter("_spots", lambda s: (ahead(s) <= documents) & ~s["_sha"].eqNullSafe(F.col("_mine")))
+    near = F.array_sort(F.transform(near, lambda s: F.struct(ahead(s).alias("k"), s["_other"].alias("c"))))
+    joined = joined.withColumn("_picks", F.transform(F.slice(near, F.lit(1), F.col("_wanted")), lambda s: s["c"])).drop("_spots")
+    picks = F.coalesce(F.col("_picks"), F.array().cast("array<string>"))
     chosen = F.when(F.col("_own") | (F.size(picks) == 0), F.concat(picks, F.array("context"))).otherwise(picks)
     shuffled = F.array_sort(F.transform(chosen, lambda c: F.struct(F.md5(F.concat(F.col(key).cast("string"), c).cast("binary")).alias("o"), c.alias("c"))))
     text = F.concat(F.array_join(F.transform(shuffled, lambda s: F.concat(F.lit("Document:\n"), s["c"], F.lit("\n\n"))), "\n"), F.lit("\n\n"))

@@ -355,6 +355,34 @@ def test_raft_counts_and_order(spark):
     assert "c0" in alone["messages"][0]["content"]
 
 
+def test_raft_takes_what_stands_ahead_on_the_ring(spark):
+    """Against the ring walked in Python, over more runs than one, with copies and few contexts; what rows take is not grouped by row."""
+    import hashlib
+
+    number = lambda t: int(hashlib.md5(t.encode()).hexdigest()[:8], 16)
+    for n, some in ((700, 311), (40, 64), (40, 4), (10, 2), (5, 1)):
+        rows = [(str(k), f"c{k % some}", [("user", "Q"), ("assistant", "A")], "{}") for k in range(n)]
+        df = spark.createDataFrame(rows, "id string, context string, messages array<struct<role:string,content:string>>, metadata string")
+        ring = sorted({r[1] for r in rows}, key=lambda c: hashlib.md5(c.encode()).hexdigest())
+        want = {}
+        for i, own, *_ in rows:
+            mine, start = number(f"raft|{i}") % 1_000_000 < 400_000, number(f"raft-start|{i}") % len(ring)
+            ahead = [ring[(start + k) % len(ring)] for k in range(min(5, len(ring)))]
+            picks = [c for c in ahead if c != own][: 3 if mine else 4]
+            picks = [*picks, own] if mine or not picks else picks
+            want[i] = "\n".join(f"Document:\n{c}\n\n" for c in sorted(picks, key=lambda c: hashlib.md5((i + c).encode()).hexdigest())) + "\n\nQ"
+        out = convert.raft(df, 0.4)
+        assert {r["id"]: r["messages"][0]["content"] for r in out.collect()} == want, (n, some)
+        assert "Aggregate [id#" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_auxiliary_of_documents_that_are_their_own_source(spark):
+    rows = [(1, "s", "raw", "summary_detailed"), (2, "x", "x", "summary_detailed"), (3, "x", "y", "summary_detailed"), (4, "z", None, "summary_detailed")]
+    df = spark.createDataFrame(rows, "doc_id long, document string, raw_document string, dataset_type string").selectExpr("*", "'d' as domain", "'o' as document_outline")
+    asked = {r["messages"][1]["content"]: r["messages"][0]["content"] for r in convert.auxiliary(df, ["doc_id"]).collect()}
+    assert asked["s"].startswith("raw\n\n") and asked["x"].startswith("x\n\n") and asked["z"] is None
+
+
 def test_multiple_choice(spark):
     df = spark.createDataFrame([("Which?\nA) a\nB) b\nC) c\nD) d", "B) b", "s"), ("Which?\nA) a", "A) a", "s"), ("none", "x", "s")], "mmlubench_question string, mmlubench_answer string, domain string")
     out = convert.multiple_choice(df, evaluation=True).collect()
