@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 #: Java regex flags that make a pattern behave as in Python: `.` stops at \n only, classes are Unicode.
 UNICODE, DOTALL = "(?dU)", "(?sdU)"
 #: What Python's str.strip() removes.
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 SPACE = r"[\s\x1c-\x1f]"
 NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 SPECIAL = r"^[+-]?(inf|infinity|nan)$"
@@ -26,11 +27,12 @@ def quoted(text: str) -> str:
 
 
 def strip(c: Column | str) -> Column:
-    return F.regexp_replace(column(c), f"(?U)^{SPACE}+|{SPACE}+$", "")
+    # No pattern: one would be tried at each blank inside the text.
+    return F.btrim(column(c), F.lit(SPACES))
 
 
 def lstrip(c: Column | str) -> Column:
-    return F.regexp_replace(column(c), f"(?U)^{SPACE}+", "")
+    return F.ltrim(column(c), F.lit(SPACES))
 
 
 def once(value: Column, then: Callable[[Column], Column]) -> Column:

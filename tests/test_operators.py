@@ -169,3 +169,14 @@ def test_numbers_of_rows_that_come_out_in_another_order_each_time(spark):
     got = reshape.numbered(df, ["_part"], "n").collect()
     assert sorted(r.n for r in got) == list(range(200))
     assert [r.n for r in sorted(got, key=lambda r: r._part)] == list(range(200))
+
+
+def test_strip_is_pythons(spark):
+    """Whatever Python strips, at the ends alone; without a pattern, which would be tried at each blank of a long text."""
+    from corpusloom.functions import text as tx
+
+    texts = [f"{c}a {c} b{c}\n" for c in map(chr, range(0x3001)) if c.isspace()] + ["", " ", "\u200b x", "\u3000\x1c \x85", "a", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    out = df.select("t", tx.strip("t").alias("s"), tx.lstrip("t").alias("l"))
+    assert all((r["s"], r["l"]) == ((None, None) if r["t"] is None else (r["t"].strip(), r["t"].lstrip())) for r in out.collect())
+    assert "regexp" not in out._jdf.queryExecution().optimizedPlan().toString()
