@@ -38,11 +38,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Bytes that go to a Python worker at once, and wait for it beside the heap, where the session has Spark's default.
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
-BATCH_BYTES = "4m"
+BATCH_BYTES = "1m"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Sets the session's size of batches for Python, if it is Spark's own: 64 MB, of which a task holds several."""
+    """Sets the session's size of batches for Python, if it is Spark's own: 64 MB, of which a task holds several on both sides."""
     if spark.conf.get(BATCH) in ("64MB", "64m", str(64 << 20), f"{64 << 20}b"):
         spark.conf.set(BATCH, BATCH_BYTES)
 
@@ -104,7 +104,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Bytes of text that a task turns into Python strings at once (a single longer text is taken whole), and rows.
-SLICE_BYTES, SLICE_ROWS = 4 << 20, 2000
+SLICE_BYTES, SLICE_ROWS = 1 << 20, 2000
 
 
 def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:

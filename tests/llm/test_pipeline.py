@@ -27,3 +27,22 @@ def test_stages_keep_what_they_should(spark, corpus, tmp_path):  # noqa: F811
     assert five.where("not round_trip").count() == 0
     docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == five.count()
+
+
+def test_tasks_hold_little_text_at_once(spark):
+    """What Python and the JVM hold of a task's texts beside the heap: batches and slices of a megabyte, or of one text."""
+    import pyarrow as pa
+
+    from corpusloom.llm import common
+
+    before = spark.conf.get(common.BATCH)
+    try:
+        spark.conf.set(common.BATCH, "64MB")
+        common.small_batches(spark)
+        assert spark.conf.get(common.BATCH) == "1m"
+    finally:
+        spark.conf.set(common.BATCH, before)
+    sizes = [300_000] * 10 + [3_000_000, 10]
+    found = list(common.slices(pa.array(["x" * n for n in sizes])))
+    assert sum(n for _, n in found) == len(sizes)
+    assert all(n == 1 or sum(sizes[k : k + n]) <= 1 << 20 for k, n in found)
