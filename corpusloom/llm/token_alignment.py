@@ -3,8 +3,8 @@
 Both tokenizers spell the same bytes, so a text is two rising lists of byte offsets at which tokens end. Where both end, a
 group ends. Most groups are one token each, for a stretch: then both lists go on alike at a constant shift between
 their indexes. Such a stretch is not walked: probes of doubling length compare slices of both lists at the current shift,
-and halving probes find where it ends. The irregular group there is resolved token by token, and the shift goes on
-changed. Groups of a text are two arrays of token counts.
+as strings of the tokens' sizes, and the first difference of two strings is where it ends. The irregular group there is
+resolved token by token, and the shift goes on changed. Groups of a text are two arrays of token counts.
 
 A text's distinct id pairs, with how often each is linked, are written once. Spark counts the texts that hold each pair
 (partial counts in every task) and marks those that are their first id's best. Pairs held by the most texts, as many as
@@ -22,8 +22,9 @@ are not looked at.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -72,31 +73,45 @@ def pieces(path: str) -> Vocabulary:
     return Vocabulary(lambda texts: model.encode(texts, num_threads=1), spelled)
 
 
-def aligned(a: list[int], b: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers of a's and b's tokens in each group, from the offsets at which tokens end; both end at the same."""
+def aligned(a: Sequence[int], b: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of a's and b's tokens in each group, from the offsets at which tokens end; both end at the same.
+
+    Where both lists have ended alike, the next ends agree as long as the tokens' sizes do. These are strings of bytes; of
+    two slices of them the highest bit of their difference, as numbers, tells how far they agree.
+    """
+    long_a, long_b = (np.diff(np.asarray(x, np.int64), prepend=0) for x in (a, b))
+    n = len(long_a)
+    wide = 1 if max(long_a.max(initial=0), long_b.max(initial=0)) < 256 else 8
+    raw_a, raw_b = (x.astype(f">u{wide}").tobytes() for x in (long_a, long_b))
+    size_a, size_b = (raw_a, raw_b) if wide == 1 else (long_a.tolist(), long_b.tolist())
+    # The 8 bytes from each token on, for the first probe; what follows the last token differs.
+    next_a, next_b = (memoryview(np.ndarray((len(raw) // wide,), ">u8", raw + end * 8, strides=(wide,)).astype(np.uint64)) for raw, end in ((raw_a, b"\0"), (raw_b, b"\1")))
     i = j = 0
-    n, m = len(a), len(b)
     ones, more_a, more_b = [], [], []  # a stretch of single tokens, and the irregular group after it
     while i < n:
-        run, step = 0, 1
-        while a[i + run : i + run + step] == b[j + run : j + run + step] and i + run < n:
-            run += step
+        run, step = (64 - (next_a[i] ^ next_b[j]).bit_length() >> 3) // wide, 16
+        more = run * wide == 8
+        while more:
+            x = raw_a[(i + run) * wide : (i + run + step) * wide]
+            y = raw_b[(j + run) * wide : (j + run + step) * wide]
+            least = min(len(x), len(y))
+            odd = 0 if x == y else (int.from_bytes(x[:least]) ^ int.from_bytes(y[:least])).bit_length()
+            run += (least - (odd + 7) // 8) // wide
+            more = odd == 0 and least == step * wide
             step *= 2
-        while step > 1:
-            step //= 2
-            if a[i + run : i + run + step] == b[j + run : j + run + step]:
-                run += step
-        run = min(run, n - i, m - j)
         i, j = i + run, j + run
         ones.append(run)
         if i == n:
             break
         p, q = i, j
-        while a[p] != b[q]:
-            if a[p] < b[q]:
+        end_a, end_b = size_a[p], size_b[q]
+        while end_a != end_b:
+            if end_a < end_b:
                 p += 1
+                end_a += size_a[p]
             else:
                 q += 1
+                end_b += size_b[q]
         more_a.append(p + 1 - i)
         more_b.append(q + 1 - j)
         i, j = p + 1, q + 1
@@ -146,13 +161,15 @@ class Aligner:
         self.both = (first, second)
         self.long = [np.array([len(x) for x in v.bytes], np.int64) for v in self.both]
         n = max(len(v.bytes) for v in self.both)
-        self.digits = np.array([str(i) for i in range(n)], f"S{len(str(n))}").view(np.uint8).reshape(n, -1)
-        self.digits = np.concatenate([self.digits, np.zeros((n, 1), np.uint8)], axis=1)
-        self.wide = (self.digits != 0).sum(axis=1)
+        if n > 10**7:
+            raise ValueError("ids of more than 7 digits")
+        # The digits of an id are the lower bytes of one number, with room for a mark after them.
+        self.digits = np.array([str(i) for i in range(n)], "S8").view("<u8")
+        self.above = np.array([8 * len(str(i)) for i in range(n)], "<u8")
 
     def written(self, a: np.ndarray, b: np.ndarray, in_a: np.ndarray, in_b: np.ndarray) -> bytes:
         """`a1,a2|b1;a3|b2,b3`: ids by group."""
-        ids, mark = np.empty(len(a) + len(b), np.int64), np.full(len(a) + len(b), ord(","), np.uint8)
+        ids, mark = np.empty(len(a) + len(b), np.int64), np.full(len(a) + len(b), ord(","), "<u8")
         end_a, end_b = np.cumsum(in_a), np.cumsum(in_b)
         ids[np.arange(len(a)) + np.repeat(end_b - in_b, in_a)] = a
         ids[np.arange(len(b)) + np.repeat(end_a, in_b)] = b
@@ -161,19 +178,17 @@ class Aligner:
         out, every = [], 1 << 18
         for k in range(0, len(ids), every):
             part = ids[k : k + every]
-            chars, wide = self.digits[part], self.wide[part]
-            chars[np.arange(len(part)), wide] = mark[k : k + every]
-            out.append(chars[np.arange(chars.shape[1]) <= wide[:, None]].tobytes())
+            out.append((self.digits[part] | mark[k : k + every] << self.above[part]).tobytes().translate(None, b"\0"))
         return b"".join(out)[:-1]
 
     def align(self, text: str, a: list[int], b: list[int]) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray]:
         """Tokens of both, groups, links, digest; pairs and how often they are linked."""
         none = np.zeros(0, np.int64)
         said = b" " + text.encode()
-        if not text or any(b"".join(map(v.bytes.__getitem__, ids)) != said for v, ids in zip(self.both, (a, b), strict=True)):
+        if not text or any(b"".join(itemgetter(*ids, 0)(v.bytes)[:-1]) != said for v, ids in zip(self.both, (a, b), strict=True)):
             return 0, 0, 0, 0, "", none, none
         a, b = np.array(a, np.int64), np.array(b, np.int64)
-        in_a, in_b = aligned(np.cumsum(self.long[0][a]).tolist(), np.cumsum(self.long[1][b]).tolist())
+        in_a, in_b = aligned(np.cumsum(self.long[0][a]), np.cumsum(self.long[1][b]))
         keys, counts = linked(a, b, in_a, in_b)
         return len(a), len(b), len(in_a), int(in_a @ in_b), hashlib.sha256(self.written(a, b, in_a, in_b)).hexdigest(), keys, counts
 

@@ -123,6 +123,17 @@ def test_alignment_equals_common_offsets():
                 assert list(zip(in_a.tolist(), in_b.tolist())) == plain_groups(a, b)
 
 
+@pytest.mark.parametrize("longest", [1, 3, 300])
+def test_alignment_of_arrays_of_long_tokens_and_long_stretches(longest):
+    r = np.random.default_rng(longest)
+    for n in [1, 7, 8, 9, 16, 24, 40, 700]:
+        for share in (0.0, 0.01, 0.2):
+            ends = np.cumsum(r.integers(1, longest + 1, n))
+            keep_a, keep_b = (np.r_[r.random(n - 1) >= share, True] for _ in range(2))
+            in_a, in_b = token_alignment.aligned(ends[keep_a], ends[keep_b])
+            assert list(zip(in_a.tolist(), in_b.tolist())) == plain_groups(ends[keep_a].tolist(), ends[keep_b].tolist())
+
+
 @pytest.mark.parametrize("chunk", [1, 7, 1 << 20])
 def test_links_equal_all_pairs(monkeypatch, chunk):
     monkeypatch.setattr(token_alignment, "CHUNK", chunk)
