@@ -241,23 +241,25 @@ def with_running_sum(df: DataFrame, group: Sequence[str], order: Sequence[str],
 MAPPED = 1 << 24
 
 
-def maybe_wanted(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> DataFrame:
-    """The rows of df whose key may be among the wanted ones: none that is is left out, few others stay.
+def maybe_wanted(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, others: bool = False) -> DataFrame:
+    """The rows of df whose key may be among the wanted ones: none that is is left out, few others stay. Or all the others.
 
     A bitmap of hashes, of a size by the number of wanted keys, is broadcast, so that rows no join needs are dropped where
     they are read. Its size is bounded; for more keys than it can tell, nothing is dropped. wanted is read twice.
     """
     n = wanted.count()
     if n > MAPPED:
-        return df
+        return df.where("false") if others else df
     size = max(1 << 18, 1 << (16 * n).bit_length())
     row, bucket, bits_, place_ = (unused(c, df.columns) for c in ("_row", "_bucket", "_map", "_place"))
     place = lambda k: F.pmod(F.xxhash64(k), F.lit(size))
     bits = wanted.select(place(wanted_key).alias("p")).groupBy(F.expr("int(p div 32768)").alias(bucket)).agg(F.bitmap_construct_agg(F.expr("p % 32768")).alias(bits_))
     rows = df.select(F.struct("*").alias(row), place(key).alias(place_)).withColumn(bucket, F.expr(f"int({place_} div 32768)"))
     bit = F.expr(f"cast(conv(hex(substring({bits_}, cast(({place_} % 32768) div 8 + 1 as int), 1)), 16, 10) as int)")
-    found = rows.join(F.broadcast(bits), bucket).where(bit.bitwiseAND(F.expr(f"shiftleft(1, cast({place_} % 8 as int))")) != 0)
-    return found.select(f"{row}.*")
+    is_set = bit.bitwiseAND(F.expr(f"shiftleft(1, cast({place_} % 8 as int))")) != 0
+    if others:
+        return rows.join(F.broadcast(bits), bucket, "left").where(~F.coalesce(is_set, F.lit(False))).select(f"{row}.*")
+    return rows.join(F.broadcast(bits), bucket).where(is_set).select(f"{row}.*")
 
 
 def components(links: DataFrame, where: str) -> DataFrame:

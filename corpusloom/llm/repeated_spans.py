@@ -304,16 +304,19 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     groups = written(groups, f"{where}/groups")
     more = groups.where("copies > 1")
     others = index.join(more.select("digest", F.col("id").alias("_first")), "digest").where("not (id <=> _first)").select("id", "digest")
-    once = index.where(f"n_bytes >= {LENGTH}").join(written(others.distinct(), f"{where}/others"), ["id", "digest"], "left_anti")
+    others = written(others.distinct(), f"{where}/others")
+    # Anchors are many bytes: only rows that may be one of the others go through the join.
+    long, row, one = index.where(f"n_bytes >= {LENGTH}").select("id", "digest", "at", "hash"), F.xxhash64("id", "digest"), ["id", "digest"]
+    once = maybe_wanted(long, row, others, row, others=True).unionByName(maybe_wanted(long, row, others, row).join(others, one, "left_anti"))
 
     # Rows that repeat with their id are left in: places are told apart by text and offset, not by row.
     flat = once.select("digest", F.explode(F.arrays_zip("hash", "at")).alias("x")).select("digest", "x.hash", "x.at")
     shared = flat.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash", (F.col("n") > HOT).alias("hot"))
     shared = written(shared, f"{where}/shared")
     found = maybe_wanted(flat, F.col("hash"), shared, F.col("hash")).join(shared, "hash").groupBy("digest").agg(F.collect_set(F.struct("at", "hash", "hot")).alias("found"))
-    found = written(found.join(groups.select("digest", "id"), "digest"), f"{where}/found")
+    found = written(found.join(groups.select("digest", "id", (F.col("copies") > 1).alias("whole")), "digest"), f"{where}/found")
     text = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text"))
-    texts = maybe_wanted(text, F.coalesce("_id", F.lit(-1)), found, F.coalesce("id", F.lit(-1))).join(found.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("id"))).where(F.unhex(F.sha2("text", 256)) == F.col("digest")).select("digest", "text", "found")
+    texts = maybe_wanted(text, F.coalesce("_id", F.lit(-1)), found, F.coalesce("id", F.lit(-1))).join(found.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("id"))).where(F.unhex(F.sha2("text", 256)) == F.col("digest")).select("digest", "text", "found", "whole")
     texts = written(texts.dropDuplicates(["digest"]) if not _unique(index) else texts, f"{where}/texts")
 
     every = windows(texts)
@@ -323,8 +326,12 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     runs = map_frames(sent, runs_of_places, "digest binary, low int, high int")
     if hot:
         runs = runs.unionByName(hot_runs(every.where("hot"), where))
-    runs = written(runs, f"{where}/runs").groupBy("digest").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
-    partly = written(laid_over(texts.select("digest", "text").join(runs, "digest")), f"{where}/partly")
+    runs = written(runs, f"{where}/runs")
+    # Texts without a run stay as they are, copied ones go wholly: only the rest is shuffled again.
+    some = written(runs.select("digest").distinct(), f"{where}/some")
+    cut = maybe_wanted(texts.where("not whole").select("digest", "text"), F.col("digest"), some, F.col("digest"))
+    runs = runs.groupBy("digest").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
+    partly = written(laid_over(cut.join(runs, "digest")), f"{where}/partly")
 
     whole = groups.select("digest", ((F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)).alias("whole"))
     told = whole.join(partly, "digest", "left").where("whole or n_removed is not null")

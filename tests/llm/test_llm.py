@@ -255,6 +255,36 @@ def test_repeats_equal_brute_force(spark, corpus, hot, monkeypatch):
     assert Counter((r["id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out.collect()) == brute_spans(rows)
 
 
+def test_only_texts_that_are_cut_go_to_the_cutting(spark, monkeypatch):
+    """Copied texts go wholly and texts without a run stay whole; neither is laid out again."""
+    r = random.Random(11)
+    passage = prose(r, 60)
+    copied = f"{prose(r, 40)} {passage} {prose(r, 40)}"
+    rows = [(1, copied), (2, copied), (3, f"{prose(r, 30)} {passage}"), (4, prose(r, 80)), (None, f"{passage} {prose(r, 20)}"), (5, None)]
+    seen = []
+
+    def noted(texts, run=repeated_spans.laid_over):
+        seen.extend(x["text"] for x in texts.select("text").collect())
+        return run(texts)
+
+    monkeypatch.setattr(repeated_spans, "laid_over", noted)
+    out = repeated_spans.repeats(table(spark, rows))
+    assert Counter((x["id"], x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in out.collect()) == brute_spans(rows)
+    assert sorted(seen) == sorted([rows[2][1], rows[4][1]])
+
+
+@pytest.mark.parametrize("mapped", [1 << 24, 0])
+def test_wanted_rows_and_surely_unwanted_ones_are_all_rows(spark, monkeypatch, mapped):
+    monkeypatch.setattr(common, "MAPPED", mapped)
+    rows = spark.createDataFrame([(i, f"x{i}") for i in range(500)] + [(None, "none")], "k long, v string")
+    wanted = spark.createDataFrame([(i,) for i in range(0, 500, 7)] + [(None,)], "w long")
+    key = F.xxhash64("k", F.lit(1)), wanted, F.xxhash64("w", F.lit(1))
+    maybe, no = common.maybe_wanted(rows, *key).collect(), common.maybe_wanted(rows, *key, others=True).collect()
+    assert Counter(map(tuple, maybe + no)) == Counter(map(tuple, rows.collect()))
+    assert not {x["k"] for x in no} & {None, *range(0, 500, 7)}
+    assert len(no) > 400 or not mapped
+
+
 def test_a_passage_of_all_rows_is_not_gathered(spark, monkeypatch, tmp_path):
     """Every row has the passage, and other bytes around it: no task extends more than the bound of one group."""
     monkeypatch.setattr(repeated_spans, "HOT", 20)
