@@ -267,17 +267,18 @@ def components(links: DataFrame, where: str) -> DataFrame:
 
     Alternates the large-star and small-star steps until the links no longer change; each round is written to
     the shared folder. Stars keep every round's size within the number of links, so a node with a great many
-    neighbours costs no more than its links.
+    neighbours costs no more than its links. Rounds are many and their joins small: they are merged where they are, not
+    collected by the driver and sent out.
     """
     spark = links.sparkSession
     edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{where}/round0")
     mark, k = _fingerprint(edges), 0
     while mark[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).hint("merge")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("x"), "m").where("x <> m").select(F.col("x").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        small = large.join(low.hint("merge"), "u").select(F.col("v").alias("x"), "m").where("x <> m").select(F.col("x").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         k += 1
         edges = written(small.distinct(), f"{where}/round{k}")
         now = _fingerprint(edges)

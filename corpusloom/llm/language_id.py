@@ -158,18 +158,13 @@ def gram_counts(sample: DataFrame) -> DataFrame:
     words = written(words, f"{workspace(sample.sparkSession, 'language')}/words")
     marked = words.withColumn("w", F.concat(F.lit(START), "w", F.lit(END)))
     ends = marked.withColumn("e", F.explode(F.sequence(F.lit(2), F.length("w"))))
-    gram = lambda n: F.substr("w", F.greatest(F.col("e") - (n - 1), F.lit(1)), F.least(F.lit(n), F.col("e")))
-    top = ends.groupBy("lang", gram(ORDER).alias("gram")).agg(F.sum("c").alias("count"))
-    out, longer = [top], top
-    for n in range(ORDER - 1, 0, -1):
-        shorter = longer.where(F.length("gram") == n + 1).groupBy("lang", F.substr("gram", F.lit(2)).alias("gram")).agg(F.count(F.lit(1)).alias("count"))
-        starts = ends.where(F.col("e") == n).groupBy("lang", gram(n).alias("gram")).agg(F.sum("c").alias("count")) if 1 < n < ORDER else None
-        out.append(shorter)
-        longer = shorter if starts is None else shorter.unionByName(starts)
-    result = out[0]
-    for x in out[1:]:
-        result = result.unionByName(x)
-    return result.withColumn("n", F.length("gram"))
+    every = ends.withColumn("n", F.explode(F.sequence(F.lit(1), F.least(F.lit(ORDER), "e"))))
+    # All orders in one pass: a gram either counts its occurrences, or the characters before it, each once.
+    occurs = (F.col("n") == ORDER) | (F.col("n") == F.col("e"))
+    before = F.when(occurs, F.lit("")).otherwise(F.substr("w", F.col("e") - F.col("n"), F.lit(1)))
+    grams = every.select("lang", "n", F.substr("w", F.col("e") - F.col("n") + 1, F.col("n")).alias("gram"), occurs.alias("occurs"), before.alias("before"), "c")
+    once = grams.groupBy("lang", "n", "gram", "occurs", "before").agg(F.sum("c").alias("c"))
+    return once.groupBy("lang", "n", "gram", "occurs").agg(F.sum(F.when(F.col("occurs"), F.col("c")).otherwise(1)).alias("count")).select("lang", "gram", "count", "n")
 
 
 def matrix(grams: pd.Series, n: int) -> np.ndarray:

@@ -103,3 +103,12 @@ def test_rejection_follows_the_length(spark):
     for n, share in ((6, 0.5), (20, 0.95), (200, 1.0)):
         assert models.predict([noise(r, n, "abcdefghijklmnopqrstuvwxyz") for _ in range(40)])["rejected"].mean() >= share, n
         assert models.predict([noise(r, n, "абвгдежзийклмн") for _ in range(40)])["rejected"].all()
+
+
+def test_grams_of_all_orders_are_counted_in_two_shuffles(spark):
+    rows = spark.createDataFrame([("a", "ab abc abcdefg b"), ("b", "abc \U00010400\U00010401 abcdef")], "lang string, text string")
+    counts = li.gram_counts(rows)
+    assert counts._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 2
+    words = {"a": Counter(["ab", "abc", "abcdefg", "b"]), "b": Counter(["abc", "\U00010428\U00010429", "abcdef"])}
+    want = {(lang, n, g): c for lang, w in words.items() for n, level in brute_counts(w).items() for g, c in level.items()}
+    assert {(r["lang"], r["n"], r["gram"]): r["count"] for r in counts.collect()} == want

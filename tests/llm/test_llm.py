@@ -361,6 +361,21 @@ def test_components(spark):
     assert {out[k] for k in range(101, 160)} == {100}
 
 
+def test_rounds_of_components_collect_nothing(spark, monkeypatch):
+    plans, write = [], common.written
+
+    def seen(df, path):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, path)
+
+    monkeypatch.setattr(common, "written", seen)
+    links = spark.createDataFrame([(k, k + 1) for k in range(20)] + [(100, k) for k in range(101, 120)], "a long, b long")
+    out = dict(common.components(links, common.workspace(spark, "test")).collect())
+    assert out == {k: 0 for k in range(1, 21)} | {k: 100 for k in range(101, 120)}
+    assert len(plans) > 2 and not any("Broadcast" in p for p in plans)
+
+
+
 def test_maybe_wanted_keeps_what_is_wanted(spark):
     df, wanted = spark.range(5000), spark.range(0, 5000, 7).withColumnRenamed("id", "w")
     out = {r[0] for r in common.maybe_wanted(df, F.col("id"), wanted, F.col("w")).collect()}
