@@ -7,6 +7,7 @@ import re
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -540,6 +541,29 @@ def chat_answers(spark, d):
     return models.evaluate_once(out).select("conv_id", "answer")
 
 
+#: A word as the SQL cuts texts: its blanks are these five characters, while Python's split() knows more.
+WORD = re.compile(r"[^ \t\n\f\r]+")
+
+
+def first_words(text: str, n: int) -> list[str]:
+    return [m[0] for m in islice(WORD.finditer(text), n)]
+
+
+def last_words(text: str, n: int) -> list[str]:
+    return [m[0][::-1] for m in islice(WORD.finditer(text[::-1]), n)][::-1]
+
+
+def told(prompt: str, introduction: str) -> bool:
+    """Whether a prompt's second line, which comes before any text of a document, begins with an introduction."""
+    return prompt.startswith(introduction, prompt.find("\n") + 1)
+
+
+def pairs_of(words: list[str]) -> str:
+    """Questions and answers of a document's first 20 words."""
+    pairs = [(" ".join(words[k : k + 4]), " ".join(words[k + 4 : k + 10])) for k in (0, 10) if len(words) > k + 4]
+    return "\n".join(f"[QUESTION] What of {q}? [ANSWER] {a} [END]" for q, a in pairs)
+
+
 @dataclass(frozen=True)
 class Rules(models.StubBackend):
     """A model of rules: what it says follows from words in the prompt, so SQL can say it too."""
@@ -556,9 +580,7 @@ class Rules(models.StubBackend):
             return f"[Start of Feedback] x [End of Feedback][Start of Score] {1 + len(pair[2] or '') % 2} [End of Score]"
         if "[Start of Rating]" in prompt:
             return "[Start of Explanation] x [End of Explanation][Start of Rating] 1.0 [End of Rating]"
-        words = prompt.removesuffix("[/INST]").rpartition("Document:\n")[2].split()
-        pairs = [(" ".join(words[k : k + 4]), " ".join(words[k + 4 : k + 10])) for k in (0, 10) if len(words) > k + 4]
-        return "\n".join(f"[QUESTION] What of {q}? [ANSWER] {a} [END]" for q, a in pairs)
+        return pairs_of(prompt.removesuffix("[/INST]").rpartition("Document:\n")[2].split())
 
 
 EXAMPLE = {f"icl_{n}": v for n, v in [("document", "A short text."), *[(f"query_{k}", f"Question {k}?") for k in (1, 2, 3)], *[(f"response_{k}", f"Answer {k}.") for k in (1, 2, 3)]]}
@@ -867,13 +889,19 @@ class Summaries(Rules):
 
     @staticmethod
     def one(prompt: str, sample: int) -> str:
-        if "Say what kind of document" in prompt:
+        said = Summaries.summary(prompt)
+        return Rules.one(prompt, sample) if said is None else said
+
+    @staticmethod
+    def summary(prompt: str) -> str | None:
+        if told(prompt, "Say what kind of document"):
             return "A" if len(prompt) % 3 else "B"
-        for told, word in (("Summarise the document", "Long"), ("List the facts", "Facts"), ("List the sentences", "Quotes")):
-            if told in prompt:
-                text = prompt[re.search(r"Title: [^\n]*\n\n", prompt).end() :].removesuffix("[/INST]")
-                return " ".join([word, *text.rsplit(None, 14)[-14:]])
-        return Rules.one(prompt, sample)
+        for introduction, word in (("Summarise the document", "Long"), ("List the facts", "Facts"), ("List the sentences", "Quotes")):
+            if told(prompt, introduction):
+                # Prompts are stripped: without a text nothing follows the title.
+                text = prompt.removesuffix("[/INST]").partition("Title:")[2].partition("\n\n")[2]
+                return " ".join([word, *last_words(text, 14)])
+        return None
 
 
 @query(r"""
@@ -1003,18 +1031,19 @@ class Ruled(models.StubBackend):
 
     @staticmethod
     def one(prompt: str) -> str:
+        if (said := Summaries.summary(prompt)) is not None:
+            return said
+        if told(prompt, "Answer from the document."):
+            words = first_words(prompt.partition("document says.\n\n")[2].rpartition("\n\nWrite one question")[0], 20)
+            return f"<think>[QUESTION] no [ANSWER] no</think>{pairs_of(words)}"
         if found := re.search(r"(?s)Text: (.*)\nFeeling:", prompt):
             return ("joy", "anger", "fear", "sadness", "love", "surprise")[len(found[1]) % 6]
         if found := re.search(r"(?s)Context: (.*)\nTask: (.*)\nAnswer: (.*?)(?: ?\[/INST\])?$", prompt):
             return f"{found[2]} in {found[1]}: {found[3]}"
         if found := re.search(r"(?s)Document:\n(.*)\n\nUse \[QUESTION\]", prompt):
-            w = found[1].split()
+            w = first_words(found[1], 4)
             return f"[QUESTION] {' '.join(w[:3])} [ANSWER] A) {w[3]} [END]" if len(w) > 3 else ""
-        if found := re.search(r"(?s)document says\.\n\n(.*)\n\nWrite one question", prompt):
-            w = found[1].split()
-            pairs = [(" ".join(w[k : k + 4]), " ".join(w[k + 4 : k + 10])) for k in (0, 10) if len(w) > k + 4]
-            return "<think>[QUESTION] no [ANSWER] no</think>" + "\n".join(f"[QUESTION] What of {q}? [ANSWER] {a} [END]" for q, a in pairs)
-        return Summaries.one(prompt, 0)
+        return Rules.one(prompt, 0)
 
 
 @query("SELECT prompt, ['joy', 'anger', 'fear', 'sadness', 'love', 'surprise'][length(prompt) % 6 + 1] AS output, min(doc_id) AS doc_id FROM (SELECT doc_id, source || ' ' || lang AS prompt FROM documents) GROUP BY prompt")
