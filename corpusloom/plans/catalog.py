@@ -545,6 +545,10 @@ def chat_answers(spark, d):
 WORD = re.compile(r"[^ \t\n\f\r]+")
 
 
+#: The examples of a prompt for questions, before the document.
+EXAMPLES = re.compile(r"(?:\[QUESTION\][^\n]*\[END\]\n){3}")
+
+
 def first_words(text: str, n: int) -> list[str]:
     return [m[0] for m in islice(WORD.finditer(text), n)]
 
@@ -580,7 +584,13 @@ class Rules(models.StubBackend):
             return f"[Start of Feedback] x [End of Feedback][Start of Score] {1 + len(pair[2] or '') % 2} [End of Score]"
         if "[Start of Rating]" in prompt:
             return "[Start of Explanation] x [End of Explanation][Start of Rating] 1.0 [End of Rating]"
-        return pairs_of(prompt.removesuffix("[/INST]").rpartition("Document:\n")[2].split())
+        return pairs_of(first_words(Rules.document(prompt.removesuffix("[/INST]")), 20))
+
+    @staticmethod
+    def document(prompt: str) -> str:
+        """What follows the first heading after the examples; nothing where the document has no text, for prompts are stripped."""
+        examples = EXAMPLES.search(prompt)
+        return prompt[examples.end() :].partition("\n\nDocument:")[2] if examples else ""
 
 
 EXAMPLE = {f"icl_{n}": v for n, v in [("document", "A short text."), *[(f"query_{k}", f"Question {k}?") for k in (1, 2, 3)], *[(f"response_{k}", f"Answer {k}.") for k in (1, 2, 3)]]}

@@ -12,6 +12,7 @@ ODD = [
     WORDS, "one", "a b c d e", WORDS + " \n\n", "\n\n " + WORDS,
     f"Title: t\n\n{WORDS} Title: u", f"Summarise the document. {WORDS}", f"{WORDS} List the facts Say what kind of document",
     f"{WORDS}\n\nWrite one question now", f"says document says.\n\n{WORDS}", f"{WORDS} [/INST]",
+    f"Document:\n{WORDS}", f"{WORDS}\n\nDocument:", f"a b c\n\nDocument:\nd e f g {WORDS}",
     WORDS.replace("w3", "n b　s\x0bv "),
 ]
 
@@ -33,6 +34,6 @@ def same_as_sql(spark, folder: str, name: str) -> None:
     assert ours.equals(theirs)
 
 
-@pytest.mark.parametrize("name", ["flow_reasoned"])
+@pytest.mark.parametrize("name", ["flow_reasoned", "flow_summaries"])
 def test_flows_over_odd_texts_equal_their_sql(spark, odd, name):
     same_as_sql(spark, odd, name)
