@@ -13,6 +13,7 @@ ODD = [
     f"Title: t\n\n{WORDS} Title: u", f"Summarise the document. {WORDS}", f"{WORDS} List the facts Say what kind of document",
     f"{WORDS}\n\nWrite one question now", f"says document says.\n\n{WORDS}", f"{WORDS} [/INST]",
     f"Document:\n{WORDS}", f"{WORDS}\n\nDocument:", f"a b c\n\nDocument:\nd e f g {WORDS}",
+    f"{WORDS} Question: w1 w2\nAnswer: no\n\nPut", f"Task: {WORDS}", f"{WORDS} [Start of Feedback] [Start of Rating] [Start of Explanation] verdict",
     WORDS.replace("w3", "n b　s\x0bv "),
 ]
 
@@ -34,6 +35,6 @@ def same_as_sql(spark, folder: str, name: str) -> None:
     assert ours.equals(theirs)
 
 
-@pytest.mark.parametrize("name", ["flow_reasoned", "flow_summaries"])
+@pytest.mark.parametrize("name", ["flow_reasoned", "flow_summaries", "flow_knowledge"])
 def test_flows_over_odd_texts_equal_their_sql(spark, odd, name):
     same_as_sql(spark, odd, name)
