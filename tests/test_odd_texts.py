@@ -35,6 +35,6 @@ def same_as_sql(spark, folder: str, name: str) -> None:
     assert ours.equals(theirs)
 
 
-@pytest.mark.parametrize("name", ["flow_reasoned", "flow_summaries", "flow_knowledge"])
+@pytest.mark.parametrize("name", ["flow_reasoned", "flow_summaries", "flow_knowledge", "flow_rewritten"])
 def test_flows_over_odd_texts_equal_their_sql(spark, odd, name):
     same_as_sql(spark, odd, name)
